@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["scoring_queries", "harmonise_queries"]
+GROUPS = ["scoring_queries", "harmonise_queries", "endpoint_queries", "quality_queries"]
 
 
 def catalogue() -> dict:

@@ -78,7 +78,7 @@ ep1 AS (
          (ev = 0 AND t0 IS NULL AND t1 IS NOT NULL) AS from_followup FROM ep0),
 ep AS (
   SELECT cohort_id, sample_id, c_acctbal, c_nationkey, status, from_followup, ev AS event_uncapped, t AS time_uncapped,
-         least(t, 60e0) AS time_months, CASE WHEN t > 60 THEN 0 ELSE ev END AS event
+         CASE WHEN t > 60 THEN 60e0 ELSE t END AS time_months, CASE WHEN t > 60 THEN 0 ELSE ev END AS event
   FROM ep1),
 aset AS (
   SELECT * FROM ep WHERE time_months IS NOT NULL AND event IN (0, 1) AND time_months > 0)"""
