@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["scoring_queries", "harmonise_queries", "endpoint_queries", "quality_queries"]
+GROUPS = [
+    "scoring_queries",
+    "harmonise_queries",
+    "endpoint_queries",
+    "quality_queries",
+    "survival_queries",
+]
 
 
 def catalogue() -> dict:

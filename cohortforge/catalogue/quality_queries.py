@@ -9,6 +9,7 @@ from cohortforge.catalogue.base_sql import LINEAR, X1, X2, X6, r, signature_valu
 from cohortforge.catalogue.endpoint_queries import derived
 from cohortforge.functions import hashing
 from cohortforge.functions.numeric import round_at
+from cohortforge.functions.staging import written
 from cohortforge.operators import endpoints, quality
 from cohortforge.plans import standins
 from cohortforge.sources import signature_specs
@@ -22,13 +23,15 @@ def _scale_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = standins.dense_expression(spark, sf_dir).select("value")
     linear = standins.linear_expression(spark, sf_dir).select("value")
     cell = lambda name, df: df.select(F.lit(name).alias("cohort_id"), "value")
-    return (
+    cases = (
         cell("counts", counts)
         .unionByName(cell("linear", linear))
         .unionByName(cell("log", linear.select(F.log2(1 + F.col("value")).alias("value"))))
         .unionByName(cell("z", dense))
         .unionByName(cell("array", dense.select((F.col("value") + 0.2).alias("value"))))
     )
+    # Read several times by the verbs, so the joins behind it run once.
+    return written(cases, "scale-cases")
 
 
 def scale_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,13 +59,14 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 over a sparse gene set, with a duplicated symbol, a flat gene and flat samples."""
     base = standins.expression(spark, sf_dir)
     number = F.split_part("gene", F.lit("#"), F.lit(2)).cast("long")
-    return base.select(
+    cells = base.select(
         "cohort_id",
         F.when(number == 25, F.lit("Brand#24")).otherwise(F.col("gene")).alias("gene"),
         number.alias("feature_pos"),
         "sample_id",
         F.when(number == 23, F.lit(1.0)).otherwise(F.col("value")).alias("value"),
     )
+    return written(cells, "qc-matrix")
 
 
 def qc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

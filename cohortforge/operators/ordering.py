@@ -39,7 +39,10 @@ def with_buckets(
     chosen = (
         rows.select(*keys, value)
         .join(large, keys)
-        .filter(position * F.col("_n") < F.lit(_HASH_SPACE * SAMPLES_PER_BUCKET) * F.col("_k"))
+        .filter(
+            position.cast("double") * F.col("_n")
+            < F.lit(float(_HASH_SPACE * SAMPLES_PER_BUCKET)) * F.col("_k")
+        )
         .groupBy(*keys)
         .agg(
             F.array_sort(F.collect_set(value)).alias("_s"),
@@ -129,9 +132,13 @@ def hashed_position(
     )
 
 
+BINS_PER_OCTAVE = 1024
+SUB_BINS = 1024
+
+
 def _coarse_bin(v: Column) -> Column:
-    """Monotone integer bin, fine near zero and about one percent wide elsewhere."""
-    return (F.signum(v) * F.floor(F.log2(1.0 + F.abs(v) * 1024.0) * 64.0)).cast("int")
+    """Monotone integer bin: linear near zero, logarithmic beyond, both signs."""
+    return (F.signum(v) * F.floor(F.log2(1.0 + F.abs(v) * 1024.0) * BINS_PER_OCTAVE)).cast("int")
 
 
 def exact_quantiles(
@@ -142,60 +149,64 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation (type 7) quantiles per key.
 
-    A map-side-combined histogram finds the bins that hold the wanted ranks;
-    only the values of those bins are then shuffled and ordered.
+    A map-side-combined histogram finds the bins that hold the wanted ranks.
+    Only values of those bins are shuffled: they are counted per distinct value,
+    split into equal-width sub-bins and ranked there, so neither a hot key nor a
+    crowded bin is ordered in one task.
     """
     v = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
         *keys, F.col(value).alias("_v"), _coarse_bin(F.col(value)).alias("_bin")
     )
     per_key = Window.partitionBy(*keys)
     upto = per_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (
-        v.groupBy(*keys, "_bin")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select("*", F.sum("_c").over(per_key).alias("_n"), F.sum("_c").over(upto).alias("_end"))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-    )
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in probs.items()]
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("q"),
+                F.lit(side).alias("s"),
+                rank(F.lit(float(p)) * (F.col("_n") - 1)).alias("r"),
+                (F.lit(float(p)) * (F.col("_n") - 1) - F.floor(F.lit(float(p)) * (F.col("_n") - 1))).alias("f"),
+            )
+            for name, p in probs.items()
+            for side, rank in ((0, F.floor), (1, F.ceil))
+        ]
     )
     needed = (
-        hist.withColumn("_q", F.explode(wanted))
-        .withColumn("_pos", F.col("_q.p") * (F.col("_n") - 1))
-        .withColumn(
-            "_side",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("s"), F.floor("_pos").alias("r")),
-                    F.struct(F.lit(1).alias("s"), F.ceil("_pos").alias("r")),
-                )
-            ),
-        )
-        .filter((F.col("_side.r") >= F.col("_start")) & (F.col("_side.r") < F.col("_end")))
+        v.groupBy(*keys, "_bin")
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .select("*", F.sum("_c").over(per_key).alias("_n"), F.sum("_c").over(upto).alias("_end"))
         .select(
             *keys,
             "_bin",
-            F.col("_q.q").alias("_name"),
-            F.col("_side.s").alias("_s"),
-            (F.col("_side.r") - F.col("_start")).alias("_rank"),
-            (F.col("_pos") - F.floor("_pos")).alias("_frac"),
+            "_lo",
+            "_hi",
+            F.filter(sides, lambda w: (w["r"] >= F.col("_end") - F.col("_c")) & (w["r"] < F.col("_end"))).alias("_want"),
+            (F.col("_end") - F.col("_c")).alias("_start"),
         )
+        .filter(F.size("_want") > 0)
     )
+    width = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    sub = F.when(F.col("_hi") > F.col("_lo"), F.floor(width * SUB_BINS)).otherwise(0).cast("int")
     cells = (
-        v.join(needed.select(*keys, "_bin").distinct(), [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_v")
+        v.join(needed.select(*keys, "_bin", "_lo", "_hi"), [*keys, "_bin"])
+        .groupBy(*keys, "_bin", sub.alias("_sub"), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    placed = running_totals(cells, [*keys, "_bin"], ["_v"], ["_c"])
-    picked = placed.join(needed, [*keys, "_bin"]).filter(
-        (F.col("_rank") < F.col("cum__c")) & (F.col("_rank") >= F.col("cum__c") - F.col("_c"))
-    )
-    ends = picked.groupBy(*keys, "_name").agg(
-        F.max(F.when(F.col("_s") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_s") == 1, F.col("_v"))).alias("_hi"),
-        F.max("_frac").alias("_frac"),
+    placed = running_totals(cells, [*keys, "_bin"], ["_v"], ["_c"], bucket="_sub")
+    local = F.transform(
+        "_want", lambda w: F.struct(w["q"].alias("q"), w["s"].alias("s"), w["f"].alias("f"), (w["r"] - F.col("_start")).alias("r"))
     )
-    result = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
-    return ends.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, result)).alias(name) for name in probs]
+    hit = F.filter(local, lambda w: (w["r"] < F.col("cum__c")) & (w["r"] >= F.col("cum__c") - F.col("_c")))
+    picked = (
+        placed.join(needed.select(*keys, "_bin", "_start", "_want"), [*keys, "_bin"])
+        .select(*keys, "_v", F.explode(hit).alias("_h"))
     )
+
+    def end(name: str, side: int) -> Column:
+        return F.max(F.when((F.col("_h.q") == name) & (F.col("_h.s") == side), F.col("_v")))
+
+    def quantile(name: str) -> Column:
+        frac = F.max(F.when(F.col("_h.q") == name, F.col("_h.f")))
+        return end(name, 0) + (end(name, 1) - end(name, 0)) * frac
+
+    return picked.groupBy(*keys).agg(*[quantile(name).alias(name) for name in probs])

@@ -28,7 +28,8 @@ MIN_EVENTS = 10
 
 def infer_scale(matrix: DataFrame, by: str = "cohort_id") -> DataFrame:
     """Scale and assay family per cohort, from every value (never a subsample)."""
-    values = matrix.select(by, "value").filter(finite(F.col("value")))
+    # A non-finite value becomes NULL, so a cohort without any finite one stays, as unknown.
+    values = matrix.select(by, F.when(finite(F.col("value")), F.col("value")).alias("value"))
     shape = values.groupBy(by).agg(
         F.min("value").alias("minimum"),
         F.max("value").alias("maximum"),
@@ -36,8 +37,6 @@ def infer_scale(matrix: DataFrame, by: str = "cohort_id") -> DataFrame:
         F.bool_and(F.abs(F.col("value") - F.round("value")) < INTEGER_TOLERANCE).alias("integer_valued"),
     )
     medians = exact_quantiles(values, [by], "value", {"median": 0.5})
-    # Cohorts without a finite value are kept, as unknown.
-    groups = matrix.select(by).distinct()
     top = F.col("maximum")
     linear = top > LOG_MAX_PLAUSIBLE
     counts = linear & F.col("integer_valued")
@@ -57,8 +56,7 @@ def infer_scale(matrix: DataFrame, by: str = "cohort_id") -> DataFrame:
         .when(F.col("scale") == "z", "already standardised over an unrecorded population")
     )
     return (
-        groups.join(shape, by, "left")
-        .join(medians, by, "left")
+        shape.join(medians, by, "left")
         .withColumn("scale", scale)
         .withColumn("assay", assay)
         .withColumn("recommendation", advice)

@@ -219,3 +219,15 @@ def aliquots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("value"),
         "o_orderkey",
     )
+
+
+def filled_expression(spark: SparkSession, sf_dir: str, genes: list[str]) -> DataFrame:
+    """X1 as a complete matrix: a customer without revenue on a brand has value zero."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.lit("all").alias("cohort_id"), F.col("c_custkey").cast("string").alias("sample_id")
+    )
+    grid = customers.withColumn("gene", F.explode(F.array(*[F.lit(g) for g in genes])))
+    cells = expression(spark, sf_dir, genes).select("gene", "sample_id", "value")
+    return grid.join(cells, ["gene", "sample_id"], "left").withColumn(
+        "value", F.coalesce("value", F.lit(0.0))
+    )
