@@ -148,7 +148,8 @@ def matrix_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis set of all segments as one cohort."""
-    return endpoints.analysis_set(derived(spark, sf_dir)).withColumn("cohort_id", F.lit("all"))
+    kept = endpoints.analysis_set(derived(spark, sf_dir)).withColumn("cohort_id", F.lit("all"))
+    return written(kept.select("cohort_id", "sample_id", "time_months", "event", "c_acctbal"), "population")
 
 
 def fold_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +178,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .filter(F.col("risk").isNotNull())
     )
-    return tested.join(risks, "sample_id").select(
+    held = tested.join(risks, "sample_id").select(
         "model", "repeat", "fold", "sample_id", "time_months", "event", "risk"
     )
+    return written(held, "held-out")
 
 
 def harrell_c(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +205,7 @@ def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = written(predictions(spark, sf_dir), "held-out")
+    held = predictions(spark, sf_dir)
     models, _ = resample.paired_bootstrap(held, DRAWS)
     return _rounded(models, ["model", "n_valid"], ["mean_c", "ci_low", "ci_high"])
 
@@ -267,9 +269,7 @@ def cox_multivariable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cv_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    population = written(
-        _population(spark, sf_dir).select("cohort_id", "sample_id", "time_months", "event"), "cv-population"
-    )
+    population = _population(spark, sf_dir)
     matrix = written(
         endpoints.restrict(standins.filled_expression(spark, sf_dir, CV_GENES), population), "cv-matrix"
     )

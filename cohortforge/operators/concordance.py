@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import ratio
-from cohortforge.operators.ordering import running_totals
+from cohortforge.functions.staging import written
+from cohortforge.operators.ordering import spread_totals
 
 RISK_TIE = 1e-8
 
@@ -33,7 +34,7 @@ def rank_positions(cases: DataFrame, keys: list[str], risk: str = "_r") -> DataF
         F.struct((r + RISK_TIE).alias("v"), F.lit(2).alias("k"), F.lit(0).alias("c")),
     )
     rows = cases.select(*keys, risk).distinct().select(*keys, risk, F.inline(marks))
-    placed = running_totals(rows, keys, ["v", "k"], ["c"])
+    placed = spread_totals(rows, keys, ["v", "k"], ["c"])
 
     def at(kind: int) -> Column:
         return F.max(F.when(F.col("k") == kind, F.col("cum_c")))
@@ -45,7 +46,8 @@ def rank_positions(cases: DataFrame, keys: list[str], risk: str = "_r") -> DataF
 
 def with_ranks(cases: DataFrame, keys: list[str]) -> DataFrame:
     """Attach rank positions and the number of rank bits to (keys, _t, _e, _r, ...) rows."""
-    ranks = rank_positions(cases, keys)
+    cases = written(cases, "cases")
+    ranks = written(rank_positions(cases, keys), "ranks")
     bits = ranks.groupBy(*keys).agg(F.length(F.bin(F.max("hi"))).alias("_bits"))
     return cases.join(ranks, [*keys, "_r"]).join(bits, keys)
 
@@ -92,7 +94,7 @@ def pair_totals(ranked: DataFrame, keys: list[str], weight: str = "_w") -> DataF
         .agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     )
     # Later in time, or censored at the same time: strictly after (time, phase 0).
-    later = running_totals(cells, [*keys, "_l", "node"], ["_t", "_ph"], ["p"], descending=True)
+    later = spread_totals(cells, [*keys, "_l", "node"], ["_t", "_ph"], ["p"], descending=True)
     count = F.col("q") * (F.col("cum_p") - F.col("p"))
     whole_block = F.col("_l") == -1
     return later.groupBy(*keys).agg(
@@ -127,7 +129,7 @@ def harrell(
 ) -> DataFrame:
     """(keys, comparable_pairs, c_index, error); C is NULL where no pair is comparable."""
     cases = cases_of(predictions, keys, time, event, risk)
-    totals = pair_totals(with_ranks(cases, keys), keys)
+    totals = pair_totals(written(with_ranks(cases, keys), "ranked"), keys)
     return totals.select(
         *keys,
         F.col("comparable").cast("long").alias("comparable_pairs"),

@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from cohortforge.functions.numeric import finite, ratio, two_sided_normal_p
 from cohortforge.functions.staging import written
 from cohortforge.operators.concordance import harrell
-from cohortforge.operators.ordering import exact_quantiles, running_totals, with_buckets
+from cohortforge.operators.ordering import (
+    ROWS_PER_BUCKET,
+    exact_quantiles,
+    has_large_key,
+    running_totals,
+    with_buckets,
+)
 
 MAX_ROUNDS = 25
 STEP_TOLERANCE = 1e-9
@@ -107,13 +113,15 @@ def _moments(base: DataFrame, state: DataFrame, keys: list[str], p: int, ties: s
     sums = [F.sum(c).alias(name) for name, c in risk.items()]
     if ties == "efron":
         sums += [F.sum(c * e).alias(f"e{name[1:]}") for name, c in risk.items()]
-    cells = rows.groupBy(*keys, "_tb", "_t").agg(
+    bucket = "_tb" if "_tb" in base.columns else None
+    parts = [*keys, "_tb"] if bucket else keys
+    cells = rows.groupBy(*parts, "_t").agg(
         F.sum("_e").alias("_d"),
         F.sum(e * F.col("_lp")).alias("_elp"),
         *[F.sum(e * z[a]).alias(f"_ez{a}") for a in range(p)],
         *sums,
     )
-    sets = running_totals(cells, keys, ["_t"], list(risk), descending=True, bucket="_tb").filter(
+    sets = running_totals(cells, keys, ["_t"], list(risk), descending=True, bucket=bucket).filter(
         F.col("_d") > 0
     )
     if ties == "efron":
@@ -243,7 +251,9 @@ def fit(
     )
     for c in complete.columns[len(keys):]:
         complete = complete.filter(F.col(c).isNotNull() & ~F.isnan(c))
-    base = written(with_buckets(complete, keys, "_t", "_tb"), "cox-rows")
+    base = written(complete, "cox-rows")
+    if has_large_key(base, keys, ROWS_PER_BUCKET):
+        base = written(with_buckets(base, keys, "_t", "_tb"), "cox-buckets")
     zero = F.array(*[F.lit(0.0)] * p)
     state = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

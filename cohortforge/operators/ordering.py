@@ -1,9 +1,11 @@
 """Order statistics that never sort one key's rows in one task.
 
 A window ordered over a whole key puts that key into a single task.  The verbs
-here split a key's value range into ordered buckets first, so a running total
-is a within-bucket window plus the totals of the buckets before it, and a hot
-key spreads over as many tasks as it has buckets.
+here look for keys too large for that and split their value range into ordered
+buckets first: a running total is then a within-bucket window plus the totals
+of the buckets before it, and a hot key spreads over as many tasks as it has
+buckets.  Inputs are written out before they are read several times, so plans
+stay small and nothing is computed twice.
 """
 
 from __future__ import annotations
@@ -11,33 +13,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortforge.functions.staging import written
+
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 128
 SAMPLES_PER_BUCKET = 32
 _HASH_SPACE = 1 << 31
 
 
+def has_large_key(table: DataFrame, keys: list[str], limit: int) -> bool:
+    """Whether any key of a written table has more than ``limit`` rows.
+
+    The total comes from file metadata, so small tables cost no pass at all.
+    """
+    if table.count() <= limit:
+        return False
+    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.filter(F.col("_n") > limit).isEmpty()
+
+
 def with_buckets(
-    rows: DataFrame,
+    table: DataFrame,
     keys: list[str],
     value: str,
     bucket: str = "_bucket",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Add an ordered bucket number per key, monotone in ``value``.
+    """Add an ordered bucket number per key to a written table, monotone in ``value``.
 
     Keys of up to ``rows_per_bucket`` rows get one bucket.  For larger keys the
     cut points come from a hash-chosen subset of their values: the hash decides,
     not a random draw, so every evaluation (and every task retry) agrees.  The
     subset only places the cuts; no row is left out of the result.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > rows_per_bucket).withColumn(
-        "_k", F.least(F.ceil(F.col("_n") / rows_per_bucket), F.lit(MAX_BUCKETS))
+    large = (
+        table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > rows_per_bucket)
+        .withColumn("_k", F.least(F.ceil(F.col("_n") / rows_per_bucket), F.lit(MAX_BUCKETS)))
     )
     position = F.pmod(F.xxhash64(value), F.lit(_HASH_SPACE))
     chosen = (
-        rows.select(*keys, value)
+        table.select(*keys, value)
         .join(large, keys)
         .filter(
             position.cast("double") * F.col("_n")
@@ -55,7 +71,7 @@ def with_buckets(
     )
     below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
     return (
-        rows.join(cuts, keys, "left")
+        table.join(cuts, keys, "left")
         .withColumn(bucket, F.when(F.col("_cuts").isNull(), 0).otherwise(below).cast("int"))
         .drop("_cuts")
     )
@@ -68,53 +84,76 @@ def running_totals(
     measures: list[str],
     descending: bool = False,
     bucket: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` as ``cum_<measure>``.
 
-    ``rows`` must hold one row per ``keys + order`` (pre-aggregate first).
-    ``order[0]`` decides the bucket; further columns break ties inside it.
-    Pass ``bucket`` when the rows already carry one.
+    ``rows`` must hold one row per ``keys + order`` (pre-aggregate first).  With
+    a ``bucket`` column, monotone in ``order[0]``, each bucket is its own window
+    and the totals of earlier buckets are added.
     """
-    name = bucket or "_bucket"
-    placed = rows if bucket else with_buckets(rows, keys, order[0], name, rows_per_bucket)
 
     def sort(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
+    parts = [*keys, bucket] if bucket else keys
     within = (
-        Window.partitionBy(*keys, name)
+        Window.partitionBy(*parts)
         .orderBy(*[sort(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    if not bucket:
+        return rows.select("*", *[F.sum(m).over(within).alias(f"cum_{m}") for m in measures])
     before = (
-        Window.partitionBy(*keys).orderBy(sort(name)).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(sort(bucket)).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        placed.groupBy(*keys, name)
+        rows.groupBy(*parts)
         .agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
         .select(
-            *keys,
-            name,
+            *parts,
             *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
         )
     )
-    inner = placed.select("*", *[F.sum(m).over(within).alias(f"_w_{m}") for m in measures])
-    out = inner.join(offsets, [*keys, name])
-    kept = [c for c in placed.columns if c != "_bucket"]
-    return out.select(
-        *kept, *[(F.col(f"_w_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures]
+    inner = rows.select("*", *[F.sum(m).over(within).alias(f"_w_{m}") for m in measures])
+    return inner.join(offsets, parts).select(
+        *rows.columns, *[(F.col(f"_w_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures]
     )
 
 
+def spread_totals(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    measures: list[str],
+    descending: bool = False,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """``running_totals`` over rows of any key size; large keys are split into buckets."""
+    table = written(rows, "running")
+    if not has_large_key(table, keys, rows_per_bucket):
+        return running_totals(table, keys, order, measures, descending)
+    placed = written(with_buckets(table, keys, order[0], "_bucket", rows_per_bucket), "buckets")
+    return running_totals(placed, keys, order, measures, descending, "_bucket").drop("_bucket")
+
+
 def hashed_position(
-    rows: DataFrame, keys: list[str], digest: str, tie: str, out: str = "position"
+    rows: DataFrame,
+    keys: list[str],
+    digest: str,
+    tie: str,
+    out: str = "position",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """1-based position of each row within its key when ordered by a hex digest.
 
-    Digests are uniform, so their first two characters are 256 even buckets.
+    Digests are uniform, so for large keys their first two characters are 256
+    even buckets.
     """
-    placed = rows.withColumn("_bucket", F.substring(digest, 1, 2))
+    table = written(rows, "positions")
+    if not has_large_key(table, keys, rows_per_bucket):
+        order = Window.partitionBy(*keys).orderBy(digest, tie)
+        return table.withColumn(out, F.row_number().over(order).cast("long"))
+    placed = table.withColumn("_bucket", F.substring(digest, 1, 2))
     before = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -185,6 +224,8 @@ def exact_quantiles(
         )
         .filter(F.size("_want") > 0)
     )
+    # At most two rows per key and quantile.
+    needed = written(needed, "quantile-bins")
     width = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     sub = F.when(F.col("_hi") > F.col("_lo"), F.floor(width * SUB_BINS)).otherwise(0).cast("int")
     cells = (
@@ -192,6 +233,7 @@ def exact_quantiles(
         .groupBy(*keys, "_bin", sub.alias("_sub"), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    cells = written(cells, "quantile-cells")
     placed = running_totals(cells, [*keys, "_bin"], ["_v"], ["_c"], bucket="_sub")
     local = F.transform(
         "_want", lambda w: F.struct(w["q"].alias("q"), w["s"].alias("s"), w["f"].alias("f"), (w["r"] - F.col("_start")).alias("r"))

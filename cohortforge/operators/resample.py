@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import ratio
+from cohortforge.functions.staging import written
 from cohortforge.operators.concordance import cases_of, harrell, pair_totals, with_ranks
 from cohortforge.operators.ordering import exact_quantiles, hashed_position
 
@@ -84,7 +85,8 @@ def patient_weights(patients: DataFrame, draws: int, seed: int = 902099) -> Data
     numbered = hashed_position(
         key.withColumn("_d", F.md5("sample_id")), ["_one"], "_d", "sample_id", "_slot"
     ).select((F.col("_slot") - 1).alias("_slot"), "sample_id")
-    n = key.agg(F.count(F.lit(1))).scalar()
+    numbered = written(numbered, "slots")
+    n = numbered.count()
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("_slot")))
     chosen = F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long") % n
     hits = (
@@ -108,14 +110,14 @@ def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099) -> D
         F.col("event").cast("int").alias("_e"),
         F.col("risk").cast("double").alias("_r"),
     )
-    ranked = with_ranks(cases, FOLD)
+    ranked = written(with_ranks(cases, FOLD), "ranked")
     weighted = (
         ranked.join(patient_weights(predictions, draws, seed), "sample_id")
         .groupBy(*FOLD, "draw", "_t", "_e", "pos", "lo", "hi", "_bits")
         .agg(F.sum("weight").cast("double").alias("_w"))
     )
-    totals = pair_totals(weighted, [*FOLD, "draw"])
-    folds = predictions.select("repeat", "fold").distinct().agg(F.count(F.lit(1))).scalar()
+    totals = pair_totals(written(weighted, "weighted"), [*FOLD, "draw"])
+    folds = predictions.select("repeat", "fold").distinct().count()
     per_draw = totals.groupBy("draw", "model").agg(
         F.avg(ratio(F.col("credit"), F.col("comparable"))).alias("c"),
         F.count_if(F.col("comparable") > 0).alias("_folds"),
@@ -140,8 +142,8 @@ def paired_bootstrap(
 
     ``too_few_valid`` marks results resting on under 80 percent of the draws.
     """
-    folds = fold_concordance(predictions)
-    values = bootstrap_draws(predictions, draws, seed)
+    folds = written(fold_concordance(predictions), "fold-c")
+    values = written(bootstrap_draws(predictions, draws, seed), "draws")
     flag = F.col("n_valid") < draws * MIN_VALID_SHARE
     models = (
         cv_summary(folds).join(_interval(values, "model", "c"), "model").withColumn("too_few_valid", flag)
@@ -176,6 +178,7 @@ def permutation_drops(
     parts = features.join(weights, [*keys, "gene"]).select(
         *keys, "sample_id", "gene", (F.col("z") * F.col("coefficient")).alias("part")
     )
+    parts = written(parts, "parts")
     risks = parts.groupBy(*keys, "sample_id").agg(F.sum("part").alias("risk"))
     outcome = outcomes.select("sample_id", "time_months", "event")
     whole = harrell(risks.join(outcome, "sample_id"), keys).select(
