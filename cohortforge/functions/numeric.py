@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tidy_double(col: Column) -> Column:
@@ -34,7 +35,7 @@ def round_at(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits) + F.lit(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_normal_p(z: pd.Series) -> pd.Series:
     """Wald p-value of a z statistic; runs on result rows only."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore")

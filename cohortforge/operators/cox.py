@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortforge.functions.numeric import finite, ratio, two_sided_normal_p
 from cohortforge.functions.staging import written
@@ -36,11 +37,13 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(p) for b in range(a, p)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _newton_step(gradient: pd.Series, information: pd.Series) -> pd.Series:
     """Solve the p by p system of each key row."""
 
     def solve(g, h):
+        if g is None or h is None:
+            return None
         p = len(g)
         try:
             return np.linalg.solve(np.asarray(h, float).reshape(p, p), np.asarray(g, float))
@@ -50,9 +53,11 @@ def _newton_step(gradient: pd.Series, information: pd.Series) -> pd.Series:
     return pd.Series([solve(g, h) for g, h in zip(gradient, information)], dtype=object)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _inverse_diagonal(information: pd.Series) -> pd.Series:
     def diagonal(h):
+        if h is None:
+            return None
         p = int(round(len(h) ** 0.5))
         try:
             return np.diag(np.linalg.inv(np.asarray(h, float).reshape(p, p))).copy()
@@ -62,13 +67,15 @@ def _inverse_diagonal(information: pd.Series) -> pd.Series:
     return pd.Series([diagonal(h) for h in information], dtype=object)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _penalised_step(
     beta: pd.Series, gradient: pd.Series, information: pd.Series, n: pd.Series, alpha: pd.Series, l1: pd.Series
 ) -> pd.Series:
     """Coordinate descent on each key's penalised quadratic model; returns the step."""
 
     def solve(b0, g, h, size, a, ratio_):
+        if g is None or h is None:
+            return None
         b0, g = np.asarray(b0, float), np.asarray(g, float) / size
         p = len(b0)
         h = np.asarray(h, float).reshape(p, p) / size

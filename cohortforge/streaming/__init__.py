@@ -1,0 +1 @@
+"""Structured Streaming forms of the two single-sample verbs."""
