@@ -10,6 +10,7 @@ GROUPS = [
     "endpoint_queries",
     "quality_queries",
     "survival_queries",
+    "stream_queries",
 ]
 
 
