@@ -29,15 +29,15 @@ def rank_positions(cases: DataFrame, keys: list[str], risk: str = "_r") -> DataF
     """
     r = F.col(risk)
     marks = F.array(
-        F.struct((r - RISK_TIE).alias("v"), F.lit(0).alias("k"), F.lit(0).alias("c")),
-        F.struct(r.alias("v"), F.lit(1).alias("k"), F.lit(1).alias("c")),
-        F.struct((r + RISK_TIE).alias("v"), F.lit(2).alias("k"), F.lit(0).alias("c")),
+        F.struct((r - RISK_TIE).alias("_v"), F.lit(0).alias("_k"), F.lit(0).alias("_c")),
+        F.struct(r.alias("_v"), F.lit(1).alias("_k"), F.lit(1).alias("_c")),
+        F.struct((r + RISK_TIE).alias("_v"), F.lit(2).alias("_k"), F.lit(0).alias("_c")),
     )
     rows = cases.select(*keys, risk).distinct().select(*keys, risk, F.inline(marks))
-    placed = spread_totals(rows, keys, ["v", "k"], ["c"])
+    placed = spread_totals(rows, keys, ["_v", "_k"], ["_c"])
 
     def at(kind: int) -> Column:
-        return F.max(F.when(F.col("k") == kind, F.col("cum_c")))
+        return F.max(F.when(F.col("_k") == kind, F.col("cum__c")))
 
     return placed.groupBy(*keys, risk).agg(
         (at(1) - 1).alias("pos"), at(0).alias("lo"), at(2).alias("hi")
@@ -71,31 +71,31 @@ def pair_totals(ranked: DataFrame, keys: list[str], weight: str = "_w") -> DataF
     def ask(c: str) -> Column:
         use = event & (bit(c) == 1)
         return F.struct(
-            block(c).alias("node"), F.lit(0.0).alias("p"), F.when(use, w * 0.5).otherwise(0.0).alias("q")
+            block(c).alias("_node"), F.lit(0.0).alias("_p"), F.when(use, w * 0.5).otherwise(0.0).alias("_q")
         )
 
     offer = F.struct(
-        block("pos").alias("node"), F.when(bit("pos") == 0, w).otherwise(0.0).alias("p"), F.lit(0.0).alias("q")
+        block("pos").alias("_node"), F.when(bit("pos") == 0, w).otherwise(0.0).alias("_p"), F.lit(0.0).alias("_q")
     )
     phase = F.when(event, 0).otherwise(1).alias("_ph")
     blocks = (
         ranked.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
         .select(*keys, "_t", phase, "_l", F.inline(F.array(offer, ask("lo"), ask("hi"))))
-        .filter((F.col("p") != 0) | (F.col("q") != 0))
+        .filter((F.col("_p") != 0) | (F.col("_q") != 0))
     )
     # Block -1 holds everyone, its total is the number of comparable pairs.
     whole = ranked.select(
-        *keys, "_t", phase, F.lit(-1).alias("_l"), F.lit(0).cast("long").alias("node"),
-        w.alias("p"), F.when(event, w).otherwise(0.0).alias("q"),
+        *keys, "_t", phase, F.lit(-1).alias("_l"), F.lit(0).cast("long").alias("_node"),
+        w.alias("_p"), F.when(event, w).otherwise(0.0).alias("_q"),
     )
     cells = (
         blocks.unionByName(whole)
-        .groupBy(*keys, "_l", "node", "_t", "_ph")
-        .agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        .groupBy(*keys, "_l", "_node", "_t", "_ph")
+        .agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     )
     # Later in time, or censored at the same time: strictly after (time, phase 0).
-    later = spread_totals(cells, [*keys, "_l", "node"], ["_t", "_ph"], ["p"], descending=True)
-    count = F.col("q") * (F.col("cum_p") - F.col("p"))
+    later = spread_totals(cells, [*keys, "_l", "_node"], ["_t", "_ph"], ["_p"], descending=True)
+    count = F.col("_q") * (F.col("cum__p") - F.col("_p"))
     whole_block = F.col("_l") == -1
     return later.groupBy(*keys).agg(
         F.sum(F.when(whole_block, count).otherwise(0.0)).alias("comparable"),
