@@ -57,7 +57,7 @@ def log_when_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 over a sparse gene set, with a duplicated symbol, a flat gene and flat samples."""
-    base = standins.expression(spark, sf_dir)
+    base = standins.expression(spark, sf_dir, stored=False)
     number = F.split_part("gene", F.lit("#"), F.lit(2)).cast("long")
     cells = base.select(
         "cohort_id",
@@ -103,7 +103,7 @@ def expectation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def population_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hashing.population_hash(standins.expression(spark, sf_dir), ["cohort_id"])
+    out = hashing.population_hash(standins.expression(spark, sf_dir, stored=False), ["cohort_id"])
     return out.select("cohort_id", "n_samples", "population_hash")
 
 

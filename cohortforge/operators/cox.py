@@ -98,133 +98,108 @@ def _penalised_step(
 
 
 def _moments(base: DataFrame, state: DataFrame, keys: list[str], p: int, ties: str) -> DataFrame:
-    """Log partial likelihood, gradient and information of every unfinished key."""
-    active = state.filter(~F.col("done")).select(
-        *keys, *[F.col("beta")[a].alias(f"_b{a}") for a in range(p)], "z_low", "z_high"
+    """Log partial likelihood, gradient and information of every unfinished key.
+
+    Expressions are SQL text: with many covariates there are many of them.
+    """
+    terms, pairs = range(p), _pairs(p)
+    active = state.filter("NOT done").selectExpr(
+        *[f"`{k}`" for k in keys], *[f"beta[{a}] AS _b{a}" for a in terms], "z_low", "z_high"
     )
     # An upper bound of the linear predictor, so exp() cannot overflow.
-    bound = F.lit(0.0)
-    lp = F.lit(0.0)
-    for a in range(p):
-        bound = bound + F.greatest(
-            F.col(f"_b{a}") * F.col("z_low")[a], F.col(f"_b{a}") * F.col("z_high")[a]
-        )
-        lp = lp + F.col(f"_b{a}") * F.col(f"_z{a}")
-    rows = base.join(active, keys).withColumn("_lp", lp - bound).withColumn("_w", F.exp("_lp"))
-
-    z = [F.col(f"_z{a}") for a in range(p)]
-    w, e = F.col("_w"), F.col("_e")
-    risk = {"s0": w}
-    risk.update({f"s1_{a}": w * z[a] for a in range(p)})
-    risk.update({f"s2_{a}_{b}": w * z[a] * z[b] for a, b in _pairs(p)})
-    sums = [F.sum(c).alias(name) for name, c in risk.items()]
-    if ties == "efron":
-        sums += [F.sum(c * e).alias(f"e{name[1:]}") for name, c in risk.items()]
+    bound = " + ".join(f"greatest(_b{a} * z_low[{a}], _b{a} * z_high[{a}])" for a in terms)
+    lp = " + ".join(f"_b{a} * _z{a}" for a in terms)
     bucket = "_tb" if "_tb" in base.columns else None
     parts = [*keys, "_tb"] if bucket else keys
-    cells = rows.groupBy(*parts, "_t").agg(
-        F.sum("_e").alias("_d"),
-        F.sum(e * F.col("_lp")).alias("_elp"),
-        *[F.sum(e * z[a]).alias(f"_ez{a}") for a in range(p)],
-        *sums,
+    rows = (
+        base.join(active, keys)
+        .withColumn("_lp", F.expr(f"({lp}) - ({bound})"))
+        .withColumn("_w", F.exp("_lp"))
     )
-    sets = running_totals(cells, keys, ["_t"], list(risk), descending=True, bucket=bucket).filter(
-        F.col("_d") > 0
+    risk = {"s0": "_w"}
+    risk.update({f"s1_{a}": f"_w * _z{a}" for a in terms})
+    risk.update({f"s2_{a}_{b}": f"_w * _z{a} * _z{b}" for a, b in pairs})
+    sums = {"_d": "_e", "_elp": "_e * _lp", **{f"_ez{a}": f"_e * _z{a}" for a in terms}, **risk}
+    if ties == "efron":
+        sums.update({f"e{name[1:]}": f"{text} * _e" for name, text in risk.items()})
+    cells = rows.groupBy(*parts, "_t").agg(
+        *[F.expr(f"sum({text}) AS {name}") for name, text in sums.items()]
     )
+    sets = running_totals(cells, keys, ["_t"], list(risk), descending=True, bucket=bucket).filter("_d > 0")
     if ties == "efron":
         # Tied events are numbered in blocks, so no array grows with the tie size.
-        last = F.col("_d") - 1
-        start = F.col("_blk") * TIE_BLOCK
         sets = sets.withColumn(
-            "_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / TIE_BLOCK)))
-        ).withColumn("_i", F.explode(F.sequence(start, F.least(last, start + TIE_BLOCK - 1))))
-        share = F.col("_i") / F.col("_d")
-        once = F.when(F.col("_i") == 0, 1.0).otherwise(0.0)
-        times = F.lit(1.0)
-
-        def at_risk(name: str) -> Column:
-            return F.col(f"cum_{name}") - share * F.col(f"e{name[1:]}")
+            "_blk", F.expr(f"explode(sequence(0L, CAST(floor((_d - 1) / {TIE_BLOCK}) AS BIGINT)))")
+        ).withColumn(
+            "_i",
+            F.expr(
+                f"explode(sequence(_blk * {TIE_BLOCK}, least(_d - 1, _blk * {TIE_BLOCK} + {TIE_BLOCK - 1})))"
+            ),
+        )
+        once, times = "CASE WHEN _i = 0 THEN 1D ELSE 0D END", "1D"
+        at_risk = {name: f"(cum_{name} - _i / _d * e{name[1:]})" for name in risk}
     else:
-        once, times = F.lit(1.0), F.col("_d").cast("double")
-
-        def at_risk(name: str) -> Column:
-            return F.col(f"cum_{name}")
-
-    sets = sets.select(
-        *keys,
-        (once * F.col("_elp") - times * F.log(at_risk("s0"))).alias("_ll"),
-        times.alias("_times"),
-        *[(once * F.col(f"_ez{a}")).alias(f"_g{a}") for a in range(p)],
-        *[(at_risk(f"s1_{a}") / at_risk("s0")).alias(f"_m{a}") for a in range(p)],
-        *[(at_risk(f"s2_{a}_{b}") / at_risk("s0")).alias(f"_v{a}_{b}") for a, b in _pairs(p)],
+        once, times = "1D", "CAST(_d AS DOUBLE)"
+        at_risk = {name: f"cum_{name}" for name in risk}
+    s0 = at_risk["s0"]
+    per_time = sets.selectExpr(
+        *[f"`{k}`" for k in keys],
+        f"{once} * _elp - {times} * ln({s0}) AS _ll",
+        f"{times} AS _n",
+        *[f"{once} * _ez{a} AS _g{a}" for a in terms],
+        *[f"{at_risk[f's1_{a}']} / {s0} AS _m{a}" for a in terms],
+        *[f"{at_risk[f's2_{a}_{b}']} / {s0} AS _v{a}_{b}" for a, b in pairs],
     )
-    t = F.col("_times")
-    totals = sets.groupBy(*keys).agg(
-        F.sum("_ll").alias("loglik_now"),
-        *[F.sum(F.col(f"_g{a}") - t * F.col(f"_m{a}")).alias(f"_g{a}") for a in range(p)],
-        *[
-            F.sum(t * (F.col(f"_v{a}_{b}") - F.col(f"_m{a}") * F.col(f"_m{b}"))).alias(f"_h{a}_{b}")
-            for a, b in _pairs(p)
-        ],
+    gradient = ", ".join(f"sum(_g{a} - _n * _m{a})" for a in terms)
+    information = ", ".join(
+        f"sum(_n * (_v{min(a, b)}_{max(a, b)} - _m{a} * _m{b}))" for a in terms for b in terms
     )
-    return totals.select(
-        *keys,
-        "loglik_now",
-        F.array(*[F.col(f"_g{a}") for a in range(p)]).alias("gradient"),
-        F.array(
-            *[F.col(f"_h{min(a, b)}_{max(a, b)}") for a in range(p) for b in range(p)]
-        ).alias("information"),
+    return per_time.groupBy(*keys).agg(
+        F.expr("sum(_ll) AS loglik_now"),
+        F.expr(f"array({gradient}) AS gradient_now"),
+        F.expr(f"array({information}) AS information_now"),
     )
 
 
 def _advance(state: DataFrame, moments: DataFrame, keys: list[str], p: int, penalised: bool) -> DataFrame:
     """Next coefficients: a Newton step, or half of the last one where it made things worse."""
-    joined = state.drop("gradient_now", "information_now").join(
-        moments.select(
-            *keys,
-            "loglik_now",
-            F.col("gradient").alias("gradient_now"),
-            F.col("information").alias("information_now"),
-        ),
-        keys,
-        "left",
-    )
+    joined = state.join(moments, keys, "left")
     if penalised:
-        absolute = F.aggregate("beta", F.lit(0.0), lambda s, b: s + F.abs(b))
-        squares = F.aggregate("beta", F.lit(0.0), lambda s, b: s + b * b)
-        penalty = F.col("alpha") * (
-            F.col("l1_ratio") * absolute + (1 - F.col("l1_ratio")) / 2 * squares
+        penalty = (
+            "alpha * (l1_ratio * aggregate(beta, 0D, (s, b) -> s + abs(b))"
+            " + (1 - l1_ratio) / 2 * aggregate(beta, 0D, (s, b) -> s + b * b))"
         )
-        value = F.col("loglik_now") / F.col("n") - penalty
+        value = F.expr(f"loglik_now / n - {penalty}")
         step = _penalised_step("beta", "gradient_now", "information_now", "n", "alpha", "l1_ratio")
     else:
         value = F.col("loglik_now")
         step = (
-            F.array(ratio(F.col("gradient_now")[0], F.col("information_now")[0]))
+            F.expr("array(try_divide(gradient_now[0], information_now[0]))")
             if p == 1
             else _newton_step("gradient_now", "information_now")
         )
-    joined = joined.withColumn("_value", value).withColumn("_step", step)
-    live = ~F.col("done")
-    worse = F.coalesce(
-        F.col("_value") < F.col("objective") - 1e-10 * (F.abs("objective") + 1), F.lit(False)
+    judged = (
+        joined.withColumn("_value", value)
+        .withColumn("_step", step)
+        .withColumn("_size", F.expr("array_max(transform(_step, s -> abs(s)))"))
+        .withColumn(
+            "_worse", F.expr("NOT done AND coalesce(_value < objective - 1e-10 * (abs(objective) + 1), false)")
+        )
+        # No finite step: a singular or monotone likelihood, not a fit.
+        .withColumn("_broken", F.expr("_size IS NULL OR isnan(_size) OR _size = double('Infinity')"))
+        .withColumn("_moved", F.expr("NOT done AND NOT _worse"))
     )
-    add = lambda x, y: F.zip_with(x, y, lambda u, v: u + v)
-    middle = F.zip_with("beta", "last_beta", lambda u, v: (u + v) / 2)
-    size = F.array_max(F.transform("_step", lambda s: F.abs(s)))
-    moved = live & ~worse
-    # A coefficient past any sensible size is a monotone likelihood, not a fit.
-    broken = F.col("_step").isNull() | ~F.coalesce(finite(size), F.lit(False))
-    return joined.select(
-        *[c for c in state.columns if c not in _STATE],
-        F.when(live & worse, middle).when(moved & ~broken, add(F.col("beta"), F.col("_step"))).otherwise(F.col("beta")).alias("beta"),
-        F.when(moved, F.col("beta")).otherwise(F.col("last_beta")).alias("last_beta"),
-        F.when(moved, F.col("_value")).otherwise(F.col("objective")).alias("objective"),
-        F.when(moved, F.col("loglik_now")).otherwise(F.col("loglik")).alias("loglik"),
-        F.when(moved, F.col("information_now")).otherwise(F.col("information")).alias("information"),
-        (F.col("done") | (moved & (broken | (size < STEP_TOLERANCE)))).alias("done"),
-        (F.col("converged") | (moved & ~broken & (size < STEP_TOLERANCE))).alias("converged"),
-        (F.col("rounds") + live.cast("int")).alias("rounds"),
+    return judged.selectExpr(
+        *[f"`{c}`" for c in state.columns if c not in _STATE],
+        "CASE WHEN _worse THEN zip_with(beta, last_beta, (u, v) -> (u + v) / 2)"
+        " WHEN _moved AND NOT _broken THEN zip_with(beta, _step, (u, v) -> u + v) ELSE beta END AS beta",
+        "CASE WHEN _moved THEN beta ELSE last_beta END AS last_beta",
+        "CASE WHEN _moved THEN _value ELSE objective END AS objective",
+        "CASE WHEN _moved THEN loglik_now ELSE loglik END AS loglik",
+        "CASE WHEN _moved THEN information_now ELSE information END AS information",
+        f"done OR (_moved AND (_broken OR _size < {STEP_TOLERANCE!r}D)) AS done",
+        f"converged OR (_moved AND NOT _broken AND _size < {STEP_TOLERANCE!r}D) AS converged",
+        "rounds + CASE WHEN done THEN 0 ELSE 1 END AS rounds",
     )
 
 

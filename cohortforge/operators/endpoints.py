@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortforge.functions import text
 from cohortforge.functions.hashing import population_hash
 from cohortforge.functions.numeric import ratio, tidy_double
+from cohortforge.functions.staging import written
 
 EXAMPLES = 10
 
@@ -154,7 +155,7 @@ def align_counts(
         by, "sample_id", F.lit(1).alias("_c"),
         F.coalesce(is_analysable(), F.lit(False)).alias("_a"), "event",
     )
-    both = left.join(right, [by, "sample_id"], "full_outer")
+    both = written(left.join(right, [by, "sample_id"], "full_outer"), "aligned")
     aligned = F.col("_x").isNotNull() & F.col("_c").isNotNull()
     kept = aligned & F.col("_a")
     counts = both.groupBy(by).agg(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import finite, ratio
+from cohortforge.functions.staging import written
 from cohortforge.operators.endpoints import top_examples
 from cohortforge.operators.ordering import exact_quantiles
 
@@ -117,6 +118,7 @@ def findings(
     has (cohort, sample_id, event).
     """
     genes, samples = _profiles(matrix, by)
+    genes, samples = written(genes, "gene-profile"), written(samples, "sample-profile")
     shape = genes.groupBy(by).agg(
         F.sum("n_rows").alias("n_genes"), F.sum("n_values").alias("n_cells")
     ).join(samples.groupBy(by).agg(F.count(F.lit(1)).alias("n_samples")), by)

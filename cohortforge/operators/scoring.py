@@ -6,10 +6,11 @@ first, score second.  Nothing here may be applied to an open stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import ratio, tidy_double
+from cohortforge.functions.staging import written
 
 METHODS = ("rowmean", "weighted", "median_z")
 MIN_GENES = 3
@@ -77,6 +78,7 @@ def _for_population(
     Pass ``population`` (group, sample) when it is at hand; it is derived from
     the matrix otherwise.
     """
+    scores = written(scores, "scores")
     samples = (population if population is not None else expression).select(by, "sample_id").distinct()
     groups = scores.select(by, "signature").distinct()
     return samples.join(groups, by).join(scores, [by, "signature", "sample_id"], "left")
@@ -87,14 +89,19 @@ def _usable(expression: DataFrame, signatures: DataFrame, by: str, min_genes: in
     cells = expression.select(by, "gene", "sample_id", tidy_double(F.col("value")).alias("value")).join(
         signatures.select("signature", "gene", "coefficient", "scoring"), "gene"
     )
-    stats = cells.groupBy(by, "signature", "gene").agg(
-        F.avg("value").alias("_mean"),
-        F.stddev_samp("value").alias("_sd"),
+    # The window holds one (group, signature)'s genes, never its samples.
+    genes = Window.partitionBy(by, "signature")
+    stats = (
+        cells.groupBy(by, "signature", "gene")
+        .agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+        .withColumn("_g", F.count(F.lit(1)).over(genes))
+        .filter(F.col("_g") >= min_genes)
+        .drop("_g")
     )
-    enough = (
-        stats.groupBy(by, "signature").agg(F.count(F.lit(1)).alias("_g")).filter(F.col("_g") >= min_genes)
-    )
-    return cells.join(stats.join(enough.drop("_g"), [by, "signature"]), [by, "signature", "gene"])
+    # Written, so the planner knows its size: small statistics are broadcast and
+    # the cells are not shuffled; large ones fall back to a shuffled join.
+    stats = written(stats, "gene-statistics")
+    return cells.join(stats, [by, "signature", "gene"])
 
 
 def _z(value: Column) -> Column:

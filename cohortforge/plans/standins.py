@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.functions.staging import literal_rows
+from cohortforge.functions.staging import literal_rows, written
 
 SIGNATURE_ROWS: list[tuple[str, str, int, float | None, str]] = (
     [("s20", f"Brand#{i}", i, None, "rowmean") for i in range(1, 21)]
@@ -97,9 +97,12 @@ def linear_expression(spark: SparkSession, sf_dir: str, genes: list[str] | None
     )
 
 
-def expression(spark: SparkSession, sf_dir: str, genes: list[str] | None = None) -> DataFrame:
-    """X1: sparse log2 matrix."""
-    return linear_expression(spark, sf_dir, genes).withColumn("value", F.log2(1 + F.col("value")))
+def expression(
+    spark: SparkSession, sf_dir: str, genes: list[str] | None = None, stored: bool = True
+) -> DataFrame:
+    """X1: sparse log2 matrix, stored like a cohort matrix since the verbs scan it several times."""
+    cells = linear_expression(spark, sf_dir, genes).withColumn("value", F.log2(1 + F.col("value")))
+    return written(cells, "matrix") if stored else cells
 
 
 def dense_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +125,8 @@ def dense_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X4: one probe per part, with its annotation target text."""
-    return (
+    """X4: one probe per part, stored like a cohort matrix."""
+    cells = (
         revenue_lines(spark, sf_dir)
         .groupBy(
             F.col("c_mktsegment").alias("cohort_id"),
@@ -133,6 +136,7 @@ def probe_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg(F.log2(1 + F.sum("revenue")).alias("value"))
     )
+    return written(cells, "probe-matrix")
 
 
 def probe_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +231,7 @@ def filled_expression(spark: SparkSession, sf_dir: str, genes: list[str]) -> Dat
         F.lit("all").alias("cohort_id"), F.col("c_custkey").cast("string").alias("sample_id")
     )
     grid = customers.withColumn("gene", F.explode(F.array(*[F.lit(g) for g in genes])))
-    cells = expression(spark, sf_dir, genes).select("gene", "sample_id", "value")
+    cells = expression(spark, sf_dir, genes, stored=False).select("gene", "sample_id", "value")
     return grid.join(cells, ["gene", "sample_id"], "left").withColumn(
         "value", F.coalesce("value", F.lit(0.0))
     )
