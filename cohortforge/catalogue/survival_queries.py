@@ -13,6 +13,7 @@ from cohortforge.functions.numeric import round_at
 from cohortforge.functions.staging import literal_rows, written
 from cohortforge.operators import concordance, cox, crossval, endpoints, folds, inference, resample, scaler, scoring
 from cohortforge.plans import standins
+from cohortforge.sources import store
 
 OUTER, INNER, REPEATS = 3, 2, 2
 CV_GENES = [f"Brand#{i}" for i in range(1, 5)]
@@ -75,33 +76,19 @@ MODEL_GENES = [f"d{i:02d}" for i in range(20)]
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A 20-feature model frozen on the even vectors; the coefficient is a literal."""
-    train = (
-        standins.dense_expression(spark, sf_dir)
-        .filter(F.col("gene").isin(MODEL_GENES) & (F.col("sample_id").cast("long") % 2 == 0))
-    )
+    """A 20-feature model frozen on all vectors; the coefficient is a literal."""
+    train = standins.dense_expression(spark, sf_dir).filter(F.col("gene").isin(MODEL_GENES))
     fitted = written(scaler.fit(train, ["cohort_id"]), "model-scaler")
-    z = scaler.transform(train, fitted, ["cohort_id"]).groupBy("sample_id").agg(F.avg("z").alias("raw"))
+    z = scaler.transform(train, fitted, ["cohort_id"]).groupBy("cohort_id", "sample_id").agg(F.avg("z").alias("raw"))
     z = written(z, "model-composite")
-    stats = z.agg(F.avg("raw").alias("composite_mean"), F.stddev_samp("raw").alias("composite_sd"))
-    reference = (
-        z.withColumn("_one", F.lit(1)).join(stats.withColumn("_one", F.lit(1)), "_one")
-        .agg(
-            F.first("composite_mean").alias("composite_mean"),
-            F.first("composite_sd").alias("composite_sd"),
-            F.array_sort(F.collect_list((F.col("raw") - F.col("composite_mean")) / F.col("composite_sd"))).alias("score_reference"),
-        )
+    spread = z.groupBy("cohort_id").agg(
+        F.avg("raw").alias("composite_mean"), F.stddev_samp("raw").alias("composite_sd")
     )
-    model = reference.select(
-        F.lit("dense20").alias("model_id"),
-        F.lit("1.0.0").alias("model_version"),
-        F.lit("dense").alias("expression_type"),
-        F.lit(0.58).alias("coefficient"),
-        "composite_mean",
-        "composite_sd",
-        "score_reference",
+    scored = z.join(spread, "cohort_id").withColumn(
+        "score", (F.col("raw") - F.col("composite_mean")) / F.col("composite_sd")
     )
-    return model, fitted.select(F.lit("dense20").alias("model_id"), "gene", "mean", "sd")
+    coefficient = z.select("cohort_id").distinct().withColumn("beta", F.array(F.lit(0.58)))
+    return store.freeze_model("dense20", "1.0.0", "dense", scored, fitted, coefficient, ["cohort_id"])
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +111,13 @@ def frozen_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def training_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile of every dense value among its feature's values, by rank."""
+    cells = standins.dense_expression(spark, sf_dir).select("gene", "sample_id", F.col("value").alias("score"))
+    out = inference.rank_percentiles(cells, cells.select("gene", "score"), ["gene"])
+    return _rounded(out, ["gene", "sample_id"], ["training_percentile"])
+
+
 def predict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, constants = _model(spark, sf_dir)
     return inference.rejects(inference.assess(_requests(spark, sf_dir), model, constants)).select(
@@ -390,7 +384,7 @@ FROM sc JOIN hs ON scaler_id = cohort_id GROUP BY 1"""
 
 _MODEL = f"""{X2},
 m AS (SELECT * FROM x2 WHERE pos < 20),
-tr AS (SELECT * FROM m WHERE CAST(sample_id AS BIGINT) % 2 = 0),
+tr AS (SELECT * FROM m),
 sc AS (SELECT gene, avg(value) AS mean, CASE WHEN stddev_samp(value) >= 1e-8 THEN stddev_samp(value) END AS sd FROM tr GROUP BY 1),
 raw AS (SELECT sample_id, avg(coalesce((value - mean) / sd, 0)) AS raw FROM tr JOIN sc USING (gene) GROUP BY 1),
 cs AS (SELECT avg(raw) AS cm, stddev_samp(raw) AS csd FROM raw),
@@ -596,6 +590,12 @@ QUERIES = {
     "reference_identity": (reference_identity, _IDENTITY),
     "leakage_check": (leakage_check, f"WITH {_HALF} SELECT DISTINCT scaler_id AS cohort_id, 1 AS unchanged FROM sc"),
     "frozen_predict": (frozen_predict, _PREDICT),
+    "training_percentile": (
+        training_percentile,
+        f"WITH {X2} SELECT gene, sample_id, "
+        + r("100e0 * count(*) OVER (PARTITION BY gene ORDER BY value RANGE UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY gene)")
+        + " AS training_percentile FROM x2",
+    ),
     "predict_rejects": (predict_rejects, _REJECTS),
     "matrix_problems": (matrix_problems, _SHAPES),
     "fold_plan": (fold_plan, _PLAN),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions import text
-from cohortforge.functions.hashing import tagged_sha
+from cohortforge.functions.hashing import population_hash
 
 # Field names of the observation records and the horizon.
 FLAG_FIELD = "biochemical_recurrence"
@@ -230,10 +230,7 @@ def record_problems(records: DataFrame) -> DataFrame:
 def snapshot_checksum(records: DataFrame) -> DataFrame:
     """Identity of a source snapshot: hash of the sorted per-file digests.
 
-    Independent of file names and layout.  One digest per distinct source file.
+    Independent of file names and layout; very large snapshots hash in buckets.
     """
-    return (
-        records.groupBy("source").agg(F.min("checksum").alias("checksum"))
-        .agg(F.array_sort(F.collect_list("checksum")).alias("_all"))
-        .select(tagged_sha(F.array_join("_all", "\n")).alias("snapshot_checksum"))
-    )
+    digests = records.select(F.lit("snapshot").alias("_s"), "checksum").distinct()
+    return population_hash(digests, ["_s"], "checksum", out="snapshot_checksum").select("snapshot_checksum")

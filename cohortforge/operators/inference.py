@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import finite
+from cohortforge.operators.ordering import spread_totals
 
 # Public output columns and per-request error codes.
 PREDICTION_COLUMNS = [
@@ -35,11 +36,27 @@ MODEL_SCHEMA = (
 
 
 def percentile_of(score: Column, reference: Column) -> Column:
-    """Percent of the sorted reference scores that are at most ``score``."""
+    """Percent of the sorted reference scores that are at most ``score``; NULL without an array."""
     below = F.size(F.filter(reference, lambda v: v <= score))
     return F.lit(100.0) * below / F.size(reference)
 
 
+def rank_percentiles(scores: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """Training percentile by rank instead of an array, for references of any size.
+
+    ``scores`` has (keys, sample_id, score), ``reference`` (keys, score).  Both are
+    counted per distinct value and one running total covers them.
+    """
+    points = reference.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_c"))
+    asked = scores.select(*keys, "score").distinct().withColumn("_c", F.lit(0).cast("long"))
+    cells = points.unionByName(asked).groupBy(*keys, "score").agg(F.sum("_c").alias("_c"))
+    placed = spread_totals(cells, keys, ["score"], ["_c"]).select(*keys, "score", "cum__c")
+    sizes = points.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    return scores.join(placed, [*keys, "score"]).join(sizes, keys).withColumn(
+        "training_percentile", F.lit(100.0) * F.col("cum__c") / F.col("_n")
+    ).drop("cum__c", "_n")
+
+
 def _outputs(df: DataFrame) -> DataFrame:
     """Composite score, linear predictor, hazard and percentile from ``_raw``."""
     return (

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortforge.functions.staging import written
+from cohortforge.functions.text import unquote
+
 _ROW_MASK = (1 << 33) - 1
 
 
@@ -37,6 +40,8 @@ def between_markers(lines: DataFrame, begin: str, end: str) -> DataFrame:
         F.min(F.when(F.col("line").startswith(begin), F.col("line_no"))).alias("_begin"),
         F.min(F.when(F.col("line").startswith(end), F.col("line_no"))).alias("_end"),
     )
+    # One row per file, of known size: the lines of a large file are not shuffled.
+    marks = written(marks, "markers")
     return (
         lines.join(marks, "file")
         .filter(
@@ -53,6 +58,7 @@ def split_header(table_lines: DataFrame, sep: str = "\t") -> tuple[DataFrame, Da
     first = table_lines.groupBy("file").agg(
         F.min("line_no").alias("_first"), F.min_by("line", "line_no").alias("_header")
     )
+    first = written(first, "headers")
     header = first.select("file", fields(F.col("_header"), sep).alias("header"))
     body = table_lines.join(first.select("file", "_first"), "file").filter(
         F.col("line_no") > F.col("_first")
@@ -62,8 +68,6 @@ def split_header(table_lines: DataFrame, sep: str = "\t") -> tuple[DataFrame, Da
 
 def melt(header: DataFrame, body: DataFrame, sep: str = "\t") -> DataFrame:
     """Body cells as (file, line_no, row_label, pos, column, raw), first column = row label."""
-    from cohortforge.functions.text import unquote
-
     parts = fields(F.col("line"), sep)
     cells = body.select(
         "file", "line_no", unquote(parts[0]).alias("row_label"), F.posexplode(parts).alias("pos", "raw")

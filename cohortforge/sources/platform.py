@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortforge.functions.staging import written
 from cohortforge.functions.text import unquote
 from cohortforge.sources.lines import fields, melt, numbered_lines, split_header
 
@@ -27,6 +28,7 @@ def table_lines(lines: DataFrame) -> DataFrame:
         F.min(F.when(F.col("line").startswith(BEGIN), F.col("line_no"))).alias("_b"),
         F.min(F.when(F.col("line").startswith(END), F.col("line_no"))).alias("_e"),
     )
+    marks = written(marks, "markers")
     inside = (F.col("line_no") > F.col("_b")) & (F.col("_e").isNull() | (F.col("line_no") < F.col("_e")))
     bare = F.col("_b").isNull() & ~F.col("line").rlike(r"^[\^!#]")
     return lines.join(marks, "file").filter(

@@ -107,7 +107,7 @@ def list_references(spark: SparkSession, path: str) -> DataFrame:
 
 # Model store ------------------------------------------------------------------------
 
-MODEL_PARTS = ("model", "scaler", "checksums")
+REFERENCE_MAX = 1_000_000
 
 
 def freeze_model(
@@ -123,12 +123,15 @@ def freeze_model(
 
     ``scored`` has (key, raw, score, composite_mean, composite_sd) of the
     training samples, ``coefficient`` (key, beta).  The score reference is the
-    sorted training scores, whose length is the training population.
+    sorted training scores.  Training populations above ``REFERENCE_MAX`` keep no
+    array: store their scores as a table and use ``inference.rank_percentiles``.
     """
+    size = scored.count()
+    listed = F.collect_list(F.when(F.lit(size <= REFERENCE_MAX), F.col("score")))
     reference = scored.groupBy(*key).agg(
         F.first("composite_mean").alias("composite_mean"),
         F.first("composite_sd").alias("composite_sd"),
-        F.array_sort(F.collect_list("score")).alias("score_reference"),
+        F.array_sort(listed).alias("score_reference"),
     )
     model = reference.join(coefficient, key).select(
         F.lit(model_id).alias("model_id"),

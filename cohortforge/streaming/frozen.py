@@ -20,6 +20,15 @@ def _constants(scaler: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _attach(samples: DataFrame, constants: DataFrame) -> DataFrame:
+    """Every sample with every row of a small constants table, as an exploded literal array.
+
+    The constants are a handful of frozen models; the stream itself is not joined.
+    """
+    listed = constants.agg(F.collect_list(F.struct(*constants.columns))).scalar()
+    return samples.select("*", F.explode(listed).alias("_k")).select(*samples.columns, "_k.*")
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
@@ -31,8 +40,7 @@ def score_stream(samples: DataFrame, reference: DataFrame, strict: bool = True)
     common are averaged.  A missing value or spread contributes zero.
     """
     usable = reference.filter(F.col("scoring") == "rowmean")
-    constants = _constants(usable, "reference_id").withColumn("_on", F.lit(1))
-    joined = samples.withColumn("_on", F.lit(1)).join(constants, "_on")
+    joined = _attach(samples, _constants(usable, "reference_id"))
     present = F.filter("_genes", lambda g: F.map_contains_key("expr", g["gene"]))
     z = F.transform(
         "_present",
@@ -62,8 +70,8 @@ def predict_stream(samples: DataFrame, model: DataFrame, scaler: DataFrame) -> D
     """
     constants = model.join(_constants(scaler, "model_id"), "model_id").withColumnRenamed(
         "expression_type", "_declared"
-    ).withColumn("_on", F.lit(1))
-    joined = samples.withColumn("_on", F.lit(1)).join(constants, "_on")
+    )
+    joined = _attach(samples, constants)
     value = lambda g: F.col("expr")[g["gene"]]
     z = F.transform("_genes", lambda g: (value(g) - g["mean"]) / g["sd"])
     out = (

@@ -454,3 +454,31 @@ def test_bootstrap_weights_sum_to_population(spark):
     people = frame(spark, [(f"p{i}",) for i in range(60)], "sample_id string")
     sums = resample.patient_weights(people, 5).groupBy("draw").agg(F.sum("weight").alias("w")).collect()
     assert {r["w"] for r in sums} == {60} and len(sums) == 5
+
+
+def test_snapshot_checksum_recipe(spark):
+    digests = ["sha256:b", "sha256:a"]
+    records = frame(spark, [("p1", digests[0]), ("p1", digests[0]), ("p2", digests[1])], "source string, checksum string")
+    want = "sha256:" + hashlib.sha256("\n".join(sorted(digests)).encode()).hexdigest()
+    assert adjudication.snapshot_checksum(records).first()["snapshot_checksum"] == want
+
+
+def test_rank_percentiles_match_the_array_form(spark):
+    ref = frame(spark, [("m", float(v)) for v in (1, 2, 2, 5)], "model_id string, score double")
+    asked = frame(spark, [("m", "a", 2.0), ("m", "b", 0.5), ("m", "c", 9.0)], "model_id string, sample_id string, score double")
+    got = {r["sample_id"]: r["training_percentile"] for r in inference.rank_percentiles(asked, ref, ["model_id"]).collect()}
+    assert got == {"a": 75.0, "b": 0.0, "c": 100.0}
+
+
+def test_elastic_net_grid_picks_a_candidate_per_fold(spark):
+    t, e, z = survival_rows(21, n=90, p=3)
+    names = [f"s{i:02d}" for i in range(90)]
+    people = frame(spark, [("c", s, float(a), int(b)) for s, a, b in zip(names, t, e)], "cohort_id string, sample_id string, time_months double, event int")
+    matrix = frame(spark, [("c", f"g{j}", s, float(z[i, j])) for i, s in enumerate(names) for j in range(3)], CELL)
+    plan = folds.plan(people, 2, 2, 1)
+    grid = frame(spark, [(0, 5.0, 0.9), (1, 0.02, 0.5)], "candidate int, alpha double, l1_ratio double")
+    out = crossval.penalised_cv(matrix, people, plan, ["g0", "g1", "g2"], grid, 2)
+    assert out["search"].count() == 8
+    assert {r["candidate"] for r in out["selected"].collect()} == {1}
+    held = {r["fold"]: r["c_index"] for r in out["folds"].collect()}
+    assert set(held) == {1, 2} and min(held.values()) > 0.55
