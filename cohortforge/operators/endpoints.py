@@ -244,6 +244,36 @@ def filter_report(clinical: DataFrame, rules: list[dict], by: str = "cohort_id")
     return clinical.groupBy(by).agg(*aggs).select(by, F.inline(rows))
 
 
+def filter_problems(clinical: DataFrame, rules: list[dict], by: str = "cohort_id") -> DataFrame:
+    """Rules that name a column a cohort lacks, or that remove its last sample."""
+    named = clinical.groupBy(by).agg(
+        *[
+            F.bool_or(F.map_contains_key("attrs", rule["column"])).alias(f"_c{i}")
+            for i, rule in enumerate(rules)
+        ]
+    )
+    unknown = named.select(
+        by,
+        F.inline(
+            F.array_compact(
+                F.array(
+                    *[
+                        F.when(
+                            ~F.col(f"_c{i}"),
+                            F.struct(F.lit(i + 1).alias("rule_no"), F.lit("unknown_column").alias("problem")),
+                        )
+                        for i in range(len(rules))
+                    ]
+                )
+            )
+        ),
+    )
+    emptied = filter_report(clinical, rules, by).filter(
+        (F.col("n_before") > 0) & (F.col("n_after") == 0)
+    ).select(by, "rule_no", F.lit("removed_every_sample").alias("problem"))
+    return unknown.unionByName(emptied)
+
+
 # Published endpoint tables ------------------------------------------------------
 
 

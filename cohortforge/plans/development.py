@@ -76,3 +76,14 @@ def compare_models(
         "differences": differences,
         "folds": resample.fold_concordance(held),
     }
+
+
+def gather_results(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """Result tables of (cohort, action) runs as one table, missing columns as NULL."""
+    out = None
+    for (cohort, action), table in sorted(tables.items()):
+        part = table.withColumn("cohort", F.lit(cohort)).withColumn("action", F.lit(action))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no result tables")
+    return out.orderBy("cohort", "action")
