@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortforge.catalogue.base_sql import X1, X6, X7, r
 from cohortforge.functions.numeric import round_at
-from cohortforge.functions.staging import literal_rows
+from cohortforge.functions.staging import literal_rows, written
 from cohortforge.operators import adjudication, endpoints
 from cohortforge.plans import standins
 
@@ -27,7 +27,7 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         endpoints.SPEC_SCHEMA.replace("cohort_id string, ", ""),
     )
     row = declared.agg(F.first(F.struct("*"))).scalar()
-    return cohorts.withColumn("_s", row).select("cohort_id", "_s.*")
+    return written(cohorts.withColumn("_s", row).select("cohort_id", "_s.*"), "specs")
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:

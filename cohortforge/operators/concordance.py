@@ -49,6 +49,7 @@ def with_ranks(cases: DataFrame, keys: list[str]) -> DataFrame:
     cases = written(cases, "cases")
     ranks = written(rank_positions(cases, keys), "ranks")
     bits = ranks.groupBy(*keys).agg(F.length(F.bin(F.max("hi"))).alias("_bits"))
+    bits = written(bits, "rank-bits")
     return cases.join(ranks, [*keys, "_r"]).join(bits, keys)
 
 

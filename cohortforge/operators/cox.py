@@ -295,6 +295,7 @@ def standardise(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     stats = rows.groupBy(*keys).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns]
     )
+    stats = written(stats, "cox-scale")
     out = rows.join(stats, keys)
     for c in columns:
         out = out.withColumn(c, ratio(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")))

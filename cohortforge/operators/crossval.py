@@ -48,7 +48,7 @@ def partition_scores(matrix: DataFrame, roles: DataFrame, keys: list[str]) -> Da
     training gene or composite are left out (see ``partition_problems``).
     """
     cells = matrix.select("gene", "sample_id", "value").join(roles.select(*keys, "sample_id", "role"), "sample_id")
-    fitted = scaler.fit(cells.filter(F.col("role") == "train"), keys)
+    fitted = written(scaler.fit(cells.filter(F.col("role") == "train"), keys), "cv-scaler")
     bad = scaler.degenerate_genes(fitted, keys).select(*keys).distinct()
     good = fitted.join(bad, keys, "left_anti")
     raw = (
@@ -56,6 +56,7 @@ def partition_scores(matrix: DataFrame, roles: DataFrame, keys: list[str]) -> Da
         .groupBy(*keys, "sample_id", "role")
         .agg(F.avg((F.col("value") - F.col("mean")) / F.col("sd")).alias("raw"))
     )
+    raw = written(raw, "cv-raw")
     composite = raw.filter(F.col("role") == "train").groupBy(*keys).agg(
         F.avg("raw").alias("composite_mean"), F.stddev_samp("raw").alias("composite_sd")
     ).filter(F.col("composite_sd") > scaler.MIN_SD)
@@ -209,7 +210,7 @@ def _wide(
 ) -> DataFrame:
     """Frozen-z features as columns, per partition and sample."""
     cells = matrix.select("gene", "sample_id", "value").join(roles, "sample_id")
-    fitted = scaler.fit(cells.filter(F.col("role") == "train"), keys)
+    fitted = written(scaler.fit(cells.filter(F.col("role") == "train"), keys), "net-scaler")
     z = cells.join(fitted.select(*keys, "gene", "mean", "sd"), [*keys, "gene"]).withColumn(
         "_z", F.coalesce(ratio(F.col("value") - F.col("mean"), F.col("sd")), F.lit(0.0))
     )

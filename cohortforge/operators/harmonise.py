@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions import text
+from cohortforge.functions.staging import written
 
 COLLAPSE_RULES = ("max_mean", "mean", "first")
 MULTI_RULES = ("drop", "first")
@@ -37,7 +38,7 @@ def collapse_duplicates(
         return (
             matrix.groupBy(by, "gene", "sample_id")
             .agg(F.avg("value").alias("value"))
-            .join(winners.select(by, "gene", "n_rows_collapsed"), [by, "gene"])
+            .join(written(winners.select(by, "gene", "n_rows_collapsed"), "collapse-counts"), [by, "gene"])
         )
     chosen = winners.select(
         by,
@@ -45,6 +46,9 @@ def collapse_duplicates(
         F.col("_first" if rule == "first" else "_best").alias("feature_pos"),
         "n_rows_collapsed",
     )
+    # Of known size: winners are broadcast while they are small, and the matrix is
+    # then not shuffled at all.
+    chosen = written(chosen, "collapse-winners")
     return matrix.join(chosen, [by, "gene", "feature_pos"]).select(
         by, "gene", "sample_id", "value", "n_rows_collapsed"
     )
@@ -72,7 +76,7 @@ def probe_map(annotation: DataFrame, multi: str = "drop", by: list[str] | None =
 
 def label_probes(matrix: DataFrame, probes: DataFrame) -> DataFrame:
     """Attach the probe status; rows without a usable symbol keep a NULL gene."""
-    lookup = probes.select(F.col("probe").alias("feature"), "gene", "status")
+    lookup = written(probes.select(F.col("probe").alias("feature"), "gene", "status"), "probes")
     return (
         matrix.withColumn("feature", F.trim("feature"))
         .join(lookup, "feature", "left")
@@ -116,7 +120,7 @@ def resolve_symbols(features: DataFrame, aliases: DataFrame, symbol: str = "feat
     Exactly one approved symbol different from the listed one: remapped.  More
     than one: kept and reported as ambiguous, never guessed.  None: kept.
     """
-    lookup = aliases.select(F.col("alias").alias("_alias"), "approved")
+    lookup = written(aliases.select(F.col("alias").alias("_alias"), "approved"), "aliases")
     listed = F.trim(F.col(symbol))
     joined = features.join(lookup, F.upper(listed) == F.col("_alias"), "left")
     single = (F.size("approved") == 1) & (F.col("approved")[0] != listed)

@@ -68,6 +68,8 @@ def infer_scale(matrix: DataFrame, by: str = "cohort_id") -> DataFrame:
 def log_if_linear(matrix: DataFrame, scales: DataFrame, by: str = "cohort_id") -> DataFrame:
     """log2(max(x, 0) + 1) for cohorts on a linear scale, applied once; others unchanged."""
     linear = scales.filter(F.col("scale") == "linear").select(by, F.lit(True).alias("_linear"))
+    # One row per linear cohort, of known size, so the matrix itself is not shuffled.
+    linear = written(linear, "linear-cohorts")
     logged = F.log2(F.greatest(F.col("value"), F.lit(0.0)) + 1.0)
     logged = F.when(F.col("value").isNotNull(), logged)
     return matrix.join(linear, by, "left").withColumn(
@@ -122,6 +124,7 @@ def findings(
     shape = genes.groupBy(by).agg(
         F.sum("n_rows").alias("n_genes"), F.sum("n_values").alias("n_cells")
     ).join(samples.groupBy(by).agg(F.count(F.lit(1)).alias("n_samples")), by)
+    shape = written(shape, "cohort-shape")
     sized = shape.select(by, "n_genes", "n_samples")
 
     gene_bad = genes.join(sized, by).filter(

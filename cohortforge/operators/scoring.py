@@ -80,7 +80,7 @@ def _for_population(
     """
     scores = written(scores, "scores")
     samples = (population if population is not None else expression).select(by, "sample_id").distinct()
-    groups = scores.select(by, "signature").distinct()
+    groups = written(scores.select(by, "signature").distinct(), "scored-groups")
     return samples.join(groups, by).join(scores, [by, "signature", "sample_id"], "left")
 
 
