@@ -22,9 +22,18 @@ def _require_batch(df: DataFrame) -> None:
         raise ValueError("a cohort-relative score needs a closed population, not a stream")
 
 
-def keep_genes(expression: DataFrame, genes: list[str] | None) -> DataFrame:
-    """Literal gene filter, so the scan can skip row groups of other genes."""
-    return expression.filter(F.col("gene").isin(list(genes))) if genes else expression
+MAX_LITERAL_GENES = 2000
+
+
+def keep_signature_genes(expression: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Literal gene filter, so a scan sorted by gene can skip the row groups of others.
+
+    Only a saving: with more genes than fit a literal list, the join alone decides.
+    """
+    listed = signatures.select("gene").distinct().limit(MAX_LITERAL_GENES + 1).collect()
+    if len(listed) > MAX_LITERAL_GENES:
+        return expression
+    return expression.filter(F.col("gene").isin([row["gene"] for row in listed]))
 
 
 def coverage(
@@ -86,7 +95,8 @@ def _for_population(
 
 def _usable(expression: DataFrame, signatures: DataFrame, by: str, min_genes: int) -> DataFrame:
     """Signature cells of groups that reach the gene floor, with gene statistics."""
-    cells = expression.select(by, "gene", "sample_id", tidy_double(F.col("value")).alias("value")).join(
+    wanted = keep_signature_genes(expression, signatures)
+    cells = wanted.select(by, "gene", "sample_id", tidy_double(F.col("value")).alias("value")).join(
         signatures.select("signature", "gene", "coefficient", "scoring"), "gene"
     )
     # The window holds one (group, signature)'s genes, never its samples.
