@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortforge.llm.decontaminate import OVERLAP_SQL
+from cohortforge.llm.line_dedup import DEDUP_SQL
+
 
 def tokenizer(name: str) -> str:
     """Path of an installed tokenizer file."""
@@ -42,8 +45,50 @@ def op8_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after deleting later copies of repeated line runs."""
+    from cohortforge.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return out.select("doc_id", "n_lines", "n_removed", digest)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from two thirds of the labels."""
+    from cohortforge.llm.features import id_remainder
+    from cohortforge.llm.quality import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(id_remainder(F.col("doc_id"), 3) != 1))
+    held = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which it holds a passage."""
+    from cohortforge.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from three quarters of them."""
+    from cohortforge.llm.features import id_remainder
+    from cohortforge.llm.language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, id_remainder(F.col("doc_id"), 4) != 2)
+    held = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
+
+
 QUERIES = {
     "op2_token_counts": (op2_token_counts, None),
     "op3_packing": (op3_packing, None),
+    "op4_line_dedup": (op4_line_dedup, DEDUP_SQL),
+    "op6_quality": (op6_quality, None),
     "op8_sequence_files": (op8_sequence_files, None),
+    "op9_decontaminate": (op9_decontaminate, OVERLAP_SQL),
+    "op10_language": (op10_language, None),
 }

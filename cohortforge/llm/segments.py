@@ -23,7 +23,7 @@ class SegmentEncoder:
     the texts. The cache holds short segments only and is emptied at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
