@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortforge.llm.decontaminate import OVERLAP_SQL
 from cohortforge.llm.line_dedup import DEDUP_SQL
+from cohortforge.llm.substring_dedup import DEDUP_SQL as SUBSTRING_SQL
 
 
 def tokenizer(name: str) -> str:
@@ -54,6 +55,43 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", digest)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one, by integer inner product."""
+    from cohortforge.llm.top_k import top_k, usable
+
+    rows = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    return top_k(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0)
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after removing runs of 13 words that an earlier one has."""
+    from cohortforge.llm.substring_dedup import dedup_substrings
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from cohortforge.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from two thirds of the labels."""
     from cohortforge.llm.features import id_remainder
@@ -84,10 +122,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": (op1_top_k, TOP_K_SQL),
     "op2_token_counts": (op2_token_counts, None),
     "op3_packing": (op3_packing, None),
     "op4_line_dedup": (op4_line_dedup, DEDUP_SQL),
+    "op5_substring_dedup": (op5_substring_dedup, SUBSTRING_SQL),
     "op6_quality": (op6_quality, None),
+    "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_sequence_files": (op8_sequence_files, None),
     "op9_decontaminate": (op9_decontaminate, OVERLAP_SQL),
     "op10_language": (op10_language, None),

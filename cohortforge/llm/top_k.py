@@ -200,7 +200,8 @@ def _searcher(k: int):
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not len(candidates) or not len(queries):
             return schema.empty_table()
-        search = Search(k, queries["vec_id"].to_numpy(), _matrix(queries["vector"]), queries["floor"].to_numpy())
+        floor = queries["q_floor"].to_numpy()
+        search = Search(k, queries["q_vec_id"].to_numpy(), _matrix(queries["q_vector"]), floor)
         search.visit(candidates["vec_id"].to_numpy(), _matrix(candidates["vector"]))
         found = search.best != _HIGH
         ids = np.broadcast_to(search.ids[:, None], found.shape)
@@ -269,8 +270,9 @@ def top_k(
     pairs = b.join(c, same_length & (bound * (1 + 1e-9) + 1 >= F.col("c.floor"))).select("block", "chunk")
     pairs = written(pairs, "vector-pairs")
     left = candidates.join(pairs, "block").select("block", "chunk", "vec_id", "vector")
-    right = queries.join(pairs, "chunk").select("block", "chunk", "vec_id", "vector", "floor")
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
+    names = ("block", "chunk", "vec_id", "vector", "floor")
+    right = queries.join(pairs, "chunk").select(*[F.col(c).alias(f"q_{c}") for c in names])
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("q_block", "q_chunk"))
     found = found.applyInArrow(_searcher(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
