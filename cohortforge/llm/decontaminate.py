@@ -95,12 +95,15 @@ def overlaps(
     candidates = written(hits(docs, items), "leak-candidates")
     item_words = items.select("item_id", words(F.col("item_text")).alias("_item")).where(F.size("_item") >= SPAN)
     pairs = candidates.join(item_words.distinct(), "item_id")
-    compared = pairs.join(docs, ["doc_id", "text_key"]).withColumn("_doc", words(F.col("text"))).drop("text")
-    equal = F.transform("_item", lambda w, i: F.coalesce(F.get("_doc", F.col("shift") + i) == w, F.lit(False)))
-    compared = compared.select(
-        "doc_id", "item_id", "shift", F.size("_item").alias("n_words"), F.transform(equal, lambda e: e.cast("int")).alias("_eq")
-    )
-    # Equal words before each position, so that a window is a difference of two of them.
+    compared = pairs.join(docs, ["doc_id", "text_key"])
+    # The document's words beside the item's, cut out once for each pair: a lambda that
+    # reads them by place would split the text again for each place.
+    size = F.size("_item")
+    ahead = F.array_repeat(F.lit(None).cast("string"), F.greatest(-F.col("shift"), F.lit(0)))
+    first = F.greatest(F.col("shift"), F.lit(0)) + 1
+    beside = F.concat(ahead, F.slice(words(F.col("text")), first, size))
+    equal = F.zip_with(F.slice(beside, F.lit(1), size), "_item", lambda w, v: F.coalesce(w == v, F.lit(False)).cast("int"))
+    compared = compared.select("doc_id", "item_id", "shift", size.alias("n_words"), F.slice(equal, F.lit(1), size).alias("_eq"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, e: s + e)
     best = F.array_max(
         F.transform(
@@ -108,7 +111,7 @@ def overlaps(
             lambda s: total(F.slice("_eq", s + 1, window)),
         )
     )
-    scored = compared.withColumn("best_window", best).withColumn("n_equal", total(F.col("_eq")))
+    scored = compared.select("doc_id", "item_id", "shift", "n_words", best.alias("best_window"), total(F.col("_eq")).alias("n_equal"))
     needed = F.when(F.col("n_words") >= window, window - most_changed).otherwise(F.col("n_words"))
     kept = scored.where(F.col("best_window") >= needed)
     order = F.struct("best_window", "n_equal", (-F.col("shift")).alias("near"), "n_words")
