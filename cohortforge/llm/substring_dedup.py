@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohortforge.llm.tables import written
+from cohortforge.llm.tables import drop_table, written
 from cohortforge.llm.text import Words, slices
 
 ANCHOR_WORDS = 5
@@ -38,13 +38,15 @@ def _selected(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(window: int):
+    """The distinct anchors of each text, with the text's key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 words = Words(texts)
                 least, whole = _selected(words, window)
                 anchor, doc = least[whole], words.doc[: len(least)][whole]
-                # Neighbouring windows mostly share their anchor; a text names each once.
+                # Neighbouring windows mostly share their anchor.
                 new = np.ones(len(anchor), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
                 anchor, doc = anchor[new], doc[new]
@@ -52,8 +54,8 @@ def _anchors(window: int):
                 anchor, doc = anchor[order], doc[order]
                 new = np.ones(len(anchor), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                ids = batch.column(0).slice(at, len(texts)).take(pa.array(doc[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), ids], names=["anchor", "doc_id"])
+                keys = batch.column(0).slice(at, len(texts)).take(pa.array(doc[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), keys], names=["anchor", "text_key"])
 
     return run
 
@@ -86,24 +88,39 @@ def _windows(window: int):
 
 
 def spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """Windows that an earlier document also has: ``doc_id, text_key, starts`` (word positions).
+    """What to remove of each distinct text: ``text_key, copy_key, rep, starts``.
+
+    ``rep`` is the smallest id with that text; every other document of the text repeats it
+    as a whole. ``starts`` are the windows of ``rep`` (by word position) that a document with a
+    smaller id also has. ``docs`` has ``doc_id`` (not null), ``text_key``, ``copy_key``, ``text``.
 
-    ``docs`` has ``doc_id`` (not null), ``text_key`` and ``text``. Seeds are the anchors
-    of at least two documents; documents are joined on them through the seeds' first and
-    last id, so a passage of very many documents is never paired out.
+    Seeds are the anchors of at least two texts; texts are joined on them through the
+    seeds' first and last key, so a passage of very many texts is never paired out.
     """
-    anchors = written(docs.select("doc_id", "text").mapInArrow(_anchors(window), "anchor long, doc_id long"), "anchors")
-    ends = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    contents = docs.groupBy("text_key", "copy_key").agg(F.min("doc_id").alias("rep"))
+    contents = written(contents, "contents")
+    schema = "anchor long, text_key long"
+    anchors = written(docs.select("text_key", "text").mapInArrow(_anchors(window), schema), "anchors")
+    ends = anchors.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
     seeds = written(ends.where(F.col("lo") != F.col("hi")).select("anchor"), "seeds")
-    held = anchors.join(seeds, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    held = written(held.withColumnRenamed("doc_id", "_held"), "seeds-held")
-    seeded = docs.join(held, docs["doc_id"] == held["_held"]).select("doc_id", "text_key", "text", "anchors")
+    held = anchors.join(seeds, "anchor").groupBy("text_key").agg(F.collect_set("anchor").alias("anchors"))
+    held = held.join(contents.select("text_key", "rep"), "text_key")
+    held = written(held.withColumnRenamed("text_key", "_held"), "seeds-held")
+    drop_table(anchors)
+    drop_table(seeds)
+    on = (docs["doc_id"] == held["rep"]) & (docs["text_key"] == held["_held"])
+    seeded = docs.join(held, on).select("doc_id", "text_key", "text", "anchors")
     schema = "w1 long, w2 long, doc_id long, text_key long, start int"
     windows = written(seeded.mapInArrow(_windows(window), schema), "windows")
+    drop_table(held)
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     firsts = written(firsts.where(F.col("lo") != F.col("hi")).drop("hi"), "window-firsts")
     later = windows.join(firsts, ["w1", "w2"]).where(F.col("doc_id") > F.col("lo"))
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    later = later.groupBy(F.col("doc_id").alias("rep"), "text_key").agg(F.collect_set("start").alias("starts"))
+    later = written(later, "window-spans")
+    drop_table(windows)
+    drop_table(firsts)
+    return contents.join(later, ["rep", "text_key"], "left")
 
 
 def _cleaned(window: int, names: list[str], text_at: int):
@@ -112,18 +129,19 @@ def _cleaned(window: int, names: list[str], text_at: int):
             for at, texts in slices(batch.column("_text")):
                 words = Words(texts)
                 starts = batch.column("_starts").slice(at, len(texts))
+                repeats = batch.column("_repeats").slice(at, len(texts)).to_pylist()
                 original = batch.column(text_at).slice(at, len(texts))
                 n_words = np.diff(words.first)
                 n_removed, kept, digest, runs = np.zeros(len(texts), int), [], [], []
                 data = words.data.tobytes()
                 for doc in range(len(texts)):
                     lo, size = words.first[doc], n_words[doc]
-                    gone = np.zeros(size + 1, np.int64)
+                    gone = np.full(size, repeats[doc] and size >= window)
                     if starts[doc].is_valid:
-                        begin = starts[doc].values.to_numpy()
-                        gone[begin] += 1
-                        np.add.at(gone, begin + window, -1)
-                    gone = np.cumsum(gone)[:size] > 0
+                        begin, edge = starts[doc].values.to_numpy(), np.zeros(size + 1, np.int64)
+                        edge[begin] += 1
+                        np.add.at(edge, begin + window, -1)
+                        gone = np.cumsum(edge)[:size] > 0
                     n_removed[doc] = gone.sum()
                     left = np.flatnonzero(~gone) + lo
                     text = b" ".join([data[a:b] for a, b in zip(words.start[left].tolist(), words.end[left].tolist(), strict=True)])
@@ -154,23 +172,30 @@ def dedup_substrings(
     words becomes the kept ones, joined by one blank, others stay as they are.
 
     Any two equal windows have the same anchor, so no match is missed; matches are told by
-    128 bits of hash. A null text has no words; rows with a null id are neither compared
+    128 bits of hash. Equal texts are told by 128 bits too, and only the one of the smallest
+    id is searched. A null text has no words; rows with a null id are neither compared
     nor changed; rows that repeat an id never match each other; an empty table gives an
     empty result; columns named like an added one are replaced.
     """
     added = ("n_words", "n_removed", "kept_sha256", "removed_runs")
     names = [c for c in docs.columns if c not in added]
     text = F.coalesce(docs[text_column], F.lit(""))
-    plain = docs.where(docs[id_column].isNotNull()).select(
-        docs[id_column].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")
+    keys = [F.xxhash64(text), F.xxhash64(F.lit("copy"), text)]
+    doc_id = docs[id_column].cast("long")
+    plain = docs.where(doc_id.isNotNull()).select(
+        doc_id.alias("doc_id"), keys[0].alias("text_key"), keys[1].alias("copy_key"), text.alias("text")
     )
-    found = spans(plain, window)
-    found = written(found.withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key", "starts": "_starts"}), "window-spans")
-    keyed = docs.select(*names, text.alias("_text"), docs[id_column].cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
-    joined = keyed.join(found, (F.col("_id") == F.col("_found_id")) & (F.col("_key") == F.col("_found_key")), "left")
+    marks = written(spans(plain, window), "text-marks")
+    # Rows with a null id look up nothing.
+    seen = [F.when(doc_id.isNotNull(), k) for k in keys]
+    keyed = docs.select(*names, text.alias("_text"), doc_id.alias("_id"), seen[0].alias("_k1"), seen[1].alias("_k2"))
+    on = (keyed["_k1"] == marks["text_key"]) & (keyed["_k2"] == marks["copy_key"])
+    joined = keyed.join(marks, on, "left")
+    repeats = F.coalesce(F.col("_id") > F.col("rep"), F.lit(False))
+    joined = joined.select(*names, "_text", F.when(~repeats, F.col("starts")).alias("_starts"), repeats.alias("_repeats"))
     more = "n_words long, n_removed long, kept_sha256 string, removed_runs array<struct<start:int,length:int>>"
     schema = StructType([*docs.select(*names).schema.fields, *StructType.fromDDL(more).fields])
-    return joined.select(*names, "_text", "_starts").mapInArrow(_cleaned(window, names, names.index(text_column)), schema)
+    return joined.mapInArrow(_cleaned(window, names, names.index(text_column)), schema)
 
 
 DEDUP_SQL = """
