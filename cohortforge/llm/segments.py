@@ -20,7 +20,7 @@ class SegmentEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     Ids equal those of one library call per text without added special tokens, whatever
-    the texts. The cache holds short segments only and is emptied at ``most`` entries.
+    the texts. The caches hold short segments only and are emptied at ``most`` entries.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -32,29 +32,53 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         self.split = os.path.basename(path) in SPLITTABLE
         self.most = most
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # by what follows a blank, or by a line feed and what follows it
+        self.parts: dict[str, bytes] = {}  # by the segment as it stands
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
 
     def _library(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if not self.split:
-            return self._library(texts)
-        pieces = [_EDGE.split(text) if text else [] for text in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        missing = list(set().union(*pieces).difference(self.cache))
-        known, long = self.cache, {}
+    def _look_up(self, rows: list[list[str]], known: dict[str, bytes], blank: bool) -> list[bytes]:
+        """The ids of each row of segments, encoding what ``known`` lacks."""
+        if len(known) > self.most:
+            known.clear()
+        missing, long = list(set().union(*rows).difference(known)), {}
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            for segment, ids in zip(part, self._library(part), strict=True):
+            texts = [s if s[0] == "\n" else " " + s for s in part] if blank else part
+            for segment, ids in zip(part, self._library(texts), strict=True):
                 (known if len(segment) <= 48 else long)[segment] = ids
         if long:
-            return [b"".join([known[s] if s in known else long[s] for s in p]) for p in pieces]
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+            return [b"".join([known[s] if s in known else long[s] for s in row]) for row in rows]
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.split:
+            return self._library(texts)
+        # Most texts have lone blanks and line feeds only (no other white space is printable): the
+        # first word is a segment, and so is each other word with what stands before it. The rest
+        # is cut where it is safe.
+        heads, tails = [], []
+        for text in texts:
+            if not text:
+                heads.append([])
+                tails.append([])
+                continue
+            spaced = text.replace("\n", " \n")
+            alone = "  " not in spaced and "\n " not in spaced and text[0] not in " \n" and text[-1] not in " \n"
+            if alone and text.replace("\n", "").isprintable():
+                pieces = spaced.split(" ")
+                heads.append([pieces.pop(0)])
+                tails.append(pieces)
+            else:
+                heads.append(_EDGE.split(text))
+                tails.append([])
+        first = self._look_up(heads, self.parts, False)
+        rest = self._look_up(tails, self.words, True)
+        return [a + b for a, b in zip(first, rest, strict=True)]
 
 
 def encoder(path: str) -> SegmentEncoder:
