@@ -93,7 +93,10 @@ _SIGNED = "doc_id long, n long, d1 long, d2 long, sketch binary, tokens array<in
 
 
 def _forest(size: int, partners) -> list[tuple[int, int]]:
-    """Edges that span the components of a graph. ``partners(i, open)`` tells which of the open nodes i is tied to."""
+    """Edges from the first node of each component of a graph to its others.
+
+    ``partners(i, open)`` tells which of the open nodes i is tied to.
+    """
     edges, todo = [], np.ones(size, bool)
     for root in range(size):
         if not todo[root]:
@@ -106,14 +109,14 @@ def _forest(size: int, partners) -> list[tuple[int, int]]:
             if not len(rest):
                 return edges
             for other in rest[partners(node, rest)].tolist():
-                edges.append((node, other))
+                edges.append((root, other))
                 todo[other] = False
                 queue.append(other)
     return edges
 
 
 def _alike(least: float):
-    """Compare the sketches of a small node exhaustively; edges of a spanning forest."""
+    """Compare the sketches of a small node exhaustively; edges that tie its components together."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
@@ -145,7 +148,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
-    """Links of a cluster on the full sets; edges of a spanning forest."""
+    """Links of a cluster on the full sets; edges that tie its components together."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
