@@ -11,6 +11,7 @@ GROUPS = [
     "quality_queries",
     "survival_queries",
     "stream_queries",
+    "source_queries",
 ]
 
 

@@ -98,6 +98,24 @@ def filtered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints.apply_filters(standins.clinical_raw(spark, sf_dir), RULES).select("cohort_id", "sample_id")
 
 
+def excluded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = endpoints.excluded_samples(standins.clinical_raw(spark, sf_dir), RULES)
+    return out.select("cohort_id", "sample_id", "rule_no")
+
+
+def endpoint_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by customer, some for advised-against or unknown endpoints."""
+    k = F.col("c_custkey")
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), (at % len(names)).cast("int"))
+    requests = standins.table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        pick(["TCGA-PRAD", "thca", "LGG", "BRCA"], k).alias("project"),
+        pick(["OS", "DSS", "DFI", "PFI", "RFS"], k).alias("endpoint"),
+        (k % 3 == 0).alias("allow_discouraged"),
+    )
+    return endpoints.endpoint_problems(requests).groupBy("project", "endpoint", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def analysis_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = endpoints.analysis_set(derived(spark, sf_dir))
     return kept.select(
@@ -291,6 +309,21 @@ QUERIES = {
     ),
     "endpoint_overall": (endpoint_overall, _OVERALL),
     "sample_filters": (sample_filters, _FILTER_REPORT),
+    "excluded_samples": (
+        excluded_samples,
+        _FILTERS
+        + """ SELECT cohort_id, sample_id, CAST(CASE WHEN NOT coalesce(p1, false) THEN 1 WHEN NOT coalesce(p2, false) THEN 2
+ WHEN NOT coalesce(p3, false) THEN 3 ELSE 4 END AS INT) AS rule_no FROM f WHERE NOT coalesce(p1 AND p2 AND p3 AND p4, false)""",
+    ),
+    "endpoint_requests": (
+        endpoint_requests,
+        """WITH q AS (SELECT ['TCGA-PRAD', 'thca', 'LGG', 'BRCA'][c_custkey % 4 + 1] AS project,
+  ['OS', 'DSS', 'DFI', 'PFI', 'RFS'][c_custkey % 5 + 1] AS endpoint, c_custkey % 3 = 0 AS allowed FROM customer),
+p AS (SELECT project, endpoint, CASE WHEN endpoint = 'RFS' THEN 'unknown_endpoint' WHEN NOT allowed AND
+  (upper(replace(project, 'TCGA-', '')), endpoint) IN (('PRAD', 'OS'), ('PRAD', 'DSS'), ('PRAD', 'DFI'), ('THCA', 'OS'), ('THCA', 'DSS'), ('LGG', 'DFI'))
+  THEN 'discouraged_endpoint' END AS problem FROM q)
+SELECT project, endpoint, problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY ALL""",
+    ),
     "filtered_samples": (
         filtered_samples,
         _FILTERS + " SELECT cohort_id, sample_id FROM f WHERE p1 AND p2 AND p3 AND p4",

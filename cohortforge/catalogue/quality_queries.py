@@ -77,6 +77,32 @@ def qc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLANTED_CODES = ["n_samples", "scale", "flat_samples", "endpoint_missing", "event_count", "event_rate"]
+
+
+def qc_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohorts of customers, each with one defect: flat samples, a linear scale, no endpoint,
+    events only, few events, few samples."""
+    key, turn = F.col("c_custkey"), F.floor(F.col("c_custkey") / 8)
+    k = key % 8
+    cohort = F.when(k == 7, F.concat(F.lit("tiny"), (turn % 20).cast("string"))).otherwise(F.concat(F.lit("q"), k.cast("string")))
+    event = F.when(k == 2, F.lit(None)).when(k == 3, 1).when(k == 4, (turn % 40 == 0).cast("int")).otherwise((turn % 2).cast("int"))
+    people = standins.table(spark, sf_dir, "customer").select(
+        cohort.alias("cohort_id"), key.cast("string").alias("sample_id"), event.cast("int").alias("event"), "c_custkey"
+    )
+    gene = F.explode(F.array(*[F.lit(g) for g in (1, 2, 3)]))
+    value = ((key * (7 + 4 * F.col("g"))) % 97) / 10.0 + F.col("g") * F.col("g")
+    cells = people.withColumn("g", gene).select(
+        "cohort_id",
+        F.format_string("g%d", F.col("g")).alias("gene"),
+        F.col("g").cast("long").alias("feature_pos"),
+        "sample_id",
+        F.when(k == 0, 2.0 + key % 5).when(k == 1, value * 37.3).otherwise(value).alias("value"),
+    )
+    out = quality.findings(written(cells, "planted"), people)
+    return out.where(F.col("code").isin(PLANTED_CODES)).select("cohort_id", "level", "code")
+
+
 def qc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = endpoints.analysis_set(derived(spark, sf_dir)).select("cohort_id", "sample_id", "event")
     out = quality.verdict(quality.findings(_matrix(spark, sf_dir), events))
@@ -265,6 +291,19 @@ QUERIES = {
     "scale_inference": (scale_inference, _SCALE),
     "log_when_linear": (log_when_linear, _LOG),
     "qc_findings": (qc_findings, _QC),
+    "qc_planted": (
+        qc_planted,
+        """WITH s AS (SELECT c_custkey % 8 AS k, c_custkey // 8 AS turn FROM customer),
+n AS (SELECT CASE WHEN k = 7 THEN 'tiny' || (turn % 20) ELSE 'q' || k END AS cohort_id, any_value(k) AS k, count(*) AS n,
+  count(*) FILTER (k <> 2) AS scored,
+  count(*) FILTER (CASE k WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN turn % 40 = 0 ELSE turn % 2 = 1 END) AS ev FROM s GROUP BY 1)
+SELECT cohort_id, 'FAIL' AS level, 'n_samples' AS code FROM n WHERE n < 30
+UNION ALL SELECT cohort_id, 'WARN', 'scale' FROM n WHERE k = 1
+UNION ALL SELECT cohort_id, 'FAIL', 'flat_samples' FROM n WHERE k = 0
+UNION ALL SELECT cohort_id, 'FAIL', 'endpoint_missing' FROM n WHERE scored = 0
+UNION ALL SELECT cohort_id, CASE WHEN ev >= 10 THEN 'WARN' ELSE 'FAIL' END, 'event_count' FROM n WHERE ev < 20 AND scored > 0
+UNION ALL SELECT cohort_id, 'FAIL', 'event_rate' FROM n WHERE scored > 0 AND ev * 1e0 / scored >= 0.85""",
+    ),
     "qc_verdict": (qc_verdict, _QC_VERDICT),
     "qc_coverage": (qc_coverage, _QC_COVERAGE),
     "expectation_check": (expectation_check, _EXPECT),

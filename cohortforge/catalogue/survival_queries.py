@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortforge.catalogue import survival_sql as S
@@ -16,11 +16,13 @@ from cohortforge.plans import standins
 from cohortforge.sources import store
 
 OUTER, INNER, REPEATS = 3, 2, 2
-CV_GENES = [f"Brand#{i}" for i in range(1, 5)]
+CV_GENES = [f"Brand#{i}" for i in range(1, 21)]
+# The elastic net's moments grow with the square of its features.
+NET_GENES = CV_GENES[:4]
 DRAWS = 50
 NET_GRID = [(0, 0.2, 0.9), (1, 0.05, 0.9), (2, 0.05, 0.5), (3, 0.01, 0.5)]
-# Candidate composites: first two, first three, all four features.
-CANDIDATES = [(k, g) for k, n in enumerate((2, 3, 4)) for g in CV_GENES[:n]]
+# Candidate composites over growing parts of the signature.
+CANDIDATES = [(k, g) for k, n in enumerate((5, 12, 20)) for g in CV_GENES[:n]]
 
 
 def _rounded(df: DataFrame, keep: list[str], measures: list[str]) -> DataFrame:
@@ -65,9 +67,16 @@ def reference_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _halves(spark, sf_dir)
-    held = cells.filter("NOT train").select("cohort_id", "sample_id").distinct()
-    return scaler.leakage(cells, held).select("cohort_id", F.col("unchanged").cast("int").alias("unchanged"))
+    """The cross-validation path with held-out values moved, and a control that fits on them."""
+    cells = written(_halves(spark, sf_dir), "halves")
+    role = F.when(F.col("train"), "train").otherwise("test")
+    roles = written(cells.select("cohort_id", "sample_id", role.alias("role")).distinct(), "half-roles")
+    matrix = cells.select("cohort_id", "gene", "sample_id", "value")
+    honest = crossval.leakage(matrix, roles, ["cohort_id"])
+    control = crossval.leakage(matrix, roles, ["cohort_id"], fit_on=("train", "test"))
+    return honest.join(control.select("cohort_id", F.col("unchanged").alias("_control")), "cohort_id").select(
+        "cohort_id", "n_train", F.col("unchanged").cast("int").alias("unchanged"), F.col("_control").cast("int").alias("control_unchanged")
+    )
 
 
 # Frozen-model inference ------------------------------------------------------------
@@ -119,10 +128,19 @@ def training_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by vector class, one for each error code."""
     model, constants = _model(spark, sf_dir)
-    return inference.rejects(inference.assess(_requests(spark, sf_dir), model, constants)).select(
-        "sample_id", "error_code"
-    )
+    k = F.col("sample_id").cast("long") % 11
+    cells = _requests(spark, sf_dir).withColumn("batch_id", F.concat(F.lit("b"), k.cast("string"))).withColumn("sample_pos", F.lit(0))
+    twice = cells.filter(k == 8).withColumn("sample_pos", F.lit(1))
+    more = cells.filter((k == 9) & (F.col("gene") == "d01")).withColumn("gene", F.lit("beyond"))
+    huge = F.when((k == 10) & (F.col("gene") == "d05"), 1e300).otherwise(F.col("value"))
+    cells = written(cells.unionByName(twice).unionByName(more).withColumn("value", huge), "requests")
+    wanted = F.when(F.col("batch_id") == "b7", "nobody").otherwise("dense20")
+    requests = cells.select("batch_id").distinct().withColumn("model_id", wanted)
+    size = standins.dense_expression(spark, sf_dir).select("gene").distinct().count()
+    out = inference.assess(cells, model, constants, requests, max_genes=size)
+    return inference.rejects(out).select("sample_id", "error_code")
 
 
 def matrix_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,12 +294,44 @@ def nested_cv_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, ["repeat", "fold", "n_train", "n_test"], ["coefficient", "c_index"])
 
 
+def cv_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohorts with equal sample ids: one as it is, one rescaled, one with a constant gene."""
+    population, matrix, plan = _cv_inputs(spark, sf_dir)
+    named = F.explode(F.array(*[F.lit(c) for c in "abc"]))
+    value = (
+        F.when(F.col("cohort_id") == "b", 7 + 3 * F.col("value"))
+        .when((F.col("cohort_id") == "c") & (F.col("gene") == CV_GENES[0]), 1.0)
+        .otherwise(F.col("value"))
+    )
+    many = matrix.withColumn("cohort_id", named).withColumn("value", value)
+    out = crossval.fixed_signature_cv(
+        written(many, "cohorts-matrix"), population.withColumn("cohort_id", named), written(plan.withColumn("cohort_id", named), "cohorts-plan")
+    )["folds"]
+    return _rounded(out, ["cohort_id", "repeat", "fold", "error"], ["coefficient", "c_index"])
+
+
+def cox_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key for each reason to refuse a fit, and one that is fitted."""
+    k = F.col("sample_id").cast("long") % 8
+    first = F.row_number().over(Window.partitionBy("cohort_id").orderBy("sample_id")) == 1
+    rows = _population(spark, sf_dir).withColumn("cohort_id", F.concat(F.lit("k"), k.cast("string")))
+    rows = rows.withColumn("_first", first).filter((k != 4) | F.col("_first"))
+    rows = (
+        rows.withColumn("score", F.when(k == 0, 2.0).when(k == 5, F.lit(None)).otherwise(F.col("c_acctbal")))
+        .withColumn("score", F.when((k == 1) & F.col("_first"), float("inf")).otherwise(F.col("score")))
+        .withColumn("score", F.when(k == 6, F.signum("c_acctbal")).otherwise(F.col("score")))
+        .withColumn("event", F.when((k == 2) & F.col("_first"), 2).otherwise(F.col("event")))
+        .withColumn("time_months", F.when((k == 3) & F.col("_first"), 0.0).otherwise(F.col("time_months")))
+    )
+    return cox.per_sd(rows, ["cohort_id"]).select("cohort_id", "error")
+
+
 def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composites over growing gene sets, chosen by mean inner C."""
     population, matrix, plan = _cv_inputs(spark, sf_dir)
     keys = ["cohort_id", "repeat", "fold", "inner_fold"]
     roles = crossval.inner_partitions(plan, INNER)
-    cells = matrix.select("gene", "sample_id", "value").join(roles, "sample_id")
+    cells = crossval.cells_of(matrix, roles)
     fitted = scaler.fit(cells.filter(F.col("role") == "train"), keys)
     sets = literal_rows(spark, CANDIDATES, "candidate int, gene string")
     risks = (
@@ -290,7 +340,7 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(sets, "gene")
         .groupBy(*keys, "candidate", "sample_id")
         .agg(F.avg((F.col("value") - F.col("mean")) / F.col("sd")).alias("risk"))
-        .join(population.select("sample_id", "time_months", "event"), "sample_id")
+        .join(population.select("cohort_id", "sample_id", "time_months", "event"), ["cohort_id", "sample_id"])
     )
     inner = concordance.harrell(risks, [*keys, "candidate"])
     out = crossval.select_candidates(inner, ["repeat", "fold"], INNER)
@@ -302,7 +352,7 @@ def _fold_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, matrix, plan = _cv_inputs(spark, sf_dir)
     train = plan.filter(F.col("role") == "train")
     diff = F.avg(F.when(F.col("event") == 1, F.col("value"))) - F.avg(F.when(F.col("event") == 0, F.col("value")))
-    effects = matrix.select("gene", "sample_id", "value").join(train, "sample_id").groupBy(
+    effects = crossval.cells_of(matrix, train).groupBy(
         "repeat", "fold", F.col("gene").alias("feature")
     ).agg(diff.alias("d"))
     return effects.withColumn("coefficient", F.when(F.abs("d") < 0.2, 0.0).otherwise(F.col("d")))
@@ -319,7 +369,8 @@ def coefficient_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coxnet_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     population, matrix, plan = _cv_inputs(spark, sf_dir)
     grid = literal_rows(spark, NET_GRID, "candidate int, alpha double, l1_ratio double")
-    out = crossval.penalised_cv(matrix, population, plan, CV_GENES, grid, INNER)
+    matrix = matrix.filter(F.col("gene").isin(NET_GENES))
+    out = crossval.penalised_cv(matrix, population, plan, NET_GENES, grid, INNER)
     chosen = out["selected"].select("repeat", "fold", "candidate", "mean_c")
     sizes = out["coefficients"].groupBy("repeat", "fold").agg(
         F.count_if(F.col("coefficient") != 0).alias("n_selected")
@@ -333,13 +384,13 @@ def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation drops of an equal-weight composite on frozen training statistics."""
     population, matrix, plan = _cv_inputs(spark, sf_dir)
     keys = ["repeat", "fold"]
-    cells = matrix.select("gene", "sample_id", "value").join(plan.select(*keys, "sample_id", "role"), "sample_id")
+    cells = crossval.cells_of(matrix, plan.select("cohort_id", *keys, "sample_id", "role"))
     fitted = scaler.fit(cells.filter(F.col("role") == "train"), keys)
     features = cells.filter(F.col("role") == "test").join(fitted, [*keys, "gene"]).select(
         *keys, "sample_id", "gene", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z")
     )
     features = written(features, "importance-features")
-    weights = features.select(*keys, "gene").distinct().withColumn("coefficient", F.lit(0.25))
+    weights = features.select(*keys, "gene").distinct().withColumn("coefficient", F.lit(0.05))
     return resample.permutation_drops(features, population, weights, keys, 2)
 
 
@@ -349,7 +400,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def importance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample.importance_rollup(_drops(spark, sf_dir))
-    return _rounded(out, ["gene"], ["mean", "sd", "median", "min", "max", "fraction_folds_positive"])
+    return _rounded(out, ["gene", "rank"], ["mean", "sd", "median", "min", "max", "fraction_folds_positive"])
 
 
 def importance_rank_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +454,9 @@ FROM s"""
 _REJECTS = """
 SELECT CAST(vec_id AS VARCHAR) AS sample_id,
        CASE vec_id % 11 WHEN 3 THEN 'MISSING_REQUIRED_GENES' WHEN 4 THEN 'NONFINITE_EXPRESSION'
-            WHEN 5 THEN 'INCOMPATIBLE_EXPRESSION_TYPE' ELSE 'DUPLICATE_REQUIRED_GENES' END AS error_code
-FROM embeddings WHERE vec_id % 11 IN (3, 4, 5, 6)"""
+            WHEN 5 THEN 'INCOMPATIBLE_EXPRESSION_TYPE' WHEN 6 THEN 'DUPLICATE_REQUIRED_GENES' WHEN 7 THEN 'MODEL_NOT_FOUND'
+            WHEN 8 THEN 'DUPLICATE_SAMPLE_IDS' WHEN 9 THEN 'REQUEST_TOO_LARGE' ELSE 'INVALID_MATRIX' END AS error_code
+FROM embeddings WHERE vec_id % 11 >= 3"""
 
 _SHAPES = """
 WITH c AS (SELECT 'b' || (l_orderkey % 1000) AS batch_id, 'Brand#' || (l_partkey % 3) AS gene,
@@ -512,7 +564,7 @@ src AS (SELECT cohort_id, signature, time_months, event, CASE WHEN score <= q1 T
 
 _CV = f"""{X1}, {X6}, {_POP}, {S.tested(OUTER, REPEATS)}, {S.roles(OUTER, INNER)},
 grid AS (SELECT pop.sample_id, g.gene, coalesce(x1.value, 0) AS value
-         FROM pop CROSS JOIN (SELECT unnest([{S.brands(4)}]) AS gene) g
+         FROM pop CROSS JOIN (SELECT unnest([{S.brands(20)}]) AS gene) g
          LEFT JOIN x1 ON x1.sample_id = pop.sample_id AND x1.gene = g.gene)"""
 
 _NESTED = f"""WITH {_CV},
@@ -529,6 +581,16 @@ sz AS (SELECT repeat, fold, count(*) FILTER (role = 'train') AS n_train, count(*
 SELECT repeat, fold, n_train, n_test, {r('coefficient')} AS coefficient, {r('c_index')} AS c_index
 FROM sz JOIN cx_fit USING (repeat, fold) JOIN conc USING (repeat, fold)"""
 
+_COHORTS = f"""SELECT c AS cohort_id, repeat, fold, CASE WHEN c = 'c' THEN 'constant_training_gene' END AS error,
+       CASE WHEN c <> 'c' THEN coefficient END AS coefficient, CASE WHEN c <> 'c' THEN c_index END AS c_index
+FROM ({_NESTED}), (SELECT unnest(['a', 'b', 'c']) AS c)"""
+
+_COX_REFUSALS = f"""WITH {X6}, {_POP}
+SELECT DISTINCT 'k' || (CAST(sample_id AS BIGINT) % 8) AS cohort_id,
+       CASE CAST(sample_id AS BIGINT) % 8 WHEN 0 THEN 'constant_score' WHEN 1 THEN 'score_not_finite' WHEN 2 THEN 'event_not_0_1'
+            WHEN 3 THEN 'time_not_positive' WHEN 4 THEN 'constant_score' WHEN 5 THEN 'score_missing' WHEN 6 THEN 'few_distinct_values' END AS error
+FROM pop"""
+
 _CANDIDATE_ROWS = ", ".join(f"({k}, '{g}')" for k, g in CANDIDATES)
 _CANDIDATE = f"""WITH {_CV}, cand(candidate, gene) AS (SELECT * FROM (VALUES {_CANDIDATE_ROWS})),
 inn AS (SELECT repeat, fold, i.inner_fold AS inner_fold, sample_id, event, time_months, roles.inner_fold = i.inner_fold AS val
@@ -556,7 +618,7 @@ FROM c GROUP BY 1"""
 _DROPS = f"""WITH {_CV},
 cells AS (SELECT repeat, fold, role, sample_id, gene, value FROM roles JOIN grid USING (sample_id)),
 st AS (SELECT repeat, fold, gene, avg(value) AS m, stddev_samp(value) AS s FROM cells WHERE role = 'train' GROUP BY 1, 2, 3),
-part AS MATERIALIZED (SELECT repeat, fold, sample_id, gene, 0.25e0 * (value - m) / s AS part FROM cells JOIN st USING (repeat, fold, gene) WHERE role = 'test'),
+part AS MATERIALIZED (SELECT repeat, fold, sample_id, gene, 0.05e0 * (value - m) / s AS part FROM cells JOIN st USING (repeat, fold, gene) WHERE role = 'test'),
 base AS (SELECT repeat, fold, sample_id, sum(part) AS risk FROM part GROUP BY 1, 2, 3),
 wr AS (SELECT repeat, fold, time_months, event, risk FROM base JOIN pop USING (sample_id)),
 {S.concordance('wr', 'repeat, fold', 'whole')},
@@ -573,7 +635,8 @@ drops AS (SELECT perm.repeat, perm.fold, gene, permutation, whole.c_index - perm
 byf AS (SELECT repeat, fold, gene, avg(c_drop) AS c_drop FROM drops GROUP BY 1, 2, 3)"""
 
 _ROLLUP = f"""{_DROPS}
-SELECT gene, {r('avg(c_drop)')} AS mean, {r('stddev_samp(c_drop)')} AS sd, {r('median(c_drop)')} AS median, {r('min(c_drop)')} AS min,
+SELECT gene, CAST(row_number() OVER (ORDER BY round(avg(c_drop), 9) DESC, gene) AS INT) AS rank,
+       {r('avg(c_drop)')} AS mean, {r('stddev_samp(c_drop)')} AS sd, {r('median(c_drop)')} AS median, {r('min(c_drop)')} AS min,
        {r('max(c_drop)')} AS max, {r('avg(CAST(c_drop > 0 AS DOUBLE))')} AS fraction_folds_positive FROM byf GROUP BY 1"""
 
 _RANK = f"""{_DROPS},
@@ -588,7 +651,7 @@ QUERIES = {
     ),
     "reference_score": (reference_score, _REFERENCE),
     "reference_identity": (reference_identity, _IDENTITY),
-    "leakage_check": (leakage_check, f"WITH {_HALF} SELECT DISTINCT scaler_id AS cohort_id, 1 AS unchanged FROM sc"),
+    "leakage_check": (leakage_check, f"WITH {_HALF} SELECT cohort_id, n_fit AS n_train, 1 AS unchanged, 0 AS control_unchanged FROM sizes"),
     "frozen_predict": (frozen_predict, _PREDICT),
     "training_percentile": (
         training_percentile,
@@ -612,6 +675,8 @@ QUERIES = {
     "cox_quartile": (cox_quartile, _QUARTILE),
     "cox_multivariable": (cox_multivariable, None),
     "nested_cv_fixed": (nested_cv_fixed, _NESTED),
+    "cv_cohorts": (cv_cohorts, _COHORTS),
+    "cox_refusals": (cox_refusals, _COX_REFUSALS),
     "candidate_selection": (candidate_selection, _CANDIDATE),
     "coefficient_stability": (coefficient_stability, _STABILITY),
     "coxnet_grid": (coxnet_grid, None),

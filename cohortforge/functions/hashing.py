@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Populations up to this size are hashed as one sorted list; larger ones as a
-# list of bucket digests, so that no task ever holds more ids than this.
-POPULATION_LIST_MAX = 1_000_000
+# Buckets of the tree form of a population hash.
 POPULATION_BUCKETS = 4096
 
 
@@ -25,43 +23,35 @@ def population_hash(
     samples: DataFrame,
     by: list[str],
     sample: str = "sample_id",
-    list_max: int = POPULATION_LIST_MAX,
+    form: str = "list",
     out: str = "population_hash",
 ) -> DataFrame:
-    """Hash of the set of sample ids per group.
+    """Hash of the set of sample ids per group, in the form its caller names.
 
-    Up to ``list_max`` ids: SHA-256 of the newline-joined sorted ids.  Beyond it
-    the ids are spread over hash buckets, each bucket is hashed on its own and
-    the group hash covers the ordered bucket digests, tagged ``sha256-tree:``.
-    Every id takes part either way.
+    ``list``: SHA-256 of the newline-joined sorted ids, as published; the ids of a
+    group are then one value.  ``tree``: ids are spread over hash buckets, each bucket
+    is hashed on its own, and the group hash covers the ordered bucket digests, tagged
+    ``sha256-tree:``; for populations too large for one value.  The form never
+    depends on the size, so an identity keeps its scheme as samples join.
     """
     distinct = samples.select(*by, F.col(sample).cast("string").alias("_id")).distinct()
+    if form == "list":
+        return (
+            distinct.groupBy(*by)
+            .agg(F.count(F.lit(1)).alias("n_samples"), F.array_sort(F.collect_list("_id")).alias("_ids"))
+            .select(*by, "n_samples", tagged_sha(F.array_join("_ids", "\n")).alias(out))
+        )
+    if form != "tree":
+        raise ValueError(f"unknown form {form!r}, choose list or tree")
+    bucket = F.pmod(F.xxhash64("_id"), F.lit(POPULATION_BUCKETS)).cast("int")
     parts = (
-        distinct.withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.lit(POPULATION_BUCKETS)).cast("int"))
-        .groupBy(*by, "_bucket")
-        .agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
-        .withColumn("_n", F.sum(F.size("_ids").cast("long")).over(Window.partitionBy(*by)))
-        .withColumn("_digest", F.sha2(F.array_join("_ids", "\n"), 256))
-        .withColumn("_kept", F.when(F.col("_n") <= list_max, F.col("_ids")))
-    )
-    joined = parts.groupBy(*by).agg(
-        F.max("_n").alias("n_samples"),
-        F.flatten(F.collect_list("_kept")).alias("_flat"),
-        F.array_sort(
-            F.collect_list(
-                F.when(F.col("_n") > list_max, F.struct("_bucket", "_digest"))
-            )
-        ).alias("_tree"),
-    )
-    listed = tagged_sha(F.array_join(F.array_sort("_flat"), "\n"))
-    tree = F.concat(
-        F.lit("sha256-tree:"), F.sha2(F.array_join(F.col("_tree._digest"), "\n"), 256)
-    )
-    return joined.select(
-        *by,
-        "n_samples",
-        F.when(F.col("n_samples") <= list_max, listed).otherwise(tree).alias(out),
+        distinct.groupBy(*by, bucket.alias("_bucket"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_id")), "\n"), 256).alias("_digest"))
+        .groupBy(*by)
+        .agg(F.sum("_n").alias("n_samples"), F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))).alias("_tree"))
     )
+    digest = F.sha2(F.array_join(F.col("_tree._digest"), "\n"), 256)
+    return parts.select(*by, "n_samples", F.concat(F.lit("sha256-tree:"), digest).alias(out))
 
 
 def signature_checksum(signatures: DataFrame, by: str = "signature") -> DataFrame:

@@ -330,17 +330,48 @@ def tidy(fitted: DataFrame, keys: list[str], model: str, a: int = 0) -> DataFram
     )
 
 
-def _univariable(rows: DataFrame, keys: list[str], value: str, model: str) -> DataFrame:
-    """Fit, tidy and concordance of one prepared covariate; refused keys become error rows."""
-    narrow = rows.select(*keys, "time_months", "event", F.col(value).alias("_x")).filter(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
+def unusable_scores(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys whose score cannot be fitted at all, with the reason."""
+    v = F.col(value).cast("double")
+    checks = rows.groupBy(*keys).agg(
+        F.count(v).alias("_some"),
+        F.count_if(F.abs(v) == float("inf")).alias("_infinite"),
+        F.min(F.when(~F.isnan(v), v)).alias("_lo"),
+        F.max(F.when(~F.isnan(v), v)).alias("_hi"),
+    )
+    code = (
+        F.when(F.col("_infinite") > 0, "score_not_finite")
+        .when(F.col("_lo").isNull(), "score_missing")
+        .when(F.col("_lo") == F.col("_hi"), "constant_score")
     )
-    refused = invalid_requests(narrow, keys).select(*keys, "error")
-    flat = too_uniform(narrow, keys, "_x") if model != "quartile" else None
-    if flat is not None:
-        refused = refused.unionByName(flat.join(refused, keys, "left_anti"))
-    refused = written(refused, "cox-refused")
-    usable = written(narrow.join(refused.select(*keys), keys, "left_anti"), "cox-usable")
+    return checks.withColumn("error", code).filter(F.col("error").isNotNull()).select(*keys, "error")
+
+
+def _refusals(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One error per key: that of the first table that names it."""
+    out = None
+    for n, part in enumerate(parts):
+        ranked = part.select(*keys, F.struct(F.lit(n).alias("n"), "error").alias("_e"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return written(out.groupBy(*keys).agg(F.min("_e")["error"].alias("error")), "cox-refused")
+
+
+def _univariable(rows: DataFrame, keys: list[str], value: str, model: str, scaled: bool = False) -> DataFrame:
+    """Fit, tidy and concordance of one covariate; every key of ``rows`` has a row.
+
+    Keys that are refused, and keys whose fit does not converge, are error rows.
+    ``scaled`` standardises the covariate over the rows that are fitted.
+    """
+    narrow = rows.select(*keys, "time_months", "event", F.col(value).alias("_x"))
+    complete = narrow.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    parts = [unusable_scores(narrow, keys, "_x"), invalid_requests(complete, keys).select(*keys, "error")]
+    if model != "quartile":
+        parts.append(too_uniform(complete, keys, "_x"))
+    refused = _refusals(parts, keys)
+    usable = complete.join(refused.select(*keys), keys, "left_anti")
+    if scaled:
+        usable = standardise(usable, keys, ["_x"])
+    usable = written(usable, "cox-usable")
     fitted = fit(usable, keys, ["_x"])
     table = tidy(fitted, keys, model)
     risk = usable.join(table.select(*keys, "coefficient"), keys).withColumn(
@@ -349,12 +380,20 @@ def _univariable(rows: DataFrame, keys: list[str], value: str, model: str) -> Da
     table = table.join(harrell(risk, keys).select(*keys, "c_index"), keys, "left").withColumn(
         "error", F.when(~F.col("converged"), "not_converged")
     )
-    return table.unionByName(refused.withColumn("model", F.lit(model)), allowMissingColumns=True)
+    table = table.unionByName(refused.withColumn("model", F.lit(model)), allowMissingColumns=True)
+    return _every_key(table, rows, keys, model)
+
+
+def _every_key(table: DataFrame, rows: DataFrame, keys: list[str], model: str) -> DataFrame:
+    """Add an error row for each key of ``rows`` that has none yet."""
+    lost = rows.select(*keys).distinct().join(table.select(*keys), keys, "left_anti")
+    lost = lost.withColumn("model", F.lit(model)).withColumn("error", F.lit("not_fitted"))
+    return table.unionByName(lost, allowMissingColumns=True)
 
 
 def per_sd(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Hazard ratio per standard deviation of the score, per key."""
-    return _univariable(standardise(rows, keys, [score]), keys, score, "per_sd")
+    return _univariable(rows, keys, score, "per_sd", scaled=True)
 
 
 def frozen(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -363,7 +402,12 @@ def frozen(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
 
 
 def quartile(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """Top against bottom quartile; the middle half is left out."""
+    """Top against bottom quartile; the middle half is left out.
+
+    A key with an infinite, missing or constant score is an error row.
+    """
+    bad = written(unusable_scores(rows, keys, score), "cox-unusable")
+    asked, rows = rows, rows.join(bad.select(*keys), keys, "left_anti")
     cuts = exact_quantiles(rows, keys, score, {"_q1": 0.25, "_q3": 0.75})
     group = F.when(F.col(score) <= F.col("_q1"), 0.0).when(F.col(score) >= F.col("_q3"), 1.0)
     grouped = rows.join(cuts, keys).withColumn("_top", group).filter(F.col("_top").isNotNull())
@@ -378,17 +422,25 @@ def quartile(rows: DataFrame, keys: list[str], score: str = "score") -> DataFram
         *keys, F.lit("single_quartile_group").alias("error")
     )
     fits = _univariable(grouped.join(single, keys, "left_anti"), keys, "_top", "quartile")
-    every = fits.unionByName(single.withColumn("model", F.lit("quartile")), allowMissingColumns=True)
+    refused = single.unionByName(bad).withColumn("model", F.lit("quartile"))
+    every = _every_key(fits.unionByName(refused, allowMissingColumns=True), asked, keys, "quartile")
     return every.join(sizes, keys, "left")
 
 
 def multivariable(rows: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
-    """All terms in one scaled model, complete cases only; one row per key and term."""
-    scaled = standardise(rows.select(*keys, "time_months", "event", *terms), keys, terms)
+    """All terms in one scaled model, complete cases only; one row per key and term.
+
+    A key with an infinite, missing or constant term, or too few complete cases, is one
+    error row; a fit that does not converge keeps its rows, marked.
+    """
+    complete = rows.select(*keys, "time_months", "event", *terms)
     for term in terms:
-        scaled = scaled.filter(F.col(term).isNotNull() & ~F.isnan(term))
-    refused = written(invalid_requests(scaled, keys).select(*keys, "error"), "cox-refused")
-    usable = written(scaled.join(refused.select(*keys), keys, "left_anti"), "cox-usable")
+        complete = complete.filter(F.col(term).isNotNull() & ~F.isnan(term))
+    parts = [unusable_scores(rows, keys, term) for term in terms]
+    parts += [invalid_requests(complete, keys).select(*keys, "error")]
+    refused = _refusals([*parts, *[unusable_scores(complete, keys, term) for term in terms]], keys)
+    usable = complete.join(refused.select(*keys), keys, "left_anti")
+    usable = written(standardise(usable, keys, terms), "cox-usable")
     fitted = written(fit(usable, keys, terms), "cox-fitted")
     risk = usable.join(fitted.select(*keys, "beta"), keys)
     total = F.lit(0.0)
@@ -402,4 +454,6 @@ def multivariable(rows: DataFrame, keys: list[str], terms: list[str]) -> DataFra
     out = out.join(c, keys, "left").withColumn(
         "few_events_per_term", F.col("n_events") < 5 * len(terms)
     )
-    return out.unionByName(refused.withColumn("model", F.lit("multivariable")), allowMissingColumns=True)
+    out = out.withColumn("error", F.when(~F.col("converged"), "not_converged"))
+    out = out.unionByName(refused.withColumn("model", F.lit("multivariable")), allowMissingColumns=True)
+    return _every_key(out, rows, keys, "multivariable")

@@ -39,16 +39,26 @@ def contract_problems(matrix: DataFrame, outcomes: DataFrame, genes: list[str],
     return per_sample.unionByName(lacking)
 
 
-def partition_scores(matrix: DataFrame, roles: DataFrame, keys: list[str]) -> DataFrame:
+def cells_of(matrix: DataFrame, roles: DataFrame) -> DataFrame:
+    """Matrix cells of every sample with a role, matched within its own cohort."""
+    on = [c for c in roles.columns if c in matrix.columns and c not in ("gene", "value")]
+    return matrix.select(*on, "gene", "value").join(roles, on)
+
+
+def partition_scores(
+    matrix: DataFrame, roles: DataFrame, keys: list[str], fit_on: tuple[str, ...] = ("train",)
+) -> DataFrame:
     """Standardise every partition by its own training rows only.
 
     ``roles`` has (keys, sample_id, role, ...) with roles ``train`` and ``test``;
     the result adds ``raw`` (mean frozen z) and ``score`` (the composite, scaled
     by the training composite's mean and sd).  Partitions with a constant
     training gene or composite are left out (see ``partition_problems``).
+    ``fit_on`` other than the training rows is a leak; it serves as the negative
+    control of ``leakage``.
     """
-    cells = matrix.select("gene", "sample_id", "value").join(roles.select(*keys, "sample_id", "role"), "sample_id")
-    fitted = written(scaler.fit(cells.filter(F.col("role") == "train"), keys), "cv-scaler")
+    cells = cells_of(matrix, roles.select(*keys, "sample_id", "role"))
+    fitted = written(scaler.fit(cells.filter(F.col("role").isin(*fit_on)), keys), "cv-scaler")
     bad = scaler.degenerate_genes(fitted, keys).select(*keys).distinct()
     good = fitted.join(bad, keys, "left_anti")
     raw = (
@@ -57,7 +67,7 @@ def partition_scores(matrix: DataFrame, roles: DataFrame, keys: list[str]) -> Da
         .agg(F.avg((F.col("value") - F.col("mean")) / F.col("sd")).alias("raw"))
     )
     raw = written(raw, "cv-raw")
-    composite = raw.filter(F.col("role") == "train").groupBy(*keys).agg(
+    composite = raw.filter(F.col("role").isin(*fit_on)).groupBy(*keys).agg(
         F.avg("raw").alias("composite_mean"), F.stddev_samp("raw").alias("composite_sd")
     ).filter(F.col("composite_sd") > scaler.MIN_SD)
     return raw.join(composite, keys).withColumn(
@@ -67,14 +77,41 @@ def partition_scores(matrix: DataFrame, roles: DataFrame, keys: list[str]) -> Da
 
 def partition_problems(matrix: DataFrame, roles: DataFrame, keys: list[str]) -> DataFrame:
     """Partitions that cannot be fitted: a training gene without spread."""
-    cells = matrix.select("gene", "sample_id", "value").join(
-        roles.filter(F.col("role") == "train").select(*keys, "sample_id"), "sample_id"
-    )
+    cells = cells_of(matrix, roles.filter(F.col("role") == "train").select(*keys, "sample_id"))
     return scaler.degenerate_genes(scaler.fit(cells, keys), keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_constant_genes")
     )
 
 
+def leakage(
+    matrix: DataFrame,
+    roles: DataFrame,
+    keys: list[str],
+    shift: float = 1000.0,
+    fit_on: tuple[str, ...] = ("train",),
+) -> DataFrame:
+    """Whether held-out values reach the training scores, per partition.
+
+    Runs the cross-validation path twice, once with every second held-out cell moved by ``shift``,
+    and compares the training rows' scores: (keys, n_train, unchanged).
+    """
+    test = roles.filter(F.col("role") == "test").select(*keys, "sample_id", F.lit(shift).alias("_shift"))
+    on = [c for c in test.columns if c in matrix.columns]
+    odd = F.pmod(F.xxhash64("sample_id"), F.lit(2)).cast("double")
+    moved = matrix.join(test.select(*on, "_shift").distinct(), on, "left").withColumn(
+        "value", F.col("value") + F.coalesce("_shift", F.lit(0.0)) * odd
+    ).drop("_shift")
+    # The shifted matrix must hold the training values of the partition it is compared on.
+    plain = partition_scores(matrix, roles, keys, fit_on).filter(F.col("role") == "train")
+    other = partition_scores(moved, roles, keys, fit_on).filter(F.col("role") == "train")
+    both = plain.select(*keys, "sample_id", F.col("score").alias("_a")).join(
+        other.select(*keys, "sample_id", F.col("score").alias("_b")), [*keys, "sample_id"]
+    )
+    return both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_train"), (F.max(F.abs(F.col("_a") - F.col("_b"))) < 1e-9).alias("unchanged")
+    )
+
+
 def fixed_signature_cv(
     matrix: DataFrame, outcomes: DataFrame, plan: DataFrame, by: str = "cohort_id"
 ) -> dict[str, DataFrame]:
@@ -82,7 +119,8 @@ def fixed_signature_cv(
 
     Returns ``folds``, ``predictions`` and ``scaler`` tables.  ``matrix`` holds
     the signature genes only; ``outcomes`` has (cohort, sample_id, time_months,
-    event).
+    event).  ``folds`` has a row for every planned fold; one that could not be fitted
+    or scored says why in ``error``.
     """
     keys = [by, "repeat", "fold"]
     roles = plan.select(*keys, "sample_id", "role")
@@ -104,9 +142,21 @@ def fixed_signature_cv(
         F.count_if(F.col("role") == "test").alias("n_test"),
         F.count_if((F.col("role") == "test") & (F.col("event") == 1)).alias("n_test_events"),
     )
+    constant = partition_problems(matrix, roles, keys)
+    error = (
+        F.when(F.col("n_constant_genes") > 0, "constant_training_gene")
+        .when(F.col("n_train").isNull(), "no_usable_composite")
+        .when(F.col("coefficient").isNull(), "not_converged")
+        .when(F.col("c_index").isNull(), "no_comparable_pairs")
+    )
     folds = (
-        sizes.join(models, keys)
+        roles.select(*keys).distinct()
+        .join(sizes, keys, "left")
+        .join(models, keys, "left")
         .join(harrell(predictions, keys).select(*keys, "comparable_pairs", "c_index"), keys, "left")
+        .join(constant, keys, "left")
+        .withColumn("error", error)
+        .drop("n_constant_genes")
     )
     frozen = scored.groupBy(*keys).agg(
         F.first("composite_mean").alias("composite_mean"), F.first("composite_sd").alias("composite_sd")
@@ -209,7 +259,7 @@ def _wide(
     matrix: DataFrame, outcomes: DataFrame, roles: DataFrame, keys: list[str], genes: list[str], by: str
 ) -> DataFrame:
     """Frozen-z features as columns, per partition and sample."""
-    cells = matrix.select("gene", "sample_id", "value").join(roles, "sample_id")
+    cells = cells_of(matrix, roles)
     fitted = written(scaler.fit(cells.filter(F.col("role") == "train"), keys), "net-scaler")
     z = cells.join(fitted.select(*keys, "gene", "mean", "sd"), [*keys, "gene"]).withColumn(
         "_z", F.coalesce(ratio(F.col("value") - F.col("mean"), F.col("sd")), F.lit(0.0))

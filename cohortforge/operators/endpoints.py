@@ -244,6 +244,17 @@ def filter_report(clinical: DataFrame, rules: list[dict], by: str = "cohort_id")
     return clinical.groupBy(by).agg(*aggs).select(by, F.inline(rows))
 
 
+def excluded_samples(clinical: DataFrame, rules: list[dict], by: str = "cohort_id") -> DataFrame:
+    """(cohort, sample_id, rule_no, reason) of every row a rule removes: the first one that does."""
+    no, why = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i in reversed(range(len(rules))):
+        fails = ~F.coalesce(_passes(rules[i]), F.lit(False))
+        no = F.when(fails, i + 1).otherwise(no)
+        why = F.when(fails, describe_rule(rules[i])).otherwise(why)
+    marked = clinical.withColumn("rule_no", no).withColumn("reason", why)
+    return marked.filter(F.col("rule_no").isNotNull()).select(by, "sample_id", "rule_no", "reason")
+
+
 def filter_problems(clinical: DataFrame, rules: list[dict], by: str = "cohort_id") -> DataFrame:
     """Rules that name a column a cohort lacks, or that remove its last sample."""
     named = clinical.groupBy(by).agg(
@@ -285,6 +296,21 @@ def check_cdr_endpoint(project: str, endpoint: str, allow_discouraged: bool = Fa
         raise ValueError(f"{endpoint} is advised against for {project}; override it deliberately")
 
 
+def endpoint_problems(requests: DataFrame) -> DataFrame:
+    """Requests (project, endpoint, allow_discouraged) that must be refused, with the problem.
+
+    The same rule as ``check_cdr_endpoint``, as a predicate over rows.
+    """
+    short = F.upper(F.replace(F.col("project"), F.lit("TCGA-"), F.lit("")))
+    advised = F.lit(False)
+    for project, endpoint in DISCOURAGED:
+        advised = advised | ((short == project) & (F.col("endpoint") == endpoint))
+    problem = F.when(~F.col("endpoint").isin(*CDR_ENDPOINTS), "unknown_endpoint").when(
+        advised & ~F.coalesce("allow_discouraged", F.lit(False)), "discouraged_endpoint"
+    )
+    return requests.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+
+
 def first_per_key(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """First row per key by an ordinal, as an aggregate rather than a window."""
     rest = [c for c in df.columns if c not in keys]

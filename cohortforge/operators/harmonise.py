@@ -75,11 +75,18 @@ def probe_map(annotation: DataFrame, multi: str = "drop", by: list[str] | None =
 
 
 def label_probes(matrix: DataFrame, probes: DataFrame) -> DataFrame:
-    """Attach the probe status; rows without a usable symbol keep a NULL gene."""
-    lookup = written(probes.select(F.col("probe").alias("feature"), "gene", "status"), "probes")
+    """Attach the probe status; rows without a usable symbol keep a NULL gene.
+
+    Where both tables name a ``platform``, a probe is looked up on its own platform.
+    A probe that the annotation lists several times has the smallest of its symbols.
+    """
+    on = ["platform", "feature"] if {"platform"} <= {*matrix.columns} & {*probes.columns} else ["feature"]
+    named = probes.withColumn("feature", F.trim("probe"))
+    order = F.struct(F.col("gene").isNull().alias("none"), "gene", "status")
+    lookup = named.groupBy(*on).agg(F.min(order).alias("_p")).select(*on, "_p.gene", "_p.status")
     return (
         matrix.withColumn("feature", F.trim("feature"))
-        .join(lookup, "feature", "left")
+        .join(written(lookup, "probes"), on, "left")
         .withColumn("status", F.coalesce("status", F.lit("unmapped")))
     )
 
@@ -99,7 +106,8 @@ def probe_report(matrix: DataFrame, probes: DataFrame, by: str = "cohort_id") ->
 
     A cohort with no mapped row is flagged: its matrix is from another platform.
     """
-    rows = label_probes(matrix.select(by, "feature").distinct(), probes)
+    named = [c for c in (by, "platform", "feature") if c in matrix.columns]
+    rows = label_probes(matrix.select(*named).distinct(), probes)
     usable = F.col("gene").isNotNull()
     return (
         rows.groupBy(by)
@@ -197,22 +205,24 @@ def non_primary_samples(parsed: DataFrame) -> DataFrame:
 
 
 def to_patients(
-    cells: DataFrame, rule: str = "first", keys: list[str] | None = None
+    cells: DataFrame, rule: str = "first", keys: list[str] | None = None, by: str = "cohort_id"
 ) -> DataFrame:
     """Resolve several aliquots of a patient.
 
     ``cells`` has (keys, patient, barcode, value).  ``first`` keeps the lowest
-    barcode of each patient; ``mean`` averages the aliquots.
+    barcode of each patient; ``mean`` averages the aliquots.  A patient of two cohorts
+    (``by``, where the cells name it) is resolved in each of them.
     """
     extra = keys or []
+    cohort = [by] if by in cells.columns else []
     if rule == "mean":
         return cells.groupBy(*extra, "patient").agg(
             F.avg("value").alias("value"), F.countDistinct("barcode").alias("n_aliquots")
         )
     if rule != "first":
         raise ValueError(f"unknown aliquot rule {rule!r}")
-    chosen = cells.groupBy("patient").agg(F.min("barcode").alias("barcode"))
-    return cells.join(chosen, ["patient", "barcode"])
+    chosen = cells.groupBy(*cohort, "patient").agg(F.min("barcode").alias("barcode"))
+    return cells.join(chosen, [*cohort, "patient", "barcode"])
 
 
 def duplicated_patients(aliquots: DataFrame) -> DataFrame:

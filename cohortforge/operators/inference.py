@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import finite
+from cohortforge.functions.staging import written
 from cohortforge.operators.ordering import spread_totals
 
 # Public output columns and per-request error codes.
@@ -57,37 +58,52 @@ def rank_percentiles(scores: DataFrame, reference: DataFrame, keys: list[str]) -
     ).drop("cum__c", "_n")
 
 
-def _outputs(df: DataFrame) -> DataFrame:
-    """Composite score, linear predictor, hazard and percentile from ``_raw``."""
-    return (
-        df.withColumn("score", (F.col("_raw") - F.col("composite_mean")) / F.col("composite_sd"))
-        .withColumn("linear_predictor", F.col("score") * F.col("coefficient"))
-        .withColumn("relative_hazard", F.exp("linear_predictor"))
-        .withColumn("training_percentile", percentile_of(F.col("score"), F.col("score_reference")))
-    )
-
-
-def assess(matrix: DataFrame, model: DataFrame, scaler: DataFrame) -> DataFrame:
-    """Every (model, sample) with its prediction or its error code.
-
-    ``matrix`` has (sample_id, gene, value, expression_type); ``model`` follows
-    ``MODEL_SCHEMA``; ``scaler`` has (model_id, gene, mean, sd).  Genes beyond
-    the model's are ignored; a missing or non-finite one refuses the sample.
+def score_rows(model: DataFrame) -> DataFrame:
+    """Training scores of every model as rows (model_id, score)."""
+    return model.select("model_id", F.explode("score_reference").alias("score"))
+
+
+def assess(
+    matrix: DataFrame,
+    model: DataFrame,
+    scaler: DataFrame,
+    requests: DataFrame | None = None,
+    max_genes: int | None = None,
+    max_samples: int | None = None,
+) -> DataFrame:
+    """Every requested (batch, model, sample) with its prediction or its error code.
+
+    ``matrix`` has (sample_id, gene, value, expression_type) and, where it holds several
+    requests, ``batch_id``; ``requests`` (batch_id, model_id) then says which model each
+    of them asks for.  Without requests there is one batch, which asks for every model.
+    A ``sample_pos`` column tells columns of a batch apart, so that equal sample ids are
+    found.  ``model`` follows ``MODEL_SCHEMA``; ``scaler`` has (model_id, gene, mean, sd).
+    Genes beyond the model's are ignored; a missing or non-finite one refuses the sample.
+    ``max_genes`` and ``max_samples`` are limits of a request, none by default.
     """
-    samples = matrix.groupBy("sample_id").agg(
+    if "batch_id" not in matrix.columns:
+        if requests is not None:
+            raise ValueError("requests need a matrix with batch_id")
+        matrix = matrix.withColumn("batch_id", F.lit(""))
+        requests = model.select(F.lit("").alias("batch_id"), "model_id")
+    elif requests is None:
+        raise ValueError("a matrix with batch_id needs requests")
+    samples = matrix.groupBy("batch_id", "sample_id").agg(
         F.min("expression_type").alias("_type"),
         F.max("expression_type").alias("_type_max"),
         F.count_if(F.col("expression_type").isNull()).alias("_untyped"),
     )
     genes = scaler.groupBy("model_id").agg(F.countDistinct("gene").alias("_n_genes"))
-    constants = model.join(genes, "model_id")
-    listed = constants.agg(F.collect_list(F.struct(*constants.columns))).scalar()
-    every = samples.select("*", F.explode(listed).alias("_m")).select(*samples.columns, "_m.*")
+    # Scalar constants only: the training scores stay where they are until percentiles are ranked.
+    constants = model.drop("score_reference").join(genes, "model_id")
+    refused = _batch_refusals(matrix, max_genes, max_samples)
+    every = samples.join(requests, "batch_id").join(constants, "model_id", "left").join(refused, "batch_id", "left")
     value = F.col("value").try_cast("double")
     cells = (
-        matrix.select("sample_id", "gene", value.alias("value"))
-        .join(scaler.select("model_id", "gene", "mean", "sd"), "gene")
-        .groupBy("model_id", "sample_id")
+        matrix.select("batch_id", "sample_id", "gene", value.alias("value"))
+        .join(requests, "batch_id")
+        .join(scaler.select("model_id", "gene", "mean", "sd"), ["model_id", "gene"])
+        .groupBy("batch_id", "model_id", "sample_id")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             F.size(F.collect_set("gene")).alias("_present"),
@@ -95,8 +111,12 @@ def assess(matrix: DataFrame, model: DataFrame, scaler: DataFrame) -> DataFrame:
             F.sum((F.col("value") - F.col("mean")) / F.col("sd")).alias("_sum"),
         )
     )
-    joined = every.join(cells, ["model_id", "sample_id"], "left").withColumn(
-        "_raw", F.col("_sum") / F.col("_n_genes")
+    joined = every.join(cells, ["batch_id", "model_id", "sample_id"], "left")
+    raw = F.col("_sum") / F.col("_n_genes")
+    out = (
+        joined.withColumn("score", (raw - F.col("composite_mean")) / F.col("composite_sd"))
+        .withColumn("linear_predictor", F.col("score") * F.col("coefficient"))
+        .withColumn("relative_hazard", F.exp("linear_predictor"))
     )
     typed = (
         (F.col("_untyped") == 0)
@@ -104,16 +124,36 @@ def assess(matrix: DataFrame, model: DataFrame, scaler: DataFrame) -> DataFrame:
         & (F.col("_type_max") == F.col("expression_type"))
     )
     present = F.coalesce("_present", F.lit(0))
-    out = _outputs(joined)
     code = (
-        F.when(~F.coalesce(typed, F.lit(False)), "INCOMPATIBLE_EXPRESSION_TYPE")
+        F.when(F.col("_n_genes").isNull(), "MODEL_NOT_FOUND")
+        .when(F.col("_refused").isNotNull(), F.col("_refused"))
+        .when(~F.coalesce(typed, F.lit(False)), "INCOMPATIBLE_EXPRESSION_TYPE")
         .when(F.col("_rows") > present, "DUPLICATE_REQUIRED_GENES")
         .when(present < F.col("_n_genes"), "MISSING_REQUIRED_GENES")
         .when(F.col("_finite") < F.col("_rows"), "NONFINITE_EXPRESSION")
-        .when(~finite(F.col("relative_hazard")), "INVALID_MATRIX")
+        .when(~F.coalesce(finite(F.col("relative_hazard")), F.lit(False)), "INVALID_MATRIX")
         .otherwise("")
     )
-    return out.withColumn("error_code", code).select(*PREDICTION_COLUMNS, "error_code")
+    scored = written(out.withColumn("error_code", code), "assessed")
+    good = scored.filter(F.col("error_code") == "")
+    ranked = rank_percentiles(good.select("model_id", "batch_id", "sample_id", "score"), score_rows(model), ["model_id"])
+    ranked = ranked.select("model_id", "batch_id", "sample_id", "training_percentile")
+    return scored.join(ranked, ["model_id", "batch_id", "sample_id"], "left").select(
+        "batch_id", *PREDICTION_COLUMNS, "error_code"
+    )
+
+
+def _batch_refusals(matrix: DataFrame, max_genes: int | None, max_samples: int | None) -> DataFrame:
+    """(batch_id, _refused) of batches refused as a whole: too large, or equal sample ids."""
+    place = [c for c in ("sample_id", "sample_pos") if c in matrix.columns]
+    shape = matrix.groupBy("batch_id").agg(
+        F.countDistinct("gene").alias("_g"), F.countDistinct("sample_id").alias("_s"), F.countDistinct(*place).alias("_p")
+    )
+    large = F.lit(False)
+    for count, most in (("_g", max_genes), ("_p", max_samples)):
+        large = large | (F.col(count) > F.lit(most) if most is not None else F.lit(False))
+    code = F.when(large, "REQUEST_TOO_LARGE").when(F.col("_p") > F.col("_s"), "DUPLICATE_SAMPLE_IDS")
+    return shape.select("batch_id", code.alias("_refused"))
 
 
 def predictions(assessed: DataFrame) -> DataFrame:

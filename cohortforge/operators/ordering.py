@@ -10,13 +10,14 @@ stay small and nothing is computed twice.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortforge.functions.staging import written
 
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 128
 SAMPLES_PER_BUCKET = 32
 _HASH_SPACE = 1 << 31
 
@@ -49,7 +50,7 @@ def with_buckets(
     large = (
         table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_bucket)
-        .withColumn("_k", F.least(F.ceil(F.col("_n") / rows_per_bucket), F.lit(MAX_BUCKETS)))
+        .withColumn("_k", F.ceil(F.col("_n") / rows_per_bucket))
     )
     position = F.pmod(F.xxhash64(value), F.lit(_HASH_SPACE))
     chosen = (
@@ -69,12 +70,15 @@ def with_buckets(
     cuts = chosen.select(
         *keys, F.filter("_s", lambda _, i: (i + 1) % step == 0).alias("_cuts")
     )
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    return (
-        table.join(cuts, keys, "left")
-        .withColumn(bucket, F.when(F.col("_cuts").isNull(), 0).otherwise(below).cast("int"))
-        .drop("_cuts")
-    )
+    # The number of cuts grows with the key, so a value is placed among every w-th cut
+    # first and then among the next w, w being about the root of their number.
+    width = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    cuts = cuts.select(*keys, "_cuts", F.filter("_cuts", lambda _, i: i % width == 0).alias("_ahead"), width.alias("_w"))
+    ahead = F.size(F.filter("_ahead", lambda c: c <= F.col(value)))
+    near = F.slice("_cuts", (ahead - 1) * F.col("_w") + 1, F.greatest(F.col("_w"), F.lit(1)))
+    below = (ahead - 1) * F.col("_w") + F.size(F.filter(near, lambda c: c <= F.col(value)))
+    placed = F.when(F.col("_cuts").isNull() | (ahead == 0), 0).otherwise(below)
+    return table.join(cuts, keys, "left").withColumn(bucket, placed.cast("int")).drop("_cuts", "_ahead", "_w")
 
 
 def running_totals(
@@ -146,14 +150,16 @@ def hashed_position(
 ) -> DataFrame:
     """1-based position of each row within its key when ordered by a hex digest.
 
-    Digests are uniform, so for large keys their first two characters are 256
-    even buckets.
+    Digests are uniform, so for large keys their first characters are even buckets:
+    as many characters as the largest key needs.
     """
     table = written(rows, "positions")
     if not has_large_key(table, keys, rows_per_bucket):
         order = Window.partitionBy(*keys).orderBy(digest, tie)
         return table.withColumn(out, F.row_number().over(order).cast("long"))
-    placed = table.withColumn("_bucket", F.substring(digest, 1, 2))
+    largest = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    characters = max(2, math.ceil(math.log(largest / rows_per_bucket, 16)))
+    placed = table.withColumn("_bucket", F.substring(digest, 1, characters))
     before = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -186,14 +192,15 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
 ) -> DataFrame:
-    """Exact linear-interpolation (type 7) quantiles per key.
+    """Exact linear-interpolation (type 7) quantiles per key, of the finite values.
 
     A map-side-combined histogram finds the bins that hold the wanted ranks.
     Only values of those bins are shuffled: they are counted per distinct value,
     split into equal-width sub-bins and ranked there, so neither a hot key nor a
     crowded bin is ordered in one task.
     """
-    v = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
+    finite = F.abs(F.col(value).cast("double")) < float("inf")
+    v = rows.filter(F.col(value).isNotNull() & ~F.isnan(value) & finite).select(
         *keys, F.col(value).alias("_v"), _coarse_bin(F.col(value)).alias("_bin")
     )
     per_key = Window.partitionBy(*keys)

@@ -173,15 +173,17 @@ def permutation_drops(
 
     ``features`` has (keys, sample_id, gene, z); ``weights`` (keys, gene,
     coefficient) is the frozen linear model; ``outcomes`` has (sample_id,
-    time_months, event).  Only the permuted gene's contribution is exchanged.
+    time_months, event) and those of the keys, such as the cohort, that tell equal
+    sample ids apart.  Only the permuted gene's contribution is exchanged.
     """
     parts = features.join(weights, [*keys, "gene"]).select(
         *keys, "sample_id", "gene", (F.col("z") * F.col("coefficient")).alias("part")
     )
     parts = written(parts, "parts")
     risks = parts.groupBy(*keys, "sample_id").agg(F.sum("part").alias("risk"))
-    outcome = outcomes.select("sample_id", "time_months", "event")
-    whole = harrell(risks.join(outcome, "sample_id"), keys).select(
+    person = [*[k for k in keys if k in outcomes.columns], "sample_id"]
+    outcome = outcomes.select(*person, "time_months", "event")
+    whole = harrell(risks.join(outcome, person), keys).select(
         *keys, F.col("c_index").alias("_whole")
     )
     group = [*keys, "gene", "permutation"]
@@ -199,7 +201,7 @@ def permutation_drops(
         taker.join(giver, [*group, "_slot"])
         .join(risks, [*keys, "sample_id"])
         .withColumn("risk", F.col("risk") - F.col("part") + F.col("_given"))
-        .join(outcome, "sample_id")
+        .join(outcome, person)
     )
     permuted = harrell(changed, group).select(*group, "c_index")
     return permuted.join(whole, keys).select(*group, (F.col("_whole") - F.col("c_index")).alias("c_drop"))
@@ -210,8 +212,11 @@ def importance_by_fold(drops: DataFrame) -> DataFrame:
 
 
 def importance_rollup(drops: DataFrame) -> DataFrame:
-    """Per gene over fold means: a mean of means, not a pooled mean."""
-    return importance_by_fold(drops).groupBy("gene").agg(
+    """Per gene over fold means: a mean of means, not a pooled mean; rank 1 has the highest mean.
+
+    The rank window holds one row per gene.
+    """
+    means = importance_by_fold(drops).groupBy("gene").agg(
         F.avg("c_drop").alias("mean"),
         F.stddev_samp("c_drop").alias("sd"),
         F.median("c_drop").alias("median"),
@@ -219,6 +224,8 @@ def importance_rollup(drops: DataFrame) -> DataFrame:
         F.max("c_drop").alias("max"),
         F.avg((F.col("c_drop") > 0).cast("double")).alias("fraction_folds_positive"),
     )
+    order = Window.orderBy(F.round("mean", 9).desc(), "gene")
+    return means.withColumn("rank", F.row_number().over(order))
 
 
 def importance_rank_correlation(drops: DataFrame) -> DataFrame:

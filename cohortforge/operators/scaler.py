@@ -133,18 +133,3 @@ def reference_refusals(
         F.when(F.col("_m"), "unsupported_method").otherwise(F.col("error_code")),
     )
     return flagged.filter(F.col("error_code") != "").select(by, "reference_id", "n_present", "error_code")
-
-
-def leakage(matrix: DataFrame, held_out: DataFrame, by: str = "cohort_id", shift: float = 1000.0) -> DataFrame:
-    """Check that shifting held-out samples leaves the training scaler unchanged."""
-    marked = matrix.join(
-        held_out.select(by, "sample_id", F.lit(True).alias("_out")), [by, "sample_id"], "left"
-    ).withColumn("_out", F.coalesce("_out", F.lit(False)))
-    shifted = marked.withColumn(
-        "value", F.when(F.col("_out"), F.col("value") + shift).otherwise(F.col("value"))
-    )
-    before = checksum(fit(marked.filter(~F.col("_out")), [by]), [by])
-    after = checksum(fit(shifted.filter(~F.col("_out")), [by]), [by])
-    return before.join(after.withColumnRenamed("scaler_checksum", "_after"), by).select(
-        by, (F.col("scaler_checksum") == F.col("_after")).alias("unchanged"), "scaler_checksum"
-    )

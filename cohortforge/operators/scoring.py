@@ -22,18 +22,9 @@ def _require_batch(df: DataFrame) -> None:
         raise ValueError("a cohort-relative score needs a closed population, not a stream")
 
 
-MAX_LITERAL_GENES = 2000
-
-
 def keep_signature_genes(expression: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Literal gene filter, so a scan sorted by gene can skip the row groups of others.
-
-    Only a saving: with more genes than fit a literal list, the join alone decides.
-    """
-    listed = signatures.select("gene").distinct().limit(MAX_LITERAL_GENES + 1).collect()
-    if len(listed) > MAX_LITERAL_GENES:
-        return expression
-    return expression.filter(F.col("gene").isin([row["gene"] for row in listed]))
+    """The cells of signature genes; the gene list is small, so the planner need not shuffle the matrix."""
+    return expression.join(signatures.select("gene").distinct(), "gene", "left_semi").select(*expression.columns)
 
 
 def coverage(

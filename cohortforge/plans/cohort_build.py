@@ -36,8 +36,12 @@ def build_cohorts(
     labelled = aligned
     if probes is not None:
         symbols = harmonise.map_probes(aligned, probes, collapse)
-        labelled = symbols.select(
-            "cohort_id", F.col("gene").alias("feature"), F.xxhash64("gene").alias("feature_pos"), "sample_id", "value"
+        # A gene stands where the first of its probes stood.
+        first = harmonise.label_probes(aligned, probes).filter(F.col("gene").isNotNull()).groupBy("cohort_id", "gene").agg(
+            F.min("feature_pos").alias("feature_pos")
+        )
+        labelled = symbols.join(first, ["cohort_id", "gene"]).select(
+            "cohort_id", F.col("gene").alias("feature"), "feature_pos", "sample_id", "value"
         )
     resolved = harmonise.harmonise(labelled, aliases, collapse).select("cohort_id", "gene", "sample_id", "value")
     resolved = written(resolved, "resolved")

@@ -114,7 +114,7 @@ def clinical(lines: DataFrame) -> DataFrame:
     """
     cells = _characteristic_cells(lines)
     named = cells.join(_column_names(cells), ["file", "line_no"]).select(
-        "file", "pos", "column", value_part(F.col("value")).alias("v")
+        "file", "pos", "column", value_part(F.col("value")).alias("v"), F.struct(F.lit(0).alias("k"), "line_no").alias("_o")
     )
     ids = sample_ids(lines)
     n = ids.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
@@ -126,9 +126,11 @@ def clinical(lines: DataFrame) -> DataFrame:
     for tag, name in EXTRA_COLUMNS.items():
         label = F.when(F.col("tag") == tag, F.lit(name)).otherwise(label)
     extra = extra.join(full, ["file", "tag", "line_no"], "left_semi").select(
-        "file", "pos", label.alias("column"), F.col("value").alias("v")
+        "file", "pos", label.alias("column"), F.col("value").alias("v"), F.struct(F.lit(1).alias("k"), "line_no").alias("_o")
     )
-    entries = named.unionByName(extra).groupBy("file", "pos").agg(
+    # A column named twice has its last value; title and source name come last.
+    single = named.unionByName(extra).groupBy("file", "pos", "column").agg(F.max(F.struct("_o", "v"))["v"].alias("v"))
+    entries = single.groupBy("file", "pos").agg(
         F.map_from_entries(F.collect_list(F.struct("column", "v"))).alias("attrs")
     )
     empty = F.create_map().cast("map<string,string>")

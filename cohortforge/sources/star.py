@@ -21,10 +21,10 @@ SUMMARY_PREFIX = "N_"
 
 
 def read_counts(spark: SparkSession, path: str | list[str], value_column: str = "tpm_unstranded") -> DataFrame:
-    """(file_name, gene_id, gene, value) of every count file under a path.
+    """(file_name, gene_id, gene, feature_pos, value) of every count file under a path.
 
     Summary rows are dropped; a non-numeric value is NULL.  ``gene_id`` stays the
-    row key, since symbols repeat.
+    row key, since symbols repeat; ``feature_pos`` grows along each file.
     """
     if value_column not in VALUE_COLUMNS:
         raise ValueError(f"unknown value column {value_column!r}, choose from {VALUE_COLUMNS}")
@@ -32,16 +32,20 @@ def read_counts(spark: SparkSession, path: str | list[str], value_column: str =
     lacking = {"gene_id", "gene_name", value_column} - set(rows.columns)
     if lacking:
         raise ValueError(f"count file lacks columns {sorted(lacking)}")
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.withColumn("feature_pos", F.col("_metadata.file_block_start") + position)
     return rows.filter(~F.col("gene_id").startswith(SUMMARY_PREFIX)).select(
         F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"),
         strip_version(F.col("gene_id")).alias("gene_id"),
         F.col("gene_name").alias("gene"),
+        "feature_pos",
         tidy_double(F.col(value_column)).alias("value"),
     )
 
 
 def with_barcodes(counts: DataFrame, manifest: DataFrame) -> DataFrame:
     """Count rows keyed by aliquot barcode through the file manifest."""
-    return counts.join(manifest.select("file_name", "barcode"), "file_name").withColumn(
-        "feature_pos", F.xxhash64("gene_id")
-    )
+    joined = counts.join(manifest.select("file_name", "barcode"), "file_name")
+    # One position for a gene in all files: the smallest of any.
+    place = counts.groupBy("gene_id").agg(F.min("feature_pos").alias("feature_pos"))
+    return joined.drop("feature_pos").join(place, "gene_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.functions.hashing import content_checksum, population_hash, rows_checksum, tagged_sha
+from cohortforge.functions.staging import written
 from cohortforge.operators.inference import PREDICTION_COLUMNS
 
 MATRIX_COLUMNS = ["gene", "sample_id", "value"]
@@ -66,10 +67,20 @@ def load_cohorts(spark: SparkSession, path: str, verify: bool = True) -> tuple[D
 
 
 def save_references(reference: DataFrame, path: str) -> None:
-    """Append reference rows and one checksum row per reference."""
+    """Append reference rows and one checksum row per reference.
+
+    Only the new rows are summed, so a later append never vouches for stored ones. An id
+    that is there already is an error: a reference is frozen once.
+    """
+    spark = reference.sparkSession
+    sums = written(_reference_sums(reference), "reference-sums")
+    sums.limit(0).write.mode("append").parquet(f"{path}/checksums")
+    known = spark.read.schema(sums.schema).parquet(f"{path}/checksums")
+    again = known.join(sums.select("reference_id"), "reference_id", "left_semi").limit(5).collect()
+    if again:
+        raise ValueError("reference exists: " + ", ".join(r["reference_id"] for r in again))
     reference.write.mode("append").parquet(f"{path}/rows")
-    stored = reference.sparkSession.read.schema(reference.schema).parquet(f"{path}/rows")
-    _reference_sums(stored).write.mode("overwrite").parquet(f"{path}/checksums")
+    sums.write.mode("append").parquet(f"{path}/checksums")
 
 
 def _reference_sums(reference: DataFrame) -> DataFrame:
@@ -107,8 +118,6 @@ def list_references(spark: SparkSession, path: str) -> DataFrame:
 
 # Model store ------------------------------------------------------------------------
 
-REFERENCE_MAX = 1_000_000
-
 
 def freeze_model(
     model_id: str,
@@ -123,11 +132,10 @@ def freeze_model(
 
     ``scored`` has (key, raw, score, composite_mean, composite_sd) of the
     training samples, ``coefficient`` (key, beta).  The score reference is the
-    sorted training scores.  Training populations above ``REFERENCE_MAX`` keep no
-    array: store their scores as a table and use ``inference.rank_percentiles``.
+    sorted list of all training scores, whatever their number; ``score_rows`` gives
+    it as rows, which is what predictions are ranked among.
     """
-    size = scored.count()
-    listed = F.collect_list(F.when(F.lit(size <= REFERENCE_MAX), F.col("score")))
+    listed = F.collect_list("score")
     reference = scored.groupBy(*key).agg(
         F.first("composite_mean").alias("composite_mean"),
         F.first("composite_sd").alias("composite_sd"),

@@ -38,7 +38,9 @@ def read_local_clinical(spark: SparkSession, path: str) -> DataFrame:
     """All-string clinical file as (sample_id, attrs); empty cells are missing."""
     header, body = split_header(_present(numbered_lines(spark, path)), "\t")
     cells = melt(header, body).withColumn("v", F.when(F.col("raw") != "", F.col("raw")))
-    return cells.groupBy(F.col("row_label").alias("sample_id")).agg(
+    # A column or a sample listed twice has its last value.
+    single = cells.groupBy("row_label", "column").agg(F.max(F.struct("line_no", "pos", "v"))["v"].alias("v"))
+    return single.groupBy(F.col("row_label").alias("sample_id")).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "v"))).alias("attrs")
     )
 

@@ -89,9 +89,9 @@ def test_population_hash_recipe_and_tree(spark):
     df = frame(spark, [("c", s) for s in ids + ids[:5]], "cohort_id string, sample_id string")
     want = "sha256:" + hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()
     assert population_hash(df, ["cohort_id"]).first()["population_hash"] == want
-    tree = population_hash(df, ["cohort_id"], list_max=10).first()
+    tree = population_hash(df, ["cohort_id"], form="tree").first()
     assert tree["population_hash"].startswith("sha256-tree:") and tree["n_samples"] == 40
-    fewer = population_hash(df.filter("sample_id <> 's7'"), ["cohort_id"], list_max=10).first()
+    fewer = population_hash(df.filter("sample_id <> 's7'"), ["cohort_id"], form="tree").first()
     assert fewer["population_hash"] != tree["population_hash"]
 
 
@@ -226,8 +226,6 @@ def test_scaler_and_reference_score(spark):
     assert scaler.score_reference(lacking, ref).count() == 0
     assert scaler.reference_refusals(lacking, ref).first()["error_code"] == "missing_reference_genes"
     assert scaler.score_reference(lacking, ref, strict=False).count() == 1
-    held = frame(spark, [("c", "d")], "cohort_id string, sample_id string")
-    assert scaler.leakage(df, held).first()["unchanged"]
     stream_like = frame(spark, [("z", {"g1": 5.0, "g2": 1.0}), ("y", {"g1": 5.0})], "sample_id string, expr map<string,double>")
     flow = {r["sample_id"]: (r["score"], r["error_code"]) for r in frozen.score_stream(stream_like, ref).collect()}
     assert flow["z"] == (pytest.approx(got), "") and flow["y"] == (None, "missing_reference_genes")
@@ -482,3 +480,43 @@ def test_elastic_net_grid_picks_a_candidate_per_fold(spark):
     assert {r["candidate"] for r in out["selected"].collect()} == {1}
     held = {r["fold"]: r["c_index"] for r in out["folds"].collect()}
     assert set(held) == {1, 2} and min(held.values()) > 0.55
+
+
+# Keys that tell equal ids apart ---------------------------------------------------------
+
+
+def test_equal_sample_ids_of_two_cohorts_stay_apart(spark):
+    from cohortforge.operators import crossval
+
+    cells = [(c, g, f"s{i}", base + i % 5 + (i if g == "g1" else 0)) for c, base in (("a", 0.0), ("b", 100.0)) for g in ("g1", "g2") for i in range(12)]
+    roles = [(c, 1, f"s{i}", "test" if i % 4 == 0 else "train") for c in "ab" for i in range(12)]
+    matrix, plan = frame(spark, cells, CELL), frame(spark, roles, "cohort_id string, fold int, sample_id string, role string")
+    both = {(r["cohort_id"], r["sample_id"]): r["score"] for r in crossval.partition_scores(matrix, plan, ["cohort_id", "fold"]).collect()}
+    alone = crossval.partition_scores(matrix.filter("cohort_id = 'b'"), plan.filter("cohort_id = 'b'"), ["cohort_id", "fold"])
+    for r in alone.collect():
+        assert both["b", r["sample_id"]] == pytest.approx(r["score"]) == pytest.approx(both["a", r["sample_id"]])
+    checked = crossval.leakage(matrix, plan, ["cohort_id", "fold"]).collect()
+    control = crossval.leakage(matrix, plan, ["cohort_id", "fold"], fit_on=("train", "test")).collect()
+    assert all(r["unchanged"] for r in checked) and not any(r["unchanged"] for r in control)
+
+
+def test_first_aliquot_of_each_cohort_and_probe_of_each_platform(spark):
+    from cohortforge.operators import harmonise
+
+    cells = frame(spark, [("a", "p", "b1", 1.0), ("b", "p", "b2", 2.0), ("b", "p", "b3", 3.0)], "cohort_id string, patient string, barcode string, value double")
+    assert sorted((r["cohort_id"], r["barcode"]) for r in harmonise.to_patients(cells).collect()) == [("a", "b1"), ("b", "b2")]
+    notes = frame(spark, [("x", "p1", "G1"), ("y", "p1", "G2"), ("y", "p1", "G2")], "platform string, probe string, symbol string")
+    cells = frame(spark, [("x", "p1"), ("y", "p1"), ("z", "p1")], "platform string, feature string")
+    got = harmonise.label_probes(cells, harmonise.probe_map(notes, by=["platform"])).collect()
+    assert sorted((r["platform"], r["gene"] or "", r["status"]) for r in got) == [("x", "G1", "mapped"), ("y", "G2", "mapped"), ("z", "", "unmapped")]
+
+
+def test_quantiles_and_quartiles_with_an_infinite_score(spark):
+    data = [("k", float(i % 40) if i else float("inf"), 1.0 + i, i % 2) for i in range(80)]
+    data += [("good", float(i % 40), 1.0 + i, i % 2) for i in range(80)]
+    rows = frame(spark, data, "k string, score double, time_months double, event int")
+    assert ordering.exact_quantiles(rows, ["k"], "score", {"q": 1.0}).filter("k = 'k'").first()["q"] == 39.0
+    got = {r["k"]: r["error"] for r in cox.quartile(rows, ["k"]).collect()}
+    assert got == {"k": "score_not_finite", "good": None}
+    terms = {r["k"]: r["error"] for r in cox.multivariable(rows.withColumn("one", F.lit(1.0)), ["k"], ["score", "one"]).collect()}
+    assert terms == {"k": "score_not_finite", "good": "constant_score"}

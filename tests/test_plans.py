@@ -165,3 +165,18 @@ def test_model_comparison_and_transfer(spark):
     risk = crossval.apply_model(matrix, fitted, weights, ["cohort_id"])
     assert risk.count() == n
     assert cox.invalid_requests(people, ["cohort_id"]).count() == 0
+
+
+def test_an_append_does_not_vouch_for_stored_references(spark, tmp_path):
+    df = frame(spark, [(c, "ABCB6", s, v) for c in "cd" for s, v in zip("abc", (1.0, 2.0, 4.0))], CELL)
+    ref = scaler.build_reference(df, bundled.signatures(spark), population_hash(df, ["cohort_id"]))
+    first, second = ref.filter("reference_cohort = 'c'"), ref.filter("reference_cohort = 'd'")
+    path = str(tmp_path / "refs")
+    store.save_references(first, path)
+    with pytest.raises(ValueError, match="exists"):
+        store.save_references(first, path)
+    first.limit(1).withColumn("gene", F.lit("planted")).write.mode("append").parquet(path + "/rows")
+    store.save_references(second, path)
+    with pytest.raises(ValueError):
+        store.load_references(spark, path)
+    assert store.load_references(spark, path, ["d/prostate20"]).count() == 1

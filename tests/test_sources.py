@@ -28,6 +28,7 @@ def series_file(tmp_path):
             '!Sample_characteristics_ch1\t"bcr free time: 12"\t"bcr free time: 14"\t"bcr free time: 16"',
             '!Sample_characteristics_ch1\t"bcr status: x"\t"bcr status: y"\t"bcr status: z"',
             '!Sample_characteristics_ch1\t"short: 1"\t"short: 2"',
+            '!Sample_characteristics_ch1\t"title: k"\t"title: l"\t"title: m"',
             "!series_matrix_table_begin",
             '"ID_REF"\t"X1"\t"X2"\t"X3"',
             '"p1"\t1.5\t2.5\t3.5',
