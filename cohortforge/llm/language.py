@@ -67,7 +67,7 @@ def _train(x: np.ndarray, y: np.ndarray, classes: int, dim: int, epochs: int, ra
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, texts in slices(batch.column(1), 1 << 20):
+        for at, texts in slices(batch.column(1), 1 << 20, 256):
             rows = gram_counts(texts, BUCKETS, SIZES).astype("<f2")
             labels = batch.column(0).slice(at, len(texts))
             yield pa.RecordBatch.from_arrays([labels, pa.array([r.tobytes() for r in rows])], names=["label", "grams"])
@@ -135,7 +135,7 @@ def _calibrate(logits: np.ndarray, y: np.ndarray, reject_quantile: float) -> tup
 def _apply(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column("_text"), 1 << 20):
+            for at, texts in slices(batch.column("_text"), 1 << 20, 256):
                 best, score = model.predict(texts)
                 names = pa.array([model.labels[b] for b in best], pa.string())
                 kept = [batch.column(i).slice(at, len(texts)) for i in range(batch.num_columns - 2)]

@@ -42,7 +42,7 @@ class QualityModel:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, texts in slices(batch.column(1), 1 << 20):
+        for at, texts in slices(batch.column(1), 1 << 20, 256):
             rows = _features(texts).astype("<f4")
             labels = batch.column(0).slice(at, len(texts))
             yield pa.RecordBatch.from_arrays([labels, pa.array([r.tobytes() for r in rows])], names=["label", "features"])
@@ -136,7 +136,7 @@ def fit(
 def _apply(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column("_text"), 1 << 20):
+            for at, texts in slices(batch.column("_text"), 1 << 20, 256):
                 kept = [batch.column(i).slice(at, len(texts)) for i in range(batch.num_columns - 1)]
                 columns = [*kept, pa.array(model.score(texts).astype(np.float64))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score"])

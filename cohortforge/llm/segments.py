@@ -23,7 +23,7 @@ class SegmentEncoder:
     the texts. The caches hold short segments only and are emptied at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,8 +45,8 @@ class SegmentEncoder:
         if len(known) > self.most:
             known.clear()
         missing, long = list(set().union(*rows).difference(known)), {}
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
+        for at in range(0, len(missing), 4_000):
+            part = missing[at : at + 4_000]
             texts = [s if s[0] == "\n" else " " + s for s in part] if blank else part
             for segment, ids in zip(part, self._library(texts), strict=True):
                 (known if len(segment) <= 48 else long)[segment] = ids

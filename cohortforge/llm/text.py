@@ -38,15 +38,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """Cut a text column into runs of about ``most`` bytes; a longer text is a run of its own."""
+def slices(texts: pa.Array, most: int = 4 << 20, rows: int = 4096) -> Iterator[tuple[int, pa.Array]]:
+    """Cut a text column into runs of about ``most`` bytes and ``rows`` texts; a longer text is a run of its own."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(texts):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, side="right"))))
         yield at, texts.slice(at, to - at)
         at = to
 
