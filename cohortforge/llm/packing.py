@@ -130,8 +130,9 @@ def _packer(path: str, capacity: int, end_id: int):
         for batch in batches:
             for at, texts in slices(batch.column(1), 2 << 20):
                 ids = batch.column(0).slice(at, len(texts)).to_pylist()
-                for doc_id, encoded in zip(ids, encode(texts.to_pylist()), strict=True):
-                    encoded += end
+                tokens, first = encode.batch(texts)
+                for doc_id, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    encoded = tokens[a:b].astype("<u4").tobytes() + end
                     total = len(encoded) // 4
                     for start in range(0, total, capacity):
                         packer.add((doc_id, start, encoded[4 * start : 4 * (start + capacity)], total))

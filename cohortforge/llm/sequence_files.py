@@ -145,8 +145,9 @@ def _write_shard(folder: str, tokenizer_path: str, length: int, end_id: int):
             for at, texts in slices(batch.column(1), 2 << 20):
                 writer = writer or ShardWriter(shard, length, encode.wide)
                 ids = batch.column(0).slice(at, len(texts)).to_pylist()
-                for doc_id, encoded in zip(ids, encode(texts.to_pylist()), strict=True):
-                    writer.add(doc_id, np.append(np.frombuffer(encoded, "<u4"), np.uint32(end_id)))
+                tokens, first = encode.batch(texts)
+                for doc_id, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    writer.add(doc_id, np.append(tokens[a:b], np.uint32(end_id)))
                 seen = [seen[0] if seen else ids[0], ids[-1], (seen[2] if seen else 0) + len(ids)]
         if writer:
             writer.close()

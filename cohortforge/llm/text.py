@@ -51,6 +51,23 @@ def slices(texts: pa.Array, most: int = 4 << 20, rows: int = 4096) -> Iterator[t
         at = to
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a large-string column without nulls, and where each text begins (one more for the end)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2]
+    everything = np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8)
+    return everything[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes from each start to its end."""
+    up, down = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * down[start])
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a run of texts.
 
@@ -60,11 +77,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        buffer = texts.buffers()[2]
-        everything = np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8)
-        data = everything[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
+        data, offsets = bytes_of(texts)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -81,11 +94,7 @@ class Words:
         self.end = np.flatnonzero(closes) + 1
         self.doc = np.searchsorted(offsets[1:], self.start, side="right").astype(np.int32)
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        up, down = _powers(len(data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-            self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = hash_spans(data, self.start, self.end)
 
     def grams(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``size`` words from each position, and whether they lie in one text."""
