@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -24,10 +25,15 @@ def empty(spark):
     return spark.createDataFrame([], samples.SCHEMA)
 
 
-def library_ids(name: str, text: str | None) -> list[int]:
+@lru_cache
+def library(name: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def library_ids(name: str, text: str | None) -> list[int]:
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
