@@ -79,7 +79,7 @@ class Search:
 
     def visit(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Take in a block of candidates."""
-        tree = CoverTree(vectors.astype(np.float64))
+        tree = CoverTree(vectors.astype(np.float64), leaf=256)
         large = max(1, int(np.abs(vectors).max(initial=0))) * max(1, int(np.abs(self.queries).max(initial=0)))
         exact = large * max(1, vectors.shape[1]) < 1 << 53
         kind = np.float64 if exact else np.int64
@@ -109,6 +109,12 @@ class Search:
     def _compare(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> None:
         found = (mine[q] @ theirs[c].T).astype(np.int64)
         self.compared += found.size
+        # Only what reaches a query's kth score so far, or its floor, can enter its best.
+        enters = found >= np.maximum(self.score[q, -1], self.floor[q])[:, None]
+        some, any_ = np.flatnonzero(enters.any(axis=1)), np.flatnonzero(enters.any(axis=0))
+        if not len(some):
+            return
+        q, c, found = q[some], c[any_], found[np.ix_(some, any_)]
         candidates = np.broadcast_to(ids[c], found.shape)
         own = candidates == self.ids[q][:, None]
         score = np.concatenate([self.score[q], np.where(own, _LOW, found)], axis=1)
