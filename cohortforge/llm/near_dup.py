@@ -23,9 +23,11 @@ SKETCH = 128
 SMALL = 1000
 #: Documents that every part of a cut node holds.
 BRIDGES = 24
-#: A second branch follows in this share of the nodes, so that a pair at the threshold
-#: keeps one path alive on average, level by level.
-BRANCH = 100 * (1 / 0.85 - 1)
+
+
+def branch_share(percent: int) -> float:
+    """Share of the nodes in which a second branch follows, so that a pair at the threshold keeps one path alive on average, level by level."""
+    return min(1.0, 100 / percent - 1)
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,22 +117,22 @@ def _forest(size: int, partners) -> list[tuple[int, int]]:
     return edges
 
 
-def _alike(least: float):
+def _alike(percent: int):
     """Compare the sketches of a small node exhaustively; edges that tie its components together."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        reps, sizes = table["rep"].to_numpy(), table["n"].to_numpy().astype(float)
+        reps, sizes = table["rep"].to_numpy(), table["n"].to_numpy()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
         filled = sketch != 0xFFFFFFFF
 
         def partners(node: int, rest: np.ndarray) -> np.ndarray:
-            ratio = np.minimum(sizes[rest], sizes[node]) / np.maximum(sizes[rest], sizes[node])
+            near = 100 * np.minimum(sizes[rest], sizes[node]) >= percent * np.maximum(sizes[rest], sizes[node])
             either = (filled[rest] | filled[node]).sum(axis=1)
             equal = ((sketch[rest] == sketch[node]) & filled[node]).sum(axis=1)
             # Few filled slots tell little: a few standard errors are allowed for.
             slack = 4.5 * np.sqrt(0.13 / np.maximum(either, 1))
-            return (ratio >= 0.85) & (equal >= (least - slack) * either)
+            return near & (equal >= (percent / 100 - slack) * either)
 
         edges = np.array(_forest(len(reps), partners), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(reps[edges[:, 0]]), "b": pa.array(reps[edges[:, 1]])})
@@ -200,7 +202,7 @@ def _cut(members: DataFrame, group: str, label: str) -> DataFrame:
     )
 
 
-def _paths(reps: DataFrame) -> DataFrame:
+def _paths(reps: DataFrame, percent: int) -> DataFrame:
     """Leaves of all trees: ``node, rep``. A node with more than ``SMALL`` documents branches on the next tokens."""
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
@@ -224,7 +226,7 @@ def _paths(reps: DataFrame) -> DataFrame:
         at = 1 + 2 * depth
         first = F.xxhash64("node", F.lit(depth), F.get("chosen", F.lit(at)))
         second = F.xxhash64("node", F.lit(-depth - 1), F.get("chosen", F.lit(at + 1)))
-        also = F.pmod(F.xxhash64("node", F.lit("branch")), F.lit(10_000)) < int(100 * BRANCH)
+        also = F.pmod(F.xxhash64("node", F.lit("branch")), F.lit(10_000)) < int(10_000 * branch_share(percent))
         branches = F.when(also, F.array(first, second)).otherwise(F.array(first))
         level = level.join(large, "node").select("rep", "chosen", F.explode(branches).alias("node"))
     return leaves
@@ -261,10 +263,10 @@ def near_duplicates(
     reps = signed.join(own, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
     reps = written(reps.select(F.col("doc_id").alias("rep"), "n", "sketch", "tokens"), "set-reps")
 
-    nodes = written(_cut(_paths(reps), "node", "nodes"), "node-parts")
+    nodes = written(_cut(_paths(reps, percent), "node", "nodes"), "node-parts")
     sketched = nodes.join(reps.select("rep", "n", "sketch"), "rep")
     edges = "a long, b long"
-    candidates = sketched.groupBy("node", "part").applyInArrow(_alike(percent / 100), edges).distinct()
+    candidates = sketched.groupBy("node", "part").applyInArrow(_alike(percent), edges).distinct()
     candidates = written(candidates, "candidate-links")
 
     clusters = written(components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")

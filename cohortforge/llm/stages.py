@@ -35,8 +35,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group, that of the smallest id."""
-    dropped = near_dup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    """Keep one document of each near-duplicate group, that of the smallest id; a similarity of 0.8 or more links."""
+    dropped = near_dup.near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
 
 
