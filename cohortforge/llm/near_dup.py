@@ -244,7 +244,7 @@ def near_duplicates(
 
     1. Equal sets fall into one class by their digests, and only its smallest id goes on.
     2. Trees: a representative follows its minwise tokens; nodes of over ``SMALL`` documents branch again.
-    3. Small nodes are compared exhaustively by sketches; a spanning forest of each stays.
+    3. Nodes are compared exhaustively by sketches, large ones of the last level in blocks; a spanning forest of each stays.
     4. Candidates that hang together are a cluster, compared on full sets, once each.
     5. Components of the confirmed links.
 
@@ -267,14 +267,14 @@ def near_duplicates(
     sketched = nodes.join(reps.select("rep", "n", "sketch"), "rep")
     edges = "a long, b long"
     candidates = sketched.groupBy("node", "part").applyInArrow(_alike(percent), edges).distinct()
-    candidates = written(candidates, "candidate-links")
+    candidates = _across_nodes(nodes, reps, written(candidates, "candidate-links"), percent)
 
     clusters = written(components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
     sets = plain.join(clusters, plain["doc_id"] == clusters["rep"]).select("rep", "cluster", "text")
     sets = written(sets.mapInArrow(_shingled, "cluster long, rep long, shingles binary"), "cluster-sets")
     parts = _cut(sets, "cluster", "clusters")
     links = written(parts.groupBy("cluster", "part").applyInArrow(_confirm(percent), edges), "links")
-    links = _across(sets, clusters, links, percent)
+    links = _across(sets, clusters, links, _confirm(percent))
 
     # An id that stands for several sets (a repeated id) ties them.
     ties = members.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -294,17 +294,18 @@ def near_duplicates(
     )
 
 
-def _across(sets: DataFrame, clusters: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the parts of clusters that were cut.
+def _across(rows: DataFrame, members: DataFrame, links: DataFrame, compare) -> DataFrame:
+    """Links between the parts of groups that were cut.
 
-    The documents of a cut cluster that do not hang together with its largest component
+    ``rows`` are those of ``members`` (``cluster, rep``) with what ``compare`` reads. The documents
+    of a cut group that do not hang together with its largest component
     yet are compared with every part; the others need no further link among themselves.
     """
-    large = clusters.groupBy("cluster").agg(F.count("*").alias("_size")).where(F.col("_size") > SMALL)
+    large = members.groupBy("cluster").agg(F.count("*").alias("_size")).where(F.col("_size") > SMALL)
     large = written(large, "large-clusters")
     if large.isEmpty():
         return links
-    inside = clusters.join(large, "cluster")
+    inside = members.join(large, "cluster")
     tied = components(links)
     found = inside.join(tied, inside["rep"] == tied["node"], "left")
     found = found.select("cluster", "rep", "_size", F.coalesce("component", "rep").alias("component"))
@@ -313,16 +314,27 @@ def _across(sets: DataFrame, clusters: DataFrame, links: DataFrame, percent: int
     loose = found.join(main, "cluster").where(F.col("component") != F.col("_main.component"))
     loose = written(loose.select("cluster", "rep"), "loose")
     parts = F.ceil(F.col("_size") / SMALL)
-    sized = sets.join(large, "cluster").withColumn("_parts", parts)
+    sized = rows.join(large, "cluster").withColumn("_parts", parts)
     base = sized.withColumn("part", F.pmod(F.xxhash64("rep", F.lit("across")), F.col("_parts")))
     counts = loose.groupBy("cluster").agg(F.count("*").alias("_loose")).withColumn("_cut", F.ceil(F.col("_loose") / SMALL))
     base = base.join(counts.select("cluster", "_cut"), "cluster")
     base = base.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cut") - 1)))
-    base = base.select("cluster", "part", "slot", "rep", "shingles")
+    base = base.select("part", "slot", *rows.columns)
     again = sized.join(loose, ["cluster", "rep"]).join(counts.select("cluster", "_cut"), "cluster")
     again = again.withColumn("slot", F.pmod(F.xxhash64("rep", F.lit("slot")), F.col("_cut")))
     again = again.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    again = again.select("cluster", "part", "slot", "rep", "shingles")
+    again = again.select("part", "slot", *rows.columns)
     both = base.unionAll(again).dropDuplicates(["cluster", "part", "slot", "rep"])
-    more = both.groupBy("cluster", "part", "slot").applyInArrow(_confirm(percent), "a long, b long")
+    more = both.groupBy("cluster", "part", "slot").applyInArrow(compare, "a long, b long")
     return links.unionAll(written(more, "links-across"))
+
+
+def _across_nodes(nodes: DataFrame, reps: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Candidates between the parts of nodes that were still large at the last level."""
+    cut = written(nodes.where(F.col("part") > 0).select("node").distinct(), "cut-nodes")
+    if cut.isEmpty():
+        return candidates
+    # A bridge stands in every part.
+    members = written(nodes.join(cut, "node").select(F.col("node").alias("cluster"), "rep").distinct(), "cut-members")
+    rows = members.join(reps.select("rep", "n", "sketch"), "rep").select("cluster", "rep", "n", "sketch")
+    return written(_across(rows, members, candidates, _alike(percent)).distinct(), "candidate-links-all")

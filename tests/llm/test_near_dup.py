@@ -37,3 +37,21 @@ def test_stage_links_at_80_percent(spark):
         assert got == samples.near_components(docs, percent)
     kept = {r.doc_id for r in dedup_near(spark, frame, "").collect()}
     assert kept == {d for d, c in samples.near_components(docs, 80).items() if d == c}
+
+
+def test_pairs_in_a_large_node_of_the_last_level(spark, monkeypatch):
+    from cohortforge.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "SMALL", 12)
+    monkeypatch.setattr(near_dup, "BRIDGES", 2)
+    monkeypatch.setattr(near_dup, "DEPTH", 1)
+    # A family of one template: members share 0.45 or so, and a tenth has a near copy.
+    template, docs = [f"t{i}" for i in range(120)], []
+    for n in range(240):
+        docs.append((len(docs), " ".join(template + _unlike(n, 75))))
+        if n % 10 == 0:
+            docs.append((len(docs), samples.near(docs[-1][1], [130, 170])))
+    assert 0.4 < _similarity(docs[2][1], docs[3][1]) < 0.53 and 0.85 <= _similarity(docs[0][1], docs[1][1]) < 0.97
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame).collect()}
+    assert got == samples.near_components(docs)
