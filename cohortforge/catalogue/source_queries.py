@@ -17,6 +17,10 @@ from cohortforge.sources import platform, repository_json, series_matrix, star,
 from cohortforge.sources.lines import numbered_lines
 
 
+#: Orders of a manifest page, on average.
+PAGE_ROWS = 10_000
+
+
 def _path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/cohortforge/landing-{label}-{uuid.uuid4().hex}"
 
@@ -192,9 +196,12 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("file_size"),
         F.when(F.col("o_orderkey") % 9 != 0, F.array(case)).alias("cases"),
     )
-    pages = orders.groupBy((F.col("o_orderkey") % 16).alias("page")).agg(F.collect_list(hit).alias("hits"))
+    n_pages = max(1, -(-orders.count() // PAGE_ROWS))
+    page = F.pmod(F.xxhash64("o_orderkey"), F.lit(n_pages)).alias("page")
+    pages = orders.groupBy(page).agg(F.collect_list(hit).alias("hits"))
     path = _path(spark, "manifest")
-    pages.select(F.struct("hits").alias("data")).repartition(16).write.json(path)
+    # A file is read as one record, so each page has a folder of its own.
+    pages.select("page", F.struct("hits").alias("data")).write.partitionBy("page").json(path)
     read = repository_json.read_manifest(spark, path)
     return read.groupBy("patient", "error_code").agg(F.count(F.lit(1)).alias("n_files"), F.sum("file_size").alias("n_bytes"))
 
