@@ -121,6 +121,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in all documents, with their corpus-wide counts."""
+    from cohortforge.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, every tenth of which (by its id's hash) is made periodic first."""
+    from cohortforge.llm.periodic_runs import made_periodic, periodic_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs(docs, rewrite=made_periodic, with_text=False).drop("runs", "collapsed")
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets agree to 80 percent."""
+    from cohortforge.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_top_k": (op1_top_k, TOP_K_SQL),
     "op2_token_counts": (op2_token_counts, None),
@@ -132,4 +154,7 @@ QUERIES = {
     "op8_sequence_files": (op8_sequence_files, None),
     "op9_decontaminate": (op9_decontaminate, OVERLAP_SQL),
     "op10_language": (op10_language, None),
+    "op11_alignment": (op11_alignment, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_jaccard_join": (op13_jaccard_join, None),
 }

@@ -55,3 +55,9 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     for key in keys:
         out = out & left[key].eqNullSafe(right[key])
     return out
+
+
+def numbered(docs: DataFrame, names: Sequence[str], **extra: Column) -> DataFrame:
+    """Columns ``names`` as ``_0, _1, ...`` and then ``extra``, so that no caller's name clashes with an internal one."""
+    own = [docs[c].alias(f"_{n}") for n, c in enumerate(names)]
+    return docs.select(*own, *[value.alias(name) for name, value in extra.items()])
