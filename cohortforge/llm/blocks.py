@@ -9,10 +9,10 @@ from cohortforge.llm.components import components
 from cohortforge.llm.tables import written
 
 #: A block has about so many documents and so much weight at most.
-ROWS = 1000
-WEIGHT = 400_000
+ROWS = 250
+WEIGHT = 200_000
 #: Documents that every block of a cut group holds.
-BRIDGES = 24
+BRIDGES = 16
 
 
 def _parts(sizes: DataFrame, count: str, weight: str) -> Column:

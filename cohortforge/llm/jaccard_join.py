@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,11 +62,8 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, texts in slices(batch.column(1), 2 << 20):
             value, first = shingle_sets(texts)
             sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(29)), dtype=np.uint64)])
-            key = pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64))
             rep = batch.column(0).slice(at, len(texts))
-            columns = [rep, key, pa.array(np.diff(first).astype(np.int64)), sets]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "set_key", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([rep, pa.array(np.diff(first).astype(np.int64)), sets], names=["rep", "n", "tokens"])
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,37 +145,43 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
 
 
-def _first_order(reps: DataFrame) -> DataFrame:
+def _first_order(signed: DataFrame, firsts: DataFrame) -> DataFrame:
     """Representatives ``rep`` whose prefix in hash order shares enough tokens with other sets.
 
     A partner shares at least ``_needed`` tokens, of which all but ``n - _needed`` lie in any part of the set:
-    a prefix longer by ``n / EXTRA`` than the shortest one has ``1 + n / EXTRA`` of them.
+    a prefix longer by ``n / EXTRA`` than the shortest one has ``1 + n / EXTRA`` of them. An id that stands for
+    several sets is judged by its smallest one and all their tokens, which only keeps more. ``signed`` isn't needed afterwards.
     """
-    rows = written(reps.select("rep", "d1", "n", F.explode("prefix").alias("token")), "order-1")
+    reps = signed.join(firsts, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
+    rows = written(reps.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token")), "order-1")
+    drop_table(signed)
     shared = written(_shared(rows).select("token"), "order-1-shared")
-    held = rows.join(shared, "token").groupBy("rep", "d1", "n").agg(F.count("*").alias("held"))
-    alive = written(held.where(F.col("held") >= 1 + F.floor(F.col("n") / EXTRA)).select("rep").distinct(), "order-1-alive")
+    held = rows.join(shared, "token").groupBy("rep").agg(F.count("*").alias("held"))
+    least = firsts.groupBy(F.col("doc_id").alias("_rep")).agg((1 + F.floor(F.min("n") / EXTRA)).alias("_least"))
+    alive = held.join(least, held["rep"] == least["_rep"]).where(F.col("held") >= F.col("_least")).select("rep")
+    alive = written(alive, "order-1-alive")
     drop_table(rows)
     drop_table(shared)
     return alive
 
 
-def _second_order(sets: DataFrame, needed: Column) -> DataFrame:
+def _second_order(sets: DataFrame, percent: int) -> DataFrame:
     """Prefix rows ``rep, token`` in order of document frequency, tokens that stand alone left out.
 
-    The tokens of one set only come first in that order; they fill as much of a prefix as there are.
+    The tokens of one set only come first in that order; they fill as much of a prefix as there are. An id
+    that stands for several sets keeps all its shared tokens.
     """
-    rows = sets.select("rep", "set_key", "n", F.explode("tokens").alias("token"))
+    rows = sets.select("rep", F.explode("tokens").alias("token"))
     shared = written(_shared(rows), "order-2-shared")
     held = rows.join(shared, "token")
-    one = Window.partitionBy("rep", "set_key")
-    ranked = held.select(
-        "rep",
-        "token",
-        (F.count("*").over(one) - needed + 1).alias("room"),
-        F.row_number().over(one.orderBy("df", "token")).alias("place"),
-    )
-    prefix = written(ranked.where(F.col("place") <= F.col("room")).select("rep", "token"), "order-2-prefix")
+    one = Window.partitionBy("rep")
+    place = F.row_number().over(one.orderBy("df", "token")).alias("place")
+    ranked = held.select("rep", "token", F.count("*").over(one).alias("held"), place)
+    needed = sets.groupBy(F.col("rep").alias("_rep")).agg(F.min("n").alias("_n"), F.count("*").alias("_sets"))
+    needed = needed.select("_rep", F.when(F.col("_sets") == 1, F.floor((F.lit(percent) * F.col("_n") + 99) / 100)).otherwise(0).alias("_needed"))
+    ranked = ranked.join(needed, ranked["rep"] == needed["_rep"])
+    prefix = ranked.where(F.col("place") <= F.col("held") - F.col("_needed") + 1).select("rep", "token")
+    prefix = written(prefix, "order-2-prefix")
     drop_table(shared)
     return prefix
 
@@ -209,18 +212,16 @@ def jaccard_components(
     signed = written(
         plain.mapInArrow(_signed(percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "join-signed"
     )
-    named = signed.select("doc_id", "n", "d1", "d2")
+    named = written(signed.select("doc_id", "n", "d1", "d2"), "join-keys")
     usable = named.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = written(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "join-classes")
     members = written(usable.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep"), "join-members")
-    firsts = classes.select(F.col("rep").alias("doc_id"), "d1", "d2")
-    reps = signed.join(firsts, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
-    alive = _first_order(reps.withColumnRenamed("doc_id", "rep"))
-    texts = plain.join(alive, plain["doc_id"] == alive["rep"], "left_semi").distinct()
-    sets = written(texts.mapInArrow(_whole_sets, "rep long, set_key long, n long, tokens array<long>"), "join-sets")
+    alive = _first_order(signed, classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"))
+    # ``alive`` grows with the corpus, so its join is by sort and merge at every size.
+    texts = plain.join(alive.hint("merge"), plain["doc_id"] == alive["rep"], "left_semi").distinct()
+    sets = written(texts.mapInArrow(_whole_sets, "rep long, n long, tokens array<long>"), "join-sets")
 
-    needed = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    prefix = _second_order(sets, needed)
+    prefix = _second_order(sets, percent)
     hubs = prefix.groupBy("token").agg(F.min("rep").alias("b"))
     cells = components(prefix.join(hubs, "token").select(F.col("rep").alias("a"), "b"))
     cells = written(cells.select(F.col("node").alias("_node"), F.col("component").alias("cell")), "join-cells")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from cohortforge.llm.segments import _white
 from cohortforge.llm.text import bytes_of
 
+#: New segments that are encoded as one text.
+TOGETHER = 64
 _PAIRS: dict[tuple[str, str], TokenPair] = {}
 
 
@@ -99,17 +102,48 @@ class TokenPair:
         self.right = np.zeros(0, bool)
 
     def _learn(self, parts: list[bytes]) -> None:
-        texts = [p.decode() for p in parts]
-        right = np.ones(len(parts), bool)
+        """Encode new segments and keep their ids.
+
+        Segments that may follow one another are encoded many to a text. Ids are dealt out to
+        the segments by their bytes; if these aren't the segments', each one is encoded by itself.
+        """
+        size = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(size)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        white = np.append(_white(data), True)
+        apart = white[ends - 1] | white[ends - size + 1] | (size < 2) | (not self.cuts)
+        # A text ends before and behind a segment that doesn't bear a neighbour, and after every TOGETHER ones.
+        opens = apart | np.append(True, apart[:-1]) | (np.arange(len(parts)) % TOGETHER == 0)
+        first = np.flatnonzero(opens)
+        bounds = np.append(ends[first] - size[first], ends[-1]).tolist()
+        blob = data.tobytes()
+        texts = [blob[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        sides = []
         for n, side in enumerate(self.sides):
+            ids = np.fromiter(chain.from_iterable(side.encode(texts)), np.int64)
+            token_ends = np.cumsum(self.sizes[n][ids])
+            count = np.searchsorted(token_ends, ends, side="right")
+            met = len(ids) and token_ends[-1] == len(data) and np.array_equal(token_ends[count - 1], ends)
+            if not met or b"".join(map(side.tokens.__getitem__, ids.tolist())) != blob:
+                self._learn_singly(parts)
+                return
+            sides.append((ids, count))
+        self._keep(parts, sides, np.ones(len(parts), bool))
+
+    def _learn_singly(self, parts: list[bytes]) -> None:
+        """Encode each new segment by itself and tell those that a tokenizer doesn't give back."""
+        texts, right, sides = [p.decode() for p in parts], np.ones(len(parts), bool), []
+        for side in self.sides:
             found = side.encode(texts)
             right &= [b"".join([side.tokens[i] for i in ids]) == part for ids, part in zip(found, parts, strict=True)]
-            counts = np.array([len(ids) for ids in found], np.int64)
-            flat = np.fromiter((i for ids in found for i in ids), np.int64, int(counts.sum()))
-            self.ends[n] = np.concatenate([self.ends[n], self.ends[n][-1] + np.cumsum(counts)])
-            self.ids[n] = np.concatenate([self.ids[n], flat])
-        for part in parts:
-            self.known[part] = len(self.known)
+            sides.append((np.fromiter(chain.from_iterable(found), np.int64), np.cumsum([len(ids) for ids in found])))
+        self._keep(parts, sides, right)
+
+    def _keep(self, parts: list[bytes], sides: list, right: np.ndarray) -> None:
+        for n, (ids, count) in enumerate(sides):
+            self.ends[n] = np.concatenate([self.ends[n], self.ends[n][-1] + count])
+            self.ids[n] = np.concatenate([self.ids[n], ids])
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         self.right = np.concatenate([self.right, right])
 
     def segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +171,8 @@ class TokenPair:
         if len(self.known) + len(distinct) > self.most:
             self.clear()
         lost = [p for p in distinct if p not in self.known]
-        for at in range(0, len(lost), 4_000):
-            self._learn(lost[at : at + 4_000])
+        for at in range(0, len(lost), 16_000):
+            self._learn(lost[at : at + 16_000])
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         doc = np.searchsorted(offsets[1:], begin, side="right")
         return number[codes.indices.to_numpy()], doc
