@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cohortforge.llm.segments import as_ids, encoder
-from cohortforge.llm.text import slices
+from cohortforge.llm.segments import SegmentEncoder, as_ids
+from cohortforge.llm.text import give_back, slices
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -124,8 +124,8 @@ def _packer(path: str, capacity: int, end_id: int):
             [pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(path), LevelPacker(capacity)
+    def packed(batches: Iterator[pa.RecordBatch], encode: SegmentEncoder) -> Iterator[pa.RecordBatch]:
+        packer = LevelPacker(capacity)
         sequence = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         for batch in batches:
             for at, texts in slices(batch.column(1), 2 << 20):
@@ -144,6 +144,15 @@ def _packer(path: str, capacity: int, end_id: int):
         if packer.full:
             yield rows(packer.full, sequence)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The worker lives on after the task, so its known segments go with the task.
+        encode = SegmentEncoder(path, bits=20)
+        try:
+            yield from packed(batches, encode)
+        finally:
+            encode.close()
+            give_back()
+
     return run
 
 

@@ -67,6 +67,11 @@ class SegmentEncoder:
         self.ids = np.zeros(1 << 20, np.uint32)
         self.n_ids = self.n_keys = 0
 
+    def close(self) -> None:
+        """Drop the known segments and the library's own; the encoder isn't used again."""
+        self.keys = self.sizes = self.starts = self.counts = self.ids = None
+        self.tokenizer = None
+
     def _find(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The place of each segment, or -1."""
         place = (key >> np.uint64(64 - self.bits)).astype(np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +70,15 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix((sums[end] - sums[start]) * down[start])
 
 
+def give_back() -> None:
+    """Return the freed memory of this worker to the system, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a run of texts.
 
