@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cohortforge.llm.segments import SegmentEncoder, as_ids
+from cohortforge.llm.segments import SegmentEncoder, as_ids, encoder
 from cohortforge.llm.text import give_back, slices
 
 PIECES = (
@@ -146,11 +146,11 @@ def _packer(path: str, capacity: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The worker lives on after the task, so its known segments go with the task.
-        encode = SegmentEncoder(path, bits=20)
+        encode = encoder(path)
         try:
             yield from packed(batches, encode)
         finally:
-            encode.close()
+            encode.forget()
             give_back()
 
     return run

@@ -56,7 +56,7 @@ class SegmentEncoder:
         self.split = os.path.basename(path) in SPLITTABLE
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.bits = bits
-        self._clear()
+        self.forget()
 
     def _clear(self) -> None:
         places = 1 << self.bits
@@ -67,10 +67,9 @@ class SegmentEncoder:
         self.ids = np.zeros(1 << 20, np.uint32)
         self.n_ids = self.n_keys = 0
 
-    def close(self) -> None:
-        """Drop the known segments and the library's own; the encoder isn't used again."""
+    def forget(self) -> None:
+        """Free the known segments; the next batch begins anew."""
         self.keys = self.sizes = self.starts = self.counts = self.ids = None
-        self.tokenizer = None
 
     def _find(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The place of each segment, or -1."""
@@ -119,7 +118,7 @@ class SegmentEncoder:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a large-string column, text after text, and where each text's begin (one more for the end)."""
-        if self.n_keys > 1 << (self.bits - 1) or self.n_ids > 8 << self.bits:
+        if self.keys is None or self.n_keys > 1 << (self.bits - 1) or self.n_ids > 8 << self.bits:
             self._clear()
         data, offsets = bytes_of(texts)
         first = np.zeros(len(data) + 1, bool)
