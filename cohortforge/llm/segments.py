@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from itertools import chain
 
@@ -14,6 +15,8 @@ from cohortforge.llm.text import bytes_of, hash_spans
 #: Files whose rules never join characters across a lone blank or line feed between two
 #: other characters, so that such places split a text into independent segments.
 SPLITTABLE = ("byte_bpe_50k.json", "word_bpe_49k.json")
+#: New segments that are encoded as one text.
+TOGETHER = 64
 #: Segments of more bytes are encoded each time.
 LONGEST = 48
 _ENCODERS: dict[str, SegmentEncoder] = {}
@@ -56,6 +59,7 @@ class SegmentEncoder:
         self.split = os.path.basename(path) in SPLITTABLE
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.bits = bits
+        self.bytes_of_ids = self._byte_sizes() if self.split else None
         self.forget()
 
     def _clear(self) -> None:
@@ -70,6 +74,7 @@ class SegmentEncoder:
     def forget(self) -> None:
         """Free the known segments; the next batch begins anew."""
         self.keys = self.sizes = self.starts = self.counts = self.ids = None
+        self.n_ids = self.n_keys = 0
 
     def _find(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The place of each segment, or -1."""
@@ -98,24 +103,56 @@ class SegmentEncoder:
             place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
         self.n_keys += len(key)
 
-    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Append the library's ids of new segments; where each one's begin, and their number."""
-        count, buffers = [], []
-        for at in range(0, len(parts), 4_000):
-            for e in self.tokenizer.encode_batch_fast(parts[at : at + 4_000], add_special_tokens=False):
-                ids = e.ids
-                count.append(len(ids))
-                buffers.append(ids)
-        flat = np.fromiter(chain.from_iterable(buffers), np.uint32, sum(count))
+    def _byte_sizes(self) -> np.ndarray | None:
+        """Bytes of text that each id stands for, where the file's rules keep every byte."""
+        rules = json.loads(self.tokenizer.to_str())
+        if rules["normalizer"] is not None or (rules["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+            return None
+        sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            sizes[number] = len(token)  # a character a byte
+        for added in rules["added_tokens"]:
+            sizes[added["id"]] = len(added["content"].encode())
+        return sizes
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of texts, and how many each has."""
+        found = [e.ids for at in range(0, len(texts), 4_000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4_000], add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
+
+    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Append the library's ids of new segments; where each one's begin, and their number.
+
+        Segments that may follow one another are encoded many to a text where ids tell their
+        bytes; these deal the ids out again. Otherwise each one is a text.
+        """
+        flat, count = self._together(parts) if self.bytes_of_ids is not None else (None, None)
+        if flat is None:
+            flat, count = self._library([p.decode() for p in parts])
         need = self.n_ids + len(flat)
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), np.uint32)])
         self.ids[self.n_ids : need] = flat
-        count = np.array(count, np.int64)
         start = self.n_ids + np.cumsum(count) - count
         self.n_ids = need
         return start, count
 
+    def _together(self, parts: list[bytes]) -> tuple[np.ndarray | None, np.ndarray | None]:
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(size)
+        blob = b"".join(parts)
+        white = np.append(_white(np.frombuffer(blob, np.uint8)), True)
+        apart = white[ends - 1] | white[ends - size + 1] | (size < 2)
+        first = np.flatnonzero(apart | np.append(True, apart[:-1]) | (np.arange(len(parts)) % TOGETHER == 0))
+        bounds = np.append(ends[first] - size[first], ends[-1]).tolist()
+        flat, _ = self._library([blob[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        token_ends = np.cumsum(self.bytes_of_ids[flat])
+        last = np.searchsorted(token_ends, ends, side="right")
+        if not len(flat) or not np.array_equal(token_ends[last - 1], ends):
+            return None, None
+        return flat, np.diff(last, prepend=0)
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a large-string column, text after text, and where each text's begin (one more for the end)."""
         if self.keys is None or self.n_keys > 1 << (self.bits - 1) or self.n_ids > 8 << self.bits:
@@ -146,7 +183,7 @@ class SegmentEncoder:
             _, one, back = np.unique(key[lost] ^ size[lost].astype(np.uint64), return_index=True, return_inverse=True)
             one = lost[one]
             raw = data.tobytes()
-            new = self._encode([raw[a:b].decode() for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
+            new = self._encode([raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
             start[lost], count[lost] = new[0][back], new[1][back]
             # The table takes what it has room for; it is emptied before the next batch.
             room = (3 << (self.bits - 2)) - self.n_keys
