@@ -15,12 +15,11 @@ from cohortforge.operators import concordance, cox, crossval, endpoints, folds,
 from cohortforge.plans import standins
 from cohortforge.sources import store
 
-OUTER, INNER, REPEATS = 3, 2, 2
+OUTER, INNER, REPEATS = 5, 5, 5
 CV_GENES = [f"Brand#{i}" for i in range(1, 21)]
-# The elastic net's moments grow with the square of its features.
-NET_GENES = CV_GENES[:4]
-DRAWS = 50
-NET_GRID = [(0, 0.2, 0.9), (1, 0.05, 0.9), (2, 0.05, 0.5), (3, 0.01, 0.5)]
+DRAWS = 2000
+PERMUTATIONS = 5
+NET_GRID = [(4 * k + n, a, r) for k, r in enumerate((0.9, 0.5, 0.1)) for n, a in enumerate((0.1, 0.05, 0.02, 0.01))]
 # Candidate composites over growing parts of the signature.
 CANDIDATES = [(k, g) for k, n in enumerate((5, 12, 20)) for g in CV_GENES[:n]]
 
@@ -222,6 +221,12 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(models, ["model", "n_valid"], ["mean_c", "ci_low", "ci_high"])
 
 
+def bootstrap_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the models' differences over the same draws."""
+    _, pairs = resample.paired_bootstrap(predictions(spark, sf_dir), DRAWS)
+    return _rounded(pairs, ["comparison", "n_valid", "too_few_valid"], ["mean_difference", "ci_low", "ci_high"])
+
+
 def prediction_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects planted by segment size: a duplicate, a moved outcome, a missing repeat."""
     held = predictions(spark, sf_dir)
@@ -366,18 +371,31 @@ def coefficient_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def coxnet_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _net(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     population, matrix, plan = _cv_inputs(spark, sf_dir)
     grid = literal_rows(spark, NET_GRID, "candidate int, alpha double, l1_ratio double")
-    matrix = matrix.filter(F.col("gene").isin(NET_GENES))
-    out = crossval.penalised_cv(matrix, population, plan, NET_GENES, grid, INNER)
-    chosen = out["selected"].select("repeat", "fold", "candidate", "mean_c")
+    return crossval.penalised_cv(matrix, population, plan, CV_GENES, grid, INNER)
+
+
+def coxnet_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the elastic net selects in each outer fold, and how it does there."""
+    out = _net(spark, sf_dir)
+    chosen = out["selected"].select("repeat", "fold", "mean_c")
     sizes = out["coefficients"].groupBy("repeat", "fold").agg(
-        F.count_if(F.col("coefficient") != 0).alias("n_selected")
+        F.count_if(F.col("coefficient") != 0).cast("long").alias("n_selected")
+    )
+    held = out["folds"].select("repeat", "fold", "candidate", "c_index", "error")
+    joined = held.join(chosen, ["repeat", "fold"], "left").join(sizes, ["repeat", "fold"], "left")
+    return _rounded(joined, ["repeat", "fold", "candidate", "n_selected", "error"], ["mean_c", "c_index"])
+
+
+def coxnet_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every inner fit of the grid with its certificate: the optimality conditions hold to 1e-6."""
+    search = _net(spark, sf_dir)["search"]
+    return search.select(
+        "repeat", "fold", "inner_fold", "candidate", "n_train", "n_events",
+        (F.col("residual") <= 1e-6).cast("int").alias("certified"), "error",
     )
-    held = out["folds"].select("repeat", "fold", "c_index")
-    joined = chosen.join(sizes, ["repeat", "fold"]).join(held, ["repeat", "fold"], "left")
-    return _rounded(joined, ["repeat", "fold", "candidate", "n_selected"], ["mean_c", "c_index"])
 
 
 def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +409,7 @@ def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     features = written(features, "importance-features")
     weights = features.select(*keys, "gene").distinct().withColumn("coefficient", F.lit(0.05))
-    return resample.permutation_drops(features, population, weights, keys, 2)
+    return resample.permutation_drops(features, population, weights, keys, PERMUTATIONS)
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,7 +510,7 @@ d AS (SELECT b.c_index - a.c_index AS d FROM conc a JOIN conc b USING (repeat, f
 SELECT 'b minus a' AS comparison, count(*) FILTER (d > 0) AS folds_positive, count(*) AS n_outer_fits, {r('avg(d)')} AS mean_difference,
        {r('stddev_samp(d)')} AS sd_difference, {r('median(d)')} AS median_difference FROM d"""
 
-_BOOTSTRAP = f"""WITH {_PREDICTIONS},
+_DRAWS_SQL = f"""WITH {_PREDICTIONS},
 pat AS (SELECT sample_id, row_number() OVER (ORDER BY md5(sample_id), sample_id) - 1 AS slot FROM (SELECT DISTINCT sample_id FROM held)),
 nn AS (SELECT count(*) AS n FROM pat),
 hit AS (SELECT draw, ('0x' || md5(concat_ws('|', '902099', draw, slot))[1:15])::BIGINT % n AS slot, count(*) AS weight
@@ -505,11 +523,19 @@ pairs AS (SELECT i.model, i.repeat, i.fold, i.sample_id AS a, j.sample_id AS b,
 fc AS (SELECT model, repeat, fold, wa.draw, sum(wa.weight * wb.weight * credit) / sum(wa.weight * wb.weight) AS c
        FROM pairs JOIN wt wa ON a = wa.sample_id JOIN wt wb ON b = wb.sample_id AND wa.draw = wb.draw GROUP BY 1, 2, 3, 4),
 dc AS (SELECT model, draw, avg(c) AS c, count(*) AS k FROM fc GROUP BY 1, 2),
-ok AS (SELECT draw FROM dc GROUP BY 1 HAVING min(k) = {OUTER * REPEATS}),
+ok AS (SELECT draw FROM dc GROUP BY 1 HAVING min(k) = {OUTER * REPEATS})"""
+
+_BOOTSTRAP = f"""{_DRAWS_SQL},
 ci AS (SELECT model, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi, count(*) AS n_valid FROM dc SEMI JOIN ok USING (draw) GROUP BY 1),
 ms AS (SELECT model, avg(c_index) AS mc FROM conc GROUP BY 1)
 SELECT model, n_valid, {r('mc')} AS mean_c, {r('lo')} AS ci_low, {r('hi')} AS ci_high FROM ci JOIN ms USING (model)"""
 
+_BOOTSTRAP_DIFFERENCES = f"""{_DRAWS_SQL},
+dd AS (SELECT b.c - a.c AS d FROM dc a JOIN dc b USING (draw) SEMI JOIN ok USING (draw) WHERE a.model = 'a' AND b.model = 'b'),
+md AS (SELECT avg(b.c_index - a.c_index) AS m FROM conc a JOIN conc b USING (repeat, fold) WHERE a.model = 'a' AND b.model = 'b')
+SELECT 'b minus a' AS comparison, count(*) AS n_valid, count(*) < {DRAWS} * 0.8 AS too_few_valid, {r('any_value(m)')} AS mean_difference,
+       {r('quantile_cont(d, 0.025)')} AS ci_low, {r('quantile_cont(d, 0.975)')} AS ci_high FROM dd, md"""
+
 _PROBLEMS = f"""WITH {_PREDICTIONS},
 ch AS (SELECT model, repeat, fold, sample_id, event, CAST(sample_id AS BIGINT) % 17 AS k,
               CASE WHEN CAST(sample_id AS BIGINT) % 17 = 5 AND model = 'b' THEN time_months + 1 ELSE time_months END AS t
@@ -604,6 +630,13 @@ mc AS (SELECT repeat, fold, candidate, avg(c_index) AS mean_c FROM conc GROUP BY
 SELECT repeat, fold, CAST(candidate AS INTEGER) AS candidate, {r('mean_c')} AS mean_c FROM mc
 QUALIFY row_number() OVER (PARTITION BY repeat, fold ORDER BY mean_c DESC, candidate) = 1"""
 
+_CERTIFICATES = f"""WITH {X6}, {_POP}, {S.tested(OUTER, REPEATS)}, {S.roles(OUTER, INNER)}
+SELECT repeat, fold, CAST(i.inner_fold AS INTEGER) AS inner_fold, CAST(c.candidate AS INTEGER) AS candidate,
+       count(*) FILTER (roles.inner_fold <> i.inner_fold) AS n_train,
+       CAST(sum(event) FILTER (roles.inner_fold <> i.inner_fold) AS BIGINT) AS n_events, 1 AS certified, CAST(NULL AS VARCHAR) AS error
+FROM roles, (SELECT unnest(range(1, {INNER + 1})) AS inner_fold) i, (SELECT unnest(range({len(NET_GRID)})) AS candidate) c
+WHERE role = 'train' GROUP BY 1, 2, 3, 4"""
+
 _STABILITY = f"""WITH {_CV},
 e AS (SELECT repeat, fold, gene AS feature, avg(value) FILTER (event = 1) - avg(value) FILTER (event = 0) AS d
       FROM roles JOIN grid USING (sample_id) WHERE role = 'train' GROUP BY 1, 2, 3),
@@ -622,7 +655,7 @@ part AS MATERIALIZED (SELECT repeat, fold, sample_id, gene, 0.05e0 * (value - m)
 base AS (SELECT repeat, fold, sample_id, sum(part) AS risk FROM part GROUP BY 1, 2, 3),
 wr AS (SELECT repeat, fold, time_months, event, risk FROM base JOIN pop USING (sample_id)),
 {S.concordance('wr', 'repeat, fold', 'whole')},
-many AS (SELECT *, CAST(unnest(range(1, 3)) AS INTEGER) AS permutation FROM part),
+many AS (SELECT *, CAST(unnest(range(1, {PERMUTATIONS + 1})) AS INTEGER) AS permutation FROM part),
 slots AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY repeat, fold, gene, permutation ORDER BY md5(sample_id), sample_id) AS taker,
                  row_number() OVER (PARTITION BY repeat, fold, gene, permutation
                    ORDER BY md5(concat_ws('|', '932001', repeat, fold, gene, permutation, sample_id)), sample_id) AS giver FROM many),
@@ -669,6 +702,7 @@ QUERIES = {
     "cv_summary": (cv_summary, _SUMMARY),
     "paired_difference": (paired_difference, _DIFFERENCE),
     "paired_bootstrap": (paired_bootstrap, _BOOTSTRAP),
+    "bootstrap_differences": (bootstrap_differences, _BOOTSTRAP_DIFFERENCES),
     "prediction_problems": (prediction_problems, _PROBLEMS),
     "cox_per_sd": (cox_per_sd, _PER_SD),
     "cox_frozen": (cox_frozen, _FROZEN),
@@ -680,6 +714,7 @@ QUERIES = {
     "candidate_selection": (candidate_selection, _CANDIDATE),
     "coefficient_stability": (coefficient_stability, _STABILITY),
     "coxnet_grid": (coxnet_grid, None),
+    "coxnet_certificates": (coxnet_certificates, _CERTIFICATES),
     "permutation_importance": (
         permutation_importance,
         f"{_DROPS} SELECT repeat, fold, gene, permutation, {r('c_drop')} AS c_drop FROM drops",

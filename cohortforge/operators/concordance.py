@@ -1,8 +1,9 @@
-"""Harrell's C without enumerating pairs.
+"""Harrell's C for many keys at once.
 
-The credit of an event is the number of comparable partners with a lower risk
+A key of up to ``GROUP_ROWS`` rows is counted by itself from one shuffle of its rows (``pair_counts``).
+Larger ones are counted without enumerating pairs: the credit of an event is the number of comparable partners with a lower risk
 (plus half of the tied ones).  Counting partners that are both later in time and
-lower in risk is a two-dimensional count.  It is done here with a binary
+lower in risk is a two-dimensional count.  It is done with a binary
 decomposition of the risk ranks: "rank below T" is a disjoint union of at most
 log2(n) rank blocks, and within one block the later partners are a running
 total over time.  Everything is sums per (key, block, time), so work is
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import ratio
 from cohortforge.functions.staging import written
-from cohortforge.operators.ordering import spread_totals
+from cohortforge.operators.ordering import has_large_key, spread_totals
+from cohortforge.operators.pair_counts import RISK_TIE, key_totals
 
-RISK_TIE = 1e-8
+GROUP_ROWS = 200_000
 
 
 def rank_positions(cases: DataFrame, keys: list[str], risk: str = "_r") -> DataFrame:
@@ -121,6 +123,25 @@ def cases_of(
     )
 
 
+def split_keys(cases: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of a written table by the size of their key: up to ``limit`` rows, and over it (None if there are none)."""
+    if not has_large_key(cases, keys, limit):
+        return cases, None
+    sizes = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    large = written(sizes.select(*keys), "large-keys")
+    return cases.join(large, keys, "left_anti"), cases.join(large, keys)
+
+
+def weighted_totals(cases: DataFrame, keys: list[str]) -> DataFrame:
+    """``comparable`` and ``credit`` per key of written rows (keys, _t, _e, _r, _w)."""
+    small, large = split_keys(cases, keys, GROUP_ROWS)
+    schema = cases.select(*keys).schema.add("comparable", "double").add("credit", "double")
+    totals = small.groupBy(*keys).applyInArrow(key_totals(keys), schema)
+    if large is None:
+        return totals
+    return totals.unionByName(pair_totals(written(with_ranks(large, keys), "ranked"), keys))
+
+
 def harrell(
     predictions: DataFrame,
     keys: list[str],
@@ -129,9 +150,8 @@ def harrell(
     risk: str = "risk",
 ) -> DataFrame:
     """(keys, comparable_pairs, c_index, error); C is NULL where no pair is comparable."""
-    cases = cases_of(predictions, keys, time, event, risk)
-    totals = pair_totals(written(with_ranks(cases, keys), "ranked"), keys)
-    return totals.select(
+    cases = written(cases_of(predictions, keys, time, event, risk), "cases")
+    return weighted_totals(cases, keys).select(
         *keys,
         F.col("comparable").cast("long").alias("comparable_pairs"),
         ratio(F.col("credit"), F.col("comparable")).alias("c_index"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortforge.functions.numeric import finite, ratio
+from cohortforge.functions.numeric import finite
 from cohortforge.functions.staging import written
-from cohortforge.operators import cox, scaler
+from cohortforge.operators import cox, net_path, scaler
 from cohortforge.operators.concordance import harrell
 
 
@@ -208,76 +208,69 @@ def penalised_cv(
 ) -> dict[str, DataFrame]:
     """Nested cross-validation of the elastic-net Cox grid.
 
-    ``grid`` has (candidate, alpha, l1_ratio).  All inner fits of all folds and
-    candidates step together, then all outer refits.  Returns ``search``,
-    ``selected``, ``coefficients``, ``predictions`` and ``folds``.
+    ``grid`` has (candidate, alpha, l1_ratio), a list of settings. All inner and outer partitions are fitted
+    together, see ``net_path``. Returns
+
+    - ``search``: a row for every planned inner fold and candidate: ``n_train, n_events, residual`` (of the optimality
+      conditions), ``rounds, c_index`` and ``error`` (``no_training_events``, ``not_converged``,
+      ``too_few_validation_events``, ``no_comparable_pairs``, or null);
+    - ``selected``: the best candidate of each outer fold that has one;
+    - ``coefficients``: those of the outer refits;
+    - ``predictions``: held-out risks of the selected candidates;
+    - ``folds``: a row for every planned outer fold with ``candidate, residual, comparable_pairs, c_index`` and ``error``
+      (``no_usable_candidate`` besides those above).
     """
-    listed = grid.agg(F.collect_list(F.struct("candidate", "alpha", "l1_ratio"))).scalar()
-    inner_keys = [by, "repeat", "fold", "inner_fold"]
-    inner = written(
-        _wide(matrix, outcomes, inner_partitions(plan, n_inner, by), inner_keys, genes, by), "net-inner"
-    )
-    fit_keys = [*inner_keys, "candidate"]
-    many = inner.withColumn("_c", F.explode(listed)).select(*inner.columns, "_c.*")
-    penalty = many.select(*fit_keys, "alpha", "l1_ratio").distinct()
-    fitted = cox.fit(
-        many.filter(F.col("role") == "train"), fit_keys, genes, ties="breslow", penalty=penalty
+    listed = [(r["candidate"], float(r["alpha"]), float(r["l1_ratio"])) for r in grid.orderBy("candidate").collect()]
+    rows = net_path.member_rows(matrix, outcomes, plan, genes, by)
+    state = net_path.fit_paths(rows, listed, n_inner, by)
+    keys, outer_keys = [by, *net_path.PART], [by, "repeat", "fold"]
+    held = written(net_path.held_risks(rows, state, by, len(listed)), "net-held")
+    scored = written(net_path.risk_concordance(held, by, len(listed)), "net-concordance")
+    number = F.array(*[F.lit(c) for c, _, _ in listed])
+    fits = state.select(
+        *keys, F.col("n").alias("n_train"), F.col("events").alias("n_events"), F.posexplode(F.arrays_zip("done", "residual", "rounds")).alias("place", "_f")
+    ).select(*keys, "place", number[F.col("place")].alias("candidate"), "n_train", "n_events", "_f.*")
+    fits = written(fits.join(scored, [*keys, "place"], "left"), "net-fits")
+    error = (
+        F.when(F.col("n_events") == 0, "no_training_events")
+        .when(F.col("done") == 0, "not_converged")
+        .when(F.coalesce("held_events", F.lit(0)) < min_validation_events, "too_few_validation_events")
+        .when(F.col("c_index").isNull(), "no_comparable_pairs")
     )
-    risks = _risks(many.filter(F.col("role") == "test"), fitted, fit_keys, genes)
-    scores = harrell(risks, fit_keys)
-    if min_validation_events:
-        enough = risks.groupBy(*fit_keys).agg(F.sum("event").alias("_e")).filter(
-            F.col("_e") >= min_validation_events
+    residual = F.when(F.col("n_events") > 0, F.col("residual")).alias("residual")
+    search = fits.filter(F.col("inner_fold") > 0).withColumn("error", error).select(
+        *keys, "candidate", "n_train", "n_events", residual, F.col("rounds").cast("int").alias("rounds"),
+        F.when(F.col("error").isNull(), F.col("c_index")).alias("c_index"), "error",
+    )
+    search = written(search, "net-search")
+    chosen = written(select_candidates(search, outer_keys, n_inner, require_all).join(grid, "candidate"), "net-chosen")
+    outer = fits.filter(F.col("inner_fold") == 0).join(chosen.select(*outer_keys, "candidate"), [*outer_keys, "candidate"])
+    folds = (
+        state.filter(F.col("inner_fold") == 0).select(*outer_keys)
+        .join(outer.withColumn("error", error), outer_keys, "left")
+        .select(
+            *outer_keys, "candidate", residual, F.col("comparable").cast("long").alias("comparable_pairs"), "c_index",
+            F.when(F.col("candidate").isNull(), "no_usable_candidate").otherwise(F.col("error")).alias("error"),
         )
-        scores = scores.join(enough.select(*fit_keys), fit_keys, "left_semi")
-    search = written(scores.select(*fit_keys, "c_index"), "net-search")
-    outer_keys = [by, "repeat", "fold"]
-    chosen = written(
-        select_candidates(search, outer_keys, n_inner, require_all).join(grid, "candidate"), "net-chosen"
-    )
-    outer = written(
-        _wide(matrix, outcomes, plan.select(*outer_keys, "sample_id", "role"), outer_keys, genes, by), "net-outer"
+    )
+    good = outer.filter(F.col("done") > 0).select(*outer_keys, "place")
+    weights = state.filter(F.col("inner_fold") == 0).join(good, outer_keys)
+    own = F.slice("beta", F.col("place") * len(genes) + 1, len(genes))
+    coefficients = weights.select(*outer_keys, F.posexplode(own).alias("_a", "coefficient")).select(
+        *outer_keys, F.array(*[F.lit(g) for g in genes])[F.col("_a")].alias("feature"), "coefficient"
     )
-    refits = written(
-        cox.fit(outer.filter(F.col("role") == "train"), outer_keys, genes, ties="breslow", penalty=chosen),
-        "net-refits",
+    predictions = held.filter(F.col("inner_fold") == 0).join(good, outer_keys).select(
+        *outer_keys, "sample_id", F.col("_t").alias("time_months"), F.col("_e").alias("event"), F.col("risks")[F.col("place")].alias("risk")
     )
-    held = _risks(outer.filter(F.col("role") == "test"), refits, outer_keys, genes)
-    coefficients = refits.select(
-        *outer_keys, F.posexplode("beta").alias("_a", "coefficient")
-    ).select(*outer_keys, F.array(*[F.lit(g) for g in genes])[F.col("_a")].alias("feature"), "coefficient")
     return {
         "search": search,
         "selected": chosen,
         "coefficients": coefficients,
-        "predictions": held.select(*outer_keys, "sample_id", "time_months", "event", "risk"),
-        "folds": harrell(held, outer_keys),
+        "predictions": predictions,
+        "folds": written(folds, "net-folds"),
     }
 
 
-def _wide(
-    matrix: DataFrame, outcomes: DataFrame, roles: DataFrame, keys: list[str], genes: list[str], by: str
-) -> DataFrame:
-    """Frozen-z features as columns, per partition and sample."""
-    cells = cells_of(matrix, roles)
-    fitted = written(scaler.fit(cells.filter(F.col("role") == "train"), keys), "net-scaler")
-    z = cells.join(fitted.select(*keys, "gene", "mean", "sd"), [*keys, "gene"]).withColumn(
-        "_z", F.coalesce(ratio(F.col("value") - F.col("mean"), F.col("sd")), F.lit(0.0))
-    )
-    wide = z.groupBy(*keys, "sample_id", "role").agg(
-        *[F.max(F.when(F.col("gene") == g, F.col("_z"))).alias(g) for g in genes]
-    )
-    return wide.join(outcomes.select(by, "sample_id", "time_months", "event"), [by, "sample_id"])
-
-
-def _risks(rows: DataFrame, fitted: DataFrame, keys: list[str], genes: list[str]) -> DataFrame:
-    total = F.lit(0.0)
-    for a, g in enumerate(genes):
-        total = total + F.col("beta")[a] * F.col(f"`{g}`")
-    good = fitted.filter("converged").select(*keys, "beta")
-    return rows.join(good, keys).withColumn("risk", total)
-
-
 def apply_model(
     matrix: DataFrame, model_scaler: DataFrame, coefficients: DataFrame, keys: list[str]
 ) -> DataFrame:

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import ratio
 from cohortforge.functions.staging import written
-from cohortforge.operators.concordance import cases_of, harrell, pair_totals, with_ranks
+from cohortforge.operators import concordance
+from cohortforge.operators.concordance import harrell, pair_totals, with_ranks
 from cohortforge.operators.ordering import exact_quantiles, hashed_position
+from cohortforge.operators.pair_counts import draw_totals
 
 FOLD = ["model", "repeat", "fold"]
 MIN_VALID_SHARE = 0.8
+#: Draws whose weights travel as one list a patient.
+BLOCK_DRAWS = 250
 _HASH_DIGITS = 15
 
 
@@ -75,48 +79,82 @@ def paired_differences(folds: DataFrame) -> DataFrame:
     )
 
 
+def _slots(patients: DataFrame) -> DataFrame:
+    """Patients numbered from 0 in the order of their digests: ``_slot, sample_id``."""
+    key = patients.select("sample_id").distinct().withColumn("_one", F.lit(1))
+    numbered = hashed_position(
+        key.withColumn("_d", F.md5("sample_id")), ["_one"], "_d", "sample_id", "_slot"
+    ).select((F.col("_slot") - 1).alias("_slot"), "sample_id")
+    return written(numbered, "slots")
+
+
+def _chosen(n: int, seed: int) -> Column:
+    """The slot that slot ``_slot`` of draw ``draw`` selects."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("_slot")))
+    return F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long") % n
+
+
 def patient_weights(patients: DataFrame, draws: int, seed: int = 902099) -> DataFrame:
     """Multinomial patient weights per draw as (draw, sample_id, weight); zero weights absent.
 
     Each patient is also one slot of every draw, and the slot's digest names the
     patient it selects, so the weights of a draw sum to the number of patients.
     """
-    key = patients.select("sample_id").distinct().withColumn("_one", F.lit(1))
-    numbered = hashed_position(
-        key.withColumn("_d", F.md5("sample_id")), ["_one"], "_d", "sample_id", "_slot"
-    ).select((F.col("_slot") - 1).alias("_slot"), "sample_id")
-    numbered = written(numbered, "slots")
-    n = numbered.count()
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("_slot")))
-    chosen = F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long") % n
+    numbered = _slots(patients)
     hits = (
         numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .groupBy("draw", chosen.alias("_slot"))
+        .groupBy("draw", _chosen(numbered.count(), seed).alias("_slot"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     return hits.join(numbered, "_slot").select("draw", "sample_id", "weight")
 
 
+def draw_lists(patients: DataFrame, draws: int, seed: int = 902099, block: int = BLOCK_DRAWS) -> DataFrame:
+    """The same weights with a row per patient and block of draws: ``sample_id, _block, _chosen``.
+
+    ``_chosen`` has the draws of the block, numbered from 0, that select the patient, each as often as it does.
+    """
+    numbered = _slots(patients)
+    number = F.col("draw") - 1
+    hits = (
+        numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        .select(_chosen(numbered.count(), seed).alias("_slot"), F.floor(number / block).cast("int").alias("_block"), (number % block).alias("_in"))
+        .groupBy("_slot", "_block")
+        .agg(F.collect_list("_in").alias("_chosen"))
+    )
+    return hits.join(numbered, "_slot").select("sample_id", "_block", "_chosen")
+
+
 def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099) -> DataFrame:
     """Mean-over-folds C per (draw, model), keeping draws with pairs in every fold.
 
-    Weights are shared by all models, folds and repeats of a patient.  Ranks are
-    taken once per fold; draws only change the weights.
+    Weights are shared by all models, folds and repeats of a patient. A fold's pairs are ranked once per
+    block of draws, whose weights are the columns of one matrix; a row of predictions
+    travels once a block, not once a draw. Folds over ``GROUP_ROWS`` rows are counted draw by draw.
     """
-    cases = predictions.select(
-        *FOLD,
-        "sample_id",
-        F.col("time_months").cast("double").alias("_t"),
-        F.col("event").cast("int").alias("_e"),
-        F.col("risk").cast("double").alias("_r"),
-    )
-    ranked = written(with_ranks(cases, FOLD), "ranked")
-    weighted = (
-        ranked.join(patient_weights(predictions, draws, seed), "sample_id")
-        .groupBy(*FOLD, "draw", "_t", "_e", "pos", "lo", "hi", "_bits")
-        .agg(F.sum("weight").cast("double").alias("_w"))
+    cases = written(
+        predictions.select(
+            *FOLD,
+            "sample_id",
+            F.col("time_months").cast("double").alias("_t"),
+            F.col("event").cast("int").alias("_e"),
+            F.col("risk").cast("double").alias("_r"),
+        ).filter(F.col("_t").isNotNull() & F.col("_e").isNotNull() & F.col("_r").isNotNull()),
+        "draw-cases",
     )
-    totals = pair_totals(written(weighted, "weighted"), [*FOLD, "draw"])
+    block = min(draws, BLOCK_DRAWS)
+    small, large = concordance.split_keys(cases, FOLD, concordance.GROUP_ROWS)
+    lists = written(draw_lists(predictions, draws, seed, block), "draw-lists")
+    schema = cases.select(*FOLD).schema.add("draw", "integer").add("comparable", "double").add("credit", "double")
+    totals = small.join(lists, "sample_id").groupBy(*FOLD, "_block").applyInArrow(draw_totals(FOLD, block), schema)
+    totals = totals.filter(F.col("draw") <= draws)
+    if large is not None:
+        weighted = (
+            written(with_ranks(large, FOLD), "ranked").join(patient_weights(predictions, draws, seed), "sample_id")
+            .groupBy(*FOLD, "draw", "_t", "_e", "pos", "lo", "hi", "_bits")
+            .agg(F.sum("weight").cast("double").alias("_w"))
+        )
+        totals = totals.unionByName(pair_totals(written(weighted, "weighted"), [*FOLD, "draw"]))
     folds = predictions.select("repeat", "fold").distinct().count()
     per_draw = totals.groupBy("draw", "model").agg(
         F.avg(ratio(F.col("credit"), F.col("comparable"))).alias("c"),
