@@ -10,7 +10,6 @@ from cohortforge.catalogue import catalogue
 from tests.oracle_check import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-SLOW = {"coxnet_grid", "cox_multivariable"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def oracle():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue()))
 def test_query(spark, oracle, name):
     query, sql = catalogue()[name]
     df = query(spark, SF_DIR)
