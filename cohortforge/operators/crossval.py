@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortforge.functions.numeric import finite
+from cohortforge.functions.numeric import finite, ratio
 from cohortforge.functions.staging import written
 from cohortforge.operators import cox, net_path, scaler
 from cohortforge.operators.concordance import harrell
@@ -112,6 +112,71 @@ def leakage(
     )
 
 
+def fold_scalers(matrix: DataFrame, tested: DataFrame, by: str = "cohort_id") -> DataFrame:
+    """Scaler of every fold's training side: (by, repeat, fold, gene, mean, sd, n_fit).
+
+    ``tested`` has one (by, repeat, fold, sample_id) row per sample and repeat; a fold trains on the samples of its
+    repeat's other folds. Moments are those of the whole repeat less the test fold's, so a cell travels once a repeat,
+    not once a fold. They are taken about the gene's cohort mean, which keeps the differences exact.
+    A spread under ``MIN_SD`` is null; folds with fewer than two training samples have no scaler.
+    """
+    centre = matrix.groupBy(by, "gene").agg(F.avg("value").alias("_c"))
+    d = F.col("value") - F.col("_c")
+    part = written(
+        matrix.join(centre, [by, "gene"]).join(tested, [by, "sample_id"]).groupBy(by, "repeat", "gene", "fold").agg(
+            F.count("value").alias("n"), F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.first("_c").alias("_c")
+        ),
+        "fold-moments",
+    )
+    whole = part.groupBy(by, "repeat", "gene").agg(
+        F.sum("n").alias("_n"), F.sum("s1").alias("_s1"), F.sum("s2").alias("_s2"), F.first("_c").alias("_c")
+    )
+    sizes = tested.groupBy(by, "repeat", "fold").agg(F.count(F.lit(1)).alias("_size"))
+    total = sizes.groupBy(by, "repeat").agg(F.sum("_size").alias("_all"))
+    fits = sizes.join(total, [by, "repeat"]).select(by, "repeat", "fold", (F.col("_all") - F.col("_size")).alias("n_fit"))
+    left = whole.join(fits.filter("n_fit >= 2"), [by, "repeat"]).join(part.drop("_c"), [by, "repeat", "gene", "fold"], "left")
+    zero = F.lit(0)
+    n = F.col("_n") - F.coalesce("n", zero)
+    s1, s2 = F.col("_s1") - F.coalesce("s1", zero), F.col("_s2") - F.coalesce("s2", zero)
+    mean = ratio(s1, n)
+    sd = F.sqrt(F.greatest(s2 - s1 * mean, F.lit(0.0)) / (n - 1))
+    return left.filter(n > 0).select(
+        by, "repeat", "fold", "gene", (F.col("_c") + mean).alias("mean"),
+        F.when((n > 1) & (sd >= scaler.MIN_SD), sd).alias("sd"), "n_fit",
+    )
+
+
+def fold_scores(matrix: DataFrame, plan: DataFrame, by: str = "cohort_id") -> tuple[DataFrame, DataFrame]:
+    """Composite scores of every (by, repeat, fold, sample_id, role), and the folds with constant genes.
+
+    As ``partition_scores`` with ``fold_scalers``: a sample's genes are one row, which meets the means and spreads of its folds;
+    only the score is held per fold.
+    """
+    keys = [by, "repeat", "fold"]
+    tested = plan.filter(F.col("role") == "test").select(*keys, "sample_id")
+    fitted = written(fold_scalers(matrix, tested, by), "fold-scalers")
+    constant = written(
+        scaler.degenerate_genes(fitted, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_constant_genes")), "fold-constant"
+    )
+    # The signature's genes: a small dimension.
+    genes = sorted(r[0] for r in fitted.select("gene").distinct().collect())
+    pick = [F.col("gene") == g for g in genes]
+    wide = matrix.groupBy(by, "sample_id").agg(*[F.max(F.when(p, F.col("value"))).alias(f"_x{a}") for a, p in enumerate(pick)])
+    weights = fitted.join(constant, keys, "left_anti").groupBy(*keys).agg(
+        *[F.max(F.when(p, F.col("mean"))).alias(f"_m{a}") for a, p in enumerate(pick)],
+        *[F.max(F.when(p, F.col("sd"))).alias(f"_s{a}") for a, p in enumerate(pick)],
+    )
+    total = " + ".join(f"coalesce((_x{a} - _m{a}) / _s{a}, 0D)" for a in range(len(genes))) or "0D"
+    present = " + ".join(f"CAST((_x{a} - _m{a}) / _s{a} IS NOT NULL AS INT)" for a in range(len(genes))) or "0"
+    rows = plan.select(*keys, "sample_id", "role").join(wide, [by, "sample_id"]).join(written(weights, "fold-weights"), keys)
+    raw = written(rows.select(*keys, "sample_id", "role", F.expr(f"try_divide({total}, {present})").alias("raw")), "cv-raw")
+    composite = raw.filter(F.col("role") == "train").groupBy(*keys).agg(
+        F.avg("raw").alias("composite_mean"), F.stddev_samp("raw").alias("composite_sd")
+    ).filter(F.col("composite_sd") > scaler.MIN_SD)
+    scored = raw.filter(F.col("raw").isNotNull()).join(composite, keys)
+    return scored.withColumn("score", (F.col("raw") - F.col("composite_mean")) / F.col("composite_sd")), constant
+
+
 def fixed_signature_cv(
     matrix: DataFrame, outcomes: DataFrame, plan: DataFrame, by: str = "cohort_id"
 ) -> dict[str, DataFrame]:
@@ -119,16 +184,15 @@ def fixed_signature_cv(
 
     Returns ``folds``, ``predictions`` and ``scaler`` tables.  ``matrix`` holds
     the signature genes only; ``outcomes`` has (cohort, sample_id, time_months,
-    event).  ``folds`` has a row for every planned fold; one that could not be fitted
+    event).  ``plan`` tests every sample once per repeat and trains on the other folds (``folds.plan``).
+    ``folds`` has a row for every planned fold; one that could not be fitted
     or scored says why in ``error``.
     """
     keys = [by, "repeat", "fold"]
     roles = plan.select(*keys, "sample_id", "role")
+    composites, constant = fold_scores(matrix, roles, by)
     scored = written(
-        partition_scores(matrix, roles, keys).join(
-            outcomes.select(by, "sample_id", "time_months", "event"), [by, "sample_id"]
-        ),
-        "cv-scores",
+        composites.join(outcomes.select(by, "sample_id", "time_months", "event"), [by, "sample_id"]), "cv-scores"
     )
     train, test = scored.filter(F.col("role") == "train"), scored.filter(F.col("role") == "test")
     models = written(cox.fit(train, keys, ["score"]), "cv-models").filter("converged").select(
@@ -142,7 +206,6 @@ def fixed_signature_cv(
         F.count_if(F.col("role") == "test").alias("n_test"),
         F.count_if((F.col("role") == "test") & (F.col("event") == 1)).alias("n_test_events"),
     )
-    constant = partition_problems(matrix, roles, keys)
     error = (
         F.when(F.col("n_constant_genes") > 0, "constant_training_gene")
         .when(F.col("n_train").isNull(), "no_usable_composite")

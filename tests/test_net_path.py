@@ -149,3 +149,25 @@ def test_draws_equal_weights_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(concordance, "GROUP_ROWS", 5)
     again = {(r["draw"], r["model"]): r["c"] for r in resample.bootstrap_draws(held, 7).collect()}
     assert again.keys() == got.keys() and all(again[k] == pytest.approx(v) for k, v in got.items())
+
+
+def test_fold_scalers_by_subtraction(spark, cohort):
+    from cohortforge.operators import scaler
+
+    _, people, matrix, plan = cohort
+    keys = ["cohort_id", "repeat", "fold"]
+    tested = plan.filter("role = 'test'").select(*keys, "sample_id")
+    got = {(r["repeat"], r["fold"], r["gene"]): r for r in crossval.fold_scalers(matrix, tested).collect()}
+    train = matrix.join(plan.filter("role = 'train'").select(*keys, "sample_id"), ["cohort_id", "sample_id"])
+    want = scaler.fit(train, keys).collect()
+    assert len(want) == len(got) == 24
+    for r in want:
+        g = got[r["repeat"], r["fold"], r["gene"]]
+        assert g["mean"] == pytest.approx(r["mean"], abs=1e-12) and (g["sd"] is None) == (r["sd"] is None)
+        assert r["sd"] is None or g["sd"] == pytest.approx(r["sd"], rel=1e-10)
+    # The constant gene refuses every fold; without it the scores are those of whole cells.
+    assert crossval.fold_scores(matrix, plan)[1].count() == 6
+    some = matrix.filter("gene != 'g3'")
+    plain = {(r["repeat"], r["fold"], r["sample_id"]): r["score"] for r in crossval.partition_scores(some, plan.select(*keys, "sample_id", "role"), keys).collect()}
+    fast = {(r["repeat"], r["fold"], r["sample_id"]): r["score"] for r in crossval.fold_scores(some, plan)[0].collect()}
+    assert plain.keys() == fast.keys() and all(fast[k] == pytest.approx(v, abs=1e-9) for k, v in plain.items())
