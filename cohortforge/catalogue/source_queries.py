@@ -295,11 +295,9 @@ def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models saved, checked and loaded; their predictions written as TSV and read back."""
     from cohortforge.catalogue.survival_queries import _model, _requests
 
-    model, constants = _model(spark, sf_dir)
     path = _path(spark, "model")
-    store.save_models(model, constants, path)
-    model, constants = store.load_models(spark, path)
-    out = inference.predictions(inference.assess(_requests(spark, sf_dir), model, constants))
+    store.save_models(*_model(spark, sf_dir), path)
+    out = inference.predictions(inference.assess(_requests(spark, sf_dir), *store.load_models(spark, path)))
     store.write_predictions(out, f"{path}/predictions", "tsv")
     read = spark.read.csv(f"{path}/predictions", sep="\t", header=True, inferSchema=False)
     return read.groupBy("model_id", "model_version").agg(

@@ -17,6 +17,8 @@ from cohortforge.plans import cohort_build, standins
 from cohortforge.streaming import frozen, sinks
 
 SAMPLE_SCHEMA = "sample_id string, expression_type string, expr map<string,double>"
+REFERENCE_SCHEMA = SAMPLE_SCHEMA + ", reference_id string"
+MODEL_SAMPLES = SAMPLE_SCHEMA + ", model_id string"
 
 
 def _land(spark: SparkSession, samples: DataFrame) -> str:
@@ -37,22 +39,26 @@ def stream_reference_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = standins.dense_expression(spark, sf_dir).withColumn("expression_type", F.lit("dense"))
     train = cells.filter(F.col("gene").isin(MODEL_GENES))
     fitted = scaler.fit(train, ["cohort_id"])
-    reference = written(
-        fitted.select(F.lit("emb/dense20").alias("reference_id"), F.lit("rowmean").alias("scoring"), "gene", "mean", "sd"),
-        "stream-reference",
-    )
-    landing = _land(spark, _as_maps(cells))
-    out = sinks.run_available(spark, landing, SAMPLE_SCHEMA, lambda s: frozen.score_stream(s, reference))
+    by_id = [("emb/dense20", MODEL_GENES), ("emb/dense5", MODEL_GENES[:5])]
+    parts = [
+        fitted.filter(F.col("gene").isin(genes)).select(F.lit(name).alias("reference_id"), F.lit("rowmean").alias("scoring"), "gene", "mean", "sd")
+        for name, genes in by_id
+    ]
+    reference = written(parts[0].unionByName(parts[1]), "stream-reference")
+    k = F.col("sample_id").cast("long") % 3
+    asked = F.when(k == 0, "emb/dense20").when(k == 1, "emb/dense5").otherwise("emb/none").alias("reference_id")
+    landing = _land(spark, _as_maps(cells).select("*", asked))
+    out = sinks.run_available(spark, landing, REFERENCE_SCHEMA, lambda s: frozen.score_stream(s, reference))
     return _rounded(out, ["sample_id", "reference_id", "error_code"], ["score"])
 
 
 def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streamed predictions and rejects in one table."""
-    model, constants = _model(spark, sf_dir)
-    model, constants = written(model, "stream-model"), written(constants, "stream-scaler")
-    landing = _land(spark, _as_maps(_requests(spark, sf_dir).distinct()))
+    """Streamed predictions and rejects in one table; some samples ask for a model that isn't there."""
+    model, constants, ranks = (written(part, "stream-model") for part in _model(spark, sf_dir))
+    asked = F.when(F.col("sample_id").cast("long") % 11 == 7, "nobody").otherwise("dense20").alias("model_id")
+    landing = _land(spark, _as_maps(_requests(spark, sf_dir).distinct()).select("*", asked))
     out = sinks.run_available(
-        spark, landing, SAMPLE_SCHEMA, lambda s: frozen.predict_stream(s, model, constants)
+        spark, landing, MODEL_SAMPLES, lambda s: frozen.predict_stream(s, model, constants, ranks)
     )
     good = _rounded(frozen.accepted(out), ["sample_id"], ["score", "relative_hazard", "training_percentile"])
     return good.withColumn("error_code", F.lit("")).unionByName(
@@ -101,19 +107,22 @@ _STREAM_REFERENCE = f"""
 WITH {X2}, m AS (SELECT * FROM x2 WHERE pos < 20),
 sc AS (SELECT gene, avg(value) AS mean, CASE WHEN stddev_samp(value) >= 1e-8 THEN stddev_samp(value) END AS sd
        FROM m GROUP BY 1)
-SELECT sample_id, 'emb/dense20' AS reference_id, '' AS error_code, {r('avg(coalesce((value - mean) / sd, 0))')} AS score
-FROM m JOIN sc USING (gene) GROUP BY 1"""
+SELECT sample_id, CASE CAST(sample_id AS BIGINT) % 3 WHEN 0 THEN 'emb/dense20' WHEN 1 THEN 'emb/dense5' ELSE 'emb/none' END AS reference_id,
+       CASE CAST(sample_id AS BIGINT) % 3 WHEN 2 THEN 'unknown_reference' ELSE '' END AS error_code,
+       CASE CAST(sample_id AS BIGINT) % 3 WHEN 0 THEN {r('avg(coalesce((value - mean) / sd, 0))')}
+            WHEN 1 THEN {r('avg(coalesce((value - mean) / sd, 0)) FILTER (pos < 5)')} END AS score
+FROM m JOIN sc USING (gene) GROUP BY sample_id"""
 
 _STREAM_PREDICT = f"""WITH {sq._MODEL},
-z AS (SELECT sample_id, sum((value - mean) / sd) / 20 AS raw FROM req JOIN sc USING (gene) WHERE k NOT IN (3, 4, 5) GROUP BY 1),
+z AS (SELECT sample_id, sum((value - mean) / sd) / 20 AS raw FROM req JOIN sc USING (gene) WHERE k NOT IN (3, 4, 5, 7) GROUP BY 1),
 s AS (SELECT sample_id, (raw - cm) / csd AS score FROM z, cs)
 SELECT sample_id, {r('score')} AS score, {r('exp(score * 0.58e0)')} AS relative_hazard,
        {r('100e0 * (SELECT count(*) FROM ref WHERE ref.s <= score) / (SELECT count(*) FROM ref)')} AS training_percentile, '' AS error_code
 FROM s
 UNION ALL
 SELECT CAST(vec_id AS VARCHAR), NULL, NULL, NULL,
-       CASE vec_id % 11 WHEN 3 THEN 'MISSING_REQUIRED_GENES' WHEN 4 THEN 'NONFINITE_EXPRESSION' ELSE 'INCOMPATIBLE_EXPRESSION_TYPE' END
-FROM embeddings WHERE vec_id % 11 IN (3, 4, 5)"""
+       CASE vec_id % 11 WHEN 3 THEN 'MISSING_REQUIRED_GENES' WHEN 4 THEN 'NONFINITE_EXPRESSION' WHEN 7 THEN 'MODEL_NOT_FOUND' ELSE 'INCOMPATIBLE_EXPRESSION_TYPE' END
+FROM embeddings WHERE vec_id % 11 IN (3, 4, 5, 7)"""
 
 _BUILD = f"""
 WITH {alias_values()}, {X1}, {X6},

@@ -83,7 +83,7 @@ def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_GENES = [f"d{i:02d}" for i in range(20)]
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A 20-feature model frozen on all vectors; the coefficient is a literal."""
     train = standins.dense_expression(spark, sf_dir).filter(F.col("gene").isin(MODEL_GENES))
     fitted = written(scaler.fit(train, ["cohort_id"]), "model-scaler")
@@ -112,8 +112,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frozen_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, constants = _model(spark, sf_dir)
-    out = inference.predictions(inference.assess(_requests(spark, sf_dir), model, constants))
+    out = inference.predictions(inference.assess(_requests(spark, sf_dir), *_model(spark, sf_dir)))
     return _rounded(
         out, ["sample_id", "model_id"], ["score", "linear_predictor", "relative_hazard", "training_percentile"]
     )
@@ -122,13 +121,12 @@ def frozen_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile of every dense value among its feature's values, by rank."""
     cells = standins.dense_expression(spark, sf_dir).select("gene", "sample_id", F.col("value").alias("score"))
-    out = inference.rank_percentiles(cells, cells.select("gene", "score"), ["gene"])
+    out = inference.rank_percentiles(cells, inference.ranked_scores(cells.select("gene", "score"), ["gene"]), ["gene"])
     return _rounded(out, ["gene", "sample_id"], ["training_percentile"])
 
 
 def predict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches by vector class, one for each error code."""
-    model, constants = _model(spark, sf_dir)
     k = F.col("sample_id").cast("long") % 11
     cells = _requests(spark, sf_dir).withColumn("batch_id", F.concat(F.lit("b"), k.cast("string"))).withColumn("sample_pos", F.lit(0))
     twice = cells.filter(k == 8).withColumn("sample_pos", F.lit(1))
@@ -138,7 +136,7 @@ def predict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.when(F.col("batch_id") == "b7", "nobody").otherwise("dense20")
     requests = cells.select("batch_id").distinct().withColumn("model_id", wanted)
     size = standins.dense_expression(spark, sf_dir).select("gene").distinct().count()
-    out = inference.assess(cells, model, constants, requests, max_genes=size)
+    out = inference.assess(cells, *_model(spark, sf_dir), requests, max_genes=size)
     return inference.rejects(out).select("sample_id", "error_code")
 
 

@@ -32,41 +32,74 @@ ERROR_CODES = [
 
 MODEL_SCHEMA = (
     "model_id string, model_version string, expression_type string, coefficient double, "
-    "composite_mean double, composite_sd double, score_reference array<double>"
+    "composite_mean double, composite_sd double"
 )
+RANKS_SCHEMA = "model_id string, score double, count long, cum_count long, n long"
 
 
-def percentile_of(score: Column, reference: Column) -> Column:
-    """Percent of the sorted reference scores that are at most ``score``; NULL without an array."""
-    below = F.size(F.filter(reference, lambda v: v <= score))
-    return F.lit(100.0) * below / F.size(reference)
+def ranked_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Training scores (keys, score) as a ranked table: one row per distinct score.
+
+    Adds ``count`` (scores equal to it), ``cum_count`` (scores up to it) and ``n`` (all of its key).
+    """
+    points = scores.filter(F.col("score").isNotNull()).groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("count"))
+    points = written(points, "score-points")
+    placed = spread_totals(points, keys, ["score"], ["count"])
+    sizes = points.groupBy(*keys).agg(F.sum("count").alias("n"))
+    return placed.select(*keys, "score", "count", F.col("cum_count").cast("long").alias("cum_count")).join(sizes, keys)
 
 
-def rank_percentiles(scores: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """Training percentile by rank instead of an array, for references of any size.
+def rank_percentiles(scores: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """Training percentile of (keys, sample_id, score): percent of a key's training scores that are at most ``score``.
 
-    ``scores`` has (keys, sample_id, score), ``reference`` (keys, score).  Both are
-    counted per distinct value and one running total covers them.
+    ``ranks`` is a ranked table. Both are counted per distinct value, and one running total covers them.
     """
-    points = reference.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_c"))
     asked = scores.select(*keys, "score").distinct().withColumn("_c", F.lit(0).cast("long"))
-    cells = points.unionByName(asked).groupBy(*keys, "score").agg(F.sum("_c").alias("_c"))
+    cells = ranks.select(*keys, "score", F.col("count").alias("_c")).unionByName(asked)
+    cells = cells.groupBy(*keys, "score").agg(F.sum("_c").alias("_c"))
     placed = spread_totals(cells, keys, ["score"], ["_c"]).select(*keys, "score", "cum__c")
-    sizes = points.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    sizes = ranks.groupBy(*keys).agg(F.max("n").alias("_n"))
     return scores.join(placed, [*keys, "score"]).join(sizes, keys).withColumn(
         "training_percentile", F.lit(100.0) * F.col("cum__c") / F.col("_n")
     ).drop("cum__c", "_n")
 
 
-def score_rows(model: DataFrame) -> DataFrame:
-    """Training scores of every model as rows (model_id, score)."""
-    return model.select("model_id", F.explode("score_reference").alias("score"))
+def rank_blocks(ranks: DataFrame, key: str = "model_id") -> tuple[DataFrame, DataFrame]:
+    """A ranked table as ``cuts`` and ``blocks``, for lookups without a shuffle of what is looked up.
+
+    A block holds about as many scores as its key has blocks, the root of their number, so neither list of a key grows
+    faster. ``cuts`` has a row per key: ``n`` and the ``cuts`` (first score, block); ``blocks`` a row per block: its ``entries``
+    (score, cum_count) and what comes ``below`` it.
+    """
+    width = F.ceil(F.sqrt(F.col("n").cast("double")))
+    placed = ranks.withColumn("block", F.floor((F.col("cum_count") - F.col("count")) / width).cast("long"))
+    blocks = written(
+        placed.groupBy(key, "block").agg(
+            F.min("score").alias("first"),
+            F.min(F.col("cum_count") - F.col("count")).alias("below"),
+            F.array_sort(F.collect_list(F.struct("score", "cum_count"))).alias("entries"),
+            F.max("n").alias("n"),
+        ),
+        "rank-blocks",
+    )
+    cuts = blocks.groupBy(key).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "block"))).alias("cuts")
+    )
+    return written(cuts, "rank-cuts"), blocks.select(key, "block", "below", "entries")
+
+
+def block_percentile(score: Column, below: Column, entries: Column, n: Column) -> Column:
+    """Percent of the training scores up to ``score``, from the block it falls in (null block: below them all)."""
+    upto = F.filter(entries, lambda e: e["score"] <= score)
+    inside = F.try_element_at(upto, F.lit(-1))["cum_count"]
+    return F.lit(100.0) * F.when(F.size(upto) > 0, inside).otherwise(F.coalesce(below, F.lit(0))) / n
 
 
 def assess(
     matrix: DataFrame,
     model: DataFrame,
     scaler: DataFrame,
+    ranks: DataFrame,
     requests: DataFrame | None = None,
     max_genes: int | None = None,
     max_samples: int | None = None,
@@ -77,7 +110,7 @@ def assess(
     requests, ``batch_id``; ``requests`` (batch_id, model_id) then says which model each
     of them asks for.  Without requests there is one batch, which asks for every model.
     A ``sample_pos`` column tells columns of a batch apart, so that equal sample ids are
-    found.  ``model`` follows ``MODEL_SCHEMA``; ``scaler`` has (model_id, gene, mean, sd).
+    found.  ``model`` follows ``MODEL_SCHEMA``, ``ranks`` ``RANKS_SCHEMA``; ``scaler`` has (model_id, gene, mean, sd).
     Genes beyond the model's are ignored; a missing or non-finite one refuses the sample.
     ``max_genes`` and ``max_samples`` are limits of a request, none by default.
     """
@@ -94,8 +127,7 @@ def assess(
         F.count_if(F.col("expression_type").isNull()).alias("_untyped"),
     )
     genes = scaler.groupBy("model_id").agg(F.countDistinct("gene").alias("_n_genes"))
-    # Scalar constants only: the training scores stay where they are until percentiles are ranked.
-    constants = model.drop("score_reference").join(genes, "model_id")
+    constants = model.join(genes, "model_id")
     refused = _batch_refusals(matrix, max_genes, max_samples)
     every = samples.join(requests, "batch_id").join(constants, "model_id", "left").join(refused, "batch_id", "left")
     value = F.col("value").try_cast("double")
@@ -136,7 +168,7 @@ def assess(
     )
     scored = written(out.withColumn("error_code", code), "assessed")
     good = scored.filter(F.col("error_code") == "")
-    ranked = rank_percentiles(good.select("model_id", "batch_id", "sample_id", "score"), score_rows(model), ["model_id"])
+    ranked = rank_percentiles(good.select("model_id", "batch_id", "sample_id", "score"), ranks, ["model_id"])
     ranked = ranked.select("model_id", "batch_id", "sample_id", "training_percentile")
     return scored.join(ranked, ["model_id", "batch_id", "sample_id"], "left").select(
         "batch_id", *PREDICTION_COLUMNS, "error_code"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.hashing import content_checksum, population_hash, rows_checksum, tagged_sha
 from cohortforge.functions.staging import written
-from cohortforge.operators.inference import PREDICTION_COLUMNS
+from cohortforge.operators.inference import PREDICTION_COLUMNS, ranked_scores
+from cohortforge.operators.ordering import spread_totals
 
 MATRIX_COLUMNS = ["gene", "sample_id", "value"]
 
@@ -127,33 +128,30 @@ def freeze_model(
     scaler: DataFrame,
     coefficient: DataFrame,
     key: list[str],
-) -> tuple[DataFrame, DataFrame]:
-    """Model and scaler rows of one full-cohort fit.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Model, scaler and ranked training scores of one full-cohort fit.
 
     ``scored`` has (key, raw, score, composite_mean, composite_sd) of the
-    training samples, ``coefficient`` (key, beta).  The score reference is the
-    sorted list of all training scores, whatever their number; ``score_rows`` gives
-    it as rows, which is what predictions are ranked among.
+    training samples, ``coefficient`` (key, beta).  The scores are rows
+    (``RANKS_SCHEMA``), whatever their number.
     """
-    listed = F.collect_list("score")
-    reference = scored.groupBy(*key).agg(
-        F.first("composite_mean").alias("composite_mean"),
-        F.first("composite_sd").alias("composite_sd"),
-        F.array_sort(listed).alias("score_reference"),
+    constants = scored.groupBy(*key).agg(
+        F.first("composite_mean").alias("composite_mean"), F.first("composite_sd").alias("composite_sd")
     )
-    model = reference.join(coefficient, key).select(
+    model = constants.join(coefficient, key).select(
         F.lit(model_id).alias("model_id"),
         F.lit(version).alias("model_version"),
         F.lit(expression_type).alias("expression_type"),
         F.col("beta")[0].alias("coefficient"),
         "composite_mean",
         "composite_sd",
-        "score_reference",
     )
-    return model, scaler.select(F.lit(model_id).alias("model_id"), "gene", "mean", "sd")
+    ranks = ranked_scores(scored.select(F.lit(model_id).alias("model_id"), "score"), ["model_id"])
+    return model, scaler.select(F.lit(model_id).alias("model_id"), "gene", "mean", "sd"), ranks
 
 
-def _model_sums(model: DataFrame, scaler: DataFrame) -> DataFrame:
+def _model_sums(model: DataFrame, scaler: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Checksums of each model's constants, scaler and ranked scores; those of the scores are sums, so no list is built."""
     constants = rows_checksum(scaler, ["model_id"], "gene", ["gene", "mean", "sd"], "scaler_checksum")
     body = model.select(
         "model_id",
@@ -162,57 +160,71 @@ def _model_sums(model: DataFrame, scaler: DataFrame) -> DataFrame:
                 "|", "model_version", "expression_type",
                 F.format_string("%.12f", "coefficient"), F.format_string("%.12f", "composite_mean"),
                 F.format_string("%.12f", "composite_sd"),
-                F.array_join(F.transform("score_reference", lambda v: F.format_string("%.10f", v)), ","),
             )
         ).alias("model_checksum"),
     )
-    return body.join(constants, "model_id", "full_outer")
+    one = F.xxhash64(F.format_string("%.10f", "score"), "count", "cum_count", "n")
+    scores = ranks.groupBy("model_id").agg(
+        F.concat_ws(":", F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.bit_xor(one)).alias("ranks_checksum")
+    )
+    return body.join(constants, "model_id", "full_outer").join(scores, "model_id", "full_outer")
 
 
-def save_models(model: DataFrame, scaler: DataFrame, path: str) -> None:
+def save_models(model: DataFrame, scaler: DataFrame, ranks: DataFrame, path: str) -> None:
     model.write.parquet(f"{path}/model")
     scaler.write.parquet(f"{path}/scaler")
-    _model_sums(model, scaler).write.parquet(f"{path}/checksums")
+    ranks.write.parquet(f"{path}/ranks")
+    _model_sums(model, scaler, ranks).write.parquet(f"{path}/checksums")
 
 
 def model_invariants(spark: SparkSession, path: str) -> DataFrame:
     """One row per model with the first broken invariant, or none."""
-    model = spark.read.parquet(f"{path}/model")
-    scaler = spark.read.parquet(f"{path}/scaler")
+    model, scaler, ranks = (spark.read.parquet(f"{path}/{part}") for part in ("model", "scaler", "ranks"))
     recorded = spark.read.parquet(f"{path}/checksums").select(
-        "model_id", F.col("model_checksum").alias("_m"), F.col("scaler_checksum").alias("_s")
+        "model_id", F.col("model_checksum").alias("_m"), F.col("scaler_checksum").alias("_s"), F.col("ranks_checksum").alias("_r")
     )
+    return _broken(recorded, model, scaler, ranks)
+
+
+def _broken(recorded: DataFrame, model: DataFrame, scaler: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``model_id, error_code`` of every recorded model; ``recorded`` has the checksums ``_m, _s, _r``."""
     genes = scaler.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.countDistinct("gene").alias("_genes"),
         F.count_if(~F.coalesce(F.col("sd") > 0, F.lit(False)) | F.col("mean").isNull()).alias("_bad"),
     )
-    joined = recorded.join(_model_sums(model, scaler), "model_id", "left").join(
+    renamed = ranks.withColumnsRenamed({"cum_count": "recorded_cum_count", "n": "recorded_n"})
+    placed = spread_totals(renamed, ["model_id"], ["score"], ["count"])
+    order = placed.groupBy("model_id").agg(
+        F.count_if(F.col("cum_count") != F.col("recorded_cum_count")).alias("_misplaced"),
+        (F.max("cum_count") == F.max("recorded_n")).alias("_whole"),
+    )
+    joined = recorded.join(_model_sums(model, scaler, ranks), "model_id", "left").join(
         model, "model_id", "left"
-    ).join(genes, "model_id", "left")
-    ordered = F.col("score_reference") == F.array_sort("score_reference")
+    ).join(genes, "model_id", "left").join(order, "model_id", "left")
     code = (
-        F.when(F.col("coefficient").isNull() | F.col("_rows").isNull(), "missing_part")
+        F.when(F.col("coefficient").isNull() | F.col("_rows").isNull() | F.col("_misplaced").isNull(), "missing_part")
         .when(~F.col("model_checksum").eqNullSafe(F.col("_m")), "model_checksum_mismatch")
         .when(~F.col("scaler_checksum").eqNullSafe(F.col("_s")), "scaler_checksum_mismatch")
+        .when(~F.col("ranks_checksum").eqNullSafe(F.col("_r")), "ranks_checksum_mismatch")
         .when(F.col("_rows") != F.col("_genes"), "duplicate_scaler_gene")
         .when(F.col("_bad") > 0, "scaler_not_positive")
         .when(~(F.col("composite_sd") > 0), "composite_not_positive")
-        .when(~ordered | (F.size("score_reference") == 0), "score_reference_not_sorted")
+        .when((F.col("_misplaced") > 0) | ~F.col("_whole"), "ranks_not_in_order")
         .otherwise("")
     )
     return joined.select("model_id", code.alias("error_code"))
 
 
-def load_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     bad = model_invariants(spark, path).filter(F.col("error_code") != "").limit(5).collect()
     if bad:
         raise ValueError("model refused: " + ", ".join(f"{b['model_id']}:{b['error_code']}" for b in bad))
-    return spark.read.parquet(f"{path}/model"), spark.read.parquet(f"{path}/scaler")
+    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("model", "scaler", "ranks"))
 
 
-def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON model bundles (one directory each) as model and scaler rows.
+def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JSON model bundles (one directory each) as model, scaler and ranked score rows.
 
     Reads ``model.json``, ``scaler.json``, ``features.json`` and
     ``training.json`` of every bundle directory below ``path``.
@@ -233,7 +245,7 @@ def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
     features = part("features.json", "expression_type string")
     training = part("training.json", "score_reference_sorted array<double>")
-    rows = model.join(constants, "_dir").join(features, "_dir").join(training, "_dir")
+    rows = model.join(constants, "_dir").join(features, "_dir")
     models = rows.select(
         "model_id",
         F.col("version").alias("model_version"),
@@ -241,12 +253,55 @@ def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         "coefficient",
         "composite_mean",
         F.col("composite_sample_sd").alias("composite_sd"),
-        F.col("score_reference_sorted").alias("score_reference"),
     )
     scaler = rows.select("model_id", F.explode("genes").alias("gene"), "gene_means", "gene_sample_sds").select(
         "model_id", "gene", F.col("gene_means")[F.col("gene")].alias("mean"), F.col("gene_sample_sds")[F.col("gene")].alias("sd")
     )
-    return models, scaler
+    scores = model.join(training, "_dir").select("model_id", F.explode("score_reference_sorted").alias("score"))
+    return models, scaler, ranked_scores(scores, ["model_id"])
+
+
+def bundle_problems(spark: SparkSession, path: str) -> DataFrame:
+    """``dir, problem`` of every bundle directory that can't be used; the first that holds.
+
+    Files by their manifest (``file_missing``, ``file_changed``, ``file_unlisted``), then the content: ``coefficient_missing``,
+    ``gene_without_constants``, ``scaler_not_positive``, ``composite_not_positive``, ``scores_missing``, ``scores_not_sorted``.
+    """
+    files = bundle_file_status(spark, path).filter(F.col("status") != "ok")
+    order = F.create_map(F.lit("missing"), F.lit(0), F.lit("changed"), F.lit(1), F.lit("unlisted"), F.lit(2))
+    broken = files.groupBy("dir").agg(F.min_by("status", order[F.col("status")]).alias("_file"))
+
+    def part(name: str, schema: str) -> DataFrame:
+        read = (
+            spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", name).json(path)
+        )
+        folder = F.regexp_replace(F.regexp_replace("_metadata.file_path", "/[^/]*$", ""), "^file:/+", "/")
+        return read.withColumn("dir", folder)
+
+    model = part("model.json", "coefficient double")
+    constants = part(
+        "scaler.json",
+        "composite_mean double, composite_sample_sd double, gene_means map<string,double>, "
+        "gene_sample_sds map<string,double>, genes array<string>",
+    )
+    scores = F.col("score_reference_sorted")
+    training = part("training.json", "score_reference_sorted array<double>").select(
+        "dir", (F.coalesce(F.size(scores), F.lit(0)) > 0).alias("_scores"), (scores == F.array_sort(scores)).alias("_sorted")
+    )
+    lacking = F.exists("genes", lambda g: F.col("gene_means")[g].isNull() | F.col("gene_sample_sds")[g].isNull())
+    flat = F.exists("genes", lambda g: ~(F.col("gene_sample_sds")[g] > 0))
+    joined = model.join(constants, "dir", "full_outer").join(training, "dir", "full_outer").join(broken, "dir", "full_outer")
+    problem = (
+        F.when(F.col("_file").isNotNull(), F.concat(F.lit("file_"), F.col("_file")))
+        .when(F.col("coefficient").isNull(), "coefficient_missing")
+        .when(F.coalesce(lacking, F.lit(True)), "gene_without_constants")
+        .when(flat, "scaler_not_positive")
+        .when(~F.coalesce(F.col("composite_sample_sd") > 0, F.lit(False)), "composite_not_positive")
+        .when(~F.coalesce("_scores", F.lit(False)), "scores_missing")
+        .when(~F.coalesce("_sorted", F.lit(False)), "scores_not_sorted")
+    )
+    return joined.select("dir", problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
 def bundle_file_status(spark: SparkSession, path: str) -> DataFrame:

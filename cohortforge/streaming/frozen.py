@@ -1,6 +1,7 @@
-"""Frozen-constant scoring of sample streams: stateless, no shuffle, append mode.
+"""Frozen-constant scoring of sample streams: stateless, append mode.
 
-Input rows are (sample_id, expr map<string,double>).  Only frozen constants may
+Input rows are (sample_id, expr map<string,double>) and the ``reference_id`` or ``model_id`` that the sample asks for: a
+stream meets the stored constants by an equi-join on that id, whatever the number of models. Only frozen constants may
 be applied to a stream; a cohort-relative score needs a closed population.
 """
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import finite, ratio
-from cohortforge.operators.inference import PREDICTION_COLUMNS, percentile_of
+from cohortforge.operators.inference import PREDICTION_COLUMNS, block_percentile, rank_blocks
 
 
 def _constants(scaler: DataFrame, key: str) -> DataFrame:
@@ -20,34 +21,27 @@ def _constants(scaler: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _attach(samples: DataFrame, constants: DataFrame) -> DataFrame:
-    """Every sample with every row of a small constants table, as an exploded literal array.
-
-    The constants are a handful of frozen models; the stream itself is not joined.
-    """
-    listed = constants.agg(F.collect_list(F.struct(*constants.columns))).scalar()
-    return samples.select("*", F.explode(listed).alias("_k")).select(*samples.columns, "_k.*")
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
 def score_stream(samples: DataFrame, reference: DataFrame, strict: bool = True) -> DataFrame:
-    """Reference scores of a stream (or batch) of samples.
+    """Reference scores of a stream (or batch) of samples, each by the ``reference_id`` it carries.
 
     Strict mode flags samples lacking a fitted gene; otherwise the genes in
-    common are averaged.  A missing value or spread contributes zero.
+    common are averaged.  A missing value or spread contributes zero. An id without stored rowmean constants
+    is ``unknown_reference``.
     """
     usable = reference.filter(F.col("scoring") == "rowmean")
-    joined = _attach(samples, _constants(usable, "reference_id"))
+    joined = samples.join(_constants(usable, "reference_id"), "reference_id", "left")
     present = F.filter("_genes", lambda g: F.map_contains_key("expr", g["gene"]))
     z = F.transform(
         "_present",
         lambda g: F.coalesce(ratio(F.col("expr")[g["gene"]] - g["mean"], g["sd"]), F.lit(0.0)),
     )
     code = (
-        F.when(F.size("_present") == 0, "no_reference_genes")
+        F.when(F.col("_genes").isNull(), "unknown_reference")
+        .when(F.size("_present") == 0, "no_reference_genes")
         .when(F.lit(strict) & (F.size("_present") < F.size("_genes")), "missing_reference_genes")
         .otherwise("")
     )
@@ -63,28 +57,36 @@ def score_stream(samples: DataFrame, reference: DataFrame, strict: bool = True)
     )
 
 
-def predict_stream(samples: DataFrame, model: DataFrame, scaler: DataFrame) -> DataFrame:
+def predict_stream(samples: DataFrame, model: DataFrame, scaler: DataFrame, ranks: DataFrame) -> DataFrame:
     """Predictions of a stream with an ``error_code``; filter it for the two sinks.
 
-    ``samples`` also carries ``expression_type``.
+    ``samples`` also carries ``expression_type`` and ``model_id``. Percentiles come from the stored ranks: a model's cut
+    points name the block a score falls in, and the block's own entries settle it.
     """
-    constants = model.join(_constants(scaler, "model_id"), "model_id").withColumnRenamed(
-        "expression_type", "_declared"
+    cuts, blocks = rank_blocks(ranks)
+    constants = (
+        model.join(_constants(scaler, "model_id"), "model_id").join(cuts, "model_id")
+        .withColumnRenamed("expression_type", "_declared")
     )
-    joined = _attach(samples, constants)
+    joined = samples.join(constants, "model_id", "left")
     value = lambda g: F.col("expr")[g["gene"]]
     z = F.transform("_genes", lambda g: (value(g) - g["mean"]) / g["sd"])
-    out = (
+    scored = (
         joined.withColumn("_raw", _sum(z) / F.size("_genes"))
         .withColumn("score", (F.col("_raw") - F.col("composite_mean")) / F.col("composite_sd"))
         .withColumn("linear_predictor", F.col("score") * F.col("coefficient"))
         .withColumn("relative_hazard", F.exp("linear_predictor"))
-        .withColumn("training_percentile", percentile_of(F.col("score"), F.col("score_reference")))
+        .withColumn("_block", F.try_element_at(F.filter("cuts", lambda c: c["first"] <= F.col("score")), F.lit(-1))["block"])
     )
+    stored = blocks.select(F.col("model_id").alias("_owner"), F.col("block").alias("_stored"), "below", "entries")
+    out = scored.join(stored, (F.col("model_id") == F.col("_owner")) & (F.col("_block") == F.col("_stored")), "left")
+    percentile = block_percentile(F.col("score"), F.col("below"), F.col("entries"), F.col("n"))
+    out = out.withColumn("training_percentile", F.when(F.col("_block").isNull(), 0.0).otherwise(percentile))
     missing = F.exists("_genes", lambda g: ~F.map_contains_key("expr", g["gene"]))
     broken = F.exists("_genes", lambda g: ~finite(value(g)))
     code = (
-        F.when(~F.col("expression_type").eqNullSafe(F.col("_declared")), "INCOMPATIBLE_EXPRESSION_TYPE")
+        F.when(F.col("_genes").isNull(), "MODEL_NOT_FOUND")
+        .when(~F.col("expression_type").eqNullSafe(F.col("_declared")), "INCOMPATIBLE_EXPRESSION_TYPE")
         .when(missing, "MISSING_REQUIRED_GENES")
         .when(broken, "NONFINITE_EXPRESSION")
         .when(~finite(F.col("relative_hazard")), "INVALID_MATRIX")

@@ -17,13 +17,14 @@ def run_available(
     verb: Callable[[DataFrame], DataFrame],
     file_format: str = "parquet",
     files_per_trigger: int = 4,
+    base: str | None = None,
 ) -> DataFrame:
     """Apply a stream verb to the files of a folder until none is left.
 
-    Progress and output live in the shared folder, so a restarted query carries
-    on where it stopped.
+    ``base`` is the caller's folder for progress and output: a query that is started again with it carries on
+    where it stopped and takes only files it hasn't seen. Without one, a new folder in the shared one serves this run.
     """
-    base = f"{shared_folder(spark)}/cohortforge/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/cohortforge/stream-{uuid.uuid4().hex}"
     source = (
         spark.readStream.format(file_format).schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger).load(landing)

@@ -226,9 +226,12 @@ def test_scaler_and_reference_score(spark):
     assert scaler.score_reference(lacking, ref).count() == 0
     assert scaler.reference_refusals(lacking, ref).first()["error_code"] == "missing_reference_genes"
     assert scaler.score_reference(lacking, ref, strict=False).count() == 1
-    stream_like = frame(spark, [("z", {"g1": 5.0, "g2": 1.0}), ("y", {"g1": 5.0})], "sample_id string, expr map<string,double>")
+    asked = ref.first()["reference_id"]
+    rows = [("z", {"g1": 5.0, "g2": 1.0}, asked), ("y", {"g1": 5.0}, asked), ("x", {"g1": 5.0}, "other"), ("w", {"g1": 5.0}, None)]
+    stream_like = frame(spark, rows, "sample_id string, expr map<string,double>, reference_id string")
     flow = {r["sample_id"]: (r["score"], r["error_code"]) for r in frozen.score_stream(stream_like, ref).collect()}
     assert flow["z"] == (pytest.approx(got), "") and flow["y"] == (None, "missing_reference_genes")
+    assert flow["x"] == flow["w"] == (None, "unknown_reference")
 
 
 # Published constants of a 20-gene model and one known sample's values.
@@ -260,15 +263,15 @@ def test_known_sample_prediction(spark):
     rows = [line.split() for line in KNOWN.strip().splitlines()]
     constants = frame(spark, [("m", g, float(m), float(s)) for g, m, s, _ in rows], "model_id string, gene string, mean double, sd double")
     # 74 of the 483 training scores lie at or below the known sample.
-    reference = [-2.0] * 74 + [1.0] * 409
+    ranks = frame(spark, [("m", -2.0, 74, 74, 483), ("m", 1.0, 409, 483, 483)], inference.RANKS_SCHEMA)
     model = frame(
         spark,
-        [("m", "1", "log", 0.5806182816932, 4.1558658975616624e-16, 0.5262640282143533, reference)],
+        [("m", "1", "log", 0.5806182816932, 4.1558658975616624e-16, 0.5262640282143533)],
         inference.MODEL_SCHEMA,
     )
     cells = [("s", g, float(v), "log") for g, _, _, v in rows]
     matrix = frame(spark, cells, "sample_id string, gene string, value double, expression_type string")
-    got = inference.assess(matrix, model, constants).first()
+    got = inference.assess(matrix, model, constants, ranks).first()
     assert got["error_code"] == ""
     assert got["score"] == pytest.approx(-0.9994416998626602, abs=2e-9)
     assert got["linear_predictor"] == pytest.approx(-0.5802941224267887, abs=2e-9)
@@ -278,8 +281,9 @@ def test_known_sample_prediction(spark):
 
 def test_model_store_detects_tampering(spark, tmp_path):
     constants = frame(spark, [("m", "g", 1.0, 2.0)], "model_id string, gene string, mean double, sd double")
-    model = frame(spark, [("m", "1", "log", 0.5, 0.0, 1.0, [1.0, 2.0])], inference.MODEL_SCHEMA)
-    store.save_models(model, constants, str(tmp_path / "m"))
+    model = frame(spark, [("m", "1", "log", 0.5, 0.0, 1.0)], inference.MODEL_SCHEMA)
+    ranks = frame(spark, [("m", 1.0, 2, 2, 3), ("m", 2.0, 1, 3, 3)], inference.RANKS_SCHEMA)
+    store.save_models(model, constants, ranks, str(tmp_path / "m"))
     assert store.model_invariants(spark, str(tmp_path / "m")).first()["error_code"] == ""
     constants.withColumn("mean", F.lit(9.0)).write.mode("overwrite").parquet(str(tmp_path / "m" / "scaler"))
     assert store.model_invariants(spark, str(tmp_path / "m")).first()["error_code"] == "scaler_checksum_mismatch"
@@ -462,7 +466,7 @@ def test_snapshot_checksum_recipe(spark):
 
 
 def test_rank_percentiles_match_the_array_form(spark):
-    ref = frame(spark, [("m", float(v)) for v in (1, 2, 2, 5)], "model_id string, score double")
+    ref = inference.ranked_scores(frame(spark, [("m", float(v)) for v in (1, 2, 2, 5)], "model_id string, score double"), ["model_id"])
     asked = frame(spark, [("m", "a", 2.0), ("m", "b", 0.5), ("m", "c", 9.0)], "model_id string, sample_id string, score double")
     got = {r["sample_id"]: r["training_percentile"] for r in inference.rank_percentiles(asked, ref, ["model_id"]).collect()}
     assert got == {"a": 75.0, "b": 0.0, "c": 100.0}

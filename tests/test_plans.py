@@ -98,11 +98,11 @@ def test_bundle_files(spark, tmp_path):
     (root / "manifest.json").write_text(json.dumps({"model_id": "m", "files": hashes}))
     status = {r["name"]: r["status"] for r in store.bundle_file_status(spark, str(tmp_path)).collect()}
     assert status == {"model.json": "ok", "scaler.json": "ok", "features.json": "ok", "training.json": "changed", "metrics.json": "missing"}
-    model, constants = store.read_bundles(spark, str(tmp_path))
+    model = store.read_bundles(spark, str(tmp_path))
     cells = frame(spark, [("s", "A", 3.0, "log"), ("t", "B", 3.0, "log")], "sample_id string, gene string, value double, expression_type string")
-    got = {r["sample_id"]: (r["score"], r["training_percentile"], r["error_code"]) for r in inference.assess(cells, model, constants).collect()}
+    got = {r["sample_id"]: (r["score"], r["training_percentile"], r["error_code"]) for r in inference.assess(cells, *model).collect()}
     assert got["s"] == (1.0, 100.0, "") and got["t"][2] == "MISSING_REQUIRED_GENES"
-    store.write_predictions(inference.predictions(inference.assess(cells, model, constants)), str(tmp_path / "out"), "tsv")
+    store.write_predictions(inference.predictions(inference.assess(cells, *model)), str(tmp_path / "out"), "tsv")
     assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).columns == inference.PREDICTION_COLUMNS
 
 
@@ -180,3 +180,64 @@ def test_an_append_does_not_vouch_for_stored_references(spark, tmp_path):
     with pytest.raises(ValueError):
         store.load_references(spark, path)
     assert store.load_references(spark, path, ["d/prostate20"]).count() == 1
+
+
+def test_percentiles_by_blocks_and_a_restarted_stream(spark, tmp_path):
+    """Streamed percentiles equal the ranked ones, and a second run with the same folder takes new files only."""
+    from cohortforge.streaming import frozen, sinks
+
+    rng = np.random.default_rng(3)
+    scores = [(m, float(v)) for m in ("a", "b") for v in np.round(rng.normal(size=150), 1)]
+    ranks = inference.ranked_scores(frame(spark, scores, "model_id string, score double"), ["model_id"])
+    model = frame(spark, [(m, "1", "log", 0.5, 0.0, 1.0) for m in "ab"], inference.MODEL_SCHEMA)
+    constants = frame(spark, [(m, "g", 0.0, 1.0) for m in "ab"], "model_id string, gene string, mean double, sd double")
+    asked = [(f"s{i}", "log", {"g": float(v)}, "abz"[i % 3]) for i, v in enumerate(np.round(rng.normal(size=60) * 2, 1))]
+    schema = "sample_id string, expression_type string, expr map<string,double>, model_id string"
+    landing, base = str(tmp_path / "landing"), str(tmp_path / "run")
+
+    def run():
+        return sinks.run_available(spark, landing, schema, lambda s: frozen.predict_stream(s, model, constants, ranks), base=base)
+
+    frame(spark, asked[:40], schema).write.parquet(landing)
+    assert run().count() == 40
+    frame(spark, asked[40:], schema).write.mode("append").parquet(landing)
+    got = {r["sample_id"]: r for r in run().collect()}
+    assert len(got) == 60
+    for name, _, expr, m in asked:
+        if m == "z":
+            assert got[name]["error_code"] == "MODEL_NOT_FOUND"
+            continue
+        own = [v for k, v in scores if k == m]
+        assert got[name]["training_percentile"] == pytest.approx(100 * sum(v <= expr["g"] for v in own) / len(own))
+
+
+@pytest.mark.parametrize(
+    "change, problem",
+    [
+        ({}, None),
+        ({"model.json": {"model_id": "m", "version": "1"}}, "coefficient_missing"),
+        ({"scaler.json": {"composite_mean": 0.0, "composite_sample_sd": 1.0, "genes": ["A", "B"], "gene_means": {"A": 1.0}, "gene_sample_sds": {"A": 2.0}}}, "gene_without_constants"),
+        ({"scaler.json": {"composite_mean": 0.0, "composite_sample_sd": 1.0, "genes": ["A"], "gene_means": {"A": 1.0}, "gene_sample_sds": {"A": 0.0}}}, "scaler_not_positive"),
+        ({"scaler.json": {"composite_mean": 0.0, "composite_sample_sd": 0.0, "genes": ["A"], "gene_means": {"A": 1.0}, "gene_sample_sds": {"A": 2.0}}}, "composite_not_positive"),
+        ({"training.json": {"score_reference_sorted": []}}, "scores_missing"),
+        ({"training.json": {"score_reference_sorted": [2.0, 1.0]}}, "scores_not_sorted"),
+    ],
+)
+def test_bundle_invariants(spark, tmp_path, change, problem):
+    root = tmp_path / "bundle"
+    root.mkdir()
+    parts = {
+        "model.json": {"model_id": "m", "version": "1", "coefficient": 0.5},
+        "scaler.json": {"composite_mean": 0.0, "composite_sample_sd": 1.0, "genes": ["A"], "gene_means": {"A": 1.0}, "gene_sample_sds": {"A": 2.0}},
+        "features.json": {"expression_type": "log"},
+        "training.json": {"score_reference_sorted": [-1.0, 1.0]},
+    } | change
+    hashes = {}
+    for name, body in parts.items():
+        text = json.dumps(body)
+        (root / name).write_text(text)
+        hashes[name] = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    (root / "manifest.json").write_text(json.dumps({"model_id": "m", "files": hashes}))
+    assert [r["problem"] for r in store.bundle_problems(spark, str(tmp_path)).collect()] == ([problem] if problem else [])
+    (root / "features.json").write_text("{}")
+    assert [r["problem"] for r in store.bundle_problems(spark, str(tmp_path)).collect()] == ["file_changed"]
