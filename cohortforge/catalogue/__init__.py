@@ -12,6 +12,7 @@ GROUPS = [
     "survival_queries",
     "stream_queries",
     "source_queries",
+    "contract_queries",
 ]
 
 

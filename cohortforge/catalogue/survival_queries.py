@@ -259,25 +259,24 @@ def cox_per_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cox_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _score_rows(spark, sf_dir).filter(F.col("signature") == "s20").withColumn(
-        "score", F.col("c_acctbal") / 5000
-    )
+    rows = _score_rows(spark, sf_dir).filter(F.col("score").isNotNull()).withColumn("score", F.col("c_acctbal") / 5000)
     out = cox.frozen(rows, ["cohort_id", "signature"])
     return _rounded(out, ["cohort_id", "signature", "n", "n_events"], _COX)
 
 
 def cox_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _score_rows(spark, sf_dir).filter(F.col("signature") == "s20").withColumn("cohort_id", F.lit("all"))
-    out = cox.quartile(rows, ["cohort_id", "signature"])
+    out = cox.quartile(_score_rows(spark, sf_dir), ["cohort_id", "signature"])
+    # Without events on one side the likelihood has no maximum.
+    finite = F.least("events_q1", "events_q4") > 0
+    out = out.withColumns({c: F.when(finite, F.col(c)) for c in _COX})
     return _rounded(
         out, ["cohort_id", "signature", "n", "n_events", "n_q1", "n_q4", "events_q1", "events_q4"], _COX
     )
 
 
 def cox_multivariable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _score_rows(spark, sf_dir).filter(F.col("signature") == "s20")
-    out = cox.multivariable(rows, ["cohort_id"], ["score", "c_acctbal"])
-    return _rounded(out, ["cohort_id", "term", "n", "n_events", "converged"], [*_COX, "p"])
+    out = cox.multivariable(_score_rows(spark, sf_dir), ["cohort_id", "signature"], ["score", "c_acctbal"])
+    return _rounded(out, ["cohort_id", "signature", "term", "n", "n_events", "converged"], [*_COX, "p"])
 
 
 # Cross-validation ------------------------------------------------------------------
@@ -576,15 +575,16 @@ _PER_SD = _cox_sql(
 src AS (SELECT cohort_id, signature, time_months, event, (score - m) / s AS z FROM rows_ JOIN st USING (cohort_id, signature))"""
 )
 _FROZEN = _cox_sql(
-    "src AS (SELECT cohort_id, signature, time_months, event, c_acctbal / 5000 AS z FROM rows_ WHERE signature = 's20')"
+    "src AS (SELECT cohort_id, signature, time_months, event, c_acctbal / 5000 AS z FROM rows_)"
 )
 _QUARTILE = _cox_sql(
-    """ra AS (SELECT 'all' AS cohort_id, signature, time_months, event, score FROM rows_ WHERE signature = 's20'),
-qs AS (SELECT quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3 FROM ra),
-src AS (SELECT cohort_id, signature, time_months, event, CASE WHEN score <= q1 THEN 0e0 ELSE 1e0 END AS z FROM ra, qs WHERE score <= q1 OR score >= q3)""",
+    """qs AS (SELECT cohort_id, signature, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3 FROM rows_ GROUP BY 1, 2),
+src AS (SELECT cohort_id, signature, time_months, event, CASE WHEN score <= q1 THEN 0e0 ELSE 1e0 END AS z FROM rows_ JOIN qs USING (cohort_id, signature) WHERE score <= q1 OR score >= q3)""",
     ", count(*) FILTER (z = 0) AS n_q1, count(*) FILTER (z = 1) AS n_q4, count(*) FILTER (z = 0 AND event = 1) AS events_q1, count(*) FILTER (z = 1 AND event = 1) AS events_q4",
     "n_q1, n_q4, events_q1, events_q4, ",
 )
+_QUARTILE = f"""SELECT cohort_id, signature, n, n_events, n_q1, n_q4, events_q1, events_q4,
+{", ".join(f"CASE WHEN least(events_q1, events_q4) > 0 THEN {c} END AS {c}" for c in _COX)} FROM ({_QUARTILE})"""
 
 _CV = f"""{X1}, {X6}, {_POP}, {S.tested(OUTER, REPEATS)}, {S.roles(OUTER, INNER)},
 grid AS (SELECT pop.sample_id, g.gene, coalesce(x1.value, 0) AS value

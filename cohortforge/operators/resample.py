@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortforge.functions.numeric import ratio
+from cohortforge.functions.numeric import finite, ratio
 from cohortforge.functions.staging import written
 from cohortforge.operators import concordance
 from cohortforge.operators.concordance import harrell, pair_totals, with_ranks
@@ -19,35 +19,42 @@ BLOCK_DRAWS = 250
 _HASH_DIGITS = 15
 
 
-def prediction_problems(predictions: DataFrame) -> DataFrame:
-    """Reasons a paired comparison would be invalid, with how many rows each affects.
+def prediction_problems(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Reasons a paired comparison would be invalid, with how many rows each affects, per ``by`` (cohorts, say) if given.
 
-    Duplicate predictions within a repeat, patients absent from a repeat, and
-    patients whose fold, time or event differs between models.
+    Duplicate predictions within a repeat, patients absent from a repeat, patients whose fold, time or
+    event differs between models, and risks that are no finite number.
     """
-    once = predictions.groupBy("model", "repeat", "sample_id").agg(F.count(F.lit(1)).alias("_n"))
-    duplicated = once.filter(F.col("_n") > 1).select(F.lit("duplicate_prediction").alias("problem"))
+    by = by or []
+    once = predictions.groupBy(*by, "model", "repeat", "sample_id").agg(F.count(F.lit(1)).alias("_n"))
+    duplicated = once.filter(F.col("_n") > 1).select(*by, F.lit("duplicate_prediction").alias("problem"))
     outcome = F.struct("fold", "time_months", "event")
-    models = predictions.agg(F.countDistinct("model")).scalar()
+    sizes = predictions.withColumn("_all", F.lit(1)).groupBy("_all", *by).agg(
+        F.countDistinct("model").alias("_models"), F.countDistinct("repeat").alias("_repeats")
+    )
+    sizes = written(sizes, "prediction-sizes")
+    keys = ["_all", *by]
     differing = (
-        predictions.groupBy("repeat", "sample_id")
+        predictions.groupBy(*by, "repeat", "sample_id")
         .agg(F.min(outcome).alias("_a"), F.max(outcome).alias("_b"), F.countDistinct("model").alias("_m"))
-        .filter((F.col("_a") != F.col("_b")) | (F.col("_m") != models))
-        .select(F.lit("unpaired_prediction").alias("problem"))
+        .withColumn("_all", F.lit(1)).join(sizes, keys)
+        .filter((F.col("_a") != F.col("_b")) | (F.col("_m") != F.col("_models")))
+        .select(*by, F.lit("unpaired_prediction").alias("problem"))
     )
-    repeats = predictions.agg(F.countDistinct("repeat")).scalar()
     uncovered = (
-        predictions.groupBy("sample_id").agg(F.countDistinct("repeat").alias("_r"))
-        .filter(F.col("_r") != repeats)
-        .select(F.lit("patient_missing_from_repeat").alias("problem"))
+        predictions.groupBy(*by, "sample_id").agg(F.countDistinct("repeat").alias("_r"))
+        .withColumn("_all", F.lit(1)).join(sizes, keys)
+        .filter(F.col("_r") != F.col("_repeats"))
+        .select(*by, F.lit("patient_missing_from_repeat").alias("problem"))
     )
-    every = duplicated.union(differing).union(uncovered)
-    return every.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    broken = predictions.filter(~F.coalesce(finite(F.col("risk")), F.lit(False))).select(*by, F.lit("risk_not_finite").alias("problem"))
+    every = duplicated.union(differing).union(uncovered).union(broken)
+    return every.groupBy(*by, "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fold_concordance(predictions: DataFrame) -> DataFrame:
-    """C per (model, repeat, fold); risks of different fits are never ranked together."""
-    return harrell(predictions, FOLD)
+def fold_concordance(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """C per (by, model, repeat, fold); risks of different fits are never ranked together."""
+    return harrell(predictions, [*(by or []), *FOLD])
 
 
 def cv_summary(folds: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -79,62 +86,70 @@ def paired_differences(folds: DataFrame) -> DataFrame:
     )
 
 
-def _slots(patients: DataFrame) -> DataFrame:
-    """Patients numbered from 0 in the order of their digests: ``_slot, sample_id``."""
-    key = patients.select("sample_id").distinct().withColumn("_one", F.lit(1))
+def _slots(patients: DataFrame, by: list[str]) -> DataFrame:
+    """Patients numbered from 0 in the order of their digests: by, ``_slot, sample_id`` and their number ``_n``."""
+    key = patients.select(*by, "sample_id").distinct().withColumn("_one", F.lit(1))
     numbered = hashed_position(
-        key.withColumn("_d", F.md5("sample_id")), ["_one"], "_d", "sample_id", "_slot"
-    ).select((F.col("_slot") - 1).alias("_slot"), "sample_id")
-    return written(numbered, "slots")
+        key.withColumn("_d", F.md5("sample_id")), [*by, "_one"], "_d", "sample_id", "_slot"
+    ).select(*by, "_one", (F.col("_slot") - 1).alias("_slot"), "sample_id")
+    numbered = written(numbered, "slots")
+    sizes = written(numbered.groupBy(*by, "_one").agg(F.count(F.lit(1)).alias("_n")), "slot-sizes")
+    return numbered.join(sizes, [*by, "_one"]).drop("_one")
 
 
-def _chosen(n: int, seed: int) -> Column:
+def _chosen(seed: int) -> Column:
     """The slot that slot ``_slot`` of draw ``draw`` selects."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("_slot")))
-    return F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long") % n
+    return F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long") % F.col("_n")
 
 
-def patient_weights(patients: DataFrame, draws: int, seed: int = 902099) -> DataFrame:
-    """Multinomial patient weights per draw as (draw, sample_id, weight); zero weights absent.
+def patient_weights(patients: DataFrame, draws: int, seed: int = 902099, by: list[str] | None = None) -> DataFrame:
+    """Multinomial patient weights per draw as (by, draw, sample_id, weight); zero weights absent.
 
     Each patient is also one slot of every draw, and the slot's digest names the
-    patient it selects, so the weights of a draw sum to the number of patients.
+    patient it selects, so the weights of a draw sum to the number of patients, of each ``by`` if given.
     """
-    numbered = _slots(patients)
+    by = by or []
+    numbered = _slots(patients, by)
     hits = (
         numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .groupBy("draw", _chosen(numbered.count(), seed).alias("_slot"))
+        .groupBy(*by, "draw", _chosen(seed).alias("_slot"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    return hits.join(numbered, "_slot").select("draw", "sample_id", "weight")
+    return hits.join(numbered, [*by, "_slot"]).select(*by, "draw", "sample_id", "weight")
 
 
-def draw_lists(patients: DataFrame, draws: int, seed: int = 902099, block: int = BLOCK_DRAWS) -> DataFrame:
-    """The same weights with a row per patient and block of draws: ``sample_id, _block, _chosen``.
+def draw_lists(
+    patients: DataFrame, draws: int, seed: int = 902099, block: int = BLOCK_DRAWS, by: list[str] | None = None
+) -> DataFrame:
+    """The same weights with a row per patient and block of draws: by, ``sample_id, _block, _chosen``.
 
     ``_chosen`` has the draws of the block, numbered from 0, that select the patient, each as often as it does.
     """
-    numbered = _slots(patients)
+    by = by or []
+    numbered = _slots(patients, by)
     number = F.col("draw") - 1
     hits = (
         numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .select(_chosen(numbered.count(), seed).alias("_slot"), F.floor(number / block).cast("int").alias("_block"), (number % block).alias("_in"))
-        .groupBy("_slot", "_block")
+        .select(*by, _chosen(seed).alias("_slot"), F.floor(number / block).cast("int").alias("_block"), (number % block).alias("_in"))
+        .groupBy(*by, "_slot", "_block")
         .agg(F.collect_list("_in").alias("_chosen"))
     )
-    return hits.join(numbered, "_slot").select("sample_id", "_block", "_chosen")
+    return hits.join(numbered, [*by, "_slot"]).select(*by, "sample_id", "_block", "_chosen")
 
 
-def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099) -> DataFrame:
-    """Mean-over-folds C per (draw, model), keeping draws with pairs in every fold.
+def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099, by: list[str] | None = None) -> DataFrame:
+    """Mean-over-folds C per (by, draw, model), keeping draws with pairs in every fold.
 
     Weights are shared by all models, folds and repeats of a patient. A fold's pairs are ranked once per
     block of draws, whose weights are the columns of one matrix; a row of predictions
     travels once a block, not once a draw. Folds over ``GROUP_ROWS`` rows are counted draw by draw.
     """
+    by = by or []
+    keys = [*by, *FOLD]
     cases = written(
         predictions.select(
-            *FOLD,
+            *keys,
             "sample_id",
             F.col("time_months").cast("double").alias("_t"),
             F.col("event").cast("int").alias("_e"),
@@ -143,28 +158,29 @@ def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099) -> D
         "draw-cases",
     )
     block = min(draws, BLOCK_DRAWS)
-    small, large = concordance.split_keys(cases, FOLD, concordance.GROUP_ROWS)
-    lists = written(draw_lists(predictions, draws, seed, block), "draw-lists")
-    schema = cases.select(*FOLD).schema.add("draw", "integer").add("comparable", "double").add("credit", "double")
-    totals = small.join(lists, "sample_id").groupBy(*FOLD, "_block").applyInArrow(draw_totals(FOLD, block), schema)
+    small, large = concordance.split_keys(cases, keys, concordance.GROUP_ROWS)
+    lists = written(draw_lists(predictions, draws, seed, block, by), "draw-lists")
+    schema = cases.select(*keys).schema.add("draw", "integer").add("comparable", "double").add("credit", "double")
+    totals = small.join(lists, [*by, "sample_id"]).groupBy(*keys, "_block").applyInArrow(draw_totals(keys, block), schema)
     totals = totals.filter(F.col("draw") <= draws)
     if large is not None:
         weighted = (
-            written(with_ranks(large, FOLD), "ranked").join(patient_weights(predictions, draws, seed), "sample_id")
-            .groupBy(*FOLD, "draw", "_t", "_e", "pos", "lo", "hi", "_bits")
+            written(with_ranks(large, keys), "ranked").join(patient_weights(predictions, draws, seed, by), [*by, "sample_id"])
+            .groupBy(*keys, "draw", "_t", "_e", "pos", "lo", "hi", "_bits")
             .agg(F.sum("weight").cast("double").alias("_w"))
         )
-        totals = totals.unionByName(pair_totals(written(weighted, "weighted"), [*FOLD, "draw"]))
-    folds = predictions.select("repeat", "fold").distinct().count()
-    per_draw = totals.groupBy("draw", "model").agg(
+        totals = totals.unionByName(pair_totals(written(weighted, "weighted"), [*keys, "draw"]))
+    folds = predictions.select(*by, "repeat", "fold").distinct().withColumn("_all", F.lit(1))
+    folds = written(folds.groupBy("_all", *by).agg(F.count(F.lit(1)).alias("_planned")), "draw-folds")
+    per_draw = totals.groupBy(*by, "draw", "model").agg(
         F.avg(ratio(F.col("credit"), F.col("comparable"))).alias("c"),
         F.count_if(F.col("comparable") > 0).alias("_folds"),
     )
     # A draw counts only if every model has pairs in every fold.
     complete = per_draw.withColumn(
-        "_least", F.min("_folds").over(Window.partitionBy("draw"))
-    ).filter(F.col("_least") == folds)
-    return complete.select("draw", "model", "c")
+        "_least", F.min("_folds").over(Window.partitionBy(*by, "draw"))
+    ).withColumn("_all", F.lit(1)).join(folds, ["_all", *by]).filter(F.col("_least") == F.col("_planned"))
+    return complete.select(*by, "draw", "model", "c")
 
 
 def _interval(draw_values: DataFrame, key: str, value: str) -> DataFrame:

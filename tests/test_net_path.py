@@ -171,3 +171,24 @@ def test_fold_scalers_by_subtraction(spark, cohort):
     plain = {(r["repeat"], r["fold"], r["sample_id"]): r["score"] for r in crossval.partition_scores(some, plan.select(*keys, "sample_id", "role"), keys).collect()}
     fast = {(r["repeat"], r["fold"], r["sample_id"]): r["score"] for r in crossval.fold_scores(some, plan)[0].collect()}
     assert plain.keys() == fast.keys() and all(fast[k] == pytest.approx(v, abs=1e-9) for k, v in plain.items())
+
+
+def test_cohorts_are_drawn_and_checked_apart(spark):
+    random = np.random.default_rng(9)
+    rows = [
+        (c, m, 1, 1 + i % 2, f"p{i:02d}", float(random.integers(1, 30)) if c == "x" else float(i + 1), i % 2 if c == "x" else int(i % 3 > 0), float(random.integers(0, 12)))
+        for c in "xy" for m in "ab" for i in range(30)
+    ]
+    times = {(r[0], r[4]): r[5] for r in rows}
+    rows = [(*r[:5], times[r[0], r[4]], *r[6:]) for r in rows]
+    schema = "cohort_id string, model string, repeat int, fold int, sample_id string, time_months double, event int, risk double"
+    held = frame(spark, rows, schema)
+    together = {(r["cohort_id"], r["draw"], r["model"]): r["c"] for r in resample.bootstrap_draws(held, 6, by=["cohort_id"]).collect()}
+    alone = resample.bootstrap_draws(held.filter("cohort_id = 'y'").drop("cohort_id"), 6).collect()
+    assert len(alone) >= 6 and all(together["y", r["draw"], r["model"]] == pytest.approx(r["c"]) for r in alone)
+    assert resample.prediction_problems(held, ["cohort_id"]).count() == 0
+    bad = held.filter("NOT (cohort_id = 'y' AND model = 'a' AND sample_id = 'p03')").selectExpr(
+        *[c for c in held.columns if c != "risk"], "CASE WHEN cohort_id = 'x' AND sample_id = 'p05' THEN double('NaN') ELSE risk END AS risk"
+    )
+    found = {(r["cohort_id"], r["problem"], r["n"]) for r in resample.prediction_problems(bad, ["cohort_id"]).collect()}
+    assert found == {("x", "risk_not_finite", 2), ("y", "unpaired_prediction", 1)}
