@@ -13,6 +13,7 @@ GROUPS = [
     "stream_queries",
     "source_queries",
     "contract_queries",
+    "record_queries",
 ]
 
 

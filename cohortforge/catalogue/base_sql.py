@@ -102,3 +102,24 @@ x8 AS (
 aliq AS (
   SELECT patient, kind, value, o_orderkey,
          patient || '-' || kind || 'A-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS barcode FROM x8)"""
+
+
+def canonical_sql(expr: str, kind: str = "text") -> str:
+    """Canonical text of a value, as in ``functions.hashing.canonical_text``."""
+    body = f"CAST({expr} AS VARCHAR)"
+    if kind == "double":
+        size = f"abs({expr})"
+        guess = f"greatest(floor(log2({size})), -1074)"
+        scaled = f"({size} / pow(2e0, {guess}))"
+        power = f"({guess} + CASE WHEN {scaled} >= 2 THEN 1 WHEN {scaled} < 1 THEN -1 ELSE 0 END)"
+        digits = f"CAST({size} / pow(2e0, {power}) * 4503599627370496e0 AS BIGINT)"
+        sign = f"CASE WHEN {expr} < 0 THEN '-' ELSE '' END"
+        body = f"(CASE WHEN {expr} = 0 THEN '0' ELSE {sign} || {digits} || 'p' || CAST({power} AS BIGINT) END)"
+    return f"CASE WHEN {expr} IS NULL THEN '-' ELSE length({body}) || ':' || {body} END"
+
+
+def checksum_sql(columns: list[tuple[str, str]]) -> str:
+    """``content_checksum`` of a group over (expression, text or double) columns."""
+    row = "md5(" + " || ".join(canonical_sql(e, k) for e, k in columns) + ")"
+    half = lambda part: f"(sum(('0x' || {row}[{part}])::UBIGINT) % 18446744073709551616::HUGEINT)::VARCHAR"
+    return f"'rows128:' || count(*) || ':' || {half('1:16')} || ':' || {half('17:32')}"

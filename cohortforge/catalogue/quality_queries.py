@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.catalogue.base_sql import LINEAR, X1, X2, X6, r, signature_values
+from cohortforge.catalogue.base_sql import LINEAR, X1, X2, X6, checksum_sql, r, signature_values
 from cohortforge.catalogue.endpoint_queries import derived
 from cohortforge.functions import hashing
 from cohortforge.functions.numeric import round_at
@@ -310,5 +310,9 @@ UNION ALL SELECT cohort_id, 'FAIL', 'event_rate' FROM n WHERE scored > 0 AND ev
     "population_hash": (population_hash, _POPULATION),
     "signature_checksum": (signature_checksum, _SIG_CHECKSUM),
     "signature_validate": (signature_validate, _SIG_VALIDATE),
-    "content_checksum": (content_checksum, None),
+    "content_checksum": (
+        content_checksum,
+        f"""WITH {X2} SELECT cohort_id, count(*) AS n_rows,
+  {checksum_sql([("gene", "text"), ("sample_id", "text"), ("value", "double")])} AS content_checksum FROM x2 GROUP BY cohort_id""",
+    ),
 }

@@ -80,23 +80,74 @@ def signature_checksum(signatures: DataFrame, by: str = "signature") -> DataFram
     )
 
 
-def content_checksum(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Order-independent content checksum per group, fully map-side combinable."""
-    row = F.xxhash64(*columns)
+def canonical_text(value: Column, kind: str) -> Column:
+    """A value as text that any engine can render alike: ``-`` for null, else its length, a colon and itself.
+
+    A double is its exact binary form, signed 53-bit integer and power of two, so no
+    engine's way of printing fractions matters; both zeros are ``0``. Other types are
+    cast to string: meant for strings, integers, decimals, booleans and dates.
+    """
+    if kind not in ("double", "float"):
+        body = value.cast("string")
+    else:
+        number = value.cast("double")
+        size = F.abs(number)
+        # The logarithm may be off by one next to a power of two; the division is exact and tells.
+        guess = F.greatest(F.floor(F.log2(size)), F.lit(-1074))
+        scaled = size / F.pow(F.lit(2.0), guess)
+        power = guess + F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)
+        digits = (size / F.pow(F.lit(2.0), power) * float(1 << 52)).cast("long")
+        sign = F.when(number < 0, "-").otherwise("")
+        body = (
+            F.when(F.isnan(number), "nan")
+            .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+            .when(size == 0, "0")
+            .otherwise(F.concat(sign, digits.cast("string"), F.lit("p"), power.cast("string")))
+        )
+    return F.when(value.isNull(), "-").otherwise(F.concat(F.length(body).cast("string"), F.lit(":"), body))
+
+
+def _wrapped(total: Column) -> Column:
+    """A sum of digest halves modulo 2**64."""
+    return (total % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(28,0)")
+
+
+def content_sums(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Rows and both halves of the sum of row digests per group.
+
+    Sums of disjoint parts add up to those of their union (``merged_sums``), whatever the
+    order; every copy of a repeated row counts.
+    """
+    kinds = dict(df.select(*columns).dtypes)
+    row = F.md5(F.concat(*[canonical_text(F.col(c), kinds[c]) for c in columns]))
+    half = lambda start: F.conv(F.substring(row, start, 16), 16, 10).cast("decimal(28,0)")
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.bit_xor(row).alias("_xor"),
-        F.sum(row.cast("decimal(38,0)")).alias("_sum"),
-    ).select(
-        *by,
-        "n_rows",
-        F.concat_ws(
-            ":", F.lit("rows"), F.col("n_rows").cast("string"),
-            F.hex("_xor"), F.col("_sum").cast("string"),
-        ).alias("content_checksum"),
+        _wrapped(F.sum(half(1))).alias("high"),
+        _wrapped(F.sum(half(17))).alias("low"),
     )
 
 
+def merged_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of parts as sums of the whole."""
+    return sums.groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"),
+        _wrapped(F.sum("high")).alias("high"),
+        _wrapped(F.sum("low")).alias("low"),
+    )
+
+
+def sums_text(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Sums as ``rows128:<rows>:<high>:<low>`` in ``content_checksum``."""
+    text = F.concat_ws(":", F.lit("rows128"), *[F.col(c).cast("string") for c in ("n_rows", "high", "low")])
+    return sums.select(*by, "n_rows", text.alias("content_checksum"))
+
+
+def content_checksum(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Order-independent content checksum per group, fully map-side combinable and the same in any engine."""
+    return sums_text(content_sums(df, by, columns), by)
+
+
 def rows_checksum(df: DataFrame, by: list[str], ordinal: str, columns: list[str], out: str) -> DataFrame:
     """SHA-256 over the ordered rows of a small artefact (a scaler, a model).
 

@@ -48,6 +48,14 @@ def assemble(
     )
 
 
+def join_clinical(matrix: DataFrame, clinical: DataFrame) -> DataFrame:
+    """Cells of patients that have a clinical row; no overlap at all is an error."""
+    kept = matrix.join(clinical.select(F.col("patient").alias("sample_id")).distinct(), "sample_id", "left_semi")
+    if kept.isEmpty():
+        raise ValueError("no patient has both measurements and a clinical row")
+    return kept
+
+
 def loss_counts(manifest: DataFrame, cells: DataFrame, clinical: DataFrame) -> DataFrame:
     """One row per loss stage: files, primary samples, patients, clinical match.
 
