@@ -164,10 +164,10 @@ b AS (SELECT *, patient || CASE WHEN o_orderstatus = 'P' THEN '-11A-' ELSE '-01A
 c AS (SELECT barcode, patient, o_orderstatus, p_brand AS gene, p_size % 2 AS pos, sum(l_extendedprice) AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN b ON l_orderkey = o_orderkey WHERE o_orderkey % 97 <> 0 GROUP BY ALL),
 w AS (SELECT gene, pos FROM c GROUP BY gene, pos QUALIFY row_number() OVER (PARTITION BY gene ORDER BY avg(value) DESC, pos) = 1),
-p AS (SELECT gene, patient, min(barcode) AS barcode FROM c JOIN w USING (gene, pos) WHERE o_orderstatus <> 'P' GROUP BY ALL),
+p AS (SELECT patient, min(barcode) AS barcode FROM c JOIN w USING (gene, pos) WHERE o_orderstatus <> 'P' GROUP BY ALL),
 k AS (SELECT patient FROM a GROUP BY patient HAVING max(o_totalprice) > 200000)
 SELECT 'orders' AS cohort_id, c.gene, c.patient AS sample_id, {r('c.value')} AS value FROM c JOIN w USING (gene, pos)
-JOIN p ON p.gene = c.gene AND p.barcode = c.barcode SEMI JOIN k ON k.patient = c.patient"""
+JOIN p ON p.barcode = c.barcode SEMI JOIN k ON k.patient = c.patient"""
 
 QUERIES = {
     "store_commits": (
