@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.llm.features import gram_counts
+from cohortforge.llm.tables import numbered
 from cohortforge.llm.text import slices
 
 BUCKETS = 4096
@@ -155,14 +156,15 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text") ->
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     text = F.coalesce(docs[text_column], F.lit(""))
-    rows = docs.select(*names, text.alias("_text"), text.rlike("\\p{L}").alias("_letters"))
+    rows = numbered(docs, names, _text=text, _letters=text.rlike("\\p{L}"))
+    own = rows.drop("_text", "_letters")
     if model.labels:
-        schema = docs.select(*names).schema.add("_lang", "string").add("_score", "double").add("_letters", "boolean")
+        schema = own.schema.add("_lang", "string").add("_score", "double").add("_letters", "boolean")
         rows = rows.mapInArrow(_apply(model), schema)
     else:
-        rows = rows.select(*names, F.lit(UNKNOWN).alias("_lang"), F.lit(0.0).alias("_score"), F.lit(False).alias("_letters"))
+        rows = own.withColumns({"_lang": F.lit(UNKNOWN), "_score": F.lit(0.0), "_letters": F.lit(False)})
     return rows.select(
-        *names,
+        *[F.col(f"_{n}").alias(c) for n, c in enumerate(names)],
         F.when(F.col("_letters"), F.col("_lang")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("_letters"), F.col("_score")).otherwise(0.0).alias("score"),
         (F.col("_letters") & (F.col("_score") >= model.threshold)).alias("accepted"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortforge.llm.tables import written
+from cohortforge.llm.tables import numbered, written
 
 KEY = ["doc_id", "text_key"]
 PLACE = [*KEY, "line"]
@@ -97,9 +97,8 @@ def dedup_lines(
     ordered by a hash of their text. Columns named like an added one are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*kept).withColumns(
-        {"_id": F.col(id_column), "_key": F.xxhash64(F.col(text_column)), "_lines": F.split(text_column, "\n", -1)}
-    )
+    text = docs[text_column]
+    keyed = numbered(docs, kept, _id=docs[id_column], _key=F.xxhash64(text), _lines=F.split(text, "\n", -1))
     plain = docs.where(docs[id_column].isNotNull() & docs[text_column].isNotNull()).select(
         docs[id_column].alias("doc_id"), F.xxhash64(docs[text_column]).alias("text_key"), docs[text_column].alias("text")
     )
@@ -111,8 +110,8 @@ def dedup_lines(
     text = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return joined.select(
         *[
-            F.when(F.col("_gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_column else F.col(c)
-            for c in kept
+            F.when(F.col("_gone").isNull(), F.col(f"_{n}")).otherwise(text).alias(c) if c == text_column else F.col(f"_{n}").alias(c)
+            for n, c in enumerate(kept)
         ],
         F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),

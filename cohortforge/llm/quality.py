@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.llm.features import STYLE, gram_counts, style
+from cohortforge.llm.tables import numbered
 from cohortforge.llm.text import slices
 
 BUCKETS = 1024
@@ -151,9 +152,14 @@ def score(docs: DataFrame, model: QualityModel | None, text_column: str = "text"
     ``docs`` that bear these names are replaced.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(*names, F.coalesce(docs[text_column], F.lit("")).alias("_text"))
+    rows = numbered(docs, names, _text=F.coalesce(docs[text_column], F.lit("")))
+    own = rows.drop("_text")
     if model is None:
-        rows = rows.drop("_text").withColumn("score", F.lit(0.5))
+        rows = own.withColumn("score", F.lit(0.5))
     else:
-        rows = rows.mapInArrow(_apply(model), docs.select(*names).schema.add("score", "double"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        rows = rows.mapInArrow(_apply(model), own.schema.add("score", "double"))
+    return rows.select(
+        *[F.col(f"_{n}").alias(c) for n, c in enumerate(names)],
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohortforge.llm.tables import drop_table, written
+from cohortforge.llm.tables import drop_table, numbered, written
 from cohortforge.llm.text import Words, slices
 
 ANCHOR_WORDS = 5
@@ -149,7 +149,7 @@ def _cleaned(window: int, names: list[str], text_at: int):
                     kept.append(text.decode() if n_removed[doc] else original[doc].as_py())
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                     runs.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                columns = [batch.column(n).slice(at, len(texts)) for n in names]
+                columns = [batch.column(n).slice(at, len(texts)) for n in range(len(names))]
                 columns[text_at] = pa.array(kept, pa.string())
                 run_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
@@ -188,11 +188,12 @@ def dedup_substrings(
     marks = written(spans(plain, window), "text-marks")
     # Rows with a null id look up nothing.
     seen = [F.when(doc_id.isNotNull(), k) for k in keys]
-    keyed = docs.select(*names, text.alias("_text"), doc_id.alias("_id"), seen[0].alias("_k1"), seen[1].alias("_k2"))
+    keyed = numbered(docs, names, _text=text, _id=doc_id, _k1=seen[0], _k2=seen[1])
     on = (keyed["_k1"] == marks["text_key"]) & (keyed["_k2"] == marks["copy_key"])
     joined = keyed.join(marks, on, "left")
     repeats = F.coalesce(F.col("_id") > F.col("rep"), F.lit(False))
-    joined = joined.select(*names, "_text", F.when(~repeats, F.col("starts")).alias("_starts"), repeats.alias("_repeats"))
+    own = [f"_{n}" for n in range(len(names))]
+    joined = joined.select(*own, "_text", F.when(~repeats, F.col("starts")).alias("_starts"), repeats.alias("_repeats"))
     more = "n_words long, n_removed long, kept_sha256 string, removed_runs array<struct<start:int,length:int>>"
     schema = StructType([*docs.select(*names).schema.fields, *StructType.fromDDL(more).fields])
     return joined.mapInArrow(_cleaned(window, names, names.index(text_column)), schema)

@@ -48,7 +48,7 @@ def test_every_stage(spark, tmp_path):
             assert after == want
             assert out.where(F.col("n_chars") != F.length("text")).count() == 0
         elif name == "near_dedup":
-            components = samples.near_components(before)
+            components = samples.near_components(before, 80)
             assert set(after) == {d for d, c in components.items() if d == c}
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
