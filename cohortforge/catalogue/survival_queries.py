@@ -19,6 +19,7 @@ OUTER, INNER, REPEATS = 5, 5, 5
 CV_GENES = [f"Brand#{i}" for i in range(1, 21)]
 DRAWS = 2000
 PERMUTATIONS = 5
+FINAL_FOLDS = 3
 NET_GRID = [(4 * k + n, a, r) for k, r in enumerate((0.9, 0.5, 0.1)) for n, a in enumerate((0.1, 0.05, 0.02, 0.01))]
 # Candidate composites over growing parts of the signature.
 CANDIDATES = [(k, g) for k, n in enumerate((5, 12, 20)) for g in CV_GENES[:n]]
@@ -395,6 +396,42 @@ def coxnet_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def final_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain folds in which the final model's penalty is chosen."""
+    return folds.whole_plan(_population(spark, sf_dir), FINAL_FOLDS).select("inner_fold", "sample_id", "role")
+
+
+def _final(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Final models of two cohorts with equal sample ids: one as it is, one in which nothing happens."""
+    population, matrix, _ = _cv_inputs(spark, sf_dir)
+    named = F.explode(F.array(F.lit("a"), F.lit("b")))
+    event = F.when(F.col("cohort_id") == "b", 0).otherwise(F.col("event"))
+    both = written(population.withColumn("cohort_id", named).withColumn("event", event), "final-population")
+    cells = written(matrix.withColumn("cohort_id", named), "final-matrix")
+    grid = literal_rows(spark, NET_GRID, "candidate int, alpha double, l1_ratio double")
+    plan = written(folds.whole_plan(both, FINAL_FOLDS), "final-plan")
+    return cells, both, crossval.fit_final(cells, both, plan, CV_GENES, grid, FINAL_FOLDS)
+
+
+def final_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fit of the final search, and with inner fold 0 the model itself: sizes, and whether its conditions hold to 1e-6."""
+    _, _, out = _final(spark, sf_dir)
+    certified = (F.col("residual") <= 1e-6).cast("int").alias("certified")
+    search = out["search"].select("cohort_id", "inner_fold", "candidate", "n_train", "n_events", certified, "error")
+    model = out["model"].select("cohort_id", F.lit(0), F.lit(None).cast("int"), "n_train", "n_events", certified, "error")
+    return search.unionAll(model)
+
+
+def final_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final model of each cohort: its setting, coefficients and scaler."""
+    _, _, out = _final(spark, sf_dir)
+    parts = out["coefficients"].withColumnRenamed("feature", "gene").join(out["scaler"], ["cohort_id", "gene"])
+    joined = out["model"].join(parts, "cohort_id", "left")
+    return _rounded(
+        joined, ["cohort_id", "candidate", "n_scored", "n_selected", "error", "gene", "n_fit"], ["mean_c", "coefficient", "mean", "sd"]
+    )
+
+
 def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation drops of an equal-weight composite on frozen training statistics."""
     population, matrix, plan = _cv_inputs(spark, sf_dir)
@@ -635,6 +672,20 @@ SELECT repeat, fold, CAST(i.inner_fold AS INTEGER) AS inner_fold, CAST(c.candida
 FROM roles, (SELECT unnest(range(1, {INNER + 1})) AS inner_fold) i, (SELECT unnest(range({len(NET_GRID)})) AS candidate) c
 WHERE role = 'train' GROUP BY 1, 2, 3, 4"""
 
+_FINAL_PLAN = f"""WITH {X6}, {_POP}
+SELECT CAST((row_number() OVER (ORDER BY md5(concat_ws('|', '902001', sample_id)), sample_id) - 1) % {FINAL_FOLDS} + 1 AS INTEGER) AS inner_fold,
+       sample_id, 'train' AS role FROM pop"""
+
+_FINAL_CERTIFICATES = f"""WITH {X6}, {_POP},
+placed AS (SELECT event, (row_number() OVER (ORDER BY md5(concat_ws('|', '902001', sample_id)), sample_id) - 1) % {FINAL_FOLDS} + 1 AS own FROM pop),
+sizes AS (SELECT inner_fold, count(*) FILTER (own <> inner_fold) AS n, CAST(coalesce(sum(event) FILTER (own <> inner_fold), 0) AS BIGINT) AS n_events
+          FROM placed, (SELECT unnest(range(0, {FINAL_FOLDS + 1})) AS inner_fold) GROUP BY 1),
+named AS (SELECT * FROM sizes, (VALUES ('a'), ('b')) c(cohort_id))
+SELECT cohort_id, CAST(inner_fold AS INTEGER) AS inner_fold, CAST(candidate AS INTEGER) AS candidate, n AS n_train,
+       CASE cohort_id WHEN 'a' THEN n_events ELSE 0 END AS n_events, CASE cohort_id WHEN 'a' THEN 1 END AS certified,
+       CASE WHEN cohort_id = 'b' THEN CASE WHEN inner_fold > 0 THEN 'no_training_events' ELSE 'no_usable_candidate' END END AS error
+FROM named, LATERAL (SELECT unnest(CASE WHEN inner_fold > 0 THEN range({len(NET_GRID)}) ELSE [NULL] END) AS candidate)"""
+
 _STABILITY = f"""WITH {_CV},
 e AS (SELECT repeat, fold, gene AS feature, avg(value) FILTER (event = 1) - avg(value) FILTER (event = 0) AS d
       FROM roles JOIN grid USING (sample_id) WHERE role = 'train' GROUP BY 1, 2, 3),
@@ -713,6 +764,9 @@ QUERIES = {
     "coefficient_stability": (coefficient_stability, _STABILITY),
     "coxnet_grid": (coxnet_grid, None),
     "coxnet_certificates": (coxnet_certificates, _CERTIFICATES),
+    "final_plan": (final_plan, _FINAL_PLAN),
+    "final_certificates": (final_certificates, _FINAL_CERTIFICATES),
+    "final_model": (final_model, None),
     "permutation_importance": (
         permutation_importance,
         f"{_DROPS} SELECT repeat, fold, gene, permutation, {r('c_drop')} AS c_drop FROM drops",

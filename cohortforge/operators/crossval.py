@@ -334,6 +334,56 @@ def penalised_cv(
     }
 
 
+def fit_final(
+    matrix: DataFrame,
+    outcomes: DataFrame,
+    plan: DataFrame,
+    genes: list[str],
+    grid: DataFrame,
+    n_inner: int,
+    by: str = "cohort_id",
+    min_validation_events: int = 2,
+) -> dict[str, DataFrame]:
+    """The elastic-net model to deploy for each cohort: penalty by plain cross-validation, then a fit to all its samples.
+
+    ``plan`` is a ``folds.whole_plan``, ``grid`` as in ``penalised_cv``. Inner folds with fewer than
+    ``min_validation_events`` events and fits that failed are left out of a candidate's mean; of equal means the lowest
+    candidate wins. The searches and final fits of all cohorts run together. Returns
+
+    - ``search``: as of ``penalised_cv``;
+    - ``model``: a row for every cohort of the plan with ``n_train, n_events, candidate, alpha, l1_ratio, mean_c, n_scored,
+      n_selected, residual`` and ``error`` (``no_usable_candidate``, ``not_converged`` or null);
+    - ``scaler``: ``gene, mean, sd, n_fit`` of all samples, to be frozen with the model;
+    - ``coefficients``: ``feature, coefficient`` of models without error. ``apply_model`` takes both.
+
+    The search's means choose a penalty; they are no estimate of how well the model does, nor is its fit to these samples.
+    """
+    planned = plan.select(by, "sample_id", "event")
+    out = penalised_cv(matrix, outcomes, plan, genes, grid, n_inner, by, False, min_validation_events)
+    folded = out["folds"].select(by, "candidate", "residual")
+    scored = out["search"].filter(F.col("error").isNull()).groupBy(by, "candidate").agg(F.count(F.lit(1)).alias("n_scored"))
+    sizes = planned.groupBy(by).agg(F.count(F.lit(1)).alias("n_train"), F.count_if(F.col("event") == 1).alias("n_events"))
+    coefficients = written(out["coefficients"].select(by, "feature", "coefficient"), "final-coefficients")
+    used = coefficients.groupBy(by).agg(F.count_if(F.col("coefficient") != 0).alias("n_selected"))
+    error = F.when(F.col("candidate").isNull(), "no_usable_candidate").when(F.col("n_selected").isNull(), "not_converged")
+    model = (
+        sizes.join(folded, by, "left")
+        .join(out["selected"].select(by, "candidate", "alpha", "l1_ratio", "mean_c"), [by, "candidate"], "left")
+        .join(scored, [by, "candidate"], "left")
+        .join(used, by, "left")
+        .select(
+            by, "n_train", "n_events", "candidate", "alpha", "l1_ratio", "mean_c", "n_scored", "n_selected", "residual", error.alias("error")
+        )
+    )
+    cells = matrix.filter(F.col("gene").isin(genes)).join(planned.select(by, "sample_id"), [by, "sample_id"], "left_semi")
+    return {
+        "search": out["search"],
+        "model": written(model, "final-model"),
+        "scaler": scaler.fit(cells, [by]),
+        "coefficients": coefficients,
+    }
+
+
 def apply_model(
     matrix: DataFrame, model_scaler: DataFrame, coefficients: DataFrame, keys: list[str]
 ) -> DataFrame:

@@ -75,6 +75,21 @@ def plan(
     return numbered.select(*columns).unionByName(held.select(*columns))
 
 
+def whole_plan(samples: DataFrame, inner: int = 3, seed: int = 902001, by: str = "cohort_id") -> DataFrame:
+    """Rows of ``plan``'s form for a final fit: everyone trains; the inner folds are plain, not stratified.
+
+    There is one repeat and fold per cohort. Places are taken in digest order, so inner folds differ by one sample at
+    most; a cohort of fewer samples than folds leaves some empty.
+    """
+    if inner < 2:
+        raise ValueError("need at least two folds")
+    drawn = samples.select(by, "sample_id", "event").withColumn("_d", _digest(seed, F.col("sample_id")))
+    placed = hashed_position(drawn, [by], "_d", "sample_id", "_pos")
+    number = ((F.col("_pos") - 1) % inner + 1).cast("int").alias("inner_fold")
+    one = F.lit(1)
+    return placed.select(by, one.alias("repeat"), one.alias("fold"), number, "sample_id", "event", F.lit("train").alias("role"))
+
+
 def plan_violations(plan_rows: DataFrame, by: str = "cohort_id") -> DataFrame:
     """Samples not tested exactly once per repeat, or listed twice in a fold."""
     per_fold = plan_rows.groupBy(by, "repeat", "fold", "sample_id").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortforge.operators import concordance, crossval, folds, net_path, pair_counts, resample
 from tests.test_operators import CELL, frame, survival_rows
@@ -192,3 +193,42 @@ def test_cohorts_are_drawn_and_checked_apart(spark):
     )
     found = {(r["cohort_id"], r["problem"], r["n"]) for r in resample.prediction_problems(bad, ["cohort_id"]).collect()}
     assert found == {("x", "risk_not_finite", 2), ("y", "unpaired_prediction", 1)}
+
+
+def test_final_models(spark, cohort):
+    """Choice by plain folds and a fit to everyone, against the direct conditions; cohorts that can't be fitted say why."""
+    (names, t, e, z), people, matrix, _ = cohort
+    genes = [f"g{j}" for j in range(4)]
+    still = people.withColumn("cohort_id", F.lit("still")).withColumn("event", F.lit(0))
+    tiny = people.filter("sample_id < 's002'").withColumn("cohort_id", F.lit("tiny"))
+    people = people.unionByName(still).unionByName(tiny)
+    matrix = matrix.unionByName(matrix.withColumn("cohort_id", F.lit("still"))).unionByName(matrix.withColumn("cohort_id", F.lit("tiny")))
+    plan = folds.whole_plan(people, 3)
+    sizes = {(r["cohort_id"], r["inner_fold"]): r["count"] for r in plan.groupBy("cohort_id", "inner_fold").count().collect()}
+    assert [sizes["c", k] for k in (1, 2, 3)] == [40, 40, 40] and sizes["tiny", 1] == sizes["tiny", 2] == 1
+    grid = frame(spark, GRID, "candidate int, alpha double, l1_ratio double")
+    out = crossval.fit_final(matrix, people, plan, genes, grid, 3)
+    model = {r["cohort_id"]: r for r in out["model"].collect()}
+    assert set(model) == {"c", "still", "tiny"}
+    assert model["still"]["error"] == model["tiny"]["error"] == "no_usable_candidate"
+    own = model["c"]
+    assert own["error"] is None and (own["n_train"], own["n_events"], own["n_scored"]) == (120, int(e.sum()), 3)
+    means = {}
+    for r in out["search"].filter("cohort_id = 'c' AND error IS NULL").collect():
+        means.setdefault(r["candidate"], []).append(r["c_index"])
+    best = min(means, key=lambda c: (-np.mean(means[c]), c))
+    assert own["candidate"] == best and own["mean_c"] == pytest.approx(np.mean(means[best]))
+    beta = {r["feature"]: r["coefficient"] for r in out["coefficients"].collect()}
+    assert {r["cohort_id"] for r in out["coefficients"].collect()} == {"c"}
+    mean, sd = np.nanmean(z, axis=0), np.nanstd(z, axis=0, ddof=1)
+    zz = np.nan_to_num((z - mean) / np.where(sd < 1e-8, 1, sd)) * (sd >= 1e-8)
+    direct = np.array([beta[g] for g in genes])
+    _, alpha, ratio = GRID[best]
+    assert (own["alpha"], own["l1_ratio"], own["n_selected"]) == (alpha, ratio, (direct != 0).sum())
+    assert _violation(direct, _direct(t, e, zz, direct), alpha, ratio) < 1e-6
+    frozen = {r["gene"]: r for r in out["scaler"].filter("cohort_id = 'c'").collect()}
+    assert frozen["g0"]["mean"] == pytest.approx(mean[0]) and frozen["g0"]["n_fit"] == 120
+    # The parts apply to samples as they are.
+    risks = crossval.apply_model(matrix.filter("cohort_id = 'c'"), out["scaler"], out["coefficients"], ["cohort_id"])
+    got = {r["sample_id"]: r["risk"] for r in risks.collect()}
+    assert [got[s] for s in names] == pytest.approx((zz @ direct).tolist())
