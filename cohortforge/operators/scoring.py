@@ -94,7 +94,7 @@ def _usable(expression: DataFrame, signatures: DataFrame, by: str, min_genes: in
     genes = Window.partitionBy(by, "signature")
     stats = (
         cells.groupBy(by, "signature", "gene")
-        .agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+        .agg(F.avg("value").alias("_mean"), _spread("value").alias("_sd"))
         .withColumn("_g", F.count(F.lit(1)).over(genes))
         .filter(F.col("_g") >= min_genes)
         .drop("_g")
@@ -105,6 +105,11 @@ def _usable(expression: DataFrame, signatures: DataFrame, by: str, min_genes: in
     return cells.join(stats, [by, "signature", "gene"])
 
 
+def _spread(value: str) -> Column:
+    """Sample sd, zero where values don't differ; merged from partial sums it need not be."""
+    return F.when(F.min(value) == F.max(value), F.stddev_samp(value) * 0).otherwise(F.stddev_samp(value))
+
+
 def _z(value: Column) -> Column:
     return F.when(F.col("_sd") != 0, ratio(value - F.col("_mean"), F.col("_sd")))
 
@@ -159,7 +164,7 @@ def score_median_z(
     usable = _usable(expression, signatures, by, min_genes)
     medians = usable.groupBy(by, "signature", "sample_id").agg(F.median("value").alias("_median"))
     spread = medians.groupBy(by, "signature").agg(
-        F.avg("_median").alias("_mean"), F.stddev_samp("_median").alias("_sd")
+        F.avg("_median").alias("_mean"), _spread("_median").alias("_sd")
     )
     scores = medians.join(spread, [by, "signature"]).select(
         by,
