@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.functions.hashing import tagged_sha
+from cohortforge.sources.byte_ranges import BLOCK, opened
 
 ARTEFACT_COLUMNS = ["run_id", "role", "kind", "name", "checksum", "at"]
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Listed files with the tagged SHA-256 of their content, read block by block."""
+    for batch in batches:
+        sums = []
+        for path in batch["path"].to_pylist():
+            digest = hashlib.sha256()
+            system, place = opened(path)
+            with system.open_input_file(place) as source:
+                while block := source.read(BLOCK):
+                    digest.update(block)
+            sums.append(f"sha256:{digest.hexdigest()}")
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=[*batch.schema.names, "checksum"])
+
+
 def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, name, n_bytes, modified, checksum) of every file below a folder."""
+    """(path, name, n_bytes, modified, checksum) of every file below a folder.
+
+    A task reads its files block by block, so they may have any size. Only where pyarrow can't open the path does
+    Spark read them, each as one value of under 2 GB.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     )
+    try:
+        opened(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        pass
+    else:
+        listed = files.select("path", "length", "modificationTime")
+        summed = listed.mapInArrow(_digests, "path string, length bigint, modificationTime timestamp, checksum string")
+        return summed.select(
+            F.regexp_replace("path", "^file:/+", "/").alias("path"),
+            F.element_at(F.split("path", "/"), -1).alias("name"),
+            F.col("length").alias("n_bytes"),
+            F.col("modificationTime").alias("modified"),
+            "checksum",
+        )
     return files.select(
         F.regexp_replace("path", "^file:/+", "/").alias("path"),
         F.element_at(F.split("path", "/"), -1).alias("name"),

@@ -21,7 +21,7 @@ TASK_BYTES = 256 << 20
 BLOCK = 4 << 20
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
 
 
@@ -39,7 +39,7 @@ class _Reader(DataSourceReader):
         self.step = int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self) -> list[Ranges]:
-        system, root = _opened(self.path)
+        system, root = opened(self.path)
         infos = system.get_file_info(fs.FileSelector(root, recursive=True))
         out: list[Ranges] = []
         held: list[tuple] = []
@@ -59,7 +59,7 @@ class _Reader(DataSourceReader):
         return out or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
-        system, _ = _opened(self.path)
+        system, _ = opened(self.path)
         for path, size, modified, start, length in partition.items:
             digest = hashlib.sha256()
             with system.open_input_file(path) as source:
