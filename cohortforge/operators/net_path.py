@@ -3,7 +3,8 @@
 A sample's features are held once per repeat, with the fold it tests and the inner folds it validates; partitions are
 masks over them, and their scalers are totals less the sums of the part left out. The state has one row
 per partition whose arrays hold all candidates. A round is one job: blocks of samples, in order of time, give the
-risk-set moments of every unfinished candidate, and each partition takes a penalised Newton step.
+risk-set moments of every unfinished candidate, and each partition takes a penalised Newton step. A time with more
+samples than a block holds, such as that of a cap, has several blocks of its own.
 
 A candidate starts from the solution that its neighbour with the next larger penalty has reached, steps over the features
 that the sequential strong rule leaves in, and is done once the exact optimality conditions of the
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from cohortforge.functions.staging import written
 from cohortforge.operators import concordance
-from cohortforge.operators.ordering import with_buckets
+from cohortforge.operators.ordering import spread_totals
 from cohortforge.operators.pair_counts import concordant
 from cohortforge.operators.scaler import MIN_SD
 
@@ -32,14 +33,30 @@ TOLERANCE = 1e-7
 #: Linear predictors are cut here, far beyond any fit that converges.
 LARGEST = 300.0
 PART = ["repeat", "fold", "inner_fold"]
+PLACE = ["_b", "_s"]
 
 
 def _doubles(*names: str) -> str:
     return ", ".join(f"{n} array<double>" for n in names)
 
 
+def time_blocks(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """Blocks ``_b`` in order of time, of up to twice ``size`` rows, and parts ``_s`` of a time with over ``size`` rows.
+
+    Such a time is a block of its own, whose parts are dealt by a hash of the sample; other blocks have one part. ``rows`` are written.
+    """
+    counts = rows.groupBy(by, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.col("_n") > size
+    number = 2 * F.floor((F.col("cum__n") - F.col("_n")) / size) + hot.cast("long")
+    times = spread_totals(counts, [by], ["_t"], ["_n"]).select(
+        by, "_t", number.cast("int").alias("_b"), F.when(hot, F.ceil(F.col("_n") / size)).otherwise(1).alias("_parts")
+    )
+    part = F.pmod(F.xxhash64("sample_id"), F.col("_parts")).cast("int")
+    return rows.join(written(times, "path-times"), [by, "_t"]).withColumn("_s", part).drop("_parts")
+
+
 def member_rows(matrix: DataFrame, outcomes: DataFrame, plan: DataFrame, genes: list[str], by: str) -> DataFrame:
-    """A row per sample and repeat: ``_b`` (block in order of time), ``_t, _e, x``, ``folds`` and ``inners``.
+    """A row per sample and repeat: ``_b, _s`` (of ``time_blocks``), ``_t, _e, x``, ``folds`` and ``inners``.
 
     ``x`` are the features less their cohort mean, null where missing; ``inners`` has the inner fold in which the sample
     validates for each of ``folds``, 0 where it is tested. A list is as long as the plan has folds.
@@ -54,8 +71,7 @@ def member_rows(matrix: DataFrame, outcomes: DataFrame, plan: DataFrame, genes:
     rows = written(rows.filter(F.col("_t").isNotNull() & F.col("_e").isNotNull()), "path-samples")
     centre = rows.groupBy(by).agg(*[F.avg(f"_x{a}").alias(f"_c{a}") for a in range(len(genes))])
     x = F.array(*[F.col(f"_x{a}") - F.col(f"_c{a}") for a in range(len(genes))])
-    blocks = with_buckets(rows.select(by, "sample_id", "_t"), [by], "_t", "_b", BLOCK_ROWS).select(by, "sample_id", "_b")
-    rows = rows.join(centre, by).join(blocks, [by, "sample_id"]).select(by, "sample_id", "_b", "_t", "_e", x.alias("x"))
+    rows = time_blocks(rows, by, BLOCK_ROWS).join(centre, by).select(by, "sample_id", "_b", "_s", "_t", "_e", x.alias("x"))
     roles = plan.groupBy(by, "sample_id", "repeat").agg(F.array_sort(F.collect_list(F.struct("fold", "inner_fold"))).alias("_m"))
     roles = roles.select(by, "sample_id", "repeat", F.col("_m.fold").alias("folds"), F.col("_m.inner_fold").alias("inners"))
     return written(rows.join(roles, [by, "sample_id"]), "path-rows")
@@ -68,11 +84,12 @@ class _Block:
         table = table.sort_by([("_t", "descending"), ("sample_id", "ascending")]).combine_chunks()
         self.table = table
         self.event = table["_e"].to_numpy() == 1
-        time = table["_t"].to_numpy()
-        self.last = np.searchsorted(-time, -time, side="right") - 1
-        self.first = np.searchsorted(-time, -time, side="left")
+        #: Where each distinct time begins, and the number of each sample's time.
+        _, self.starts, self.moment = np.unique(-table["_t"].to_numpy(), return_index=True, return_inverse=True)
         lists = table["x"].combine_chunks()
         self.x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+        self.complete = not np.isnan(self.x).any()
+        self._products = None
         folds, inners = (table[c].combine_chunks() for c in ("folds", "inners"))
         at = np.repeat(np.arange(len(table)), np.diff(folds.offsets.to_numpy()))
         known, column = np.unique(folds.flatten().to_numpy(), return_inverse=True)
@@ -94,6 +111,25 @@ class _Block:
         return np.nan_to_num((self.x - mean) / np.where(use, sd, 1.0)) * use
 
 
+    def features(self, mean: np.ndarray, sd: np.ndarray):
+        """Features ``f``, their products by ``np.triu_indices``, ``c`` and ``v``, such that z = (f - c) v.
+
+        Without missing values they are the same for all partitions.
+        """
+        if not self.complete:
+            z = self.z(mean, sd)
+            return z, _products(z), np.zeros(len(mean)), np.ones(len(mean))
+        if self._products is None:
+            self._products = _products(self.x)
+        use = sd >= MIN_SD
+        return self.x, self._products, mean, use / np.where(use, sd, 1.0)
+
+
+def _products(x: np.ndarray) -> np.ndarray:
+    a, b = np.triu_indices(x.shape[1])
+    return x[:, a] * x[:, b]
+
+
 def _rows(records: list[dict], names: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({n: pa.array([r[n] for r in records], t) for n, t in names.items()})
 
@@ -174,7 +210,7 @@ def _per_partition(by: str, by_type: pa.DataType, names: list[str], work: Callab
     """For a cogroup of one block's samples and its partitions' states: ``work``'s arrays for each unfinished partition."""
 
     def run(rows: pa.Table, states: pa.Table) -> pa.Table:
-        types = {by: by_type, "_b": _INT, "repeat": _INT, "fold": _INT, "inner_fold": _INT} | dict.fromkeys(names, _LIST)
+        types = {by: by_type, "_b": _INT, "_s": _INT, "repeat": _INT, "fold": _INT, "inner_fold": _INT} | dict.fromkeys(names, _LIST)
         if not len(rows) or not len(states):
             return _rows([], types)
         block, out = _Block(rows), []
@@ -182,72 +218,98 @@ def _per_partition(by: str, by_type: pa.DataType, names: list[str], work: Callab
             open_ = np.array(state["done"]) == 0
             if open_.any() and state["fold"] in block.folds:
                 found = work(block, state, open_)
-                out.append({n: state[n] for n in (by, "_b", *PART)} | dict(zip(names, found, strict=True)))
+                out.append({n: state[n] for n in (by, *PLACE, *PART)} | dict(zip(names, found, strict=True)))
         return _rows(out, types)
 
     return run
 
 
-def _weights(block: _Block, state: dict, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    z = block.z(np.array(state["mean"]), np.array(state["sd"]))
-    beta = np.array(state["beta"]).reshape(len(open_), -1)[open_]
+def _weights(block: _Block, state: dict, open_: np.ndarray):
+    """Features of the block's samples (see ``features``), who trains, and linear predictors and risk weights of the open candidates."""
+    f, ff, c, v = block.features(np.array(state["mean"]), np.array(state["sd"]))
+    beta = np.array(state["beta"]).reshape(len(open_), -1)[open_] * v
     train = block.train(state["fold"], state["inner_fold"])
-    lp = np.clip(z @ beta.T, -LARGEST, LARGEST)
-    return z, train, lp, np.exp(lp) * train[:, None]
+    lp = np.clip(f @ beta.T - beta @ c, -LARGEST, LARGEST)
+    return f, ff, c, v, train, lp, np.exp(lp) * train[:, None]
 
 
 def _block_totals(block: _Block, state: dict, open_: np.ndarray):
     """Risk weights and weighted features of a whole block, which earlier blocks add to their risk sets."""
-    z, _, _, weight = _weights(block, state, open_)
-    s0, s1 = np.zeros(len(open_)), np.zeros((len(open_), z.shape[1]))
-    s0[open_], s1[open_] = weight.sum(axis=0), weight.T @ z
+    f, _, c, v, _, _, weight = _weights(block, state, open_)
+    s0, s1 = np.zeros(len(open_)), np.zeros((len(open_), f.shape[1]))
+    s0[open_] = weight.sum(axis=0)
+    s1[open_] = (weight.T @ f - s0[open_, None] * c) * v
     return s0, s1.ravel()
 
 
+def _second_moments(weight, f, ff, c, v) -> np.ndarray:
+    """Sums of z z' under each column of ``weight``."""
+    p = f.shape[1]
+    a, b = np.triu_indices(p)
+    out = np.empty((weight.shape[1], p, p))
+    out[:, a, b] = out[:, b, a] = weight.T @ ff
+    s0, cross = weight.sum(axis=0)[:, None, None], (weight.T @ f)[:, :, None] * c
+    return (out - cross - cross.transpose(0, 2, 1) + s0 * np.outer(c, c)) * np.outer(v, v)
+
+
 def _moments(block: _Block, state: dict, open_: np.ndarray):
     """Log likelihood, gradient and curvature of every unfinished candidate from one block.
 
     ``curve`` lacks the hazard of earlier times, which adds ``base`` times the ``hazard`` of the blocks before.
+    Risk sets and hazards are held by distinct time.
     """
-    z, train, lp, weight = _weights(block, state, open_)
-    p, many = z.shape[1], len(open_)
-    later0 = np.array(state["later0"])[open_] if state.get("later0") else np.zeros(open_.sum())
-    later1 = np.array(state["later1"]).reshape(many, p)[open_] if state.get("later1") else np.zeros((open_.sum(), p))
-    event = np.flatnonzero(train & block.event)
-    s0 = later0 + np.cumsum(weight, axis=0)[block.last]
-    step = np.zeros_like(weight)
-    step[event] = 1.0 / s0[event]
-    passed = np.cumsum(step[::-1], axis=0)[::-1][block.first]
+    f, ff, c, v, train, lp, weight = _weights(block, state, open_)
+    p, many, k = f.shape[1], len(open_), int(open_.sum())
+    later0 = np.array(state["later0"])[open_] if state.get("later0") else np.zeros(k)
+    later1 = np.array(state["later1"]).reshape(many, p)[open_] if state.get("later1") else np.zeros((k, p))
+    event = train & block.event
+    deaths = np.add.reduceat(event.astype(float), block.starts)
+    own0 = np.cumsum(np.add.reduceat(weight, block.starts, axis=0), axis=0)
+    ends = [*block.starts[1:].tolist(), len(weight)]
+    own1 = np.cumsum([weight[i:j].T @ f[i:j] for i, j in zip(block.starts.tolist(), ends)], axis=0)
+    some = deaths > 0
+    s0 = (later0 + own0)[some]
+    mean = ((own1[some] - own0[some][:, :, None] * c) * v + later1) / s0[:, :, None]
+    step = np.zeros_like(own0)
+    step[some] = deaths[some, None] / s0
+    passed = np.cumsum(step[::-1], axis=0)[::-1][block.moment]
     loglik, hazard, gradient = np.zeros(many), np.zeros(many), np.zeros((many, p))
     curve, base = np.zeros((many, p, p)), np.zeros((many, p, p))
-    loglik[open_] = (lp[event] - np.log(s0[event])).sum(axis=0)
+    loglik[open_] = lp[event].sum(axis=0) - deaths[some] @ np.log(s0)
     hazard[open_] = step.sum(axis=0)
-    for at, number in enumerate(np.flatnonzero(open_).tolist()):
-        weighted = weight[:, at, None] * z
-        mean = (later1[at] + np.cumsum(weighted, axis=0)[block.last[event]]) / s0[event, at, None]
-        gradient[number] = z[event].sum(axis=0) - mean.sum(axis=0)
-        base[number] = weighted.T @ z
-        curve[number] = (weighted * passed[:, at, None]).T @ z - mean.T @ mean
+    gradient[open_] = (f[event].sum(axis=0) - event.sum() * c) * v - np.einsum("t,tkp->kp", deaths[some], mean)
+    base[open_] = _second_moments(weight, f, ff, c, v)
+    tied = mean.transpose(1, 0, 2) * np.sqrt(deaths[some])[:, None]
+    curve[open_] = _second_moments(weight * passed, f, ff, c, v) - tied.transpose(0, 2, 1) @ tied
     return loglik, gradient.ravel(), curve.ravel(), base.ravel(), hazard
 
 
 def _later(by: str, by_type: pa.DataType):
-    """What the blocks later in time add to each block's risk sets, for one partition."""
+    """What the blocks later in time, and the other parts of the same one, add to each block's risk sets, for one partition."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_b", "descending")])
-        out, sums = [], None
-        for row in table.to_pylist():
-            own = [np.array(row["s0"]), np.array(row["s1"])]
-            sums = sums or [np.zeros_like(v) for v in own]
-            out.append({n: row[n] for n in (by, "_b", *PART)} | {"later0": sums[0], "later1": sums[1]})
-            sums = [a + b for a, b in zip(sums, own, strict=True)]
-        types = {by: by_type, "_b": _INT, "repeat": _INT, "fold": _INT, "inner_fold": _INT, "later0": _LIST, "later1": _LIST}
-        return _rows(out, types)
+        number = table["_b"].to_numpy()
+        known, place = np.unique(number, return_inverse=True)
+        lists = {}
+        for name in ("s0", "s1"):
+            own = _matrix(table, name)
+            total = np.zeros((len(known), own.shape[1]))
+            np.add.at(total, place, own)
+            after = np.cumsum(total[::-1], axis=0)[::-1] - total
+            # A block of one part has no others, to the last digit.
+            lists[name] = after[place] + np.where((np.bincount(place) > 1)[place][:, None], total[place] - own, 0.0)
+        types = {by: by_type, "_b": _INT, "_s": _INT, "repeat": _INT, "fold": _INT, "inner_fold": _INT}
+        listed = {n: pa.array(list(lists[o]), _LIST) for n, o in (("later0", "s0"), ("later1", "s1"))}
+        return pa.table({**{n: table[n].cast(t) for n, t in types.items()}, **listed})
 
     return run
 
 
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of equal length as rows of a matrix."""
+    return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+
 def penalised_step(beta, gradient, curve, l1, l2, start) -> np.ndarray:
     """Maximise each penalised quadratic model by coordinate descent over its active features.
 
@@ -285,7 +347,7 @@ def optimality_residual(beta, gradient, l1, l2) -> np.ndarray:
 
 
 def _advance(by: str, by_type: pa.DataType, grid: list[tuple[int, float, float]]):
-    """Next state of one repeat's partitions from the moments of all blocks."""
+    """Next state of one partition from the moments of all blocks."""
     alpha, ratio = np.array([g[1] for g in grid]), np.array([g[2] for g in grid])
     # Each candidate's neighbour with the next larger penalty of its kind, and its place on the path.
     order = sorted(range(len(grid)), key=lambda c: (ratio[c], -alpha[c], c))
@@ -298,13 +360,17 @@ def _advance(by: str, by_type: pa.DataType, grid: list[tuple[int, float, float]]
 
     def run(moments: pa.Table, states: pa.Table) -> pa.Table:
         sums: dict[tuple, list] = {}
-        for row in moments.sort_by([("_b", "ascending")]).to_pylist():
-            parts = [np.array(row[n]) for n in ("loglik", "gradient", "curve", "base", "hazard")]
-            have = sums.setdefault((row["fold"], row["inner_fold"]), [0.0, 0.0, 0.0, np.zeros(len(grid))])
-            have[0], have[1] = have[0] + parts[0], have[1] + parts[1]
-            size = len(parts[2]) // len(grid)
-            have[2] = have[2] + parts[2] + np.repeat(have[3], size) * parts[3]
-            have[3] = have[3] + parts[4]
+        if len(moments):
+            number = moments["_b"].to_numpy()
+            hazard, curve = _matrix(moments, "hazard"), _matrix(moments, "curve").sum(axis=0)
+            base = _matrix(moments, "base").reshape(len(moments), len(grid), -1)
+            for i in range(len(moments)):
+                # Events of blocks before, and of the other parts of the same one.
+                passed = number <= number[i]
+                passed[i] = False
+                curve = curve + (hazard[passed].sum(axis=0)[:, None] * base[i]).ravel()
+            key = (moments["fold"][0].as_py(), moments["inner_fold"][0].as_py())
+            sums[key] = [_matrix(moments, "loglik").sum(axis=0), _matrix(moments, "gradient").sum(axis=0), curve]
         records = states.to_pylist()
         for state in records:
             key = (state["fold"], state["inner_fold"])
@@ -350,7 +416,7 @@ def fit_paths(rows: DataFrame, grid: list[tuple[int, float, float]], n_inner: in
     by_type = pa.string() if isinstance(kind, T.StringType) else pa.int64()
     by_ddl = f"`{by}` {kind.simpleString()}"
     names = f"{by_ddl}, repeat int, fold int, inner_fold int"
-    block = [by, "_b", "repeat"]
+    block = [by, *PLACE, "repeat"]
     sums = rows.groupBy(*block).applyInArrow(
         _sums(by, by_type), f"{names}, n bigint, events bigint, {_doubles('count', 's1', 's2')}"
     )
@@ -358,9 +424,9 @@ def fit_paths(rows: DataFrame, grid: list[tuple[int, float, float]], n_inner: in
         written(sums, "path-sums").groupBy(by, "repeat").applyInArrow(_initial(by, by_type, n_inner, len(grid)), f"{names}, {_STATE}"),
         "path-state",
     )
-    blocks = written(rows.select(by, "_b").distinct(), "path-blocks")
-    several = blocks.agg(F.max("_b")).first()[0]
-    where = f"{by_ddl}, _b int, repeat int, fold int, inner_fold int"
+    blocks = written(rows.select(by, *PLACE).distinct(), "path-blocks")
+    several = not blocks.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
+    where = f"{by_ddl}, _b int, _s int, repeat int, fold int, inner_fold int"
     grouped = rows.groupBy(*block)
     for _ in range(MAX_ROUNDS):
         asked = state.join(blocks, by)
@@ -369,11 +435,11 @@ def fit_paths(rows: DataFrame, grid: list[tuple[int, float, float]], n_inner: in
                 _per_partition(by, by_type, ["s0", "s1"], _block_totals), f"{where}, {_doubles('s0', 's1')}"
             )
             later = totals.groupBy(by, *PART).applyInArrow(_later(by, by_type), f"{where}, {_doubles('later0', 'later1')}")
-            asked = asked.join(written(later, "path-later"), [by, "_b", *PART], "left")
+            asked = asked.join(written(later, "path-later"), [by, *PLACE, *PART], "left")
         moments = grouped.cogroup(asked.groupBy(*block)).applyInArrow(
             _per_partition(by, by_type, ["loglik", "gradient", "curve", "base", "hazard"], _moments), f"{where}, {_MOMENTS}"
         )
-        moved = written(moments, "path-moments").groupBy(by, "repeat").cogroup(state.groupBy(by, "repeat"))
+        moved = written(moments, "path-moments").groupBy(by, *PART).cogroup(state.groupBy(by, *PART))
         state = written(moved.applyInArrow(_advance(by, by_type, grid), f"{names}, {_STATE}"), "path-state")
         if state.filter(F.exists("done", lambda d: d == 0)).isEmpty():
             break
@@ -384,7 +450,7 @@ def held_risks(rows: DataFrame, state: DataFrame, by: str, candidates: int) -> D
     """Linear predictors of the samples that each partition holds out: ``risks`` has one per candidate."""
     kind = rows.select(by).schema[0].dataType
     by_type = pa.string() if isinstance(kind, T.StringType) else pa.int64()
-    block = [by, "_b", "repeat"]
+    block = [by, *PLACE, "repeat"]
 
     def run(samples: pa.Table, states: pa.Table) -> pa.Table:
         out = []
@@ -408,7 +474,7 @@ def held_risks(rows: DataFrame, state: DataFrame, by: str, candidates: int) -> D
         types = {by: by_type, **dict.fromkeys(PART, _INT), "sample_id": samples.schema.field("sample_id").type, "_t": pa.float64(), "_e": _INT, "risks": _LIST}
         return pa.concat_tables([pa.table({n: pa.array([], t) for n, t in types.items()}), *[t.cast(pa.schema(types)) for t in out]])
 
-    blocks = written(rows.select(by, "_b").distinct(), "path-held-blocks")
+    blocks = written(rows.select(by, *PLACE).distinct(), "path-held-blocks")
     sample = rows.select("sample_id").schema[0].dataType.simpleString()
     schema = f"`{by}` {kind.simpleString()}, repeat int, fold int, inner_fold int, sample_id {sample}, _t double, _e int, risks array<double>"
     return rows.groupBy(*block).cogroup(state.join(blocks, by).groupBy(*block)).applyInArrow(run, schema)

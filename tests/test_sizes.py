@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cohortforge.operators import provenance, quality
+from cohortforge.operators import folds, net_path, provenance, quality
+from tests.test_operators import CELL, frame, survival_rows
 
 
 def test_equal_values_are_flat_however_they_are_dealt(spark):
@@ -29,3 +31,23 @@ def test_files_are_digested_without_being_held_whole(spark, tmp_path):
         spark.conf.unset(limit)
     whole = "sha256:" + hashlib.sha256(content).hexdigest()
     assert got == {"a b.bin": (len(content), whole)}
+
+
+def test_a_time_shared_by_most_samples_is_several_blocks(spark, monkeypatch):
+    t, e, z = survival_rows(5, n=120, p=3)
+    cap = float(np.quantile(t, 0.5))
+    t, e = np.minimum(np.round(t, 1) + 0.1, cap), np.where((t < cap) | (np.arange(120) % 7 == 0), e, 0)
+    people = frame(spark, [("c", f"s{i}", float(t[i]), int(e[i])) for i in range(120)], "cohort_id string, sample_id string, time_months double, event int")
+    matrix = frame(spark, [("c", f"g{j}", f"s{i}", float(z[i, j])) for i in range(120) for j in range(3)], CELL)
+    plan = folds.plan(people, 2, 2, 1)
+    grid, found = [(0, 0.05, 0.9), (1, 0.02, 0.5)], []
+    for size in (1000, 15):
+        monkeypatch.setattr(net_path, "BLOCK_ROWS", size)
+        rows = net_path.member_rows(matrix, people, plan, ["g0", "g1", "g2"], "cohort_id")
+        largest = rows.groupBy("_b", "_s").count().agg(F.max("count")).first()[0]
+        assert largest <= 2 * size
+        states = net_path.fit_paths(rows, grid, 2, "cohort_id").collect()
+        assert all(d == 1 for s in states for d in s["done"])
+        found.append({(s["fold"], s["inner_fold"]): np.array(s["beta"]) for s in states})
+    assert any(b.any() for b in found[0].values())
+    assert all(np.allclose(found[0][k], found[1][k], atol=1e-6) for k in found[0])
