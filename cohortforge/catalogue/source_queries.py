@@ -100,15 +100,15 @@ def _series_files(spark: SparkSession, sf_dir: str) -> str:
     head = listed.select(
         F.col("cohort_id").alias("file"), F.posexplode(F.array(*lines)).alias("n", "line")
     ).withColumn("n", F.col("n").cast("long"))
-    cells = counts.groupBy("cohort_id", "gene").agg(F.map_from_entries(F.collect_list(F.struct("sample", "n"))).alias("m"))
-    row = cells.join(listed, "cohort_id").select(
+    # Every sample has a cell on each line, so a line is a sorted list and no cell is looked up in it.
+    genes = counts.select("cohort_id", "gene").distinct()
+    every = people.select("cohort_id", "sample").join(genes, "cohort_id").join(counts, ["cohort_id", "gene", "sample"], "left")
+    value = F.coalesce(F.col("n").cast("string"), F.lit("null"))
+    cells = every.groupBy("cohort_id", "gene").agg(F.array_sort(F.collect_list(F.struct("sample", value.alias("v")))).alias("s"))
+    row = cells.select(
         F.col("cohort_id").alias("file"),
         (F.lit(100) + F.regexp_extract("gene", r"(\d+)$", 1).cast("long")).alias("n"),
-        F.concat_ws(
-            "\t",
-            quoted(F.col("gene")),
-            F.array_join(F.transform("s", lambda x: F.coalesce(F.try_element_at("m", x["sample"]).cast("string"), F.lit("null"))), "\t"),
-        ).alias("line"),
+        F.concat_ws("\t", quoted(F.col("gene")), F.array_join(F.col("s.v"), "\t")).alias("line"),
     )
     end = listed.select(F.col("cohort_id").alias("file"), F.lit(10_000).cast("long").alias("n"), F.lit(series_matrix.END).alias("line"))
     return _land_lines(spark, head.unionByName(row).unionByName(end), "series")

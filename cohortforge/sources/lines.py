@@ -69,14 +69,15 @@ def split_header(table_lines: DataFrame, sep: str = "\t") -> tuple[DataFrame, Da
 def melt(header: DataFrame, body: DataFrame, sep: str = "\t") -> DataFrame:
     """Body cells as (file, line_no, row_label, pos, column, raw), first column = row label."""
     parts = fields(F.col("line"), sep)
-    cells = body.select(
-        "file", "line_no", unquote(parts[0]).alias("row_label"), F.posexplode(parts).alias("pos", "raw")
-    ).filter(F.col("pos") > 0)
-    return cells.join(header, "file").select(
+    labelled = body.select("file", "line_no", unquote(parts[0]).alias("row_label"), parts.alias("_parts"))
+    cells = labelled.select("file", "line_no", "row_label", F.posexplode("_parts").alias("pos", "raw")).filter(F.col("pos") > 0)
+    # A name meets its cells by position: no cell carries the whole header.
+    names = header.select("file", F.posexplode("header").alias("pos", "_name"))
+    return cells.join(header.select("file"), "file").join(names, ["file", "pos"], "left").select(
         "file",
         "line_no",
         "row_label",
         "pos",
-        unquote(F.get("header", F.col("pos"))).alias("column"),
+        unquote(F.col("_name")).alias("column"),
         unquote(F.col("raw")).alias("raw"),
     )

@@ -23,9 +23,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _meta(lines: DataFrame) -> DataFrame:
     """Metadata cells as (file, line_no, tag, pos, value), pos counted from 1."""
     parts = fields(F.col("line"))
+    # The tag is taken before the cells are listed, so that no cell carries its line.
     return (
         lines.filter(F.col("line").startswith("!"))
-        .select("file", "line_no", F.trim(parts[0]).alias("tag"), F.posexplode(parts).alias("pos", "raw"))
+        .select("file", "line_no", F.trim(parts[0]).alias("tag"), parts.alias("_parts"))
+        .select("file", "line_no", "tag", F.posexplode("_parts").alias("pos", "raw"))
         .filter(F.col("pos") > 0)
         .select("file", "line_no", "tag", "pos", unquote(F.col("raw")).alias("value"))
     )

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortforge.operators import folds, net_path, provenance, quality
+from cohortforge.sources import series_matrix
 from tests.test_operators import CELL, frame, survival_rows
 
 
@@ -51,3 +52,14 @@ def test_a_time_shared_by_most_samples_is_several_blocks(spark, monkeypatch):
         found.append({(s["fold"], s["inner_fold"]): np.array(s["beta"]) for s in states})
     assert any(b.any() for b in found[0].values())
     assert all(np.allclose(found[0][k], found[1][k], atol=1e-6) for k in found[0])
+
+
+def test_cells_of_a_wide_line_do_not_split_it_again(spark):
+    text = ["!Sample_title\t\"a\"\t\"b\"", "!series_matrix_table_begin", "\"ID_REF\"\t\"s1\"\t\"s2\"", "\"g\"\t1\t2", "!series_matrix_table_end"]
+    lines = frame(spark, [("f", i, t) for i, t in enumerate(text)], "file string, line_no long, line string")
+    for cells in (series_matrix._meta(lines), series_matrix.expression(lines)):
+        # Top down: what stands above a Generate is evaluated for each of its rows.
+        plan = cells._jdf.queryExecution().optimizedPlan().toString()
+        above = plan.split("Generate posexplode")[0]
+        assert "Generate" in plan and "split(" not in above and "header" not in above
+    assert {(r["feature"], r["sample_id"], r["value"]) for r in series_matrix.expression(lines).collect()} == {("g", "s1", 1.0), ("g", "s2", 2.0)}
