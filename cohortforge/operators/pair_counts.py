@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -104,3 +106,32 @@ def draw_totals(keys: list[str], block_draws: int):
         return pa.table({**{k: table[k].take(once) for k in keys}, "draw": pa.array(draw.astype(np.int32)), "comparable": comparable, "credit": credit})
 
     return run
+
+
+def permuted_totals(keys: list[str], repeats: int):
+    """For ``applyInArrow``: ``c_index`` of each ``permutation`` of one key's rows ``sample_id, part, risk, _t, _e, _prefix``.
+
+    Contributions go from the order of the digests of (prefix, permutation, sample) to that of the samples' digests.
+    """
+
+    def order(texts) -> np.ndarray:
+        return np.argsort(np.array([hashlib.md5(t.encode()).digest().hex() for t in texts], "S32"), kind="stable")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sample_id").combine_chunks()
+        part, risk, time, event = (table[c].to_numpy().astype(float) for c in ("part", "risk", "_t", "_e"))
+        names, prefix = table["sample_id"].to_pylist(), table["_prefix"][0].as_py()
+        taker, found = order(names), []
+        for number in range(1, repeats + 1):
+            given = np.empty_like(part)
+            given[taker] = part[order(f"{prefix}|{number}|{n}" for n in names)]
+            moved = risk - part + given
+            known = ~(np.isnan(moved) | np.isnan(time) | np.isnan(event))
+            one = np.ones((int(known.sum()), 1))
+            comparable, credit = concordant(time[known], event[known], moved[known], one)
+            found.append(float(credit[0] / comparable[0]) if comparable[0] else None)
+        once = np.zeros(repeats, np.int64)
+        numbers = pa.array(np.arange(1, repeats + 1), pa.int32())
+        return pa.table({**{k: table[k].take(once) for k in keys}, "permutation": numbers, "c_index": pa.array(found, pa.float64())})
+
+    return run

@@ -10,13 +10,15 @@ from cohortforge.functions.staging import written
 from cohortforge.operators import concordance
 from cohortforge.operators.concordance import harrell, pair_totals, with_ranks
 from cohortforge.operators.ordering import exact_quantiles, hashed_position
-from cohortforge.operators.pair_counts import draw_totals
+from cohortforge.operators.pair_counts import draw_totals, permuted_totals
 
 FOLD = ["model", "repeat", "fold"]
 MIN_VALID_SHARE = 0.8
 #: Draws whose weights travel as one list a patient.
 BLOCK_DRAWS = 250
 _HASH_DIGITS = 15
+#: Contributions of one gene in one fold that a task permutes by itself.
+PERMUTED_ROWS = 1_000_000
 
 
 def prediction_problems(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -234,13 +236,31 @@ def permutation_drops(
         *keys, "sample_id", "gene", (F.col("z") * F.col("coefficient")).alias("part")
     )
     parts = written(parts, "parts")
-    risks = parts.groupBy(*keys, "sample_id").agg(F.sum("part").alias("risk"))
+    risks = written(parts.groupBy(*keys, "sample_id").agg(F.sum("part").alias("risk")), "part-risks")
     person = [*[k for k in keys if k in outcomes.columns], "sample_id"]
     outcome = outcomes.select(*person, "time_months", "event")
     whole = harrell(risks.join(outcome, person), keys).select(
         *keys, F.col("c_index").alias("_whole")
     )
     group = [*keys, "gene", "permutation"]
+    small, large = concordance.split_keys(parts, [*keys, "gene"], PERMUTED_ROWS)
+    # Contributions are exchanged inside a fold before those without an outcome drop out.
+    rows = small.join(risks.join(outcome, person, "left"), [*keys, "sample_id"]).select(
+        *keys, "gene", "sample_id", "part", "risk", F.col("time_months").cast("double").alias("_t"), F.col("event").cast("double").alias("_e"),
+        F.concat_ws("|", F.lit(str(seed)), *keys, "gene").alias("_prefix"),
+    )
+    schema = parts.select(*keys, "gene").schema.add("permutation", "integer").add("c_index", "double")
+    permuted = rows.groupBy(*keys, "gene").applyInArrow(permuted_totals([*keys, "gene"], repeats), schema)
+    if large is not None:
+        permuted = permuted.unionByName(_permuted_by_rows(large, risks, outcome, person, keys, repeats, seed))
+    return permuted.join(whole, keys).select(*group, (F.col("_whole") - F.col("c_index")).alias("c_drop"))
+
+
+def _permuted_by_rows(
+    parts: DataFrame, risks: DataFrame, outcome: DataFrame, person: list[str], keys: list[str], repeats: int, seed: int
+) -> DataFrame:
+    """C of every permutation with a row for each contribution and permutation, for folds of any size."""
+    group = [*keys, "gene", "permutation"]
     many = parts.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     giver = hashed_position(
         many.withColumn(
@@ -257,8 +277,7 @@ def permutation_drops(
         .withColumn("risk", F.col("risk") - F.col("part") + F.col("_given"))
         .join(outcome, person)
     )
-    permuted = harrell(changed, group).select(*group, "c_index")
-    return permuted.join(whole, keys).select(*group, (F.col("_whole") - F.col("c_index")).alias("c_drop"))
+    return harrell(changed, group).select(*group, "c_index")
 
 
 def importance_by_fold(drops: DataFrame) -> DataFrame:

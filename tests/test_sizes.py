@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortforge.operators import folds, net_path, provenance, quality
+from cohortforge.operators import folds, net_path, provenance, quality, resample
 from cohortforge.sources import series_matrix
 from tests.test_operators import CELL, frame, survival_rows
 
@@ -63,3 +63,22 @@ def test_cells_of_a_wide_line_do_not_split_it_again(spark):
         above = plan.split("Generate posexplode")[0]
         assert "Generate" in plan and "split(" not in above and "header" not in above
     assert {(r["feature"], r["sample_id"], r["value"]) for r in series_matrix.expression(lines).collect()} == {("g", "s1", 1.0), ("g", "s2", 2.0)}
+
+
+def test_permutations_of_a_fold_are_not_rows(spark, monkeypatch):
+    t, e, z = survival_rows(9, n=60, p=2)
+    cells = [(1 + i % 2, f"s{i}", f"g{j}", float(z[i, j])) for i in range(60) for j in range(2)]
+    features = frame(spark, cells, "fold int, sample_id string, gene string, z double")
+    # One sample has no outcome; its contribution is exchanged all the same.
+    people = frame(spark, [(f"s{i}", float(t[i]), int(e[i])) for i in range(59)], "sample_id string, time_months double, event int")
+    weights = frame(spark, [(f, g, w) for f in (1, 2) for g, w in (("g0", 1.0), ("g1", -0.5))], "fold int, gene string, coefficient double")
+
+    def drops():
+        rows = resample.permutation_drops(features, people, weights, ["fold"], 3).collect()
+        return {(r["fold"], r["gene"], r["permutation"]): round(r["c_drop"], 9) for r in rows}
+
+    monkeypatch.setattr(resample, "PERMUTED_ROWS", 10, raising=False)
+    by_rows = drops()
+    monkeypatch.setattr(resample, "PERMUTED_ROWS", 1000, raising=False)
+    monkeypatch.setattr(resample, "hashed_position", None)
+    assert len(by_rows) == 12 and any(by_rows.values()) and drops() == by_rows
