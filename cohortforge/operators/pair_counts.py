@@ -9,72 +9,110 @@ import pyarrow as pa
 
 RISK_TIE = 1e-8
 #: Up to so many rows every event is compared with all later ones directly.
-DIRECT_ROWS = 2048
+DIRECT_ROWS = 512
 EVENTS_AT_ONCE = 256
-#: Weights held at once: rows times columns.
-CELLS_AT_ONCE = 4_000_000
+#: Weights held at once as floating numbers: rows times columns.
+CELLS_AT_ONCE = 500_000
+#: Nanoseconds a column: one event against one row, one node, one row at one level.
+PAIR_COST, NODE_COST, LEVEL_COST = 0.07, 150.0, 4.0
 
 
-def concordant(time: np.ndarray, event: np.ndarray, risk: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def concordant(
+    time: np.ndarray, event: np.ndarray, risk: np.ndarray, weight: np.ndarray, at: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Weighted comparable pairs and credit for each column of ``weight`` (rows x columns).
 
     An event's partners are later in time, or censored at the same time. A pair weighs the product of its two
     weights; a partner of lower risk gives full credit and one of a risk within ``RISK_TIE`` half.
+    ``at`` names the row of ``weight`` that each row has, its own if not given.
     """
     _, moment = np.unique(time, return_inverse=True)
     code = 2 * moment + (event != 1)
     order = np.argsort(code, kind="stable")
-    code, risk, weight = code[order], risk[order], weight[order]
+    code, risk = code[order], risk[order]
+    source = order if at is None else at[order]
     levels, place = np.unique(risk, return_inverse=True)
     cases = np.flatnonzero(code % 2 == 0)
     start = np.searchsorted(code, code[cases], side="right")
     lower = np.searchsorted(levels, risk[cases] - RISK_TIE, side="left")
     upto = np.searchsorted(levels, risk[cases] + RISK_TIE, side="right")
-    comparable, credit = np.zeros(weight.shape[1]), np.zeros(weight.shape[1])
+    columns = weight.shape[1]
+    comparable, credit = np.zeros(columns), np.zeros(columns)
     if not len(cases):
         return comparable, credit
-    count = _direct if len(code) <= DIRECT_ROWS else _by_digits
-    step = max(1, CELLS_AT_ONCE // len(code))
-    for at in range(0, weight.shape[1], step):
-        part = np.ascontiguousarray(weight[:, at : at + step], float)
+    _, code = np.unique(code, return_inverse=True)
+    shift = _leaf_digits(code, cases)
+    leaf = code >> shift
+    for first, last in _leaves(leaf, cases, shift):
+        one, rows = slice(first, last), slice(start[first], np.searchsorted(leaf, leaf[cases[first]], side="right"))
+        credit += _direct(place, rows, start[one], lower[one], upto[one], weight[source[cases[one]]], weight[source[rows]])
+    halves = list(_halves(code, place, cases, lower, upto, shift))
+    step = max(16, CELLS_AT_ONCE // len(code))
+    for left in range(0, columns, step):
+        part = weight[source, left : left + step].astype(float)
         after = np.zeros((len(code) + 1, part.shape[1]))
         after[:-1] = np.cumsum(part[::-1], axis=0)[::-1]
         own = part[cases]
-        comparable[at : at + step] = (own * after[start]).sum(axis=0)
-        credit[at : at + step] = count(place, start, lower, upto, own, part)
+        comparable[left : left + step] = np.einsum("ij,ij->j", own, after[start])
+        for order, asked, first, low, high in halves:
+            running = np.zeros((len(order) + 1, part.shape[1]))
+            np.cumsum(part[order], axis=0, out=running[1:])
+            lower_two = running[low] + running[high] - 2 * running[first]
+            credit[left : left + step] += 0.5 * np.einsum("ij,ij->j", own[asked], lower_two)
     return comparable, credit
 
 
-def _direct(place, start, lower, upto, own, weight) -> np.ndarray:
-    """Credit from every event and later row, in blocks of events."""
+def _leaf_digits(code: np.ndarray, cases: np.ndarray) -> int:
+    """How many of the last binary digits of a time code are left to direct comparison."""
+    digits = int(code[-1]).bit_length()
+    if len(code) <= DIRECT_ROWS:
+        return digits
+
+    def cost(shift: int) -> float:
+        node = code >> shift
+        events = np.bincount(node[cases], minlength=node[-1] + 1)
+        pairs = float(np.bincount(node) @ events)
+        return PAIR_COST * pairs + NODE_COST * np.count_nonzero(events) + LEVEL_COST * (digits - shift) * len(code)
+
+    return min(range(digits + 1), key=cost)
+
+
+def _leaves(leaf, cases, shift):
+    """Runs of events of one leaf; leaves without digits have no pairs."""
+    if not shift:
+        return []
+    cuts = np.flatnonzero(np.diff(leaf[cases])) + 1
+    return zip(np.r_[0, cuts], np.r_[cuts, len(cases)])
+
+
+def _direct(place, rows, start, lower, upto, own, weight) -> np.ndarray:
+    """Credit from every event and every later one of the rows, in blocks of events."""
     total = np.zeros(weight.shape[1])
-    rows = np.arange(len(place))
+    weight, number = weight.astype(float), np.arange(rows.start, rows.stop)
     for at in range(0, len(start), EVENTS_AT_ONCE):
         part = slice(at, at + EVENTS_AT_ONCE)
-        share = 0.5 * (place < lower[part, None]) + 0.5 * (place < upto[part, None])
-        share *= rows >= start[part, None]
-        total += (own[part] * (share @ weight)).sum(axis=0)
+        share = 0.5 * (place[rows] < lower[part, None]) + 0.5 * (place[rows] < upto[part, None])
+        share *= number >= start[part, None]
+        total += np.einsum("ij,ij->j", own[part].astype(float), share @ weight)
     return total
 
 
-def _by_digits(place, start, lower, upto, own, weight) -> np.ndarray:
-    """Credit by the binary digits of risk ranks: ranks below T are one block for each digit set in T, in which
-    the later rows are a difference of running totals."""
-    n, total = len(place), np.zeros(weight.shape[1])
-    rows = np.arange(n)
-    for level in range(int(max(upto.max(), 1)).bit_length()):
-        key = (place >> level) * (n + 1) + rows
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        running = np.zeros((n + 1, weight.shape[1]))
-        running[1:] = np.cumsum(weight[order], axis=0)
-        for limit in (lower, upto):
-            asked = np.flatnonzero((limit >> level) & 1)
-            block = (limit[asked] >> level) - 1
-            first = np.searchsorted(key, block * (n + 1) + start[asked])
-            last = np.searchsorted(key, (block + 1) * (n + 1))
-            total += 0.5 * (own[asked] * (running[last] - running[first])).sum(axis=0)
-    return total
+def _halves(code, place, cases, lower, upto, shift):
+    """Events against the rows whose codes first differ from theirs, and are higher, in one digit above ``shift``.
+
+    For each digit: the rows that have it, by what precedes it and by risk, and for each event without it where those of
+    its node begin and where their lower and not higher risks end.
+    """
+    width = int(upto.max()) + int(place.max()) + 2
+    for level in range(shift, int(code[-1]).bit_length()):
+        node = code >> (level + 1)
+        rows = np.flatnonzero((code >> level) & 1)
+        key = node[rows] * width + place[rows]
+        by_risk = np.argsort(key, kind="stable")
+        rows, key = rows[by_risk], key[by_risk]
+        asked = np.flatnonzero(((code[cases] >> level) & 1) == 0)
+        begin = node[cases[asked]] * width
+        yield rows, asked, *(np.searchsorted(key, begin + limit) for limit in (0, lower[asked], upto[asked]))
 
 
 def key_totals(keys: list[str]):
@@ -89,21 +127,95 @@ def key_totals(keys: list[str]):
 
 
 def draw_totals(keys: list[str], block_draws: int):
-    """For ``applyInArrow``: a row per draw of one block, from rows ``_t, _e, _r, _block, _chosen``.
+    """For ``applyInArrow``: a row per model and draw of one block, from rows ``_block, _chosen, _cases`` of a fold's patients.
+
+    ``_chosen`` has a byte for each time that a draw of the block, numbered from 0, picked the patient; ``_cases`` lists
+    the patient's ``model, _t, _e, _r``.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        weight = _weights(table["_chosen"].to_pylist(), block_draws)
+        cases = table["_cases"].combine_chunks()
+        patient = np.repeat(np.arange(len(table)), np.diff(cases.offsets.to_numpy()))
+        flat = cases.flatten()
+        time, event, risk = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("_t", "_e", "_r"))
+        models = flat.field("model").dictionary_encode(null_encoding="encode")
+        number = models.indices.to_numpy()
+        draw = table["_block"][0].as_py() * block_draws + np.arange(block_draws, dtype=np.int32) + 1
+        once, parts = np.zeros(block_draws, np.int64), []
+        for m in range(len(models.dictionary)):
+            own = np.flatnonzero(number == m)
+            comparable, credit = concordant(time[own], event[own], risk[own], weight, patient[own])
+            found = {**{k: table[k].take(once) for k in keys if k != "model"}, "model": models.dictionary.take(pa.array(once + m))}
+            parts.append(pa.table({**{k: found[k] for k in keys}, "draw": draw, "comparable": comparable, "credit": credit}))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _weights(chosen: list[bytes], block_draws: int) -> np.ndarray:
+    """How often each draw of a block (column) picked each patient (row)."""
+    weight = np.empty((len(chosen), block_draws), np.uint16)
+    step = max(1, CELLS_AT_ONCE // block_draws)
+    for at in range(0, len(chosen), step):
+        some = chosen[at : at + step]
+        rows = np.repeat(np.arange(len(some)), [len(c) for c in some])
+        cell = rows * block_draws + np.frombuffer(b"".join(some), np.uint8)
+        weight[at : at + step] = np.bincount(cell, minlength=len(some) * block_draws).reshape(len(some), block_draws)
+    return weight
+
 
-    ``_chosen`` lists the draws of the block that picked the row's patient, as often as they did.
+def drawn_slots(by: list[str], seed: int, draws: int, block_draws: int, slots: int, bin_slots: int):
+    """For ``mapInArrow``: which slots the slots from ``_from`` on select in the draws of ``_block``, among ``_n``.
+
+    A result row has all of them in one bin of ``bin_slots`` slots: ``_at`` their place in the bin (two bytes each), ``_in``
+    the draw of the block (a byte each).
     """
 
+    def run(batches):
+        for batch in batches:
+            for unit in batch.to_pylist():
+                n, names = unit["_n"], [b"%d" % s for s in range(unit["_from"], min(unit["_from"] + slots, unit["_n"]))]
+                numbers = range(unit["_block"] * block_draws, min(draws, (unit["_block"] + 1) * block_draws))
+                slot = np.empty((len(numbers), len(names)), np.int64)
+                for row, number in enumerate(numbers):
+                    prefix = b"%d|%d|" % (seed, number + 1)
+                    digests = b"".join([hashlib.md5(prefix + name).digest() for name in names])
+                    # The first 15 hexadecimal digits.
+                    slot[row] = (np.frombuffer(digests, ">u8")[::2] >> 4).astype(np.int64) % n
+                inner = np.repeat(np.arange(len(numbers), dtype=np.uint8), len(names))
+                slot = slot.ravel()
+                order = np.argsort(slot // bin_slots, kind="stable")
+                slot, inner = slot[order], inner[order]
+                bins, first = np.unique(slot // bin_slots, return_index=True)
+                place = (slot % bin_slots).astype("<u2")
+                ends = [*first[1:], len(slot)]
+                yield pa.record_batch({
+                    **{k: pa.array([unit[k]] * len(bins), batch.schema.field(k).type) for k in by},
+                    "_block": pa.array([unit["_block"]] * len(bins), pa.int32()),
+                    "_bin": pa.array(bins, pa.int64()),
+                    "_at": pa.array([place[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+                    "_in": pa.array([inner[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+                })
+
+    return run
+
+
+def slot_lists(by: list[str], bin_slots: int):
+    """For ``applyInArrow``: ``_slot, _chosen`` of one block and bin from the rows of ``drawn_slots``."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        time, event, risk = (table[c].to_numpy() for c in ("_t", "_e", "_r"))
-        lists = table["_chosen"].combine_chunks()
-        rows = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
-        weight = np.bincount(rows * block_draws + lists.flatten().to_numpy(), minlength=len(table) * block_draws)
-        comparable, credit = concordant(time, event, risk, weight.reshape(len(table), block_draws).astype(np.float32))
-        draw = table["_block"][0].as_py() * block_draws + np.arange(block_draws) + 1
-        once = np.zeros(block_draws, np.int64)
-        return pa.table({**{k: table[k].take(once) for k in keys}, "draw": pa.array(draw.astype(np.int32)), "comparable": comparable, "credit": credit})
+        place, inner = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("_at", "<u2"), ("_in", np.uint8)))
+        inner = inner[np.argsort(place, kind="stable")]
+        sizes = np.bincount(place, minlength=bin_slots)
+        ends = np.cumsum(sizes)
+        some = np.flatnonzero(sizes)
+        chosen = [inner[ends[s] - sizes[s] : ends[s]].tobytes() for s in some]
+        once = np.zeros(len(some), np.int64)
+        return pa.table({
+            **{k: table[k].take(once) for k in [*by, "_block"]},
+            "_slot": pa.array(table["_bin"][0].as_py() * bin_slots + some, pa.int64()), "_chosen": pa.array(chosen, pa.binary()),
+        })
 
     return run
 

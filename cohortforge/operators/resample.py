@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortforge.functions.numeric import finite, ratio
 from cohortforge.functions.staging import written
 from cohortforge.operators import concordance
 from cohortforge.operators.concordance import harrell, pair_totals, with_ranks
 from cohortforge.operators.ordering import exact_quantiles, hashed_position
-from cohortforge.operators.pair_counts import draw_totals, permuted_totals
+from cohortforge.operators.pair_counts import draw_totals, drawn_slots, permuted_totals, slot_lists
 
 FOLD = ["model", "repeat", "fold"]
 MIN_VALID_SHARE = 0.8
-#: Draws whose weights travel as one list a patient.
+#: Draws whose weights travel as one list a patient; 256 at most.
 BLOCK_DRAWS = 250
+#: Slots that are drawn together, and slots whose draws travel as one row.
+SLOTS_AT_ONCE = 16_384
+BIN_SLOTS = 4096
 _HASH_DIGITS = 15
 #: Contributions of one gene in one fold that a task permutes by itself.
 PERMUTED_ROWS = 1_000_000
@@ -126,25 +130,35 @@ def draw_lists(
 ) -> DataFrame:
     """The same weights with a row per patient and block of draws: by, ``sample_id, _block, _chosen``.
 
-    ``_chosen`` has the draws of the block, numbered from 0, that select the patient, each as often as it does.
+    ``_chosen`` has a byte for each draw of the block, numbered from 0, that selects the patient, as often as it does.
+    A task draws for some slots and one block, so the work is dealt to as many tasks as there are such pieces.
     """
+    if block > 256:
+        raise ValueError("a block has 256 draws at most")
     by = by or []
     numbered = _slots(patients, by)
-    number = F.col("draw") - 1
-    hits = (
-        numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .select(*by, _chosen(seed).alias("_slot"), F.floor(number / block).cast("int").alias("_block"), (number % block).alias("_in"))
-        .groupBy(*by, "_slot", "_block")
-        .agg(F.collect_list("_in").alias("_chosen"))
+    units = (
+        numbered.select(*by, "_n").distinct()
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))))
+        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(SLOTS_AT_ONCE).cast("long"))))
+    )
+    units = written(units, "draw-units")
+    keys = numbered.select(*by).schema.add("_block", "integer")
+    drawn = units.repartition(max(1, min(units.count(), 10_000))).mapInArrow(
+        drawn_slots(by, seed, draws, block, SLOTS_AT_ONCE, BIN_SLOTS),
+        StructType([*keys.fields]).add("_bin", "long").add("_at", "binary").add("_in", "binary"),
+    )
+    lists = drawn.groupBy(*by, "_block", "_bin").applyInArrow(
+        slot_lists(by, BIN_SLOTS), StructType([*keys.fields]).add("_slot", "long").add("_chosen", "binary")
     )
-    return hits.join(numbered, [*by, "_slot"]).select(*by, "sample_id", "_block", "_chosen")
+    return lists.join(numbered, [*by, "_slot"]).select(*by, "sample_id", "_block", "_chosen")
 
 
 def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099, by: list[str] | None = None) -> DataFrame:
     """Mean-over-folds C per (by, draw, model), keeping draws with pairs in every fold.
 
     Weights are shared by all models, folds and repeats of a patient. A fold's pairs are ranked once per
-    block of draws, whose weights are the columns of one matrix; a row of predictions
+    block of draws, whose weights are the columns of one matrix; a patient of a fold, with its predictions by all models,
     travels once a block, not once a draw. Folds over ``GROUP_ROWS`` rows are counted draw by draw.
     """
     by = by or []
@@ -163,7 +177,9 @@ def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099, by:
     small, large = concordance.split_keys(cases, keys, concordance.GROUP_ROWS)
     lists = written(draw_lists(predictions, draws, seed, block, by), "draw-lists")
     schema = cases.select(*keys).schema.add("draw", "integer").add("comparable", "double").add("credit", "double")
-    totals = small.join(lists, [*by, "sample_id"]).groupBy(*keys, "_block").applyInArrow(draw_totals(keys, block), schema)
+    fold = [*by, "repeat", "fold"]
+    people = small.groupBy(*fold, "sample_id").agg(F.collect_list(F.struct("model", "_t", "_e", "_r")).alias("_cases"))
+    totals = people.join(lists, [*by, "sample_id"]).groupBy(*fold, "_block").applyInArrow(draw_totals(keys, block), schema)
     totals = totals.filter(F.col("draw") <= draws)
     if large is not None:
         weighted = (

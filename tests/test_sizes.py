@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortforge.operators import folds, net_path, provenance, quality, resample
+from cohortforge.operators import folds, net_path, pair_counts, provenance, quality, resample
 from cohortforge.sources import series_matrix
 from tests.test_operators import CELL, frame, survival_rows
 
@@ -82,3 +82,41 @@ def test_permutations_of_a_fold_are_not_rows(spark, monkeypatch):
     monkeypatch.setattr(resample, "PERMUTED_ROWS", 1000, raising=False)
     monkeypatch.setattr(resample, "hashed_position", None)
     assert len(by_rows) == 12 and any(by_rows.values()) and drops() == by_rows
+
+
+def test_draws_are_dealt_by_slots_and_blocks(spark, monkeypatch):
+    people = frame(spark, [(c, f"p{i}") for c in "xy" for i in range(50 if c == "x" else 23)], "cohort_id string, sample_id string")
+    want = {
+        (r["cohort_id"], r["draw"], r["sample_id"]): r["weight"]
+        for r in resample.patient_weights(people, 7, by=["cohort_id"]).collect()
+    }
+    monkeypatch.setattr(resample, "SLOTS_AT_ONCE", 10, raising=False)
+    monkeypatch.setattr(resample, "BIN_SLOTS", 8, raising=False)
+    lists = resample.draw_lists(people, 7, block=3, by=["cohort_id"])
+    # 5 and 3 ranges of slots in 3 blocks of draws.
+    assert "Repartition 24, true" in lists._jdf.queryExecution().optimizedPlan().toString()
+    got: dict = {}
+    for r in lists.collect():
+        for inner in r["_chosen"]:
+            key = r["cohort_id"], r["_block"] * 3 + inner + 1, r["sample_id"]
+            got[key] = got.get(key, 0) + 1
+    assert got == want
+
+
+def test_halves_of_tied_times_count_every_pair_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 700
+    time = np.minimum(rng.integers(1, 90, n), 60).astype(float)
+    event, risk = (rng.random(n) < 0.5).astype(int), np.round(rng.normal(size=n), 1)
+    weight = rng.poisson(1, (n, 5)).astype(float)
+    later = (time[:, None] < time) | ((time[:, None] == time) & (event == 0))
+    pair = (event[:, None] == 1) & later
+    share = pair * (np.where(risk[:, None] - risk > 1e-8, 1.0, 0.0) + 0.5 * (np.abs(risk[:, None] - risk) <= 1e-8))
+    want = [np.einsum("ic,ij,jc->c", weight, m.astype(float), weight) for m in (pair, share)]
+    for direct, pair_cost in ((10**6, 1.0), (0, 0.07), (0, 1e9)):
+        monkeypatch.setattr(pair_counts, "DIRECT_ROWS", direct)
+        monkeypatch.setattr(pair_counts, "PAIR_COST", pair_cost, raising=False)
+        assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(want, pair_counts.concordant(time, event, risk, weight)))
+    rows = rng.permutation(n)
+    moved = pair_counts.concordant(time, event, risk, weight[np.argsort(rows)], rows)
+    assert all(np.array_equal(a, b) for a, b in zip(pair_counts.concordant(time, event, risk, weight), moved))
