@@ -11,7 +11,7 @@ from cohortforge.catalogue.endpoint_queries import derived
 from cohortforge.functions.hashing import population_hash
 from cohortforge.functions.numeric import round_at
 from cohortforge.functions.staging import literal_rows, written
-from cohortforge.operators import concordance, cox, crossval, endpoints, folds, inference, resample, scaler, scoring
+from cohortforge.operators import cox, crossval, endpoints, folds, inference, resample, scaler, scoring
 from cohortforge.plans import standins
 from cohortforge.sources import store
 
@@ -332,20 +332,10 @@ def cox_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composites over growing gene sets, chosen by mean inner C."""
     population, matrix, plan = _cv_inputs(spark, sf_dir)
-    keys = ["cohort_id", "repeat", "fold", "inner_fold"]
-    roles = crossval.inner_partitions(plan, INNER)
-    cells = crossval.cells_of(matrix, roles)
-    fitted = scaler.fit(cells.filter(F.col("role") == "train"), keys)
-    sets = literal_rows(spark, CANDIDATES, "candidate int, gene string")
-    risks = (
-        cells.filter(F.col("role") == "test")
-        .join(fitted.select(*keys, "gene", "mean", "sd"), [*keys, "gene"])
-        .join(sets, "gene")
-        .groupBy(*keys, "candidate", "sample_id")
-        .agg(F.avg((F.col("value") - F.col("mean")) / F.col("sd")).alias("risk"))
-        .join(population.select("cohort_id", "sample_id", "time_months", "event"), ["cohort_id", "sample_id"])
-    )
-    inner = concordance.harrell(risks, [*keys, "candidate"])
+    sets: dict[int, list[str]] = {}
+    for candidate, gene in CANDIDATES:
+        sets.setdefault(candidate, []).append(gene)
+    inner = crossval.composite_search(matrix, population, plan, sets)
     out = crossval.select_candidates(inner, ["repeat", "fold"], INNER)
     return _rounded(out, ["repeat", "fold", "candidate"], ["mean_c"])
 

@@ -20,7 +20,7 @@ from cohortforge.functions.staging import written
 from cohortforge.operators.ordering import has_large_key, spread_totals
 from cohortforge.operators.pair_counts import RISK_TIE, key_totals
 
-GROUP_ROWS = 200_000
+GROUP_ROWS = 1_000_000
 
 
 def rank_positions(cases: DataFrame, keys: list[str], risk: str = "_r") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.numeric import finite, ratio
 from cohortforge.functions.staging import written
-from cohortforge.operators import cox, net_path, scaler
+from cohortforge.operators import cox, fold_blocks, net_path, scaler
 from cohortforge.operators.concordance import harrell
 
 
@@ -116,67 +116,96 @@ def fold_scalers(matrix: DataFrame, tested: DataFrame, by: str = "cohort_id") ->
     """Scaler of every fold's training side: (by, repeat, fold, gene, mean, sd, n_fit).
 
     ``tested`` has one (by, repeat, fold, sample_id) row per sample and repeat; a fold trains on the samples of its
-    repeat's other folds. Moments are those of the whole repeat less the test fold's, so a cell travels once a repeat,
-    not once a fold. They are taken about the gene's cohort mean, which keeps the differences exact.
+    repeat's other folds. Moments are those of the whole repeat less the test fold's, taken by blocks of samples in which
+    a sample is one row. They are about the gene's cohort mean, which keeps the differences exact.
     A spread under ``MIN_SD`` is null; folds with fewer than two training samples have no scaler.
     """
+    genes = _genes(matrix)
+    rows = fold_blocks.held_rows(matrix, tested, genes, ["repeat"], "fold", by)
     centre = matrix.groupBy(by, "gene").agg(F.avg("value").alias("_c"))
-    d = F.col("value") - F.col("_c")
-    part = written(
-        matrix.join(centre, [by, "gene"]).join(tested, [by, "sample_id"]).groupBy(by, "repeat", "gene", "fold").agg(
-            F.count("value").alias("n"), F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.first("_c").alias("_c")
-        ),
-        "fold-moments",
-    )
-    whole = part.groupBy(by, "repeat", "gene").agg(
-        F.sum("n").alias("_n"), F.sum("s1").alias("_s1"), F.sum("s2").alias("_s2"), F.first("_c").alias("_c")
-    )
-    sizes = tested.groupBy(by, "repeat", "fold").agg(F.count(F.lit(1)).alias("_size"))
-    total = sizes.groupBy(by, "repeat").agg(F.sum("_size").alias("_all"))
-    fits = sizes.join(total, [by, "repeat"]).select(by, "repeat", "fold", (F.col("_all") - F.col("_size")).alias("n_fit"))
-    left = whole.join(fits.filter("n_fit >= 2"), [by, "repeat"]).join(part.drop("_c"), [by, "repeat", "gene", "fold"], "left")
+    fitted = _part_scalers(rows, tested, genes, ["repeat"], "fold", by)
+    return fitted.join(centre, [by, "gene"]).select(by, "repeat", "fold", "gene", (F.col("_c") + F.col("mean")).alias("mean"), "sd", "n_fit")
+
+
+def _genes(matrix: DataFrame) -> list[str]:
+    """The signature's genes: a small dimension."""
+    return sorted(r[0] for r in matrix.select("gene").distinct().collect())
+
+
+def _part_scalers(rows: DataFrame, held: DataFrame, genes: list[str], group: list[str], part: str, by: str) -> DataFrame:
+    """(by, group, part, gene, mean, sd, n_fit) of what a part trains on: its group's other samples. Means are less the cohort's."""
+    moments = fold_blocks.part_moments(rows, held, genes, group, part, by)
+    whole = moments.groupBy(by, *group, "gene").agg(F.sum("n").alias("_n"), F.sum("s1").alias("_s1"), F.sum("s2").alias("_s2"))
+    sizes = held.groupBy(by, *group, part).agg(F.count(F.lit(1)).alias("_size"))
+    total = sizes.groupBy(by, *group).agg(F.sum("_size").alias("_all"))
+    fits = sizes.join(total, [by, *group]).select(by, *group, part, (F.col("_all") - F.col("_size")).alias("n_fit"))
+    left = whole.join(fits.filter("n_fit >= 2"), [by, *group]).join(moments, [by, *group, "gene", part], "left")
     zero = F.lit(0)
     n = F.col("_n") - F.coalesce("n", zero)
     s1, s2 = F.col("_s1") - F.coalesce("s1", zero), F.col("_s2") - F.coalesce("s2", zero)
     mean = ratio(s1, n)
     sd = F.sqrt(F.greatest(s2 - s1 * mean, F.lit(0.0)) / (n - 1))
     return left.filter(n > 0).select(
-        by, "repeat", "fold", "gene", (F.col("_c") + mean).alias("mean"),
-        F.when((n > 1) & (sd >= scaler.MIN_SD), sd).alias("sd"), "n_fit",
-    )
+        by, *group, part, "gene", mean.alias("mean"), F.when((n > 1) & (sd >= scaler.MIN_SD), sd).alias("sd"), "n_fit"
+    )
 
 
-def fold_scores(matrix: DataFrame, plan: DataFrame, by: str = "cohort_id") -> tuple[DataFrame, DataFrame]:
+def fold_scores(
+    matrix: DataFrame, plan: DataFrame, by: str = "cohort_id", outcomes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Composite scores of every (by, repeat, fold, sample_id, role), and the folds with constant genes.
 
-    As ``partition_scores`` with ``fold_scalers``: a sample's genes are one row, which meets the means and spreads of its folds;
-    only the score is held per fold.
+    As ``partition_scores`` with ``fold_scalers``: a sample's genes are one row of a block, which meets the means and spreads of its folds;
+    only the score is held per fold, with ``time_months`` and ``event`` of ``outcomes`` if given.
     """
     keys = [by, "repeat", "fold"]
     tested = plan.filter(F.col("role") == "test").select(*keys, "sample_id")
-    fitted = written(fold_scalers(matrix, tested, by), "fold-scalers")
+    genes = _genes(matrix)
+    rows = fold_blocks.held_rows(matrix, tested, genes, ["repeat"], "fold", by)
+    fitted = written(_part_scalers(rows, tested, genes, ["repeat"], "fold", by), "fold-scalers")
+    if outcomes is not None:
+        # Everyone in the plan and the matrix was fitted on, with an outcome or not.
+        rows = rows.join(outcomes.select(by, "sample_id", "time_months", "event"), [by, "sample_id"])
     constant = written(
         scaler.degenerate_genes(fitted, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_constant_genes")), "fold-constant"
     )
-    # The signature's genes: a small dimension.
-    genes = sorted(r[0] for r in fitted.select("gene").distinct().collect())
-    pick = [F.col("gene") == g for g in genes]
-    wide = matrix.groupBy(by, "sample_id").agg(*[F.max(F.when(p, F.col("value"))).alias(f"_x{a}") for a, p in enumerate(pick)])
-    weights = fitted.join(constant, keys, "left_anti").groupBy(*keys).agg(
-        *[F.max(F.when(p, F.col("mean"))).alias(f"_m{a}") for a, p in enumerate(pick)],
-        *[F.max(F.when(p, F.col("sd"))).alias(f"_s{a}") for a, p in enumerate(pick)],
-    )
-    total = " + ".join(f"coalesce((_x{a} - _m{a}) / _s{a}, 0D)" for a in range(len(genes))) or "0D"
-    present = " + ".join(f"CAST((_x{a} - _m{a}) / _s{a} IS NOT NULL AS INT)" for a in range(len(genes))) or "0"
-    rows = plan.select(*keys, "sample_id", "role").join(wide, [by, "sample_id"]).join(written(weights, "fold-weights"), keys)
-    raw = written(rows.select(*keys, "sample_id", "role", F.expr(f"try_divide({total}, {present})").alias("raw")), "cv-raw")
-    composite = raw.filter(F.col("role") == "train").groupBy(*keys).agg(
+    good = written(fitted.join(constant, keys, "left_anti"), "fold-good")
+    raw = fold_blocks.part_scores(rows, good, genes, [genes], ["repeat"], "fold", by, False)
+    role = F.when(F.col("_held"), "test").otherwise("train").alias("role")
+    outcome = [c for c in ("time_months", "event") if c in rows.columns]
+    raw = written(raw.select(*keys, "sample_id", *outcome, role, F.col("_r")[0].alias("raw")), "cv-raw")
+    composite = written(raw.filter(F.col("role") == "train").groupBy(*keys).agg(
         F.avg("raw").alias("composite_mean"), F.stddev_samp("raw").alias("composite_sd")
-    ).filter(F.col("composite_sd") > scaler.MIN_SD)
+    ).filter(F.col("composite_sd") > scaler.MIN_SD), "cv-composite")
     scored = raw.filter(F.col("raw").isNotNull()).join(composite, keys)
     return scored.withColumn("score", (F.col("raw") - F.col("composite_mean")) / F.col("composite_sd")), constant
 
 
+def composite_search(
+    matrix: DataFrame, outcomes: DataFrame, plan: DataFrame, sets: dict[int, list[str]], by: str = "cohort_id"
+) -> DataFrame:
+    """Inner C of composites of gene sets: (by, repeat, fold, inner_fold, candidate, comparable_pairs, c_index).
+
+    ``sets`` has the genes of every candidate. An inner fold's scaler is that of the outer training set's other samples. A sample
+    is one row of a block with the inner folds that hold it out; it has a risk per candidate there and travels no further.
+    """
+    group, part = ["repeat", "fold"], "inner_fold"
+    held = plan.filter(F.col("role") == "train").select(by, *group, part, "sample_id")
+    genes = _genes(matrix)
+    rows = fold_blocks.held_rows(matrix, held, genes, group, part, by)
+    fitted = written(_part_scalers(rows, held, genes, group, part, by), "inner-scalers")
+    rows = rows.join(outcomes.select(by, "sample_id", "time_months", "event"), [by, "sample_id"])
+    numbers = sorted(sets)
+    risks = fold_blocks.part_scores(rows, fitted, genes, [sets[c] for c in numbers], group, part, by, True)
+    known = F.col("time_months").isNotNull() & F.col("event").isNotNull()
+    risks = risks.filter(known).select(
+        by, *group, part, F.col("time_months").cast("double").alias("_t"), F.col("event").cast("int").alias("_e"), F.col("_r").alias("risks")
+    )
+    found = net_path.risk_concordance(risks, by, len(numbers))
+    candidate = F.array(*[F.lit(c) for c in numbers])[F.col("place")]
+    return found.select(by, *group, part, candidate.alias("candidate"), F.col("comparable").cast("long").alias("comparable_pairs"), "c_index")
+
+
 def fixed_signature_cv(
     matrix: DataFrame, outcomes: DataFrame, plan: DataFrame, by: str = "cohort_id"
 ) -> dict[str, DataFrame]:
@@ -190,10 +219,7 @@ def fixed_signature_cv(
     """
     keys = [by, "repeat", "fold"]
     roles = plan.select(*keys, "sample_id", "role")
-    composites, constant = fold_scores(matrix, roles, by)
-    scored = written(
-        composites.join(outcomes.select(by, "sample_id", "time_months", "event"), [by, "sample_id"]), "cv-scores"
-    )
+    scored, constant = fold_scores(matrix, roles, by, outcomes)
     train, test = scored.filter(F.col("role") == "train"), scored.filter(F.col("role") == "test")
     models = written(cox.fit(train, keys, ["score"]), "cv-models").filter("converged").select(
         *keys, F.col("beta")[0].alias("coefficient")

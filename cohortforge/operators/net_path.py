@@ -488,16 +488,20 @@ def risk_concordance(held: DataFrame, by: str, candidates: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         time, event = table["_t"].to_numpy(), table["_e"].to_numpy()
-        risks = table["risks"].combine_chunks().flatten().to_numpy().reshape(len(table), candidates)
-        one = np.ones((len(table), 1))
-        found = np.array([[float(v[0]) for v in concordant(time, event, risks[:, c], one)] for c in range(candidates)])
+        risks = table["risks"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), candidates)
+        found = []
+        for c in range(candidates):
+            # A row without a risk takes no part.
+            own = np.flatnonzero(~np.isnan(risks[:, c]))
+            found.append([float(v[0]) for v in concordant(time[own], event[own], risks[own, c], np.ones((len(own), 1)))])
+        found = np.array(found)
         once = np.zeros(candidates, np.int64)
         return pa.table({**{k: table[k].take(once) for k in keys}, "place": pa.array(np.arange(candidates), _INT), "comparable": found[:, 0], "credit": found[:, 1]})
 
     schema = held.select(*keys).schema.add("place", "integer").add("comparable", "double").add("credit", "double")
     totals = small.groupBy(*keys).applyInArrow(run, schema)
     if large is not None:
-        each = large.select(*keys, "_t", "_e", F.posexplode("risks").alias("place", "_r"))
+        each = large.select(*keys, "_t", "_e", F.posexplode("risks").alias("place", "_r")).filter("_r IS NOT NULL")
         cases = each.groupBy(*keys, "place", "_t", "_e", "_r").agg(F.count(F.lit(1)).cast("double").alias("_w"))
         totals = totals.unionByName(concordance.weighted_totals(written(cases, "path-cases"), [*keys, "place"]))
     events = held.groupBy(*keys).agg(F.sum("_e").alias("held_events"))

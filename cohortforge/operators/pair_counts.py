@@ -46,8 +46,10 @@ def concordant(
     for first, last in _leaves(leaf, cases, shift):
         one, rows = slice(first, last), slice(start[first], np.searchsorted(leaf, leaf[cases[first]], side="right"))
         credit += _direct(place, rows, start[one], lower[one], upto[one], weight[source[cases[one]]], weight[source[rows]])
-    halves = list(_halves(code, place, cases, lower, upto, shift))
     step = max(16, CELLS_AT_ONCE // len(code))
+    halves = _halves(code, place, cases, lower, upto, shift)
+    if columns > step:
+        halves = list(halves)
     for left in range(0, columns, step):
         part = weight[source, left : left + step].astype(float)
         after = np.zeros((len(code) + 1, part.shape[1]))

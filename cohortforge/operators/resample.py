@@ -17,6 +17,8 @@ FOLD = ["model", "repeat", "fold"]
 MIN_VALID_SHARE = 0.8
 #: Draws whose weights travel as one list a patient; 256 at most.
 BLOCK_DRAWS = 250
+#: Weights of a fold and block: patients times draws.
+BLOCK_CELLS = 50_000_000
 #: Slots that are drawn together, and slots whose draws travel as one row.
 SLOTS_AT_ONCE = 16_384
 BIN_SLOTS = 4096
@@ -173,7 +175,10 @@ def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099, by:
         ).filter(F.col("_t").isNotNull() & F.col("_e").isNotNull() & F.col("_r").isNotNull()),
         "draw-cases",
     )
-    block = min(draws, BLOCK_DRAWS)
+    block, most = min(draws, BLOCK_DRAWS), 0
+    if cases.count() * block > BLOCK_CELLS:
+        most = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= concordance.GROUP_ROWS).agg(F.max("_n")).first()[0] or 0
+    block = max(1, min(block, BLOCK_CELLS // max(most, 1)))
     small, large = concordance.split_keys(cases, keys, concordance.GROUP_ROWS)
     lists = written(draw_lists(predictions, draws, seed, block, by), "draw-lists")
     schema = cases.select(*keys).schema.add("draw", "integer").add("comparable", "double").add("credit", "double")

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortforge.operators import folds, net_path, pair_counts, provenance, quality, resample
+from cohortforge.operators import concordance, cox, crossval, fold_blocks, folds, net_path, pair_counts, provenance, quality, resample, scaler
 from cohortforge.sources import series_matrix
 from tests.test_operators import CELL, frame, survival_rows
 
@@ -120,3 +120,66 @@ def test_halves_of_tied_times_count_every_pair_once(monkeypatch):
     rows = rng.permutation(n)
     moved = pair_counts.concordant(time, event, risk, weight[np.argsort(rows)], rows)
     assert all(np.array_equal(a, b) for a, b in zip(pair_counts.concordant(time, event, risk, weight), moved))
+
+
+def _cohorts(spark, n=90, p=3):
+    t, e, z = survival_rows(7, n=n, p=p)
+    names = [f"s{i:02d}" for i in range(n)]
+    people = frame(spark, [(c, s, float(a), int(b)) for c in "xy" for s, a, b in zip(names, t, e)], "cohort_id string, sample_id string, time_months double, event int")
+    shift = {"x": 0.0, "y": 5.0}
+    # One cell of cohort y is absent, one gene of it doesn't vary.
+    cells = [
+        (c, f"g{j}", s, 2.0 if (c, j) == ("y", 2) else float(z[i, j]) * (1 + shift[c]) + shift[c])
+        for c in "xy" for i, s in enumerate(names) for j in range(p) if (c, i, j) != ("y", 4, 0)
+    ]
+    return people, frame(spark, cells, CELL)
+
+
+def test_inner_folds_are_scored_from_one_row_a_sample(spark, monkeypatch):
+    people, matrix = _cohorts(spark)
+    plan = folds.plan(people, 2, 3, 2)
+    sets = {3: ["g0"], 8: ["g0", "g1"], 9: ["g2", "g1"]}
+    keys = ["cohort_id", "repeat", "fold", "inner_fold"]
+    cells = crossval.cells_of(matrix, crossval.inner_partitions(plan, 3))
+    fitted = scaler.fit(cells.filter("role = 'train'"), keys)
+    wide = frame(spark, [(c, g) for c, s in sets.items() for g in s], "candidate int, gene string")
+    risks = (
+        cells.filter("role = 'test'").join(fitted, [*keys, "gene"]).join(wide, "gene").groupBy(*keys, "candidate", "sample_id")
+        .agg(F.avg((F.col("value") - F.col("mean")) / F.col("sd")).alias("risk")).join(people, ["cohort_id", "sample_id"])
+    )
+    order = [*keys, "candidate"]
+    want = {tuple(r[k] for k in order): r for r in concordance.harrell(risks, order).collect()}
+    monkeypatch.setattr(fold_blocks, "BLOCK_ROWS", 20)
+    rows = crossval.composite_search(matrix, people, plan, sets)
+    # A cell never meets its partitions as a row of its own.
+    assert "inner_partitions" not in crossval.composite_search.__code__.co_names
+    got = {tuple(r[k] for k in order): r for r in rows.collect()}
+    assert len(want) == 2 * 2 * 2 * 3 * 3 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k]["comparable_pairs"] == r["comparable_pairs"] and abs(got[k]["c_index"] - r["c_index"]) < 1e-12
+
+
+def test_fold_scores_carry_outcomes_and_refuse_constant_genes(spark, monkeypatch):
+    people, matrix = _cohorts(spark)
+    plan = folds.plan(people, 3, 2, 2)
+    keys = ["cohort_id", "repeat", "fold"]
+    lost = people.filter("NOT (cohort_id = 'x' AND sample_id = 's05')")
+    plain = crossval.partition_scores(matrix, plan.select(*keys, "sample_id", "role"), keys).filter("NOT (cohort_id = 'x' AND sample_id = 's05')")
+    monkeypatch.setattr(fold_blocks, "BLOCK_ROWS", 20)
+    scored, constant = crossval.fold_scores(matrix, plan, outcomes=lost)
+    raw = {tuple(r[c] for c in [*keys, "sample_id", "role"]): r["raw"] for r in plain.collect()}
+    got = {tuple(r[c] for c in [*keys, "sample_id", "role"]): r for r in scored.collect()}
+    assert {r["cohort_id"] for r in constant.collect()} == {"y"} and constant.count() == 6
+    assert got.keys() == raw.keys() and all(abs(got[k]["raw"] - v) < 1e-9 for k, v in raw.items())
+    times = {(r["cohort_id"], r["sample_id"]): (r["time_months"], r["event"]) for r in people.collect()}
+    assert all((r["time_months"], r["event"]) == times[k[0], k[3]] for k, r in got.items())
+
+
+def test_a_key_of_many_rows_and_few_times_has_no_buckets(spark, monkeypatch):
+    t, e, z = survival_rows(13, n=400, p=1)
+    rows = frame(spark, [(f"k{i % 2}", float(np.ceil(t[i])), int(e[i]), float(z[i, 0])) for i in range(400)], "k string, time_months double, event int, score double")
+    want = {r["k"]: r["beta"][0] for r in cox.fit(rows, ["k"], ["score"]).collect()}
+    monkeypatch.setattr(cox, "ROWS_PER_BUCKET", 150)
+    monkeypatch.setattr(cox, "with_buckets", None)
+    got = {r["k"]: r["beta"][0] for r in cox.fit(rows, ["k"], ["score"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
