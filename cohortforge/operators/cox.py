@@ -97,10 +97,10 @@ def _penalised_step(
     )
 
 
-def _moments(base: DataFrame, state: DataFrame, keys: list[str], p: int, ties: str) -> DataFrame:
+def _moments(base: DataFrame, state: DataFrame, keys: list[str], p: int, ties: str, spread: bool = False) -> DataFrame:
     """Log partial likelihood, gradient and information of every unfinished key.
 
-    Expressions are SQL text: with many covariates there are many of them.
+    With ``spread`` the times of a key are dealt to tasks before tied events are numbered. Expressions are SQL text: with many covariates there are many of them.
     """
     terms, pairs = range(p), _pairs(p)
     active = state.filter("NOT done").selectExpr(
@@ -126,6 +126,8 @@ def _moments(base: DataFrame, state: DataFrame, keys: list[str], p: int, ties: s
         *[F.expr(f"sum({text}) AS {name}") for name, text in sums.items()]
     )
     sets = running_totals(cells, keys, ["_t"], list(risk), descending=True, bucket=bucket).filter("_d > 0")
+    if spread and ties == "efron":
+        sets = sets.repartition(*keys, "_t")
     if ties == "efron":
         # Tied events are numbered in blocks, so no array grows with the tie size.
         sets = sets.withColumn(
@@ -234,8 +236,12 @@ def fit(
     for c in complete.columns[len(keys):]:
         complete = complete.filter(F.col(c).isNotNull() & ~F.isnan(c))
     base = written(complete, "cox-rows")
-    if has_large_key(base, keys, ROWS_PER_BUCKET):
-        base = written(with_buckets(base, keys, "_t", "_tb"), "cox-buckets")
+    spread = has_large_key(base, keys, ROWS_PER_BUCKET)
+    if spread:
+        # Only distinct times are ordered, so only a key with many of those needs buckets of them.
+        times = written(base.select(*keys, "_t").distinct(), "cox-times")
+        if has_large_key(times, keys, ROWS_PER_BUCKET):
+            base = written(with_buckets(base, keys, "_t", "_tb"), "cox-buckets")
     zero = F.array(*[F.lit(0.0)] * p)
     state = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -258,7 +264,7 @@ def fit(
     )
     state = written(state, "cox-state")
     for _ in range(max_rounds):
-        moments = _moments(base, state, keys, p, ties)
+        moments = _moments(base, state, keys, p, ties, spread)
         state = written(_advance(state, moments, keys, p, penalty is not None), "cox-state")
         if state.filter(~F.col("done")).isEmpty():
             break
