@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortforge.catalogue.base_sql import checksum_sql, r
 from cohortforge.functions.numeric import round_at
-from cohortforge.functions.staging import shared_folder, written
+from cohortforge.functions.staging import dealt, shared_folder, written
 from cohortforge.operators import harmonise, provenance
 from cohortforge.plans import assembly, standins
 from cohortforge.sources import byte_ranges, commits, repository_json
@@ -133,8 +133,9 @@ def patient_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliquots = written(standins.aliquots(spark, sf_dir), "aliquots")
     lines = standins.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
     parts = standins.table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 2).cast("long").alias("feature_pos"))
+    n_lines = lines.count()
     cells = written(
-        lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
+        dealt(lines.join(parts, lines["l_partkey"] == parts["p_partkey"]), n_lines, "l_orderkey")
         .join(aliquots.where("o_orderkey % 97 != 0").select("barcode", "o_orderkey"), lines["l_orderkey"] == F.col("o_orderkey"))
         .groupBy("barcode", F.col("p_brand").alias("gene"), "feature_pos")
         .agg(F.sum("l_extendedprice").alias("value"))
@@ -142,7 +143,8 @@ def patient_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "aliquot-cells",
     )
     clinical = harmonise.parse_barcodes(aliquots).groupBy("patient").agg(F.max("value").alias("_top")).where("_top > 200000")
-    tolerated = aliquots.join(lines.where("l_orderkey % 97 != 0"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").count()
+    landed = dealt(lines.where("l_orderkey % 97 != 0").select("l_orderkey"), n_lines, "l_orderkey")
+    tolerated = aliquots.join(landed, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").count()
     taken = assembly.require_landed(aliquots.select("barcode"), cells, tolerated)
     matrix = assembly.join_clinical(written(assembly.assemble(taken, "max_mean", "first"), "patient-cells"), clinical)
     return matrix.select("cohort_id", "gene", "sample_id", round_at(F.col("value")).alias("value"))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+#: Rows of a task in a table that ``dealt`` deals.
+TASK_ROWS = 400_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +37,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal a DataFrame of about ``rows`` rows by its keys, so that a task's share doesn't grow with the table.
+
+    A share has ``TASK_ROWS`` rows; what would be fewer than two tasks for each slot is left to the planner.
+    """
+    wanted = -(-rows // TASK_ROWS)
+    if wanted < 2 * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(wanted, *keys)
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Small constant table as a local relation, so its exact size is known to the planner."""
     import pyarrow as pa

@@ -7,6 +7,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from cohortforge.catalogue import record_queries
+from cohortforge.functions import staging
 from cohortforge.operators import concordance, cox, crossval, fold_blocks, folds, net_path, pair_counts, provenance, quality, resample, scaler
 from cohortforge.sources import series_matrix
 from tests.test_operators import CELL, frame, survival_rows
@@ -183,3 +185,13 @@ def test_a_key_of_many_rows_and_few_times_has_no_buckets(spark, monkeypatch):
     monkeypatch.setattr(cox, "with_buckets", None)
     got = {r["k"]: r["beta"][0] for r in cox.fit(rows, ["k"], ["score"]).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_order_lines_are_dealt_in_proportion(spark, monkeypatch):
+    rows = spark.range(100)
+    assert "Repartition" not in staging.dealt(rows, 100, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert staging.dealt(rows, 40 * staging.TASK_ROWS, "id").rdd.getNumPartitions() == 40
+    folder = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in record_queries.patient_matrix(spark, folder).collect()}
+    monkeypatch.setattr(staging, "TASK_ROWS", 100)
+    assert want and {tuple(r) for r in record_queries.patient_matrix(spark, folder).collect()} == want
