@@ -242,7 +242,7 @@ def prediction_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis set of every segment with its rowmean scores."""
-    kept = endpoints.analysis_set(derived(spark, sf_dir))
+    kept = written(endpoints.analysis_set(derived(spark, sf_dir)), "analysis-set")
     sig = standins.signatures(spark).filter(F.col("signature").isin("s20", "gap"))
     matrix = endpoints.restrict(standins.expression(spark, sf_dir, standins.signature_genes("s20")), kept)
     scored = scoring.score_rowmean(matrix, sig, population=kept)
