@@ -7,12 +7,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+from cohortforge.functions.digests import md5_heads
+
 RISK_TIE = 1e-8
 #: Up to so many rows every event is compared with all later ones directly.
 DIRECT_ROWS = 512
 EVENTS_AT_ONCE = 256
 #: Weights held at once as floating numbers: rows times columns.
 CELLS_AT_ONCE = 500_000
+#: Counts that a drawing task holds at once: slots times draws.
+WINDOW_CELLS = 8_000_000
 #: Nanoseconds a column: one event against one row, one node, one row at one level.
 PAIR_COST, NODE_COST, LEVEL_COST = 0.07, 150.0, 4.0
 
@@ -128,96 +132,152 @@ def key_totals(keys: list[str]):
     return run
 
 
-def draw_totals(keys: list[str], block_draws: int):
-    """For ``applyInArrow``: a row per model and draw of one block, from rows ``_block, _chosen, _cases`` of a fold's patients.
+def packed(values: np.ndarray) -> bytes:
+    """An array's bytes, the first of every value before the second, compressed."""
+    return pa.compress(values.reshape(-1, 1).view(np.uint8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: str, size: int) -> np.ndarray:
+    """The ``size`` values of ``kind`` that ``packed`` was given."""
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(data, decompressed_size=size * width, codec="zstd")
+    values = np.zeros(size, f"<u{width}")
+    for place, part in enumerate(np.frombuffer(raw, np.uint8).reshape(width, size)):
+        if part.any():
+            values |= part.astype(values.dtype) << (8 * place)
+    return values.view(kind)
 
-    ``_chosen`` has a byte for each time that a draw of the block, numbered from 0, picked the patient; ``_cases`` lists
-    the patient's ``model, _t, _e, _r``.
+
+def drawn_slots(by: list[str], seed: int, slots: int, bin_slots: int):
+    """For ``mapInArrow``: how often the slots from ``_from`` on select each slot in the draws from ``_first`` up to ``_last``, among ``_n``.
+
+    A result row has the counts of one bin of ``bin_slots`` slots, those of a slot in the ``_draws`` draws side by side; a slot
+    selected from several ranges has its counts in as many rows.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        weight = _weights(table["_chosen"].to_pylist(), block_draws)
-        cases = table["_cases"].combine_chunks()
-        patient = np.repeat(np.arange(len(table)), np.diff(cases.offsets.to_numpy()))
-        flat = cases.flatten()
-        time, event, risk = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("_t", "_e", "_r"))
-        models = flat.field("model").dictionary_encode(null_encoding="encode")
-        number = models.indices.to_numpy()
-        draw = table["_block"][0].as_py() * block_draws + np.arange(block_draws, dtype=np.int32) + 1
-        once, parts = np.zeros(block_draws, np.int64), []
-        for m in range(len(models.dictionary)):
-            own = np.flatnonzero(number == m)
-            comparable, credit = concordant(time[own], event[own], risk[own], weight, patient[own])
-            found = {**{k: table[k].take(once) for k in keys if k != "model"}, "model": models.dictionary.take(pa.array(once + m))}
-            parts.append(pa.table({**{k: found[k] for k in keys}, "draw": draw, "comparable": comparable, "credit": credit}))
-        return pa.concat_tables(parts)
+    def run(batches):
+        for batch in batches:
+            for unit in batch.to_pylist():
+                n, upto, first = unit["_n"], min(unit["_from"] + slots, unit["_n"]), unit["_first"]
+                draws = unit["_last"] - first
+                heads = md5_heads([b"%d|%d|" % (seed, first + d + 1) for d in range(draws)], unit["_from"], upto)
+                # The first 15 hexadecimal digits.
+                chosen = ((heads >> np.uint64(4)) % np.uint64(n)).view(np.int64)
+                window = bin_slots * max(1, WINDOW_CELLS // (bin_slots * draws))
+                for low in range(0, n, window):
+                    high = min(low + window, n)
+                    counts = np.empty((high - low, draws), "<u2")
+                    for d, own in enumerate(chosen):
+                        if high - low < n:
+                            own = own[(own >= low) & (own < high)]
+                        counts[:, d] = np.bincount(own - low, minlength=high - low)
+                    parts = [(low + at, counts[at : at + bin_slots]) for at in range(0, high - low, bin_slots)]
+                    parts = [(at, part) for at, part in parts if part.any()]
+                    yield pa.record_batch({
+                        **{k: pa.array([unit[k]] * len(parts), batch.schema.field(k).type) for k in by},
+                        "_bin": pa.array([at // bin_slots for at, _ in parts], pa.int64()),
+                        "_first": pa.array([first] * len(parts), pa.int32()),
+                        "_draws": pa.array([draws] * len(parts), pa.int32()),
+                        "_slots": pa.array([len(part) for _, part in parts], pa.int32()),
+                        "_counts": pa.array([packed(part) for _, part in parts], pa.binary()),
+                    })
 
     return run
 
 
-def _weights(chosen: list[bytes], block_draws: int) -> np.ndarray:
-    """How often each draw of a block (column) picked each patient (row)."""
-    weight = np.empty((len(chosen), block_draws), np.uint16)
-    step = max(1, CELLS_AT_ONCE // block_draws)
-    for at in range(0, len(chosen), step):
-        some = chosen[at : at + step]
-        rows = np.repeat(np.arange(len(some)), [len(c) for c in some])
-        cell = rows * block_draws + np.frombuffer(b"".join(some), np.uint8)
-        weight[at : at + step] = np.bincount(cell, minlength=len(some) * block_draws).reshape(len(some), block_draws)
-    return weight
+def _block_counts(drawn: pa.Table, block_draws: int, bin_slots: int):
+    """Each block with its counts, slots of one bin by draws of the block, from the rows of ``drawn_slots``."""
+    first = drawn["_first"].to_numpy()
+    for block in np.unique(first // block_draws):
+        counts = np.zeros((bin_slots, block_draws), "<u2")
+        for row in drawn.take(np.flatnonzero(first // block_draws == block)).to_pylist():
+            left, size = row["_first"] % block_draws, row["_slots"] * row["_draws"]
+            counts[: row["_slots"], left : left + row["_draws"]] += unpacked(row["_counts"], "<u2", size).reshape(-1, row["_draws"])
+        yield int(block), counts
+
+
+def slot_lists(by: list[str], block_draws: int, bin_slots: int):
+    """For a cogroup's ``applyInArrow``: ``sample_id, _block, _chosen`` of one bin, from the rows of ``drawn_slots`` and the bin's samples by ``_slot``."""
+
+    def run(drawn: pa.Table, samples: pa.Table) -> pa.Table:
+        place, parts = samples["_slot"].to_numpy() % bin_slots, []
+        for block, counts in _block_counts(drawn, block_draws, bin_slots):
+            some = np.flatnonzero(counts[place].any(axis=1))
+            chosen = [np.repeat(np.arange(block_draws, dtype=np.uint8), counts[place[s]]).tobytes() for s in some]
+            own = samples.select([*by, "sample_id"]).take(some)
+            parts.append(own.append_column("_block", pa.array([block] * len(some), pa.int32())).append_column("_chosen", pa.array(chosen, pa.binary())))
+        if not parts:
+            none = samples.select([*by, "sample_id"]).slice(0, 0)
+            return none.append_column("_block", pa.array([], pa.int32())).append_column("_chosen", pa.array([], pa.binary()))
+        return pa.concat_tables(parts)
+
+    return run
 
 
-def drawn_slots(by: list[str], seed: int, draws: int, block_draws: int, slots: int, bin_slots: int):
-    """For ``mapInArrow``: which slots the slots from ``_from`` on select in the draws of ``_block``, among ``_n``.
+def fold_counts(by: list[str], block_draws: int, bin_slots: int):
+    """For a cogroup's ``applyInArrow``: what each fold and block needs of one bin, from the rows of ``drawn_slots`` and the bin's cases.
 
-    A result row has all of them in one bin of ``bin_slots`` slots: ``_at`` their place in the bin (two bytes each), ``_in``
-    the draw of the block (a byte each).
+    A row has the ``_counts`` of the fold's ``_size`` patients, and for each model the cases of its patients, packed, ``at``
+    naming the row of the counts. Models without a patient picked in the block are left out.
     """
 
-    def run(batches):
-        for batch in batches:
-            for unit in batch.to_pylist():
-                n, names = unit["_n"], [b"%d" % s for s in range(unit["_from"], min(unit["_from"] + slots, unit["_n"]))]
-                numbers = range(unit["_block"] * block_draws, min(draws, (unit["_block"] + 1) * block_draws))
-                slot = np.empty((len(numbers), len(names)), np.int64)
-                for row, number in enumerate(numbers):
-                    prefix = b"%d|%d|" % (seed, number + 1)
-                    digests = b"".join([hashlib.md5(prefix + name).digest() for name in names])
-                    # The first 15 hexadecimal digits.
-                    slot[row] = (np.frombuffer(digests, ">u8")[::2] >> 4).astype(np.int64) % n
-                inner = np.repeat(np.arange(len(numbers), dtype=np.uint8), len(names))
-                slot = slot.ravel()
-                order = np.argsort(slot // bin_slots, kind="stable")
-                slot, inner = slot[order], inner[order]
-                bins, first = np.unique(slot // bin_slots, return_index=True)
-                place = (slot % bin_slots).astype("<u2")
-                ends = [*first[1:], len(slot)]
-                yield pa.record_batch({
-                    **{k: pa.array([unit[k]] * len(bins), batch.schema.field(k).type) for k in by},
-                    "_block": pa.array([unit["_block"]] * len(bins), pa.int32()),
-                    "_bin": pa.array(bins, pa.int64()),
-                    "_at": pa.array([place[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
-                    "_in": pa.array([inner[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
-                })
+    def run(drawn: pa.Table, cases: pa.Table) -> pa.Table:
+        cases = cases.combine_chunks()
+        place = cases["_slot"].to_numpy() % bin_slots
+        kinds = {"t": "<f8", "e": "<i4", "r": "<f8"}
+        values = {k: cases[f"_{k}"].to_numpy().astype(kind) for k, kind in kinds.items()}
+        codes = [cases[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in ("repeat", "fold", "model")]
+        fold = codes[0].astype(np.int64) * (len(place) + 1) + codes[1]
+        order = np.argsort(fold, kind="stable")
+        folds = []
+        for own in np.split(order, np.flatnonzero(np.diff(fold[order])) + 1) if len(place) else []:
+            places, at = np.unique(place[own], return_inverse=True)
+            models = [(own[codes[2][own] == m], at[codes[2][own] == m]) for m in np.unique(codes[2][own])]
+            lists = [
+                {"model": cases["model"][int(rows[0])].as_py(), "n": len(rows), "at": packed(at.astype("<u4")), **{k: packed(v[rows]) for k, v in values.items()}}
+                for rows, at in models
+            ]
+            folds.append((int(own[0]), places, [at for _, at in models], lists))
+        found: dict[str, list] = {k: [] for k in ("_row", "_block", "_size", "_counts", "_cases")}
+        for block, counts in _block_counts(drawn, block_draws, bin_slots):
+            picked = counts.any(axis=1)
+            for row, places, ats, lists in folds:
+                held = [own for own, at in zip(lists, ats) if picked[places[at]].any()]
+                if held:
+                    for k, v in zip(found, (row, block, len(places), packed(counts[places]), held)):
+                        found[k].append(v)
+        lists = pa.list_(pa.struct([("model", cases.schema.field("model").type), ("n", pa.int32()), *[(k, pa.binary()) for k in ("at", *kinds)]]))
+        rows = cases.select([*by, "repeat", "fold"]).take(pa.array(found["_row"], pa.int64()))
+        for k, kind in (("_block", pa.int32()), ("_size", pa.int32()), ("_counts", pa.binary()), ("_cases", lists)):
+            rows = rows.append_column(k, pa.array(found[k], kind))
+        return rows
 
     return run
 
 
-def slot_lists(by: list[str], bin_slots: int):
-    """For ``applyInArrow``: ``_slot, _chosen`` of one block and bin from the rows of ``drawn_slots``."""
+def draw_totals(keys: list[str], block_draws: int):
+    """For ``applyInArrow``: a row per model and draw of one block, from the rows of ``fold_counts`` of one fold."""
 
     def run(table: pa.Table) -> pa.Table:
-        place, inner = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("_at", "<u2"), ("_in", np.uint8)))
-        inner = inner[np.argsort(place, kind="stable")]
-        sizes = np.bincount(place, minlength=bin_slots)
+        sizes = table["_size"].to_numpy()
         ends = np.cumsum(sizes)
-        some = np.flatnonzero(sizes)
-        chosen = [inner[ends[s] - sizes[s] : ends[s]].tobytes() for s in some]
-        once = np.zeros(len(some), np.int64)
-        return pa.table({
-            **{k: table[k].take(once) for k in [*by, "_block"]},
-            "_slot": pa.array(table["_bin"][0].as_py() * bin_slots + some, pa.int64()), "_chosen": pa.array(chosen, pa.binary()),
-        })
+        weight = np.empty((ends[-1], block_draws), np.uint16)
+        for end, size, counts in zip(ends, sizes, table["_counts"]):
+            weight[end - size : end] = unpacked(counts.as_buffer(), "<u2", size * block_draws).reshape(size, block_draws)
+        models: dict = {}
+        for begin, lists in zip(ends - sizes, table["_cases"].to_pylist()):
+            for own in lists:
+                at = unpacked(own["at"], "<u4", own["n"]).astype(np.int64) + begin
+                models.setdefault(own["model"], []).append((at, *[unpacked(own[k], kind, own["n"]) for k, kind in (("t", "<f8"), ("e", "<i4"), ("r", "<f8"))]))
+        draw = table["_block"][0].as_py() * block_draws + np.arange(block_draws, dtype=np.int32) + 1
+        once, parts = np.zeros(block_draws, np.int64), []
+        name = table.schema.field("_cases").type.value_type.field("model").type
+        for model, cases in models.items():
+            at, time, event, risk = (np.concatenate(c) for c in zip(*cases))
+            comparable, credit = concordant(time, event, risk, weight, at)
+            found = {**{k: table[k].take(once) for k in keys if k != "model"}, "model": pa.array([model] * block_draws, name)}
+            parts.append(pa.table({**{k: found[k] for k in keys}, "draw": draw, "comparable": comparable, "credit": credit}))
+        return pa.concat_tables(parts)
 
     return run
 

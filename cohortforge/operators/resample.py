@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from cohortforge.functions.numeric import finite, ratio
 from cohortforge.functions.staging import written
 from cohortforge.operators import concordance
 from cohortforge.operators.concordance import harrell, pair_totals, with_ranks
 from cohortforge.operators.ordering import exact_quantiles, hashed_position
-from cohortforge.operators.pair_counts import draw_totals, drawn_slots, permuted_totals, slot_lists
+from cohortforge.operators.pair_counts import draw_totals, drawn_slots, fold_counts, permuted_totals, slot_lists
 
 FOLD = ["model", "repeat", "fold"]
 MIN_VALID_SHARE = 0.8
@@ -19,8 +19,9 @@ MIN_VALID_SHARE = 0.8
 BLOCK_DRAWS = 250
 #: Weights of a fold and block: patients times draws.
 BLOCK_CELLS = 50_000_000
-#: Slots that are drawn together, and slots whose draws travel as one row.
-SLOTS_AT_ONCE = 16_384
+#: Slots that are drawn together, digests that a task makes at once, and slots whose counts travel as one row.
+SLOTS_AT_ONCE = 4_194_304
+UNIT_DIGESTS = 8_000_000
 BIN_SLOTS = 4096
 _HASH_DIGITS = 15
 #: Contributions of one gene in one fold that a task permutes by itself.
@@ -127,41 +128,54 @@ def patient_weights(patients: DataFrame, draws: int, seed: int = 902099, by: lis
     return hits.join(numbered, [*by, "_slot"]).select(*by, "draw", "sample_id", "weight")
 
 
+def _bin() -> Column:
+    return F.floor(F.col("_slot") / BIN_SLOTS).cast("long").alias("_bin")
+
+
+def _drawn(numbered: DataFrame, draws: int, seed: int, block: int, by: list[str]) -> DataFrame:
+    """How often the draws select the slots of ``_slots``, a row per bin of slots and some draws of one block.
+
+    A task draws for some slots and draws, so the work is dealt to as many tasks as there are such pieces.
+    """
+    last = F.least(F.lit(draws), (F.col("_block") + 1) * block)
+    step = F.floor(F.lit(UNIT_DIGESTS) / F.least(F.col("_n"), F.lit(SLOTS_AT_ONCE)))
+    step = F.least(F.lit(block), F.greatest(F.lit(1), step)).cast("int")
+    units = (
+        numbered.select(*by, "_n").distinct()
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))))
+        .withColumn("_first", F.explode(F.sequence(F.col("_block") * block, last - 1, step)))
+        .withColumn("_last", F.least(F.col("_first") + step, last))
+        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(SLOTS_AT_ONCE).cast("long"))))
+    )
+    units = written(units, "draw-units")
+    schema = StructType([*numbered.select(*by).schema.fields]).add("_bin", "long").add("_first", "integer").add("_draws", "integer")
+    return units.repartition(max(1, min(units.count(), 10_000))).mapInArrow(
+        drawn_slots(by, seed, SLOTS_AT_ONCE, BIN_SLOTS), schema.add("_slots", "integer").add("_counts", "binary")
+    )
+
+
 def draw_lists(
     patients: DataFrame, draws: int, seed: int = 902099, block: int = BLOCK_DRAWS, by: list[str] | None = None
 ) -> DataFrame:
     """The same weights with a row per patient and block of draws: by, ``sample_id, _block, _chosen``.
 
     ``_chosen`` has a byte for each draw of the block, numbered from 0, that selects the patient, as often as it does.
-    A task draws for some slots and one block, so the work is dealt to as many tasks as there are such pieces.
     """
     if block > 256:
         raise ValueError("a block has 256 draws at most")
     by = by or []
-    numbered = _slots(patients, by)
-    units = (
-        numbered.select(*by, "_n").distinct()
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))))
-        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(SLOTS_AT_ONCE).cast("long"))))
-    )
-    units = written(units, "draw-units")
-    keys = numbered.select(*by).schema.add("_block", "integer")
-    drawn = units.repartition(max(1, min(units.count(), 10_000))).mapInArrow(
-        drawn_slots(by, seed, draws, block, SLOTS_AT_ONCE, BIN_SLOTS),
-        StructType([*keys.fields]).add("_bin", "long").add("_at", "binary").add("_in", "binary"),
-    )
-    lists = drawn.groupBy(*by, "_block", "_bin").applyInArrow(
-        slot_lists(by, BIN_SLOTS), StructType([*keys.fields]).add("_slot", "long").add("_chosen", "binary")
-    )
-    return lists.join(numbered, [*by, "_slot"]).select(*by, "sample_id", "_block", "_chosen")
+    numbered = _slots(patients, by).withColumn("_bin", _bin())
+    schema = StructType([*numbered.select(*by, "sample_id").schema.fields]).add("_block", "integer").add("_chosen", "binary")
+    drawn = _drawn(numbered, draws, seed, block, by).groupBy(*by, "_bin")
+    return drawn.cogroup(numbered.groupBy(*by, "_bin")).applyInArrow(slot_lists(by, block, BIN_SLOTS), schema)
 
 
 def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099, by: list[str] | None = None) -> DataFrame:
     """Mean-over-folds C per (by, draw, model), keeping draws with pairs in every fold.
 
     Weights are shared by all models, folds and repeats of a patient. A fold's pairs are ranked once per
-    block of draws, whose weights are the columns of one matrix; a patient of a fold, with its predictions by all models,
-    travels once a block, not once a draw. Folds over ``GROUP_ROWS`` rows are counted draw by draw.
+    block of draws, whose weights are the columns of one matrix; the patients of a fold and bin of slots, with their
+    predictions by all models, travel packed, once a block. Folds over ``GROUP_ROWS`` rows are counted draw by draw.
     """
     by = by or []
     keys = [*by, *FOLD]
@@ -180,11 +194,19 @@ def bootstrap_draws(predictions: DataFrame, draws: int, seed: int = 902099, by:
         most = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= concordance.GROUP_ROWS).agg(F.max("_n")).first()[0] or 0
     block = max(1, min(block, BLOCK_CELLS // max(most, 1)))
     small, large = concordance.split_keys(cases, keys, concordance.GROUP_ROWS)
-    lists = written(draw_lists(predictions, draws, seed, block, by), "draw-lists")
-    schema = cases.select(*keys).schema.add("draw", "integer").add("comparable", "double").add("credit", "double")
+    numbered = _slots(predictions, by)
+    placed = small.join(numbered.select(*by, "sample_id", "_slot", _bin()), [*by, "sample_id"]).drop("sample_id")
     fold = [*by, "repeat", "fold"]
-    people = small.groupBy(*fold, "sample_id").agg(F.collect_list(F.struct("model", "_t", "_e", "_r")).alias("_cases"))
-    totals = people.join(lists, [*by, "sample_id"]).groupBy(*fold, "_block").applyInArrow(draw_totals(keys, block), schema)
+    kinds = StructType([cases.schema["model"]]).add("n", "integer")
+    for name in ("at", "t", "e", "r"):
+        kinds = kinds.add(name, "binary")
+    pieces = StructType([*cases.select(*fold).schema.fields]).add("_block", "integer").add("_size", "integer")
+    pieces = pieces.add("_counts", "binary").add("_cases", ArrayType(kinds))
+    # The planner knows the few units, not the draws they make: a join would take these for a small side and broadcast them.
+    drawn = _drawn(numbered, draws, seed, block, by).groupBy(*by, "_bin")
+    counts = drawn.cogroup(placed.groupBy(*by, "_bin")).applyInArrow(fold_counts(by, block, BIN_SLOTS), pieces)
+    schema = cases.select(*keys).schema.add("draw", "integer").add("comparable", "double").add("credit", "double")
+    totals = counts.groupBy(*fold, "_block").applyInArrow(draw_totals(keys, block), schema)
     totals = totals.filter(F.col("draw") <= draws)
     if large is not None:
         weighted = (

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortforge.catalogue import record_queries
-from cohortforge.functions import staging
+from cohortforge.functions import digests, staging
 from cohortforge.operators import concordance, cox, crossval, fold_blocks, folds, net_path, pair_counts, provenance, quality, resample, scaler
 from cohortforge.sources import series_matrix
 from tests.test_operators import CELL, frame, survival_rows
@@ -195,3 +195,54 @@ def test_order_lines_are_dealt_in_proportion(spark, monkeypatch):
     want = {tuple(r) for r in record_queries.patient_matrix(spark, folder).collect()}
     monkeypatch.setattr(staging, "TASK_ROWS", 100)
     assert want and {tuple(r) for r in record_queries.patient_matrix(spark, folder).collect()} == want
+
+
+def _broadcast(df) -> list[str]:
+    """Operators of the plan whose rows go to the driver to be broadcast."""
+    inside, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            inside.append(line)
+        else:
+            depth = at if "BroadcastExchange" in line else None
+    return inside
+
+
+def _held(spark, n=60):
+    rng = np.random.default_rng(12)
+    people = [(f"p{i}", float(rng.integers(1, 20)), int(rng.integers(0, 2))) for i in range(n)]
+    rows = [(m, k, (i + k) % 2, s, t, e, float(rng.integers(0, 15))) for k in (1, 2) for m in "ab" for i, (s, t, e) in enumerate(people)]
+    return frame(spark, rows, "model string, repeat int, fold int, sample_id string, time_months double, event int, risk double")
+
+
+def test_draws_never_go_to_the_driver(spark):
+    # A few rows of units make any number of draws, so the planner takes the draws for a small table.
+    held = _held(spark)
+    for df in (resample.draw_lists(held, 300), resample.bootstrap_draws(held, 300)):
+        assert not [line for line in _broadcast(df) if "InArrow" in line]
+
+
+def test_draws_are_the_same_in_any_pieces(spark, monkeypatch):
+    held = _held(spark)
+    whole = {(r["draw"], r["model"]): r["c"] for r in resample.bootstrap_draws(held, 130).collect()}
+    for module, name, value in ((resample, "SLOTS_AT_ONCE", 25), (resample, "UNIT_DIGESTS", 100), (resample, "BIN_SLOTS", 16), (resample, "BLOCK_DRAWS", 40), (pair_counts, "WINDOW_CELLS", 64), (digests, "AT_ONCE", 7)):
+        monkeypatch.setattr(module, name, value)
+    assert len(whole) == 260
+    # Pieces of 4 draws and 25 slots, 4 blocks.
+    drawn = resample._drawn(resample._slots(held, []), 130, 902099, 40, [])
+    assert "Repartition 99, true" in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["draw"], r["model"]): r["c"] for r in resample.bootstrap_draws(held, 130).collect()} == whole
+
+
+def test_digests_side_by_side_are_those_of_md5(monkeypatch):
+    monkeypatch.setattr(digests, "AT_ONCE", 13)
+    prefixes = [b"902099|7|", b"902099|10|", b"902099|2000|", b"x" * 50, b"902099|8|"]
+    for start, stop in ((0, 1), (0, 120), (9_990, 10_020), (123_456_789, 123_456_800)):
+        want = [[int(hashlib.md5(p + b"%d" % i).hexdigest()[:16], 16) for i in range(start, stop)] for p in prefixes]
+        assert np.array_equal(digests.md5_heads(prefixes, start, stop), np.array(want, np.uint64))
+
+
+def test_packed_arrays_come_back():
+    for values in (np.array([0, 3, 255, 256, 65_535], "<u2"), np.array([[0.1, -2.0], [np.inf, 1e-300]]), np.array([-1, 7], "<i4")):
+        assert np.array_equal(pair_counts.unpacked(pair_counts.packed(values), values.dtype.str, values.size), values.ravel())
