@@ -54,17 +54,30 @@ def concordant(
     halves = _halves(code, place, cases, lower, upto, shift)
     if columns > step:
         halves = list(halves)
+    cuts = np.flatnonzero(np.diff(code, prepend=-1))
+    asks = np.flatnonzero(np.isin(code[cuts], code[cases]))
+    running = np.zeros(len(code) + 1)
     for left in range(0, columns, step):
-        part = weight[source, left : left + step].astype(float)
-        after = np.zeros((len(code) + 1, part.shape[1]))
-        after[:-1] = np.cumsum(part[::-1], axis=0)[::-1]
-        own = part[cases]
-        comparable[left : left + step] = np.einsum("ij,ij->j", own, after[start])
+        # One column after the other: running totals over neighbours in memory.
+        part = np.ascontiguousarray(weight[source, left : left + step].T)
+        own = part[:, cases].astype(float)
+        sums = np.add.reduceat(part, cuts, axis=1, dtype=float)
+        later = np.cumsum(sums[:, ::-1], axis=1)[:, ::-1] - sums
+        comparable[left : left + step] = np.einsum("ij,ij->i", sums[:, asks], later[:, asks])
         for order, asked, first, low, high in halves:
-            running = np.zeros((len(order) + 1, part.shape[1]))
-            np.cumsum(part[order], axis=0, out=running[1:])
-            lower_two = running[low] + running[high] - 2 * running[first]
-            credit[left : left + step] += 0.5 * np.einsum("ij,ij->j", own[asked], lower_two)
+            if not (len(order) and len(asked)):
+                continue
+            nodes = np.flatnonzero(np.diff(first, prepend=-1))
+            tied = np.flatnonzero(high > low)
+            upper, first = high[tied], first[nodes]
+            for at, (column, events) in enumerate(zip(part, own), left):
+                np.cumsum(column.take(order), out=running[1 : len(order) + 1], dtype=float)
+                events = events.take(asked)
+                below = running.take(low)
+                found = events @ below - np.add.reduceat(events, nodes) @ running.take(first)
+                if len(tied):
+                    found += 0.5 * (events.take(tied) @ (running.take(upper) - below.take(tied)))
+                credit[at] += found
     return comparable, credit
 
 

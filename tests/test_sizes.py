@@ -246,3 +246,18 @@ def test_digests_side_by_side_are_those_of_md5(monkeypatch):
 def test_packed_arrays_come_back():
     for values in (np.array([0, 3, 255, 256, 65_535], "<u2"), np.array([[0.1, -2.0], [np.inf, 1e-300]]), np.array([-1, 7], "<i4")):
         assert np.array_equal(pair_counts.unpacked(pair_counts.packed(values), values.dtype.str, values.size), values.ravel())
+
+
+def test_columns_are_counted_alike_however_many_are_held(monkeypatch):
+    rng = np.random.default_rng(21)
+    n, columns = 900, 40
+    time, event = rng.integers(1, 400, n).astype(float), rng.integers(0, 2, n)
+    weight = rng.poisson(1, (n, columns)).astype(np.uint16)
+    for risk in (rng.normal(size=n), rng.integers(0, 20, n) * 1.0):
+        together = pair_counts.concordant(time, event, risk, weight)
+        alone = [pair_counts.concordant(time, event, risk, weight[:, [k]].astype(float)) for k in range(columns)]
+        monkeypatch.setattr(pair_counts, "CELLS_AT_ONCE", 1)
+        few = pair_counts.concordant(time, event, risk, weight)
+        monkeypatch.undo()
+        for one, other, each in zip(together, few, zip(*alone)):
+            assert np.array_equal(one, other) and np.array_equal(one, np.concatenate(each))
